@@ -1,6 +1,7 @@
-"""Command line expressions over ``argv array<string>``.
+"""Command line expressions over an ``array<string>`` of tokens.
 
-Every function returns a column expression; nothing here leaves the row.
+``argv`` is a column name or a Spark SQL expression.  Every function returns a column expression
+written as one SQL text; nothing here leaves the row.
 """
 
 from __future__ import annotations
@@ -8,172 +9,161 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.functions.text import strings
+from veilwatch.functions.text import sql_literal, sql_strings
 from veilwatch.rules.kv_rules import VALUE_FLAGS
 from veilwatch.rules.sql_rules import SQL_TOOLS, SqlTool
 
 SOURCE_TYPE = "struct<kind:string,value:string>"
+_NO_SOURCE = f"cast(null as {SOURCE_TYPE})"
 
 
-def split_argv(raw: Column) -> Column:
+def split_argv(raw: str) -> Column:
     """Tokens of a NUL-separated command line; empty tokens are dropped."""
-    text = F.make_valid_utf8(raw.cast("string"))
+    text = F.make_valid_utf8(F.col(raw).cast("string"))
     return F.filter(F.split(text, "\u0000"), lambda x: x != "")
 
 
 def with_argv(df: DataFrame, raw: str = "cmdline", out: str = "argv") -> DataFrame:
     """Add ``argv`` and drop rows whose command line is missing or empty."""
-    return df.withColumn(out, split_argv(F.col(raw))).filter(F.size(out) > 0)
+    return df.withColumn(out, split_argv(raw)).filter(F.size(out) > 0)
 
 
-def _rest(argv: Column) -> Column:
-    return F.slice(argv, F.lit(2), F.greatest(F.size(argv) - 1, F.lit(0)))
+def _rest(argv: str) -> str:
+    return f"slice({argv}, 2, greatest(size({argv}), 1))"
 
 
-def positionals(argv: Column) -> Column:
+def _positionals(argv: str) -> str:
+    return f"filter({_rest(argv)}, x -> not startswith(x, '-'))"
+
+
+def positionals(argv: str = "argv") -> Column:
     """Tokens after the program name that do not start with a dash."""
-    return F.filter(_rest(argv), lambda x: ~x.startswith("-"))
+    return F.expr(_positionals(argv))
 
 
-def positional(argv: Column, n: int) -> Column:
+def positional(argv: str, n: int) -> Column:
     """The n-th positional, counted from 1; null when there is none."""
-    return F.try_element_at(positionals(argv), F.lit(n))
+    return F.expr(f"get({_positionals(argv)}, {n - 1})")
 
 
-def last_of_two(argv: Column) -> Column:
-    """The last positional when there are at least two."""
-    args = positionals(argv)
-    return F.when(F.size(args) >= 2, F.try_element_at(args, F.lit(-1)))
+def _last_of_two(argv: str) -> str:
+    args = _positionals(argv)
+    return f"if(size({args}) >= 2, try_element_at({args}, -1), null)"
 
 
-def kv_positional(argv: Column) -> Column:
+def kv_positional(argv: str = "argv") -> Column:
     """Positionals of the key-value tool, upper-cased; value flags swallow the next token."""
-    flags = strings(VALUE_FLAGS)
-
-    def step(acc: Column, x: Column) -> Column:
-        swallow = ~acc["skip"] & F.array_contains(flags, x)
-        keep = ~acc["skip"] & ~x.startswith("-")
-        return F.struct(
-            swallow.alias("skip"),
-            F.when(keep, F.concat(acc["out"], F.array(F.upper(x))))
-            .otherwise(acc["out"]).alias("out"))
+    flags = ", ".join(sql_literal(f) for f in VALUE_FLAGS)
+    return F.expr(f"""aggregate({_rest(argv)},
+        named_struct('skip', false, 'out', cast(array() as array<string>)),
+        (acc, x) -> named_struct(
+            'skip', not acc.skip and x in ({flags}),
+            'out', if(acc.skip or startswith(x, '-'), acc.out, concat(acc.out, array(upper(x))))),
+        acc -> acc.out)""")
 
-    start = F.struct(F.lit(False).alias("skip"), strings([]).alias("out"))
-    return F.aggregate(_rest(argv), start, step, lambda acc: acc["out"])
 
+def _after(argv: str, token: str) -> str:
+    return (f"if(array_contains({argv}, '{token}'), slice({argv}, "
+            f"cast(array_position({argv}, '{token}') as int) + 1, greatest(size({argv}), 1)), null)")
 
-def _after(argv: Column, token: str) -> Column:
-    at = F.array_position(argv, token).cast("int")
-    return F.when(at > 0, F.slice(argv, at + 1, F.greatest(F.size(argv) - at, F.lit(0))))
 
-
-def pod_name(argv: Column) -> Column:
+def pod_name(argv: str = "argv") -> Column:
     """First token after an ``exec`` that is neither a flag nor ``exec`` itself."""
-    names = F.filter(_after(_rest(argv), "exec"), lambda x: ~x.startswith("-") & (x != "exec"))
-    return F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("<unknown-pod>"))
+    rest = _after(_rest(argv), "exec")
+    return F.expr(f"""coalesce(get(filter({rest}, x -> not startswith(x, '-') and x <> 'exec'), 0),
+                               '<unknown-pod>')""")
 
 
-def after_separator(argv: Column) -> Column:
+def after_separator(argv: str = "argv") -> Column:
     """The sub-command after the first ``--``; null without a separator."""
-    return _after(argv, "--")
-
+    return F.expr(_after(argv, "--"))
 
-def has_flag(argv: Column, flag: str) -> Column:
-    return F.exists(argv, lambda x: (x == flag) | x.startswith(flag + "="))
-
-
-def _attached(x: Column, flags: list[str]) -> Column:
-    """The value a token carries itself: ``flag=v``, and ``-pV`` for one-letter flags."""
-    out = F.when(F.lit(False), F.lit(""))
-    for flag in flags:
-        out = out.when(x.startswith(flag + "="), x.substr(F.lit(len(flag) + 2), F.length(x)))
-        if len(flag) == 2:
-            out = out.when(x.startswith(flag), x.substr(F.lit(3), F.length(x)))
-    return out
 
+def has_flag(argv: str, flag: str) -> Column:
+    return F.expr(f"exists({argv}, x -> x = '{flag}' or startswith(x, '{flag}='))")
 
-def _collect(argv: Column, flags: list[str], attached) -> Column:
-    names = strings(flags)
 
-    def step(acc: Column, x: Column) -> Column:
-        value = F.when(acc["pending"], x).when(~F.array_contains(names, x), attached(x))
-        return F.struct(
-            (~acc["pending"] & F.array_contains(names, x)).alias("pending"),
-            F.when(value.isNotNull(), F.concat(acc["out"], F.array(value)))
-            .otherwise(acc["out"]).alias("out"))
+def _collect(argv: str, flags: list[str], attached: str) -> Column:
+    """Tokens that follow one of the flags, and what ``attached`` finds in other tokens."""
+    names = ", ".join(sql_literal(f) for f in flags)
+    return F.expr(f"""aggregate({argv},
+        named_struct('pending', false, 'out', cast(array() as array<string>)),
+        (acc, x) -> named_struct(
+            'pending', not acc.pending and x in ({names}),
+            'out', case when acc.pending then concat(acc.out, array(x))
+                        when x in ({names}) or ({attached}) is null then acc.out
+                        else concat(acc.out, array({attached})) end),
+        acc -> acc.out)""")
 
-    start = F.struct(F.lit(False).alias("pending"), strings([]).alias("out"))
-    return F.aggregate(argv, start, step, lambda acc: acc["out"])
 
-
-def flag_values(argv: Column, flag: str) -> Column:
+def flag_values(argv: str, flag: str) -> Column:
     """Values given as ``--flag v`` or ``--flag=v``; a value may equal the flag."""
-    return _collect(argv, [flag], lambda x: F.when(
-        x.startswith(flag + "="), x.substr(F.lit(len(flag) + 2), F.length(x))))
+    return _collect(argv, [flag], f"if(startswith(x, '{flag}='), substring(x, {len(flag) + 2}), null)")
 
 
-def collect_specs(argv: Column, flags: list[str]) -> Column:
+def collect_specs(argv: str, flags: list[str]) -> Column:
     """Values of any of the flags, also attached to a one-letter flag (``-p80:80``)."""
-    return _collect(argv, flags, lambda x: _attached(x, flags))
-
-
-def _first_flag(argv: Column, flags: list[str]) -> tuple[Column, Column, Column]:
-    """Position of the first token that is one of the flags or ``flag=v``, that token, its value."""
-    if not flags:
-        null = F.lit(None).cast("string")
-        return F.lit(0), null, null
-    names = strings(flags)
+    cases = ""
+    for flag in flags:
+        cases += f" when startswith(x, '{flag}=') then substring(x, {len(flag) + 2})"
+        if len(flag) == 2:
+            cases += f" when startswith(x, '{flag}') then substring(x, 3)"
+    return _collect(argv, flags, f"case{cases} end")
 
-    def hit(x: Column) -> Column:
-        test = F.array_contains(names, x)
-        for flag in flags:
-            test = test | x.startswith(flag + "=")
-        return test
 
-    at = F.array_position(F.transform(argv, hit), F.lit(True)).cast("int")
-    token = F.when(at > 0, F.try_element_at(argv, at))
-    value = (F.when(F.array_contains(names, token), F.try_element_at(argv, at + 1))
-             .otherwise(token.substr(F.instr(token, "=") + 1, F.length(token))))
-    return at, token, F.when(at > 0, value)
+def _first_flag(argv: str, flags: list[str]) -> str:
+    """``struct<value>`` of the first token that is one of the flags or ``flag=v``; null without
+    such a token.  A flag that ends the command line has a null value."""
+    names = ", ".join(sql_literal(f) for f in flags)
+    cases = f"when x in ({names}) then named_struct('value', get({argv}, i + 1))"
+    for flag in flags:
+        cases += f" when startswith(x, '{flag}=') then named_struct('value', substring(x, {len(flag) + 2}))"
+    return f"get(filter(transform({argv}, (x, i) -> case {cases} end), h -> h is not null), 0)"
 
 
-def _source(kind: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+def _source(kind: str, value: str) -> str:
+    return f"if(({value}) is not null, named_struct('kind', '{kind}', 'value', {value}), null)"
 
 
-def _audit_source(argv: Column, tool: SqlTool) -> Column:
-    found = [_source("inline", _first_flag(argv, tool.sql_flags)[2]),
-             _source("file", _first_flag(argv, tool.file_flags)[2])]
+def _audit_source(argv: str, tool: SqlTool) -> str:
+    found = []
+    if tool.sql_flags:
+        found.append(_source("inline", _first_flag(argv, tool.sql_flags) + ".value"))
+    if tool.file_flags:
+        found.append(_source("file", _first_flag(argv, tool.file_flags) + ".value"))
     if tool.positional:
-        found.append(_source("inline", last_of_two(argv)))
-    return F.coalesce(*found).cast(SOURCE_TYPE)
+        found.append(_source("inline", _last_of_two(argv)))
+    return f"coalesce({', '.join(found)}, {_NO_SOURCE})"
 
 
-def _policy_source(argv: Column, tool: SqlTool) -> Column:
-    null = F.lit(None).cast(SOURCE_TYPE)
-    out = F.when(F.lit(False), null)
+def _policy_source(argv: str, tool: SqlTool) -> str:
+    cases = f"when false then {_NO_SOURCE}"
     for flag in tool.sql_flags:
-        at, _, value = _first_flag(argv, [flag])
-        out = out.when(at > 0, _source("inline", value))
+        hit = _first_flag(argv, [flag])
+        cases += f" when {hit} is not null then {_source('inline', hit + '.value')}"
     for flag in tool.file_flags:
-        at = F.array_position(argv, flag).cast("int")
-        out = out.when((at > 0) & (at < F.size(argv)),
-                       _source("file", F.try_element_at(argv, at + 1)))
+        at = f"cast(array_position({argv}, '{flag}') as int)"
+        cases += f" when {at} between 1 and size({argv}) - 1 then {_source('file', f'get({argv}, {at})')}"
     if tool.positional:
-        out = out.otherwise(_source("inline", last_of_two(argv)))
-    return out.cast(SOURCE_TYPE)
+        cases += f" else {_source('inline', _last_of_two(argv))}"
+    return f"case {cases} end"
 
 
-def extract_sql(argv: Column, tool: Column, order: str) -> Column:
+def extract_sql(argv: str, tool: str, order: str) -> Column:
     """Where a SQL tool's command line holds its SQL: ``struct<kind, value>``, or null.
 
-    ``kind`` is ``inline`` or ``file`` (then ``value`` is the path).  ``order='audit'`` looks token
-    by token for any SQL flag, then for any file flag.  ``order='policy'`` looks flag by flag, stops
-    with null at a SQL flag without a value, and knows files only as ``flag path``.
+    ``kind`` is ``inline`` or ``file`` (then ``value`` is the path); ``tool`` is a column or SQL
+    expression.  ``order='audit'`` looks token by token for any SQL flag, then for any file flag.
+    ``order='policy'`` looks flag by flag, stops with null at a SQL flag without a value, and knows
+    files only as ``flag path``.
     """
     build = {"audit": _audit_source, "policy": _policy_source}[order]
-    out = None
-    for name, spec in SQL_TOOLS.items():
-        source = build(argv, spec)
-        out = F.when(tool == name, source) if out is None else out.when(tool == name, source)
-    return out
+    cases = " ".join(f"when '{name}' then {build(argv, spec)}" for name, spec in SQL_TOOLS.items())
+    return F.expr(f"case {tool} {cases} end")
+
+
+def names_file(argv: str = "argv") -> Column:
+    """Cheap test whether a command line may name a SQL file: true for all that do."""
+    flags = sorted({f for tool in SQL_TOOLS.values() for f in tool.file_flags})
+    attached = " or ".join(f"startswith(x, '{f}=')" for f in flags)
+    return F.expr(f"exists({argv}, x -> array_contains({sql_strings(flags)}, x) or {attached})")

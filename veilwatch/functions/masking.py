@@ -80,20 +80,35 @@ def rewrite_select(sql: Column, columns, dialect: str) -> Column:
 def mask_text(text: Column) -> Column:
     """Replace secrets and personal data by labels, rule by rule in order.
 
-    Ten of the twelve rules need a fixed piece of text.  No label holds such a piece, so a row
-    without any of them only runs the other two rules.
+    Ten of the twelve rules need a fixed piece of text, one needs one of six words.  A label
+    never takes part in a match of these, so rows without them skip those rules.
     """
     def apply(col: Column, rules) -> Column:
         for rule in rules:
             col = F.regexp_replace(col, java_pattern(rule), rule.label)
         return col
 
-    literals = [r.literal for r in TEXT_RULES if r.literal]
     special = F.lit(False)
-    for literal in literals:
-        special = special | F.contains(text, F.lit(literal))
+    for rule in TEXT_RULES:
+        if rule.literal:
+            special = special | F.contains(text, F.lit(rule.literal))
+    words = _holds_word(text)
     plain = [r for r in TEXT_RULES if not r.literal]
-    return F.when(special, apply(text, TEXT_RULES)).otherwise(apply(text, plain))
+    no_word = [r for r in plain if not r.words]
+    return (F.when(special, apply(text, TEXT_RULES))
+            .when(words, apply(text, plain)).otherwise(apply(text, no_word)))
+
+
+def _holds_word(text: Column) -> Column:
+    """Whether the text holds one of the words a case-insensitive rule needs.
+
+    Lower, then upper: letters are folded the way the pattern compares them.
+    """
+    folded = F.upper(F.lower(text))
+    out = F.lit(False)
+    for word in [w for r in TEXT_RULES for w in r.words]:
+        out = out | F.contains(folded, F.lit(word))
+    return out
 
 
 def secret_hits(line: Column) -> Column:
@@ -103,9 +118,11 @@ def secret_hits(line: Column) -> Column:
         out = F.transform(found, lambda m: F.struct(
             F.lit(rule.kind).alias("kind"),
             F.concat(F.left(m, F.lit(SNIPPET_CHARS)), F.lit("...")).alias("snippet")))
+        empty = F.array().cast(f"array<{HIT_TYPE}>")
         if rule.literal:
-            empty = F.array().cast(f"array<{HIT_TYPE}>")
             return F.when(F.contains(line, F.lit(rule.literal)), out).otherwise(empty)
+        if rule.words:
+            return F.when(_holds_word(line), out).otherwise(empty)
         return out
 
     return F.flatten(F.array(*[hits(r) for r in TEXT_RULES]))

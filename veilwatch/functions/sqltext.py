@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.functions.text import ascii_lower, snippet, strings
+from veilwatch.functions.text import ascii_lower, sql_literal, strings
 from veilwatch.rules import sql_rules as R
 
 FINDING_TYPE = "struct<block:boolean,rank:int,category:string,detail:string>"
@@ -31,34 +31,46 @@ def normalise_sql(sql: Column) -> Column:
 
 def statements(normalised: Column) -> Column:
     """Trimmed non-empty pieces between semicolons."""
-    return F.filter(F.transform(F.split(normalised, ";"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(normalised, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def statement_findings(stmt: Column, snip: Column, stacked: bool = False) -> Column:
-    """Findings of one statement in rule order, as an array of ``FINDING_TYPE``."""
+def _finding(test: str, block: bool, category: str | None, name: str) -> str:
+    rank = _RANK.get(category) or "null"
+    label = "null" if category is None else sql_literal(category)
+    return (f"case when {test} then named_struct('block', {str(block).lower()}, "
+            f"'rank', cast({rank} as int), 'category', cast({label} as string), "
+            f"'detail', concat({sql_literal(name + ' -- `')}, p.snip, '`')) end")
 
-    def finding(block: bool, category: str | None, name: str) -> Column:
-        return F.struct(
-            F.lit(block).alias("block"),
-            F.lit(_RANK.get(category)).cast("int").alias("rank"),
-            F.lit(category).cast("string").alias("category"),
-            F.concat(F.lit(name + " -- `"), snip, F.lit("`")).alias("detail"))
 
-    found = [F.when(stmt.rlike(_java(r.pattern)), finding(r.block, r.category, r.name))
+def _statement_findings() -> str:
+    """Findings of one statement ``p(stmt, up, snip)`` in rule order, as SQL text.
+
+    ``p.up`` is folded to upper case the way case-insensitive patterns compare letters, so a rule
+    whose fixed text is missing there cannot match and its pattern is not run.
+    """
+    def like(pattern: str) -> str:
+        return f"rlike(p.stmt, {sql_literal(_java(pattern))})"
+
+    def holds(texts: list[str]) -> str:
+        return "(" + " or ".join(f"contains(p.up, {sql_literal(t)})" for t in texts) + ")"
+
+    found = [_finding(f"{holds(R.NEEDS[r.ord])} and {like(r.pattern)}", r.block, r.category, r.name)
              for r in R.SQL_RULES]
-    no_where = ~stmt.rlike(_java(R.WHERE_PATTERN))
-    found.append(F.when(stmt.rlike(_java(R.DELETE_PATTERN)) & no_where,
-                        finding(True, "Destructive", R.DELETE_WITHOUT_WHERE)))
-    found.append(F.when(stmt.rlike(_java(R.UPDATE_PATTERN)) & no_where,
-                        finding(True, "Destructive", R.UPDATE_WITHOUT_WHERE)))
-    return F.filter(F.array(*found), lambda f: f.isNotNull())
+    for word, pattern, name in (("DELETE", R.DELETE_PATTERN, R.DELETE_WITHOUT_WHERE),
+                                ("UPDATE", R.UPDATE_PATTERN, R.UPDATE_WITHOUT_WHERE)):
+        test = f"{holds([word])} and {like(pattern)} and not {like(R.WHERE_PATTERN)}"
+        found.append(_finding(test, True, "Destructive", name))
+    return f"array_compact(array({', '.join(found)}))"
 
 
-def query_findings(normalised: Column) -> Column:
-    """Findings of all statements of a query, in statement and rule order."""
-    parts = F.transform(statements(normalised), lambda s: F.struct(
-        s.alias("stmt"), snippet(s, R.SNIPPET_CHARS).alias("snip")))
-    return F.flatten(F.transform(parts, lambda p: statement_findings(p["stmt"], p["snip"])))
+def query_findings(normalised: str) -> Column:
+    """Findings of all statements of a normalised query (a column name), in statement and rule
+    order, as an array of ``FINDING_TYPE``."""
+    n = R.SNIPPET_CHARS
+    parts = (f"transform(filter(transform(split({normalised}, ';'), s -> trim(s)), s -> s <> ''), s -> "
+             f"named_struct('stmt', s, 'up', upper(lower(s)), 'snip', "
+             f"if(length(s) > {n}, concat(left(s, {n}), '...'), s)))")
+    return F.expr(f"flatten(transform({parts}, p -> {_statement_findings()}))")
 
 
 def dedup_consecutive(arr: Column) -> Column:
@@ -93,10 +105,11 @@ def with_sql_analysis(df: DataFrame, sql: str, out: str) -> DataFrame:
     Level is Clean, Suspicious or Dangerous.  Details are those of the winning category only;
     ``all_details`` keeps every finding.  Null SQL gives a null struct.  Map-only.
     """
-    f, b, w, r = (f"_{out}_{x}" for x in ("findings", "blocks", "warns", "rank"))
+    q, f, b, w, r = (f"_{out}_{x}" for x in ("norm", "findings", "blocks", "warns", "rank"))
     known = F.col(sql).isNotNull()
     df = (df
-          .withColumn(f, F.when(known, query_findings(normalise_sql(F.col(sql)))))
+          .withColumn(q, normalise_sql(F.col(sql)))
+          .withColumn(f, query_findings(q))
           .withColumn(b, block_findings(F.col(f)))
           .withColumn(w, warn_details(F.col(f)))
           .withColumn(r, top_rank(F.col(b))))
@@ -112,7 +125,7 @@ def with_sql_analysis(df: DataFrame, sql: str, out: str) -> DataFrame:
         .alias("code"),
         details.alias("details"),
         F.transform(F.col(f), lambda x: x["detail"]).alias("all_details"))
-    return df.withColumn(out, F.when(known, analysis)).drop(f, b, w, r)
+    return df.withColumn(out, F.when(known, analysis)).drop(q, f, b, w, r)
 
 
 def stacked_statement(sql: Column) -> Column:

@@ -11,9 +11,25 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 
 
+def sql_literal(text: str) -> str:
+    """The text as a Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_strings(values) -> str:
+    items = ", ".join(sql_literal(v) for v in values)
+    return f"array({items})" if items else "cast(array() as array<string>)"
+
+
 def strings(values) -> Column:
     """A literal ``array<string>``, also when empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr(sql_strings(values))
+
+
+def string_map(pairs) -> Column:
+    """A literal ``map<string, string>``."""
+    items = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in pairs)
+    return F.expr(f"map({items})" if items else "cast(map() as map<string, string>)")
 
 
 def ascii_lower(col: Column) -> Column:
@@ -38,7 +54,7 @@ def chomp(col: Column) -> Column:
 def text_lines(col: Column) -> Column:
     """Lines as an array: a final line break adds no line, ``\\r\\n`` counts as one break."""
     body = F.when(col.endswith("\n"), F.left(col, F.length(col) - 1)).otherwise(col)
-    lines = F.transform(F.split(body, "\n"), chomp)
+    lines = F.transform(F.split(body, "\n"), lambda x: chomp(x))
     return F.when(col == "", strings([])).otherwise(lines)
 
 
@@ -78,7 +94,7 @@ def quoted(col: Column) -> Column:
 
 def quoted_list(arr: Column) -> Column:
     """``["a", "b"]``."""
-    return F.concat(F.lit("["), F.array_join(F.transform(arr, quoted), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: quoted(x)), ", "), F.lit("]"))
 
 
 def java_quote(text: str) -> str:

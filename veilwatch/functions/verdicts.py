@@ -12,24 +12,22 @@ THREAT_TYPE = ("struct<code:string,tool:string,subject:string,"
 OUTCOME_TYPE = f"struct<verdict:string,masked:boolean,threat:{THREAT_TYPE}>"
 
 
-def _text(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value).cast("string")
+def _part(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def threat(code, tool=None, subject=None, details: Column | None = None, inner_code=None) -> Column:
-    return F.struct(
-        _text(code).alias("code"), _text(tool).alias("tool"), _text(subject).alias("subject"),
-        (strings([]) if details is None else details).alias("details"),
-        _text(inner_code).alias("inner_code")).cast(THREAT_TYPE)
+    """A threat; fields are given in the order of ``THREAT_TYPE``."""
+    return F.struct(_part(code), _part(tool), _part(subject),
+                    strings([]) if details is None else details, _part(inner_code))
 
 
 def _outcome(verdict: str, masked: bool, what: Column) -> Column:
-    return F.struct(F.lit(verdict).alias("verdict"), F.lit(masked).alias("masked"),
-                    what.alias("threat")).cast(OUTCOME_TYPE)
+    return F.struct(F.lit(verdict), F.lit(masked), what).cast(OUTCOME_TYPE)
 
 
 def allow() -> Column:
-    return _outcome("Allow", False, F.lit(None).cast(THREAT_TYPE))
+    return _outcome("Allow", False, F.lit(None))
 
 
 def warn(what: Column) -> Column:

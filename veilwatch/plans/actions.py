@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.functions.text import basename, strings
+from veilwatch.functions.text import strings
 from veilwatch.rules.registry import ACTIONS, Action
 
 
@@ -24,14 +24,13 @@ def match_action(cmds: DataFrame, rules: list[Action] = ACTIONS) -> DataFrame:
 
     The registry is compiled into one ordered CASE, so matching needs neither join nor shuffle.
     """
-    base = F.col("_base")
-    hit = F.coalesce(*[F.when(action_matches(base, F.col("argv"), r), F.lit(i))
+    base = F.substring_index(F.col("filename"), "/", -1)
+    hit = F.coalesce(*[F.when(action_matches(F.col("_base"), F.col("argv"), r), F.lit(i))
                        for i, r in enumerate(rules, start=1)])
-    at = F.col("_rule")
-    return (cmds.withColumn("_base", basename(F.col("filename")))
-            .filter(F.col("_base").isin(sorted({r.command for r in rules})))
-            .withColumn("_rule", hit).filter(at.isNotNull())
-            .withColumns({"action": F.element_at(strings([r.action for r in rules]), at),
-                          "tool": F.element_at(strings([r.command for r in rules]), at),
-                          "guard": F.element_at(strings([r.guard for r in rules]), at)})
-            .drop("_base", "_rule"))
+    pick = lambda field: F.element_at(strings([getattr(r, field) for r in rules]), F.col("_rule"))
+    # exploding a one-element array drops unmatched rows without working the CASE out twice
+    return (cmds.filter(base.isin(sorted({r.command for r in rules})))
+            .withColumn("_base", base)
+            .withColumn("_rule", F.explode(F.array_compact(F.array(hit)))).drop("_base")
+            .withColumns({"action": pick("action"), "tool": pick("command"), "guard": pick("guard")})
+            .drop("_rule"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.functions.argv import collect_specs, flag_values, has_flag, positional
-from veilwatch.functions.text import replace_markers, strings
+from veilwatch.functions.text import replace_markers, sql_literal, string_map, strings
 from veilwatch.functions.verdicts import allow, block, threat, warn
 from veilwatch.rules import container_rules as C
 
@@ -34,7 +34,7 @@ def exposed_port(spec: Column) -> Column:
     address = F.when(n == 2, "0.0.0.0").when(n == 3, part(1))
     number = F.substring_index(F.when(n == 2, part(1)).when(n == 3, part(2)), "-", 1)
     port = F.regexp_extract(number, r"^\+?0*([0-9]{1,5})\z", 1)
-    known = F.create_map(*[F.lit(str(x)) for pair in C.SERVICE_PORTS for x in pair])
+    known = string_map((str(number), service) for number, service in C.SERVICE_PORTS)
     service = F.try_element_at(known, port)
     return F.when(address.isin("", "0.0.0.0") & service.isNotNull(),
                   F.struct(port.alias("port"), service.alias("service")))
@@ -50,15 +50,15 @@ def dangerous_mount(spec: Column) -> Column:
                   F.struct(host.alias("host"), label.alias("label")))
 
 
-def published_specs(argv: Column) -> Column:
+def published_specs(argv: str = "argv") -> Column:
     return collect_specs(argv, ["-p", "--publish"])
 
 
-def volume_specs(argv: Column) -> Column:
+def volume_specs(argv: str = "argv") -> Column:
     return collect_specs(argv, ["-v", "--volume"])
 
 
-def container_issues(argv: Column) -> Column:
+def container_issues(argv: str = "argv") -> Column:
     """Blocking issues of a run or create command, in check order."""
     def host_value(flag: str) -> Column:
         return F.array_contains(flag_values(argv, flag), "host") | has_flag(argv, f"{flag}=host")
@@ -85,7 +85,7 @@ def container_issues(argv: Column) -> Column:
         hit = exposed_port(v)
         return F.when(hit.isNotNull(), _say("port", p=hit["port"], s=hit["service"]))
 
-    socket = F.exists(argv, lambda x: F.contains(x, F.lit(C.DAEMON_SOCKET)))
+    socket = F.expr(f"exists({argv}, x -> contains(x, '{C.DAEMON_SOCKET}'))")
     return F.concat(
         _one(has_flag(argv, "--privileged"), _say("privileged")),
         _texts(flag_values(argv, "--cap-add"), capability),
@@ -98,66 +98,81 @@ def container_issues(argv: Column) -> Column:
         _texts(published_specs(argv), port))
 
 
-def shares_host_network(argv: Column) -> Column:
+def shares_host_network(argv: str = "argv") -> Column:
     return (F.array_contains(flag_values(argv, "--network"), "host")
             | F.array_contains(flag_values(argv, "--net"), "host")
             | has_flag(argv, "--network=host") | has_flag(argv, "--net=host"))
 
 
-def _unsafe(name: str) -> Column:
-    return threat(UNSAFE, "docker", None, strings([C.OPERATION[name]]))
-
-
-def _operation(argv: Column, sub: Column, second: Column) -> Column:
-    force = has_flag(argv, "-f") | has_flag(argv, "--force")
-    every = has_flag(argv, "-a") | has_flag(argv, "--all")
-    volumes = has_flag(argv, "--volumes")
-    privileged = has_flag(argv, "--privileged")
-    unknown = F.lit("<unknown>")
-
-    def removal(subject: str) -> Column:
-        return F.when(force, warn(threat("DOCKER_FORCE_REMOVE", "docker", subject))).otherwise(allow())
-
-    prune = (F.when(every & volumes, block(_unsafe("prune_all_volumes")))
-             .when(every, block(_unsafe("prune_all")))
-             .when(volumes, block(_unsafe("prune_volumes")))
-             .otherwise(warn(_unsafe("prune"))))
-    leave = (F.when(force, block(_unsafe("swarm_leave_force")))
-             .otherwise(warn(_unsafe("swarm_leave"))))
-    return (
-        F.when((sub == "exec") & privileged,
-               block(threat("DOCKER_EXEC", "docker", None, strings(["privileged"]))))
-        .when(sub == "exec", warn(threat("DOCKER_EXEC", "docker")))
-        .when(sub == "rm", removal("container"))
-        .when(sub == "rmi", removal("image"))
-        .when((sub == "container") & second.isin("rm", "remove"), removal("container"))
-        .when((sub == "image") & second.isin("rm", "remove", "prune"), removal("image"))
-        .when((sub == "system") & (second == "prune"), prune)
-        .when((sub == "volume") & second.isin("rm", "remove"),
-              block(threat("DOCKER_VOLUME_DESTROY", "docker",
-                           F.coalesce(positional(argv, 3), unknown))))
-        .when((sub == "swarm") & (second == "init"), block(_unsafe("swarm_init")))
-        .when((sub == "swarm") & (second == "join"), block(_unsafe("swarm_join")))
-        .when((sub == "swarm") & (second == "leave"), leave)
-        .when(sub == "push", warn(threat("DOCKER_PUSH", "docker", F.coalesce(second, unknown))))
-        .when(sub == "login", warn(threat("DOCKER_LOGIN", "docker")))
-        .when(sub == "commit", warn(threat("DOCKER_COMMIT", "docker")))
-        .when(sub == "cp", warn(threat("DOCKER_CP", "docker")))
-        .otherwise(allow()))
+# operation: verdict, code, and how subject and details are filled
+_DECISIONS = {
+    "exec_privileged": ("Block", "DOCKER_EXEC", "", "privileged"),
+    "exec": ("Warn", "DOCKER_EXEC", "", ""),
+    "remove_container": ("Warn", "DOCKER_FORCE_REMOVE", "container", ""),
+    "remove_image": ("Warn", "DOCKER_FORCE_REMOVE", "image", ""),
+    "prune_all_volumes": ("Block", UNSAFE, "", C.OPERATION["prune_all_volumes"]),
+    "prune_all": ("Block", UNSAFE, "", C.OPERATION["prune_all"]),
+    "prune_volumes": ("Block", UNSAFE, "", C.OPERATION["prune_volumes"]),
+    "prune": ("Warn", UNSAFE, "", C.OPERATION["prune"]),
+    "volume": ("Block", "DOCKER_VOLUME_DESTROY", "<third>", ""),
+    "swarm_init": ("Block", UNSAFE, "", C.OPERATION["swarm_init"]),
+    "swarm_join": ("Block", UNSAFE, "", C.OPERATION["swarm_join"]),
+    "swarm_leave_force": ("Block", UNSAFE, "", C.OPERATION["swarm_leave_force"]),
+    "swarm_leave": ("Warn", UNSAFE, "", C.OPERATION["swarm_leave"]),
+    "push": ("Warn", "DOCKER_PUSH", "<second>", ""),
+    "login": ("Warn", "DOCKER_LOGIN", "", ""),
+    "commit": ("Warn", "DOCKER_COMMIT", "", ""),
+    "cp": ("Warn", "DOCKER_CP", "", ""),
+    "run_issues": ("Block", UNSAFE, "", "<issues>"),
+    "run_network": ("Warn", UNSAFE, "", C.ISSUE["network"]),
+}
+
+
+def operation_name(argv: str = "argv") -> Column:
+    """Which of the judged operations a command is; null for all others."""
+    flag = lambda *names: " or ".join(
+        f"exists({argv}, x -> x = '{n}' or startswith(x, '{n}='))" for n in names)
+    force, every, volumes = flag("-f", "--force"), flag("-a", "--all"), flag("--volumes")
+    return F.expr(f"""case
+        when _sub = 'exec' then if({flag('--privileged')}, 'exec_privileged', 'exec')
+        when _sub = 'rm' or (_sub = 'container' and _second in ('rm', 'remove'))
+            then if({force}, 'remove_container', null)
+        when _sub = 'rmi' or (_sub = 'image' and _second in ('rm', 'remove', 'prune'))
+            then if({force}, 'remove_image', null)
+        when _sub = 'system' and _second = 'prune' then
+            case when ({every}) and ({volumes}) then 'prune_all_volumes'
+                 when {every} then 'prune_all' when {volumes} then 'prune_volumes' else 'prune' end
+        when _sub = 'volume' and _second in ('rm', 'remove') then 'volume'
+        when _sub = 'swarm' and _second = 'init' then 'swarm_init'
+        when _sub = 'swarm' and _second = 'join' then 'swarm_join'
+        when _sub = 'swarm' and _second = 'leave' then if({force}, 'swarm_leave_force', 'swarm_leave')
+        when _sub in ('push', 'login', 'commit', 'cp') then _sub end""")
 
 
 def with_container_outcome(df: DataFrame, out: str = "outcome",
                            gate: Column | None = None) -> DataFrame:
+    """Run and create commands by their issues, other operations by a decision table."""
     gate = F.lit(True) if gate is None else gate
-    argv, sub, second = F.col("argv"), F.col("_sub"), F.col("_second")
-    runs = sub.isin("run", "create")
-    issues = F.col("_issues")
-    run = (F.when(F.size(issues) > 0, block(threat(UNSAFE, "docker", None, issues)))
-           .when(shares_host_network(argv),
-                 warn(threat(UNSAFE, "docker", None, strings([C.ISSUE["network"]]))))
-           .otherwise(allow()))
-    return (df.withColumn("_sub", F.when(gate, positional(argv, 1)))
-            .withColumn("_second", F.when(gate, positional(argv, 2)))
-            .withColumn("_issues", F.when(runs, container_issues(argv)))
-            .withColumn(out, F.when(gate, F.when(runs, run).otherwise(_operation(argv, sub, second))))
-            .drop("_sub", "_second", "_issues"))
+    issues, row = F.col("_issues"), F.col("_decision")
+    runs = F.col("_sub").isin("run", "create")
+    name = (F.when(~runs, operation_name()).when(F.size(issues) > 0, "run_issues")
+            .when(shares_host_network(), "run_network"))
+    table = ", ".join(f"{sql_literal(k)}, array({', '.join(sql_literal(x) for x in v)})"
+                      for k, v in _DECISIONS.items())
+    decision = F.try_element_at(F.expr(f"map({table})"), name)
+    unknown = F.lit("<unknown>")
+    subject, detail = F.get(row, 2), F.get(row, 3)
+    subject = (F.when(subject == "<second>", F.coalesce("_second", unknown))
+               .when(subject == "<third>", F.coalesce(positional("argv", 3), unknown))
+               .otherwise(F.nullif(subject, F.lit(""))))
+    details = (F.when(detail == "<issues>", issues).when(detail == "", strings([]))
+               .otherwise(F.array(detail)))
+    what = threat(F.get(row, 1), "docker", subject, details)
+    outcome = (F.when(F.get(row, 0) == "Block", block(what))
+               .when(F.get(row, 0) == "Warn", warn(what)).otherwise(allow()))
+    return (df.withColumn("_sub", F.when(gate, positional("argv", 1)))
+            .withColumn("_second", F.when(gate, positional("argv", 2)))
+            .withColumn("_issues", F.when(runs, container_issues()))
+            .withColumn("_decision", decision)
+            .withColumn(out, F.when(gate, outcome))
+            .drop("_sub", "_second", "_issues", "_decision"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veilwatch.operators.lineage import agent_events, asof_snapshot, descendants, flag_roots
 from veilwatch.plans import commits, containers, kv, path_policy, sql_audit
 from veilwatch.plans.actions import match_action
+from veilwatch.rules.registry import ACTIONS
 from veilwatch.sources.exec_events import watchlist_filter
 from veilwatch.sources.policy import Policy
 
@@ -55,7 +56,7 @@ def judge(matched: DataFrame, ctx: Context, guards: dict = GUARDS) -> DataFrame:
         out = f"_{name}_outcome"
         df = guard(df, ctx, out, F.col("guard") == name)
         outs.append(F.col(out))
-    return (df.withColumn("o", F.coalesce(*outs)).filter(F.col("o").isNotNull())
+    return (df.withColumn("o", F.coalesce(*outs))
             .withColumns({"verdict": F.col("o.verdict"), "masked": F.col("o.masked"),
                           "threat": F.col("o.threat")})
             .select(*VERDICT_COLUMNS))
@@ -64,10 +65,8 @@ def judge(matched: DataFrame, ctx: Context, guards: dict = GUARDS) -> DataFrame:
 def audit(cmds: DataFrame, ctx: Context, *names: str) -> DataFrame:
     """Verdicts of some guards (all without names) over a command log."""
     guards = {n: GUARDS[n] for n in names} if names else GUARDS
-    matched = match_action(cmds)
-    if names:
-        matched = matched.filter(F.col("guard").isin(list(names)))
-    return judge(matched, ctx, guards)
+    rules = [r for r in ACTIONS if r.guard in guards]
+    return judge(match_action(cmds, rules), ctx, guards)
 
 
 def agent_commands(cmds: DataFrame, procs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.functions.argv import kv_positional
-from veilwatch.functions.text import quoted, quoted_list, replace_markers
+from veilwatch.functions.text import quoted, quoted_list, replace_markers, sql_literal
 from veilwatch.functions.verdicts import allow, block, threat, warn
 from veilwatch.rules import kv_rules as K
 
@@ -15,12 +15,11 @@ _SEP = "\u001f"
 
 def _decision(command: Column, sub: Column) -> Column:
     """The row for (command, sub-command), else the row for any sub-command."""
-    rows = []
-    for r in K.KV_RULES:
-        rows += [F.lit(r.command + _SEP + r.sub), F.struct(
-            F.lit(r.verdict).alias("verdict"), F.lit(r.subject).alias("subject"),
-            F.lit(r.detail).alias("detail"), F.lit(r.missing).alias("missing"))]
-    table = F.create_map(*rows)
+    rows = ", ".join(
+        sql_literal(r.command + _SEP + r.sub) + f", named_struct('verdict', {sql_literal(r.verdict)}, "
+        f"'subject', {sql_literal(r.subject)}, 'detail', {sql_literal(r.detail)}, "
+        f"'missing', {sql_literal(r.missing)})" for r in K.KV_RULES)
+    table = F.expr(f"map({rows})")
     exact = F.try_element_at(table, F.concat(command, F.lit(_SEP), sub))
     return F.coalesce(exact, F.try_element_at(table, F.concat(command, F.lit(_SEP + "*"))))
 
@@ -52,6 +51,6 @@ def with_kv_outcome(df: DataFrame, out: str = "outcome", gate: Column | None = N
                      warn(threat(K.WARN_CODE, "redis-cli", subject, detail)))
                .when(mass, warn(threat(K.WARN_CODE, "redis-cli", command, F.array(mass_detail))))
                .otherwise(allow()))
-    return (df.withColumn("_kv", F.when(gate, kv_positional(F.col("argv"))))
+    return (df.withColumn("_kv", F.when(gate, kv_positional()))
             .withColumn("_kv_row", _decision(command, sub))
             .withColumn(out, F.when(gate, outcome)).drop("_kv", "_kv_row"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwatch.functions.argv import positionals
 from veilwatch.functions.globs import glob_test, resolve_path
 from veilwatch.functions.masking import mask_text
-from veilwatch.functions.text import strings
+from veilwatch.functions.text import string_map, strings
 from veilwatch.functions.verdicts import allow, block, masked, threat
 from veilwatch.rules.registry import PATH_STRATEGY
 from veilwatch.sources.policy import PathRule, Policy
@@ -17,11 +17,10 @@ RULES_PER_STEP = 200  # rules compiled into one CASE
 
 
 def _strategy(tool: Column) -> Column:
-    return F.try_element_at(
-        F.create_map(*[F.lit(x) for pair in PATH_STRATEGY.items() for x in pair]), tool)
+    return F.try_element_at(string_map(PATH_STRATEGY.items()), tool)
 
 
-def candidate_paths(argv: Column, tool: Column, cwd: Column, home: Column) -> Column:
+def candidate_paths(argv: str, tool: Column, cwd: Column, home: Column) -> Column:
     """The paths a command touches, absolute where that can be known, in argument order."""
     args, how = positionals(argv), _strategy(tool)
     chosen = (F.when(how == "all", args)
@@ -58,7 +57,7 @@ def with_path_outcome(df: DataFrame, policy: Policy, home: str | None, out: str
     if not policy.paths:
         return df.withColumn(out, F.when(gate, allow()))
     tool, hit = F.col("tool"), F.col("_hit")
-    paths = candidate_paths(F.col("argv"), tool, F.col("cwd"), F.lit(home).cast("string"))
+    paths = candidate_paths("argv", tool, F.col("cwd"), F.lit(home).cast("string"))
     raw = F.element_at(strings([r.raw for r in policy.paths]), hit["rule"])
     mode = F.element_at(strings([r.mode for r in policy.paths]), hit["rule"])
     prints = _strategy(tool) != "first"
@@ -74,7 +73,7 @@ def mask_files(contents: DataFrame, policy: Policy) -> DataFrame:
     """Files covered by a masking rule, with their content masked."""
     rules = policy.paths
     if not rules:
-        return contents.limit(0)
+        return contents.filter(F.lit(False))
     mode = F.element_at(strings([r.mode for r in rules]), F.col("_rule"))
     return (contents.withColumn("_rule", first_rule(F.col("path"), rules))
             .filter(F.col("_rule").isNotNull() & (mode == "mask"))

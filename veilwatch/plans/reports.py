@@ -83,5 +83,5 @@ def report_text() -> Column:
 
 def detail_lines(detail: Column, n: int = T.DETAIL_LINES, size: int = T.DETAIL_BYTES) -> Column:
     """The first lines of a message that hold text, trimmed and clipped to a number of bytes."""
-    lines = F.filter(F.transform(text_lines(detail), trim_ws), lambda x: x != "")
+    lines = F.filter(F.transform(text_lines(detail), lambda x: trim_ws(x)), lambda x: x != "")
     return F.transform(F.slice(lines, 1, n), lambda x: clip_bytes(x, size))

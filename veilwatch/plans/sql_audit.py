@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.functions.argv import after_separator, extract_sql, pod_name
+from veilwatch.functions.argv import after_separator, extract_sql, names_file, pod_name
 from veilwatch.functions.masking import rewrite_select
 from veilwatch.functions.sqltext import selects_star, table_refs, with_sql_analysis
-from veilwatch.functions.text import basename, replace_markers, strings
+from veilwatch.functions.text import ascii_lower, basename, replace_markers, string_map, strings
 from veilwatch.functions.verdicts import allow, block, chain, masked, threat, warn
-from veilwatch.operators.joins import left_join_where, salted_join
+from veilwatch.operators.joins import salted_join
 from veilwatch.rules.sql_rules import SQL_TOOLS
 from veilwatch.rules.threat_texts import UNSEEN_SQL
 from veilwatch.sources.policy import Policy
@@ -22,15 +22,8 @@ from veilwatch.sources.policy import Policy
 _LABELS = {name: spec.label for name, spec in SQL_TOOLS.items()}
 
 
-def _lookup(key: Column, table: dict[str, str]) -> Column:
-    if not table:
-        return F.lit(None).cast("string")
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
 def tool_label(tool: Column) -> Column:
-    return _lookup(tool, _LABELS)
+    return F.try_element_at(string_map(_LABELS.items()), tool)
 
 
 # --- facts about SQL text -------------------------------------------------------------------------
@@ -45,11 +38,21 @@ def first_protected(refs: Column, policy: Policy) -> Column:
     return out
 
 
+def lookup_table_policy(refs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Join referenced names (``ref``) to table rules, also by ``policy_id`` where refs carry one.
+
+    For many policies at once.  Names are compared in lower case; Spark broadcasts the rules where
+    their size allows.
+    """
+    keys = [k for k in ("policy_id",) if k in refs.columns]
+    return refs.withColumn("table", ascii_lower(F.col("ref"))).join(tables, [*keys, "table"])
+
+
 def with_policy_hit(df: DataFrame, sql: str, policy: Policy, out: str) -> DataFrame:
     """Add ``out``: struct of protected table, its mode, whether all columns are selected, and the
     query text where it is to be rewritten; null when no protected table is touched."""
     refs, table = F.col(f"_{out}_refs"), F.col(f"_{out}_table")
-    mode = _lookup(table, {t.table: t.mode for t in policy.tables})
+    mode = F.try_element_at(string_map((t.table, t.mode) for t in policy.tables), table)
     star = F.coalesce(selects_star(F.col(sql)), F.lit(False))
     hit = F.struct(table.alias("table"), mode.alias("mode"), star.alias("star"),
                    F.when((mode == "mask") & ~star, F.col(sql)).alias("text"))
@@ -80,16 +83,15 @@ def with_sql_sources(cmds: DataFrame) -> DataFrame:
     ``inner_tool`` and the audit source of their inner command."""
     sub, inner = F.col("_sub"), F.col("_inner")
     cluster, sql = F.col("guard") == "cluster", F.col("guard") == "sql"
-    argv = F.col("argv")
     # the exec token must come after the program name
-    runs = F.array_contains(F.slice(argv, F.lit(2), F.size(argv)), "exec")
-    return (cmds.withColumn("_sub", F.when(cluster & runs, after_separator(argv)))
+    runs = F.expr("array_contains(slice(argv, 2, size(argv)), 'exec')")
+    return (cmds.withColumn("_sub", F.when(cluster & runs, after_separator()))
             .withColumn("_inner", basename(F.try_element_at(sub, F.lit(1))))
             .withColumn("inner_tool", F.when(inner.isin(list(SQL_TOOLS)), inner))
-            .withColumn("pod", F.when(F.col("inner_tool").isNotNull(), pod_name(argv)))
-            .withColumn("audit_source", F.when(sql, extract_sql(argv, F.col("tool"), "audit"))
-                        .when(cluster, extract_sql(sub, F.col("inner_tool"), "audit")))
-            .withColumn("policy_source", F.when(sql, extract_sql(argv, F.col("tool"), "policy")))
+            .withColumn("pod", F.when(F.col("inner_tool").isNotNull(), pod_name()))
+            .withColumn("audit_source", F.when(sql, extract_sql("argv", "tool", "audit"))
+                        .when(cluster, extract_sql("_sub", "inner_tool", "audit")))
+            .withColumn("policy_source", F.when(sql, extract_sql("argv", "tool", "policy")))
             .drop("_sub", "_inner"))
 
 
@@ -99,11 +101,9 @@ def _value(source: str, kind: str) -> Column:
 
 def file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
     """Facts of every file some command names, once per file: ``host, path, analysis, hit``."""
-    def named(source):
-        return cmds.select("host", _value(source, "file").alias("path"))
-
-    wanted = named("audit_source").unionByName(named("policy_source")).filter(
-        F.col("path").isNotNull()).distinct()
+    paths = F.array_compact(F.array(_value("audit_source", "file"), _value("policy_source", "file")))
+    wanted = (cmds.filter(names_file())
+              .select("host", F.explode(paths).alias("path")).distinct())
     files = contents.join(wanted, ["host", "path"], "left_semi")
     files = with_sql_analysis(files, "content", "analysis")
     files = with_policy_hit(files, "content", policy, "hit")
@@ -125,7 +125,8 @@ def with_sql_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> Data
     df = with_policy_hit(df, "_psql", policy, "_ih")
     by_audit = facts.select("host", F.col("path").alias("_apath"), F.col("analysis").alias("_fa"))
     by_policy = facts.select("host", F.col("path").alias("_ppath"), F.col("hit").alias("_fh"))
-    named = F.col("_apath").isNotNull() | F.col("_ppath").isNotNull()
+    # the split tests the stored tokens: a filter on the extracted paths would work them out again
+    named = names_file()
     types = {f.name: f.dataType for f in [*by_audit.schema, *by_policy.schema]}
     touched = salted_join(df.filter(named), by_audit, ["host", "_apath"], "left", ["event_id"])
     touched = salted_join(touched, by_policy, ["host", "_ppath"], "left", ["event_id"])

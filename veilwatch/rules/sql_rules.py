@@ -16,6 +16,18 @@ class SqlRule(NamedTuple):
     pattern: str
 
 
+# What a statement must hold, in upper case, for a rule to match: one of these texts.  They follow
+# from the patterns and only spare the regular expression where it cannot match.
+NEEDS = {
+    1: ["DROP"], 2: ["DROP"], 3: ["DROP"], 4: ["TRUNCATE"], 5: ["DROP"], 6: ["GRANT"], 7: ["REVOKE"],
+    8: ["USER", "ROLE"], 9: ["OUTFILE"], 10: ["INFILE"], 11: ["COPY"], 12: ["PG_"],
+    13: ["PG_EXECUTE_SERVER_PROGRAM"], 14: ["LO_"], 15: ["XP_CMDSHELL"], 16: ["OPEN"],
+    17: ["SP_CONFIGURE"], 18: ["SP_"], 19: ["UNION"], 20: [";"], 21: ["EXEC"],
+    22: ["INFORMATION_SCHEMA", "PG_CATALOG", "SYS."], 23: ["SHOW"], 24: ["\\D"],
+    25: ["DESCRIBE", "EXPLAIN"], 26: ["ALTER"], 27: ["DROP"], 28: ["INSERT"], 29: ["*"],
+    30: ["SLEEP", "BENCHMARK"], 31: ["WAITFOR"], 32: ["="], 33: ["--", "/*"],
+}
+
 # The category that wins when one query hits several, and its threat code.
 CATEGORY_PRIORITY = [
     ("RemoteExec", "SQL_REMOTE_EXEC"),

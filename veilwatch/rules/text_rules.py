@@ -14,6 +14,7 @@ class TextRule(NamedTuple):
     label: str
     pattern: str
     literal: str | None  # every match holds this text; None when there is no such text
+    words: tuple[str, ...] = ()  # every match holds one of these, compared in upper case
 
 
 # Fixed values, in order.  The kind names are ours.
@@ -34,7 +35,8 @@ TEXT_RULES = [
     TextRule("Email address", "[EMAIL]", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "@"),
     TextRule("Key-value secret", "[SECRET=REDACTED]",
              r"(?i)(password|passwd|secret|token|api[_\-]?key|access[_\-]?key)"
-             r"""\s*[=:]\s*['"]?\S{8,}['"]?""", None),
+             r"""\s*[=:]\s*['"]?\S{8,}['"]?""", None,
+             ("PASSWORD", "PASSWD", "SECRET", "TOKEN", "API", "ACCESS")),
     TextRule("Hex token", "[HEX_TOKEN]", r"\b[0-9a-f]{32,64}\b", None),
 ]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwatch.functions.argv import names_file
 from veilwatch.operators.joins import left_join_where
 
 FILE_CONTENTS_SCHEMA = "host string, path string, content string"
@@ -25,11 +26,11 @@ def attach_sql_files(cmds: DataFrame, contents: DataFrame, source: str = "source
 
     Only commands that name a file are joined; the rest of the log is not shuffled.
     """
-    path = F.when(F.col(source)["kind"] == "file", F.col(source)["value"])
+    kind, value = F.col(source)["kind"], F.col(source)["value"]
     files = contents.select("host", F.col("path").alias("_path"), F.col("content").alias("_content"))
-    joined = left_join_where(cmds.withColumn("_path", path), F.col("_path").isNotNull(),
-                             files, ["host", "_path"], ["event_id"])
-    inline = F.when(F.col(source)["kind"] == "inline", F.col(source)["value"])
+    joined = left_join_where(cmds.withColumn("_path", F.when(kind == "file", value)),
+                             names_file(), files, ["host", "_path"], ["event_id"], 1)
+    inline = F.when(kind == "inline", value)
     return joined.withColumn(out, F.coalesce(inline, F.col("_content"))).drop("_path", "_content")
 
 

@@ -149,13 +149,28 @@ def policy_summary(parsed: ParsedPolicies) -> DataFrame:
 def compile_policy(parsed: ParsedPolicies, policy_id: str) -> Policy:
     """Fetch one policy's rules, as many as its file has lines, to build expressions from."""
     mine = F.col("policy_id") == policy_id
+    null = F.lit(None)
+    rows = (
+        parsed.tables.filter(mine).select(
+            F.lit("table").alias("what"), F.col("ord"), F.col("table").alias("name"),
+            F.col("mode").alias("kind"), null.cast("int").alias("n"),
+            null.cast("string").alias("expanded"))
+        .unionByName(parsed.columns.filter(mine).select(
+            F.lit("column").alias("what"), F.col("col_ord").alias("ord"),
+            F.concat_ws("\n", "table", "column").alias("name"), "kind", "n",
+            null.cast("string").alias("expanded")))
+        .unionByName(parsed.paths.filter(mine).select(
+            F.lit("path").alias("what"), "ord", F.col("raw").alias("name"),
+            F.col("mode").alias("kind"), null.cast("int").alias("n"), "expanded"))
+    ).collect()
     columns: dict[str, list] = {}
-    for r in parsed.columns.filter(mine).orderBy("table", "col_ord").collect():
-        columns.setdefault(r["table"], []).append(ColumnRule(r["column"], r["kind"], r["n"]))
-    tables = [TableRule(r["table"], r["mode"], columns.get(r["table"], []))
-              for r in parsed.tables.filter(mine).orderBy("table").collect()]
-    paths = [PathRule(r["ord"], r["raw"], r["expanded"], r["mode"])
-             for r in parsed.paths.filter(mine).orderBy("ord").collect()]
+    for r in sorted((r for r in rows if r["what"] == "column"), key=lambda r: r["ord"]):
+        table, column = r["name"].split("\n")
+        columns.setdefault(table, []).append(ColumnRule(column, r["kind"], r["n"]))
+    tables = sorted(TableRule(r["name"], r["kind"], columns.get(r["name"], []))
+                    for r in rows if r["what"] == "table")
+    paths = sorted(PathRule(r["ord"], r["name"], r["expanded"], r["kind"])
+                   for r in rows if r["what"] == "path")
     return Policy(tables, paths)
 
 
