@@ -10,28 +10,39 @@ from pyspark.sql import functions as F
 from registry.fixtures import oracle
 
 QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 
 JOINER = " | "
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DUCK_TS = "%Y-%m-%d %H:%M:%S.%f"
 
 
-def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
+def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = oracle(sql, extra)
+            _SQL[name] = sql
         return fn
     return add
 
 
+def oracles() -> dict[str, str]:
+    """The SQL of every query that has one, with the common table expressions it needs."""
+    return {name: oracle(sql) for name, sql in _SQL.items()}
+
+
 def joined(col) -> Column:
     return F.array_join(col, JOINER)
 
 
+def joined_some(arr: str) -> Column:
+    """The joined array, dropping rows where it is empty without working it out twice."""
+    return F.explode(F.when(F.size(arr) > 0, F.array(joined(arr))).otherwise(
+        F.array().cast("array<string>")))
+
+
 def stamp(col) -> Column:
     return F.date_format(col, TS)
 

@@ -8,8 +8,9 @@ from collections import Counter
 
 import duckdb
 
-from registry.base import ORACLES, QUERIES
+from registry.all import QUERIES, oracles
 
+ORACLES = oracles()
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 

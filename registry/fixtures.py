@@ -182,7 +182,11 @@ def command_log(spark, sf_dir) -> DataFrame:
 
 def processes(spark, sf_dir) -> DataFrame:
     """A process is seen on its day and up to two more; host h3 is scanned six hours later."""
-    base = _derive(spark, sf_dir, PROCESS_SQL, "events")
+    return processes_from(spark, spread_table(spark, sf_dir, "events"))
+
+
+def processes_from(spark, events: DataFrame) -> DataFrame:
+    base = spark.sql(PROCESS_SQL, events=events)
     return (base.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("more_days"))))
             .withColumn("snapshot_ts", F.expr(
                 "day + make_dt_interval(cast(k as int), case when host = 'h3' then 6 else 0 end)"))
@@ -283,19 +287,18 @@ CTES = {
 _RECURSIVE = {"x_walk"}
 
 
-def oracle(sql: str, extra: dict[str, str] | None = None) -> str:
+def oracle(sql: str) -> str:
     """The query with the common table expressions it needs, directly or through others."""
-    known = {**CTES, **(extra or {})}
     order: list[str] = []
 
     def need(text: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN)\s+(x_\w+)", text):
-            if name in known and name not in order and name not in busy:
+            if name in CTES and name not in order and name not in busy:
                 busy.add(name)
-                need(known[name])
+                need(CTES[name])
                 order.append(name)
 
     busy: set[str] = set()
     need(sql)
-    ctes = ",\n".join(f"{name} AS {'' if name in _RECURSIVE else 'MATERIALIZED '}({known[name]})" for name in order)
+    ctes = ",\n".join(f"{name} AS {'' if name in _RECURSIVE else 'MATERIALIZED '}({CTES[name]})" for name in order)
     return f"WITH RECURSIVE {ctes}\n{sql}" if ctes else sql

@@ -103,7 +103,7 @@ def mask_tokens(spark, sf):
     return made.select("event_id", mask_text(F.col("t")).alias("masked"))
 
 
-def _hits_sql(key: str, text: str, source: str) -> str:
+def hits_sql(key: str, text: str, source: str) -> str:
     parts = []
     for i, rule in enumerate(TEXT_RULES, start=1):
         pattern = rule.pattern.replace("'", "''")
@@ -115,7 +115,7 @@ def _hits_sql(key: str, text: str, source: str) -> str:
 
 
 @query("c15_secret_hits", f"""
-SELECT doc_id, kind, snippet, count(*) AS n FROM ({_hits_sql('doc_id', 'text', 'documents')})
+SELECT doc_id, kind, snippet, count(*) AS n FROM ({hits_sql('doc_id', 'text', 'documents')})
 GROUP BY ALL""")
 def secrets_in_documents(spark, sf):
     docs = spread_table(spark, sf, "documents").select("doc_id", F.explode(secret_hits(F.col("text"))).alias("h"))
@@ -124,7 +124,7 @@ def secrets_in_documents(spark, sf):
 
 @query("c15_secret_kinds", f"""
 SELECT event_id, string_agg(kind || '=' || snippet, ' | ' ORDER BY ord, pos) AS hits
-FROM ({_hits_sql('event_id', 't', f'(SELECT event_id, {_TOKENS} AS t FROM events)')}) GROUP BY event_id""")
+FROM ({hits_sql('event_id', 't', f'(SELECT event_id, {_TOKENS} AS t FROM events)')}) GROUP BY event_id""")
 def secret_kinds(spark, sf):
     made = spread_table(spark, sf, "events").select("event_id", F.expr(_TOKENS).alias("t"))
     hits = F.transform(secret_hits(F.col("t")), lambda h: F.concat(h["kind"], F.lit("="), h["snippet"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import flat_verdicts, joined, number, query
+from registry.base import flat_verdicts, joined, joined_some, number, query
 from registry.command_queries import VERDICT
 from registry.fixtures import (CTES, command_log, commit_diffs, context, file_contents, policy,
                                policy_files, quote, spread_table, table, values)
@@ -12,6 +12,7 @@ from veilwatch.functions.masking import rewrite_select
 from veilwatch.functions.sqltext import (block_findings, dedup_consecutive, normalise_sql,
                                          query_findings, selects_star, stacked_statement,
                                          statements, table_refs, warn_details, with_sql_analysis)
+from veilwatch.functions.text import strings
 from veilwatch.plans.actions import match_action
 from veilwatch.plans.dispatch import Context, audit
 from veilwatch.plans.sql_audit import (first_protected, lookup_table_policy, masked_query,
@@ -191,15 +192,16 @@ def _found(spark, sf):
 def block_rules(spark, sf):
     ours = F.filter(block_findings(F.col("f")), lambda x: ~(
         x["detail"].startswith(R.DELETE_WITHOUT_WHERE) | x["detail"].startswith(R.UPDATE_WITHOUT_WHERE)))
-    df = _found(spark, sf).withColumn("b", ours).filter(F.size("b") > 0)
-    return df.select("path", joined(F.transform("b", lambda x: x["detail"])).alias("findings"))
+    df = _found(spark, sf).withColumn("b", F.transform(ours, lambda x: x["detail"]))
+    return df.select("path", joined_some("b").alias("findings"))
 
 
 @query("c12_warn_rules", """SELECT k AS path, string_agg(detail, ' | ' ORDER BY pos, ord) AS findings
        FROM x_d_found WHERE NOT block GROUP BY k""")
 def warn_rules(spark, sf):
-    df = _found(spark, sf).withColumn("w", F.filter("f", lambda x: ~x["block"])).filter(F.size("w") > 0)
-    return df.select("path", joined(F.transform("w", lambda x: x["detail"])).alias("findings"))
+    warns = F.filter("f", lambda x: ~x["block"])
+    df = _found(spark, sf).withColumn("w", F.transform(warns, lambda x: x["detail"]))
+    return df.select("path", joined_some("w").alias("findings"))
 
 
 @query("c13_no_where", """SELECT k AS event_id, string_agg(detail, ' | ' ORDER BY pos, ord) AS findings
@@ -208,8 +210,8 @@ def no_where(spark, sf):
     df = _command_sql(spark, sf).withColumn("n", normalise_sql(F.col("sql"))).withColumn("f", query_findings("n"))
     ours = F.filter("f", lambda x: x["detail"].startswith(R.DELETE_WITHOUT_WHERE)
                     | x["detail"].startswith(R.UPDATE_WITHOUT_WHERE))
-    return df.withColumn("d", ours).filter(F.size("d") > 0).select(
-        "event_id", joined(F.transform("d", lambda x: x["detail"])).alias("findings"))
+    return df.withColumn("d", F.transform(ours, lambda x: x["detail"])).select(
+        "event_id", joined_some("d").alias("findings"))
 
 
 @query("a1_top_category", """SELECT k AS path, category, code, details FROM x_d_analysis WHERE level = 'Dangerous'""")
@@ -227,7 +229,7 @@ def levels(spark, sf):
 @query("a3_dedup", "SELECT k AS event_id, details FROM x_a_warn")
 def deduplicated(spark, sf):
     df = _command_sql(spark, sf).withColumn("n", normalise_sql(F.col("sql"))).withColumn("w", warn_details(query_findings("n")))
-    return df.filter(F.size("w") > 0).select("event_id", joined("w").alias("details"))
+    return df.select("event_id", joined_some("w").alias("details"))
 
 
 @query("a3_dedup_lines", """
@@ -279,8 +281,8 @@ def _policy_sql(spark, sf):
 
 @query("a4_table_refs", "SELECT k AS event_id, string_agg(ref, ' | ' ORDER BY ref) AS refs FROM x_refs GROUP BY k")
 def refs(spark, sf):
-    df = _policy_sql(spark, sf).withColumn("refs", table_refs(F.col("sql"))).filter(F.size("refs") > 0)
-    return df.select("event_id", joined("refs").alias("refs"))
+    df = _policy_sql(spark, sf).withColumn("refs", F.coalesce(table_refs(F.col("sql")), strings([])))
+    return df.select("event_id", joined_some("refs").alias("refs"))
 
 
 @query("a5_first_protected", 'SELECT k AS event_id, tname AS "table", mode FROM x_firsttab')
@@ -312,15 +314,12 @@ def table_policies(spark, sf):
 @query("c7_rewrite", f"""
 SELECT event_id, CASE WHEN fpos = 0 THEN sql ELSE {_head_sql('left(sql, fpos - 1)', 'tname', "tool = 'psql'")} || substr(sql, fpos) END AS rewritten
 FROM (SELECT *, {_AT} AS fpos FROM (SELECT p.k AS event_id, p.tool, p.sql, t.tname, upper(p.sql) AS u
-      FROM x_psql p JOIN x_firsttab t USING (k) WHERE t.mode = 'mask' AND NOT regexp_matches(p.sql, '(?i)\\bSELECT\\s+\\*')
-        AND p.sql = regexp_replace(p.sql, '[^\\x00-\\x7f]', '', 'g')))""")
+      FROM x_psql p JOIN x_firsttab t USING (k) WHERE t.mode = 'mask' AND NOT regexp_matches(p.sql, '(?i)\\bSELECT\\s+\\*')))""")
 def rewritten(spark, sf):
     rules = policy(spark)
-    df = with_policy_hit(_policy_sql(spark, sf), "sql", rules, "hit").filter("hit.text is not null")
-    # whole documents hold letters whose upper case differs between engines; their heads do not
-    ascii_only = df.filter(~F.col("sql").rlike(r"[^\x00-\x7f]"))
+    df = with_policy_hit(_policy_sql(spark, sf), "sql", rules, "hit")
     text = masked_query(F.col("hit.text"), F.col("hit.table"), F.col("tool"), rules)
-    return ascii_only.select("event_id", text.alias("rewritten"))
+    return df.select("event_id", F.explode(F.array_compact(F.array(text))).alias("rewritten"))
 
 
 @query("c8_select_star", """SELECT k AS event_id, CAST(regexp_matches(sql, '(?i)\\bSELECT\\s+\\*') AS BIGINT) AS star

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.functions.text import ascii_lower, sql_literal, strings
+from veilwatch.operators.joins import computed_once
 from veilwatch.rules import sql_rules as R
 
 FINDING_TYPE = "struct<block:boolean,rank:int,category:string,detail:string>"
@@ -74,8 +75,15 @@ def query_findings(normalised: str) -> Column:
 
 
 def dedup_consecutive(arr: Column) -> Column:
-    """Drop elements equal to the one before."""
-    return F.filter(arr, lambda x, i: (i == 0) | (x != F.get(arr, i - 1)))
+    """Drop elements equal to the one before.
+
+    Every element is paired with its predecessor first: a lambda that looked it up in ``arr`` would
+    work ``arr`` out once per element when it is an expression.
+    """
+    before = F.concat(F.array(F.lit(None).cast("string")), arr)
+    pairs = F.zip_with(arr, F.slice(before, F.lit(1), F.size(arr)),
+                       lambda x, b: F.struct(x.alias("x"), b.alias("b")))
+    return F.transform(F.filter(pairs, lambda p: ~p["x"].eqNullSafe(p["b"])), lambda p: p["x"])
 
 
 def block_findings(findings: Column) -> Column:
@@ -125,7 +133,7 @@ def with_sql_analysis(df: DataFrame, sql: str, out: str) -> DataFrame:
         .alias("code"),
         details.alias("details"),
         F.transform(F.col(f), lambda x: x["detail"]).alias("all_details"))
-    return df.withColumn(out, F.when(known, analysis)).drop(q, f, b, w, r)
+    return computed_once(df, out, F.when(known, analysis)).drop(q, f, b, w, r)
 
 
 def stacked_statement(sql: Column) -> Column:

@@ -41,11 +41,15 @@ def _file_of(block: Column) -> Column:
                   F.substring(first, len(FILE_HEADER) + 1, F.length(first))).otherwise(F.lit(""))
 
 
-def _numbered(segment: Column) -> Column:
+def _base(segment: Column) -> Column:
+    """The number before the first counted line of a segment."""
+    zero = F.lit(0).cast("bigint")
+    return F.greatest(F.coalesce(hunk_start(segment), zero) - 1, zero)
+
+
+def _numbered(part: Column, base: Column) -> Column:
     """Counted lines of one segment with their new-file numbers."""
-    start = F.coalesce(hunk_start(segment), F.lit(0).cast("bigint"))
-    base = F.greatest(start - 1, F.lit(0).cast("bigint"))
-    lines = F.filter(F.split(segment, "\n"), lambda x: ~(
+    lines = F.filter(F.split(part, "\n"), lambda x: ~(
         x.startswith("-") | x.startswith(HUNK_START) | x.startswith(FILE_HEADER)))
     return F.transform(lines, lambda x, i: _line(chomp(x), base + i + 1))
 
@@ -57,12 +61,12 @@ def _line(x: Column, number: Column) -> Column:
 
 
 def segments(diff: Column) -> Column:
-    """``array<struct<file, part>>``: pieces between points where numbering starts anew."""
+    """``array<struct<file, base, part>>``: pieces between points where numbering starts anew."""
     body = F.when(diff.endswith("\n"), F.left(diff, F.length(diff) - 1)).otherwise(diff)
     blocks = F.when(diff == "", strings([])).otherwise(F.split(body, _CUT_FILES))
     return F.flatten(F.transform(blocks, lambda b: F.transform(
         F.split(b, _CUT_HUNKS),
-        lambda s: F.struct(_file_of(b).alias("file"), s.alias("part")))))
+        lambda s: F.struct(_file_of(b).alias("file"), _base(s).alias("base"), s.alias("part")))))
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
@@ -70,14 +74,14 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     return (diffs.filter(F.col("diff").isNotNull())
             .select("event_id", F.explode(segments(F.col("diff"))).alias("s"))
             .select("event_id", F.col("s.file").alias("file"),
-                    F.explode(_numbered(F.col("s.part"))).alias("l"))
+                    F.explode(_numbered(F.col("s.part"), F.col("s.base"))).alias("l"))
             .select("event_id", "file", "l.line", "l.added", "l.text"))
 
 
 def diff_hits(diff: Column) -> Column:
     """Secrets on added lines of a diff, in line order: array of ``HIT_TYPE``, no shuffle."""
     def of_segment(s: Column) -> Column:
-        added = F.filter(_numbered(s["part"]), lambda x: x["added"])
+        added = F.filter(_numbered(s["part"], s["base"]), lambda x: x["added"])
         return F.flatten(F.transform(added, lambda x: F.transform(
             secret_hits(x["text"]), lambda h: F.struct(
                 s["file"].alias("file"), x["line"].alias("line"),

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters can use as a finished value.
+
+    Spark moves a filter on a projected column below the projection and puts the whole expression
+    into it; over a chain of such columns the plan doubles at every step.  It does not move filters
+    below an explode, and exploding a one-element array keeps every row.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
                 spread: list[str], salts: int = SALTS) -> DataFrame:
     """Join a large left side to a right side of small rows, hot keys spread over ``salts`` tasks.

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwatch.operators.joins import computed_once
 from veilwatch.operators.lineage import agent_events, asof_snapshot, descendants, flag_roots
 from veilwatch.plans import commits, containers, kv, path_policy, sql_audit
 from veilwatch.plans.actions import match_action
@@ -56,7 +57,7 @@ def judge(matched: DataFrame, ctx: Context, guards: dict = GUARDS) -> DataFrame:
         out = f"_{name}_outcome"
         df = guard(df, ctx, out, F.col("guard") == name)
         outs.append(F.col(out))
-    return (df.withColumn("o", F.coalesce(*outs))
+    return (computed_once(df, "o", F.coalesce(*outs))
             .withColumns({"verdict": F.col("o.verdict"), "masked": F.col("o.masked"),
                           "threat": F.col("o.threat")})
             .select(*VERDICT_COLUMNS))

@@ -14,9 +14,10 @@ from veilwatch.functions.masking import rewrite_select
 from veilwatch.functions.sqltext import selects_star, table_refs, with_sql_analysis
 from veilwatch.functions.text import ascii_lower, basename, replace_markers, string_map, strings
 from veilwatch.functions.verdicts import allow, block, chain, masked, threat, warn
-from veilwatch.operators.joins import salted_join
+from veilwatch.operators.joins import computed_once, salted_join
 from veilwatch.rules.sql_rules import SQL_TOOLS
 from veilwatch.rules.threat_texts import UNSEEN_SQL
+from veilwatch.session import cut_lineage
 from veilwatch.sources.policy import Policy
 
 _LABELS = {name: spec.label for name, spec in SQL_TOOLS.items()}
@@ -56,9 +57,9 @@ def with_policy_hit(df: DataFrame, sql: str, policy: Policy, out: str) -> DataFr
     star = F.coalesce(selects_star(F.col(sql)), F.lit(False))
     hit = F.struct(table.alias("table"), mode.alias("mode"), star.alias("star"),
                    F.when((mode == "mask") & ~star, F.col(sql)).alias("text"))
-    return (df.withColumn(f"_{out}_refs", table_refs(F.col(sql)))
-            .withColumn(f"_{out}_table", first_protected(refs, policy))
-            .withColumn(out, F.when(table.isNotNull(), hit))
+    df = (df.withColumn(f"_{out}_refs", table_refs(F.col(sql)))
+          .withColumn(f"_{out}_table", first_protected(refs, policy)))
+    return (computed_once(df, out, F.when(table.isNotNull(), hit))
             .drop(f"_{out}_refs", f"_{out}_table"))
 
 
@@ -116,7 +117,8 @@ def with_sql_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> Data
     Inline SQL is analysed in place.  Commands that name a file get its facts by a salted join;
     other commands are not shuffled.
     """
-    facts = file_facts(cmds, contents, policy)
+    # written once: two joins read it, and it holds only the files that were named
+    facts = cut_lineage(file_facts(cmds, contents, policy))
     df = (cmds.withColumn("_sql", _value("audit_source", "inline"))
           .withColumn("_psql", _value("policy_source", "inline"))
           .withColumn("_apath", _value("audit_source", "file"))

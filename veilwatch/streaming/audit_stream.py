@@ -21,26 +21,32 @@ def without_replays(events: DataFrame) -> DataFrame:
             .dropDuplicatesWithinWatermark(["host", "pid", "ts", "filename"]))
 
 
-def stream_verdicts(cmds: DataFrame, ctx: Context, *names: str) -> DataFrame:
-    """Stateless verdicts on a stream: rules are compiled in, lookups are static tables."""
-    return audit(cmds, ctx, *names)
+STATELESS_GUARDS = ("kv", "container", "path")
 
 
-def stream_audit_reports(cmds: DataFrame, ctx: Context, path: str, checkpoint: str):
-    """Verdicts of a stream into the day-partitioned report sink."""
+def stream_verdicts(cmds: DataFrame, ctx: Context) -> DataFrame:
+    """Verdicts of the guards that look at the command line alone: a stateless streaming plan with
+    the rules compiled in."""
+    return audit(cmds, ctx, *STATELESS_GUARDS)
+
+
+def stream_reports_of(cmds: DataFrame, ctx: Context, path: str, checkpoint: str):
+    """Reports of ``stream_verdicts`` in the day-partitioned sink."""
     return stream_reports(build_reports(stream_verdicts(cmds, ctx)), path, checkpoint)
 
 
-def stream_agent_audit(cmds: DataFrame, snapshots: Callable[[], DataFrame], context: Callable[[], Context],
-                       path: str, checkpoint: str):
-    """Audit only agent commands: every micro-batch reads the snapshots taken so far.
+def stream_audit(cmds: DataFrame, context: Callable[[], Context], path: str, checkpoint: str,
+                 snapshots: Callable[[], DataFrame] | None = None):
+    """All guards on a stream; with ``snapshots`` only commands of agent processes.
 
-    Lineage is a chain of joins over snapshots, so it runs in the batch function.  The batch writes
-    to its own folder and overwrites it when replayed, so a replay leaves no double reports.
+    Lookups of files and diffs and the chain of joins over process snapshots run in the batch
+    function, which reads their state anew for every micro-batch.  A batch writes to its own folder
+    and overwrites it when it is replayed, so a replay leaves no double reports.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        reports = build_reports(audit_commands(batch, snapshots(), context()))
-        (reports.hint("rebalance", "report_date")
+        verdicts = (audit_commands(batch, snapshots(), context()) if snapshots
+                    else audit(batch, context()))
+        (build_reports(verdicts).hint("rebalance", "report_date")
          .write.partitionBy("report_date").mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
 
     return (cmds.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
