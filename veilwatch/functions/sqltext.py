@@ -100,11 +100,11 @@ def top_rank(blocks: Column) -> Column:
 
 
 def category_of(rank: Column) -> Column:
-    return F.element_at(strings([c for c, _ in R.CATEGORY_PRIORITY]), rank)
+    return F.get(strings([c for c, _ in R.CATEGORY_PRIORITY]), rank - 1)
 
 
 def code_of(rank: Column) -> Column:
-    return F.element_at(strings([code for _, code in R.CATEGORY_PRIORITY]), rank)
+    return F.get(strings([code for _, code in R.CATEGORY_PRIORITY]), rank - 1)
 
 
 def with_sql_analysis(df: DataFrame, sql: str, out: str) -> DataFrame:

@@ -20,14 +20,8 @@ def diff_facts(diffs: DataFrame) -> DataFrame:
 
 
 def with_diff_facts(cmds: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Join the facts to commit commands only; other commands pass by.  ``event_id`` is unique on
-    both sides, so no key can be hot."""
-    is_commit = F.col("guard") == "commit"
-    facts = diff_facts(diffs)
-    joined = cmds.filter(is_commit).join(facts, "event_id", "left")
-    rest = cmds.filter(~is_commit).withColumns(
-        {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name != "event_id"})
-    return joined.unionByName(rest)
+    """Join the facts to commands; ``event_id`` is unique on both sides, so no key can be hot."""
+    return cmds.join(diff_facts(diffs), "event_id", "left")
 
 
 def hit_text(hit: Column) -> Column:

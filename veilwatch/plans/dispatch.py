@@ -1,8 +1,8 @@
 """The whole audit: events to verdicts, and each guard on its own.
 
 All guards work on one pass over the log.  Every guard's columns are computed only on its own rows
-(a CASE on ``guard``), so nothing is scanned once per guard; only commands that name a SQL file or
-are commits take part in a join.
+(a CASE on ``guard``), so nothing is scanned once per guard; only commands that name a SQL file and
+commits take part in a join.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwatch.functions.argv import names_file
 from veilwatch.operators.joins import computed_once
 from veilwatch.operators.lineage import agent_events, asof_snapshot, descendants, flag_roots
 from veilwatch.plans import commits, containers, kv, path_policy, sql_audit
 from veilwatch.plans.actions import match_action
 from veilwatch.rules.registry import ACTIONS
 from veilwatch.sources.exec_events import watchlist_filter
+from veilwatch.session import cut_lineage
 from veilwatch.sources.policy import Policy
 
 VERDICT_COLUMNS = ["event_id", "host", "ts", "action", "pid", "argv", "verdict", "masked", "threat"]
@@ -45,27 +47,50 @@ GUARDS = {
 }
 
 
-def judge(matched: DataFrame, ctx: Context, guards: dict = GUARDS) -> DataFrame:
-    """Verdicts for commands that already have an action."""
-    df = matched
-    if {"sql", "cluster"} & set(guards):
-        df = sql_audit.with_sql_facts(sql_audit.with_sql_sources(df), ctx.contents, ctx.policy)
-    if "commit" in guards:
-        df = commits.with_diff_facts(df, ctx.diffs)
+def _decide(df: DataFrame, ctx: Context, guards: dict) -> DataFrame:
+    """Every guard on its own rows, then one outcome column."""
     outs = []
     for name, guard in guards.items():
         out = f"_{name}_outcome"
         df = guard(df, ctx, out, F.col("guard") == name)
         outs.append(F.col(out))
     return (computed_once(df, "o", F.coalesce(*outs))
-            .withColumns({"verdict": F.col("o.verdict"), "masked": F.col("o.masked"),
-                          "threat": F.col("o.threat")})
-            .select(*VERDICT_COLUMNS))
+            .select(*VERDICT_COLUMNS[:-3], "o.verdict", "o.masked", "o.threat"))
+
+
+def judge(matched: DataFrame, ctx: Context, guards: dict = GUARDS) -> DataFrame:
+    """Verdicts for commands that already have an action.
+
+    Commits and SQL commands that name a file go through the joins; all others stay in one
+    shuffle-free pass.
+    """
+    guard = F.col("guard")
+    sql = bool({"sql", "cluster"} & set(guards))
+    if sql:
+        matched = sql_audit.with_sql_sources(matched)
+    looks_up = {n: g for n, g in guards.items() if n in ("sql", "cluster", "commit")}
+    in_row = {n: g for n, g in guards.items() if n != "commit"}
+    needs = (guard == "commit") | (guard.isin("sql", "cluster") & names_file())
+    parts = []
+    if looks_up:
+        df = matched.filter(needs)
+        if sql:
+            df = sql_audit.with_file_facts(df, ctx.contents, ctx.policy)
+        if "commit" in guards:
+            df = commits.with_diff_facts(df, ctx.diffs)
+        parts.append(_decide(df, ctx, looks_up))
+    if in_row:
+        df = matched.filter(~needs) if looks_up else matched
+        if sql:
+            df = sql_audit.with_inline_facts(df, ctx.policy)
+        parts.append(_decide(df, ctx, in_row))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def audit(cmds: DataFrame, ctx: Context, *names: str) -> DataFrame:
     """Verdicts of some guards (all without names) over a command log."""
     guards = {n: GUARDS[n] for n in names} if names else GUARDS
+    # a program has one registry row only, so leaving rows out cannot change the first match
     rules = [r for r in ACTIONS if r.guard in guards]
     return judge(match_action(cmds, rules), ctx, guards)
 
@@ -82,5 +107,9 @@ def agent_commands(cmds: DataFrame, procs: DataFrame) -> DataFrame:
 
 
 def audit_commands(cmds: DataFrame, procs: DataFrame, ctx: Context) -> DataFrame:
-    """Events to verdicts: watch list, lineage, action, guard."""
-    return audit(agent_commands(cmds, procs), ctx)
+    """Events to verdicts: watch list, lineage, action, guard.
+
+    The agents' commands are a small part of the log behind several joins, and three branches of
+    the audit read them, so they are written once.
+    """
+    return audit(cut_lineage(agent_commands(cmds, procs)), ctx)

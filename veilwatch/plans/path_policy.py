@@ -58,8 +58,8 @@ def with_path_outcome(df: DataFrame, policy: Policy, home: str | None, out: str
         return df.withColumn(out, F.when(gate, allow()))
     tool, hit = F.col("tool"), F.col("_hit")
     paths = candidate_paths("argv", tool, F.col("cwd"), F.lit(home).cast("string"))
-    raw = F.element_at(strings([r.raw for r in policy.paths]), hit["rule"])
-    mode = F.element_at(strings([r.mode for r in policy.paths]), hit["rule"])
+    raw = F.get(strings([r.raw for r in policy.paths]), hit["rule"] - 1)
+    mode = F.get(strings([r.mode for r in policy.paths]), hit["rule"] - 1)
     prints = _strategy(tool) != "first"
     what = lambda code: threat(code, tool, hit["path"], F.array(raw))
     outcome = (F.when(hit.isNull(), allow())
@@ -74,7 +74,7 @@ def mask_files(contents: DataFrame, policy: Policy) -> DataFrame:
     rules = policy.paths
     if not rules:
         return contents.filter(F.lit(False))
-    mode = F.element_at(strings([r.mode for r in rules]), F.col("_rule"))
+    mode = F.get(strings([r.mode for r in rules]), F.col("_rule") - 1)
     return (contents.withColumn("_rule", first_rule(F.col("path"), rules))
             .filter(F.col("_rule").isNotNull() & (mode == "mask"))
             .withColumn("content", mask_text(F.col("content"))).drop("_rule"))

@@ -111,33 +111,35 @@ def file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFram
     return files.select("host", "path", "analysis", "hit")
 
 
-def with_sql_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
-    """Add ``analysis`` (rule audit) and ``hit`` (table policy) to commands with SQL sources.
+def with_inline_facts(cmds: DataFrame, policy: Policy) -> DataFrame:
+    """Add ``analysis`` (rule audit) and ``hit`` (table policy) of SQL given on the command line."""
+    df = (cmds.withColumn("_sql", _value("audit_source", "inline"))
+          .withColumn("_psql", _value("policy_source", "inline")))
+    df = with_sql_analysis(df, "_sql", "analysis")
+    return with_policy_hit(df, "_psql", policy, "hit").drop("_sql", "_psql")
 
-    Inline SQL is analysed in place.  Commands that name a file get its facts by a salted join;
-    other commands are not shuffled.
-    """
+
+def with_file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
+    """Like ``with_inline_facts``, and the facts of SQL files, by salted joins."""
     # written once: two joins read it, and it holds only the files that were named
     facts = cut_lineage(file_facts(cmds, contents, policy))
-    df = (cmds.withColumn("_sql", _value("audit_source", "inline"))
-          .withColumn("_psql", _value("policy_source", "inline"))
+    df = (with_inline_facts(cmds, policy)
           .withColumn("_apath", _value("audit_source", "file"))
           .withColumn("_ppath", _value("policy_source", "file")))
-    df = with_sql_analysis(df, "_sql", "_ia")
-    df = with_policy_hit(df, "_psql", policy, "_ih")
     by_audit = facts.select("host", F.col("path").alias("_apath"), F.col("analysis").alias("_fa"))
     by_policy = facts.select("host", F.col("path").alias("_ppath"), F.col("hit").alias("_fh"))
+    df = salted_join(df, by_audit, ["host", "_apath"], "left", ["event_id"])
+    df = salted_join(df, by_policy, ["host", "_ppath"], "left", ["event_id"])
+    return (df.withColumns({"analysis": F.coalesce("analysis", "_fa"),
+                            "hit": F.coalesce("hit", "_fh")})
+            .drop("_apath", "_ppath", "_fa", "_fh"))
+
+
+def with_sql_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
+    """Facts of all commands; only those that may name a file are joined."""
     # the split tests the stored tokens: a filter on the extracted paths would work them out again
-    named = names_file()
-    types = {f.name: f.dataType for f in [*by_audit.schema, *by_policy.schema]}
-    touched = salted_join(df.filter(named), by_audit, ["host", "_apath"], "left", ["event_id"])
-    touched = salted_join(touched, by_policy, ["host", "_ppath"], "left", ["event_id"])
-    rest = df.filter(~named).withColumns(
-        {name: F.lit(None).cast(types[name]) for name in ("_fa", "_fh")})
-    return (touched.unionByName(rest)
-            .withColumn("analysis", F.coalesce("_ia", "_fa"))
-            .withColumn("hit", F.coalesce("_ih", "_fh"))
-            .drop("_sql", "_psql", "_apath", "_ppath", "_ia", "_ih", "_fa", "_fh"))
+    return (with_file_facts(cmds.filter(names_file()), contents, policy)
+            .unionByName(with_inline_facts(cmds.filter(~names_file()), policy)))
 
 
 # --- outcomes -------------------------------------------------------------------------------------
