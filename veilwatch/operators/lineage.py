@@ -2,7 +2,7 @@
 
 Keys are ``(host, snapshot_ts, pid)``; one host has at most 2**22 processes at one moment, which
 bounds every group of one host and one snapshot.  Groups that only share a host are not bounded and
-are never put into one task: time is cut into days or hours first and carried over.
+are never put into one task: time is cut into days or minutes first and carried over.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def descendants(procs: DataFrame, roots: DataFrame, max_nodes: int = MAX_LINEAGE
     nodes = (procs.select(*SNAPSHOT, "pid", "ppid").join(watched, SNAPSHOT, "left_semi")
              .join(marks, [*SNAPSHOT, "pid"], "left"))
     ends = F.col("hit") | (F.col("pid") <= 1) | (F.col("ppid") == F.col("pid"))
-    state = nodes.select(*SNAPSHOT, "pid", F.coalesce("hit", F.lit(False)).alias("hit")
-                         , F.when(ends, None).otherwise(F.col("ppid")).alias("up"))
+    state = nodes.select(*SNAPSHOT, "pid", F.coalesce("hit", F.lit(False)).alias("hit"),
+                         F.when(ends, None).otherwise(F.col("ppid")).alias("up"))
     state = cut_lineage(state)
     for _ in range(rounds):
         target = state.select(*SNAPSHOT, F.col("pid").alias("up"),
@@ -133,12 +133,13 @@ def root_set_changes(procs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def asof_snapshot(events: DataFrame, snapshots: DataFrame,
-                  tolerance: int = ROOT_REFRESH_SECONDS, bucket: str = "hour") -> DataFrame:
+                  tolerance: int = ROOT_REFRESH_SECONDS, bucket: str = "minute") -> DataFrame:
     """Add ``snapshot_ts``, the host's last snapshot at or before the event, and ``stale``, whether
     it is older than ``tolerance`` seconds.
 
     Each (host, bucket) row holds the snapshots within that bucket and the last one before it; events
-    join their bucket.  A busy host is spread over its buckets, and each bucket over salts.
+    join their bucket.  A busy host is spread over its buckets, and each bucket over salts.  At one
+    snapshot every five seconds a minute holds twelve, so the joined rows stay small.
     """
     cut = lambda c: F.date_trunc(bucket, c)
     snaps = (snapshots.select(*SNAPSHOT).distinct()

@@ -100,6 +100,12 @@ def _value(source: str, kind: str) -> Column:
     return F.when(F.col(source)["kind"] == kind, F.col(source)["value"])
 
 
+def _small_facts() -> list[Column]:
+    """What verdicts need of the facts; texts that only other uses need are not carried along."""
+    return [F.col("analysis").dropFields("category", "all_details").alias("analysis"),
+            F.col("hit").dropFields("text").alias("hit")]
+
+
 def file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
     """Facts of every file some command names, once per file: ``host, path, analysis, hit``."""
     paths = F.array_compact(F.array(_value("audit_source", "file"), _value("policy_source", "file")))
@@ -108,7 +114,7 @@ def file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFram
     files = contents.join(wanted, ["host", "path"], "left_semi")
     files = with_sql_analysis(files, "content", "analysis")
     files = with_policy_hit(files, "content", policy, "hit")
-    return files.select("host", "path", "analysis", "hit")
+    return files.select("host", "path", *_small_facts())
 
 
 def with_inline_facts(cmds: DataFrame, policy: Policy) -> DataFrame:
@@ -116,7 +122,8 @@ def with_inline_facts(cmds: DataFrame, policy: Policy) -> DataFrame:
     df = (cmds.withColumn("_sql", _value("audit_source", "inline"))
           .withColumn("_psql", _value("policy_source", "inline")))
     df = with_sql_analysis(df, "_sql", "analysis")
-    return with_policy_hit(df, "_psql", policy, "hit").drop("_sql", "_psql")
+    df = with_policy_hit(df, "_psql", policy, "hit").drop("_sql", "_psql")
+    return df.withColumns(dict(zip(("analysis", "hit"), _small_facts())))
 
 
 def with_file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
