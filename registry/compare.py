@@ -44,10 +44,23 @@ def duck_rows(con, sql: str) -> tuple[list[str], Counter]:
     return names, Counter(tuple(_cell(r[i]) for i in at) for r in cur.fetchall())
 
 
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
+
+
+def unwanted_nodes(df) -> list[str]:
+    """Plan nodes no registered query should have: cross products and Python workers."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [f"plan has {node}" for node in UNWANTED if node in plan]
+
+
 def differences(spark, con, name: str, sf_dir: str) -> list[str]:
     """Empty when equal, else a few lines that say what differs."""
     start = time.time()
-    cols, got = spark_rows(QUERIES[name](spark, sf_dir))
+    df = QUERIES[name](spark, sf_dir)
+    bad = unwanted_nodes(df)
+    if bad:
+        return bad
+    cols, got = spark_rows(df)
     SECONDS["spark"] = time.time() - start
     if name not in ORACLES:
         return []
