@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import DUCK_TS, joined, number, query, stamp
+from registry.base import joined, number, query
 from registry.fixtures import (CTES, HOME, command_log, exec_frames, file_contents, policy,
                                policy_files, raw_log, spread_table, table)
 from veilwatch.functions.globs import expand_home, glob_test

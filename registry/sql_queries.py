@@ -8,7 +8,6 @@ from registry.base import flat_verdicts, joined, joined_some, number, query
 from registry.command_queries import VERDICT
 from registry.fixtures import (CTES, command_log, commit_diffs, context, file_contents, policy,
                                policy_files, quote, spread_table, table, values)
-from veilwatch.functions.masking import rewrite_select
 from veilwatch.functions.sqltext import (block_findings, dedup_consecutive, normalise_sql,
                                          query_findings, selects_star, stacked_statement,
                                          statements, table_refs, warn_details, with_sql_analysis)

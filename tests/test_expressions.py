@@ -13,7 +13,8 @@ from veilwatch.functions.sqltext import (dedup_consecutive, normalise_sql, stack
                                          with_sql_analysis)
 from veilwatch.functions.text import clip_bytes, quoted_list, text_lines
 from veilwatch.plans.path_policy import first_rule
-from veilwatch.plans.reports import detail_lines
+from veilwatch.functions.verdicts import threat
+from veilwatch.plans.reports import detail_lines, threat_message
 from veilwatch.rules.sql_rules import NEEDS, SQL_RULES
 from veilwatch.rules.text_rules import EMAIL_LINEAR, TEXT_RULES
 from veilwatch.sources.exec_events import decode_exec_events, read_exec_events, watchlist_filter
@@ -230,3 +231,11 @@ def test_reports_append_by_day(spark, tmp_path):
     write_reports(df, path)
     assert spark.read.parquet(path).count() == 2
     assert (tmp_path / "r" / "report_date=2024-01-01").is_dir()
+
+
+def test_markers_in_values_stay(spark):
+    df = spark.createDataFrame([("<first> %1$s <list>", ["a<n>b"])], "subject string, details array<string>")
+    what = threat("FS_POLICY_BLOCK", "cat", F.col("subject"), F.col("details"))
+    assert df.select(threat_message(what).alias("m")).first()["m"] == (
+        "[FS_POLICY_BLOCK] cat: access to '<first> %1$s <list>' is blocked "
+        "(matches protected pattern 'a<n>b').")

@@ -76,14 +76,26 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def replace_markers(template: Column, values: dict[str, Column]) -> Column:
-    """Fill ``<name>`` markers of a template."""
-    out = template
-    for name, value in values.items():
-        out = F.replace(out, F.lit(f"<{name}>"), F.coalesce(value, F.lit("")))
+def marker_format(template: str, names) -> str:
+    """A template with ``<name>`` markers as a format string over the names in their order."""
+    out = template.replace("%", "%%")
+    for i, name in enumerate(names, start=1):
+        out = out.replace(f"<{name}>", f"%{i}$s")
     return out
 
 
+def fill_format(fmt: Column, values: dict[str, Column]) -> Column:
+    """Fill a column of format strings in one pass: markers inside a value stay as they are."""
+    filled = F.call_function("format_string", fmt,
+                             *[F.coalesce(v, F.lit("")) for v in values.values()])
+    return F.when(fmt.isNotNull(), filled)
+
+
+def replace_markers(template: str, values: dict[str, Column]) -> Column:
+    """Fill ``<name>`` markers of a fixed template."""
+    return fill_format(F.lit(marker_format(template, values)), values)
+
+
 def quoted(col: Column) -> Column:
     """The text in double quotes with control characters escaped."""
     out = F.replace(col, F.lit("\\"), F.lit("\\\\"))

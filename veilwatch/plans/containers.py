@@ -14,7 +14,7 @@ UNSAFE = "DOCKER_UNSAFE_RUN"
 
 
 def _say(name: str, **values) -> Column:
-    return replace_markers(F.lit(C.ISSUE[name]), values)
+    return replace_markers(C.ISSUE[name], values) if values else F.lit(C.ISSUE[name])
 
 
 def _texts(arr: Column, text) -> Column:

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.functions.argv import kv_positional
-from veilwatch.functions.text import quoted, quoted_list, replace_markers, sql_literal
+from veilwatch.functions.text import (fill_format, marker_format, quoted, quoted_list,
+                                      replace_markers, sql_literal)
 from veilwatch.functions.verdicts import allow, block, threat, warn
 from veilwatch.rules import kv_rules as K
 
 _SEP = "\u001f"
+_MARKERS = ["mod", "sub", "rest", "rest2", "third", "host", "port"]
 
 
 def _decision(command: Column, sub: Column) -> Column:
     """The row for (command, sub-command), else the row for any sub-command."""
     rows = ", ".join(
         sql_literal(r.command + _SEP + r.sub) + f", named_struct('verdict', {sql_literal(r.verdict)}, "
-        f"'subject', {sql_literal(r.subject)}, 'detail', {sql_literal(r.detail)}, "
+        f"'subject', {sql_literal(marker_format(r.subject, _MARKERS))}, "
+        f"'detail', {sql_literal(marker_format(r.detail, _MARKERS))}, "
         f"'missing', {sql_literal(r.missing)})" for r in K.KV_RULES)
     table = F.expr(f"map({rows})")
     exact = F.try_element_at(table, F.concat(command, F.lit(_SEP), sub))
@@ -41,10 +44,10 @@ def with_kv_outcome(df: DataFrame, out: str = "outcome", gate: Column | None = N
         "host": F.coalesce(sub, F.lit("?")),
         "port": F.coalesce(third, F.lit("?")),
     }
-    detail = F.array(replace_markers(row["detail"], values))
-    subject = replace_markers(row["subject"], {"sub": values["sub"]})
+    detail = F.array(fill_format(row["detail"], values))
+    subject = fill_format(row["subject"], values)
     mass = command.isin(K.MASS_DELETE_COMMANDS) & (keys >= K.MASS_DELETE_KEYS)
-    mass_detail = replace_markers(F.lit(K.MASS_DELETE_DETAIL), {"keys": keys.cast("string")})
+    mass_detail = replace_markers(K.MASS_DELETE_DETAIL, {"keys": keys.cast("string")})
     outcome = (F.when(row["verdict"] == "Block",
                       block(threat(K.BLOCK_CODE, "redis-cli", subject, detail)))
                .when(row["verdict"] == "Warn",

@@ -5,51 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.functions.text import clip_bytes, replace_markers, strings, text_lines, trim_ws
+from veilwatch.functions.text import (clip_bytes, fill_format, marker_format, string_map,
+                                      strings, text_lines, trim_ws)
 from veilwatch.rules import threat_texts as T
 
 
-def _fill(text: str, code: Column, tool: Column, subject: Column, details: Column) -> Column:
-    values = {"code": code, "tool": tool, "subject": subject,
-              "n": F.size(details).cast("string"),
-              "first": F.try_element_at(details, F.lit(1)),
-              "list": F.array_join(details, ", ")}
-    used = {name: value for name, value in values.items() if f"<{name}>" in text}
-    return replace_markers(F.lit(text), used)
-
-
-def _message(name: str, code: Column, tool: Column, subject: Column, details: Column) -> Column:
-    spec = T.MESSAGES[name]
-    fill = lambda text: _fill(text, code, tool, subject, details)
-    head = fill(spec.head)
-    if name == "DOCKER_EXEC":
-        head = F.when(F.array_contains(details, "privileged"),
-                      fill(T.EXEC_PRIVILEGED_HEAD)).otherwise(head)
-    lines = F.array(head)
-    if spec.item is not None:
-        lines = F.concat(lines, F.transform(details, lambda d: F.concat(F.lit(spec.item), d)))
-    if name == "DATA_POLICY_BLOCK":
-        lines = F.concat(lines, F.when(F.size(details) > 0, F.array(fill(T.PROTECTED_COLUMNS_LINE)))
-                         .otherwise(strings([])))
-    if spec.tail is not None:
-        lines = F.concat(lines, F.array(fill(spec.tail)))
-    return F.array_join(lines, "\n")
-
-
-def _by_code(code: Column, tool: Column, subject: Column, details: Column, names) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for name in names:
-        out = out.when(code == name, _message(name, code, tool, subject, details))
-    return out
+_MARKERS = ["code", "tool", "subject", "n", "first", "list"]
+
+
+def _templates(pairs) -> Column:
+    return string_map((code, marker_format(text, _MARKERS)) for code, text in pairs if text is not None)
+
+
+def _message(code: Column, tool: Column, subject: Column, details: Column) -> Column:
+    """Head, one line per detail, tail; the templates are looked up by code."""
+    values = dict(zip(_MARKERS, [
+        code, tool, subject, F.size(details).cast("string"), F.get(details, 0),
+        F.array_join(details, ", ")]))
+    fill = lambda fmt: fill_format(fmt, values)
+    head = F.try_element_at(_templates((c, m.head) for c, m in T.MESSAGES.items()), code)
+    head = F.when((code == "DOCKER_EXEC") & F.array_contains(details, "privileged"),
+                  marker_format(T.EXEC_PRIVILEGED_HEAD, _MARKERS)).otherwise(head)
+    item = F.try_element_at(string_map((c, m.item) for c, m in T.MESSAGES.items() if m.item), code)
+    tail = F.try_element_at(_templates((c, m.tail) for c, m in T.MESSAGES.items()), code)
+    columns = F.when((code == "DATA_POLICY_BLOCK") & (F.size(details) > 0),
+                     marker_format(T.PROTECTED_COLUMNS_LINE, _MARKERS))
+    items = F.when(item.isNull(), strings([])).otherwise(
+        F.transform(details, lambda d: F.concat(item, d)))
+    lines = F.concat(F.array(fill(head)), items, F.array(fill(columns)), F.array(fill(tail)))
+    return F.when(code.isNotNull(), F.array_join(lines, "\n"))
 
 
 def threat_message(threat: Column) -> Column:
     """The text of a threat; a cluster threat shows its inner threat below its own line."""
-    code, tool = threat["code"], threat["tool"]
-    subject, details = threat["subject"], threat["details"]
-    inner_names = [n for n in T.MESSAGES if n.startswith("SQL_")]
-    own = _by_code(code, tool, subject, details, T.MESSAGES)
-    inner = _by_code(threat["inner_code"], tool, subject, details, inner_names)
+    code, tool, details = threat["code"], threat["tool"], threat["details"]
+    own = _message(code, tool, threat["subject"], details)
+    inner = _message(threat["inner_code"], tool, threat["subject"], details)
+    # a cluster threat's own line takes no details: they belong to the inner threat
     return F.when(code == "KUBECTL_SQL_THREAT",
                   F.concat(own, F.lit("\n  "), inner)).otherwise(own)
 

@@ -191,7 +191,7 @@ def with_cluster_outcome(df: DataFrame, out: str = "outcome", gate: Column | Non
     """Inside a cluster exec, suspicious SQL and SQL that cannot be seen are blocked as well."""
     gate = F.lit(True) if gate is None else gate
     tool, analysis = F.col("inner_tool"), F.col("analysis")
-    unseen = replace_markers(F.lit(UNSEEN_SQL), {"tool": tool})
+    unseen = replace_markers(UNSEEN_SQL, {"tool": tool})
     code = "KUBECTL_SQL_THREAT"
     outcome = (
         F.when(tool.isNull(), allow())
