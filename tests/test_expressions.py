@@ -13,7 +13,7 @@ from veilwatch.functions.sqltext import (dedup_consecutive, normalise_sql, stack
                                          with_sql_analysis)
 from veilwatch.functions.text import clip_bytes, quoted_list, text_lines
 from veilwatch.plans.path_policy import first_rule
-from veilwatch.functions.verdicts import threat
+from veilwatch.functions.verdicts import block, threat
 from veilwatch.plans.reports import detail_lines, threat_message
 from veilwatch.rules.sql_rules import NEEDS, SQL_RULES
 from veilwatch.rules.text_rules import EMAIL_LINEAR, TEXT_RULES
@@ -235,7 +235,7 @@ def test_reports_append_by_day(spark, tmp_path):
 
 def test_markers_in_values_stay(spark):
     df = spark.createDataFrame([("<first> %1$s <list>", ["a<n>b"])], "subject string, details array<string>")
-    what = threat("FS_POLICY_BLOCK", "cat", F.col("subject"), F.col("details"))
+    what = block(threat("FS_POLICY_BLOCK", "cat", F.col("subject"), F.col("details")))["threat"]
     assert df.select(threat_message(what).alias("m")).first()["m"] == (
         "[FS_POLICY_BLOCK] cat: access to '<first> %1$s <list>' is blocked "
         "(matches protected pattern 'a<n>b').")
