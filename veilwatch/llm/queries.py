@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwatch.llm import line_dedup, quality_rules, simhash
+from veilwatch.llm import decontaminate, line_dedup, quality_rules, simhash
 from veilwatch.llm.common import documents
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir),
+                              spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir)).drop("k1", "k2")
 
@@ -24,7 +29,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op9_line_dedup, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op9_line_dedup, op8_simhash)}
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
