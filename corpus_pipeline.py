@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwatch.llm import line_dedup, quality_rules
+from veilwatch.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from veilwatch.llm.common import documents, settled
 
 
@@ -18,7 +18,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_documents(docs)
 
 
-STAGES = [("quality", quality), ("lines", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.keep_first(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into training sequences."""
+    return packing.pack(docs, packing.public_tokenizer())
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates),
+          ("benchmark", benchmark), ("pack", pack)]
 
 #: The stages fit models, link fingerprints and run tokenizers; SQL cannot express that.
 ORACLE_SQL = None

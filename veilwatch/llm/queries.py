@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwatch.llm import decontaminate, line_dedup, quality_rules, simhash
+from veilwatch.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from veilwatch.llm.common import documents
 
 
@@ -23,13 +23,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.public_tokenizer()).drop("loss")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op9_line_dedup, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op6_packing, op9_line_dedup, op8_simhash)}
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
