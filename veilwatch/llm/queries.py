@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwatch.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from veilwatch.llm import (
+    chat,
+    decontaminate,
+    line_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+)
 from veilwatch.llm.common import documents
 
 
@@ -27,13 +35,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), packing.public_tokenizer()).drop("loss")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op6_packing, op9_line_dedup, op8_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op3_quality_rules, op6_packing, op7_chat_formatting, op8_simhash,
+    op9_line_dedup, op10_sharding)}
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
@@ -51,4 +69,17 @@ SELECT d.doc_id,
 FROM documents d JOIN l ON l.doc_id = d.doc_id LEFT JOIN cut c ON c.doc_id = d.doc_id
 """
 
-ORACLES = {"op9_line_dedup": OP9_SQL}
+OP7_SQL = """
+WITH c AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns
+           FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id),
+whole AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY turns),
+proper AS (SELECT DISTINCT turns[1:k] AS turns
+           FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM whole))
+SELECT conv_id, len(turns) AS n_turns, copies,
+  array_to_string(list_transform(turns, lambda x: '<|im_start|>' || x.r || chr(10)
+    || replace(replace(x.t, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')
+    || '<|im_end|>' || chr(10)), '') AS text
+FROM whole WHERE turns NOT IN (SELECT turns FROM proper)
+"""
+
+ORACLES = {"op7_chat_formatting": OP7_SQL, "op9_line_dedup": OP9_SQL}
