@@ -9,6 +9,7 @@ from veilwatch.llm import (
     chat,
     decontaminate,
     line_dedup,
+    lm_score,
     packing,
     quality_rules,
     sharding,
@@ -22,6 +23,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                               spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir)).drop("k1", "k2")
 
@@ -50,7 +55,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_quality_rules, op6_packing, op7_chat_formatting, op8_simhash,
+    op1_decontaminate, op2_lm_scoring, op3_quality_rules, op6_packing, op7_chat_formatting, op8_simhash,
     op9_line_dedup, op10_sharding)}
 
 OP9_SQL = """
