@@ -9,6 +9,7 @@ from veilwatch.llm import (
     chat,
     decontaminate,
     kneser_ney,
+    licences,
     line_dedup,
     lm_score,
     packing,
@@ -37,6 +38,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(documents(spark, sf_dir),
                                spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -61,7 +66,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_lm_scoring, op3_quality_rules, op5_quality_classifier, op6_packing, op7_chat_formatting, op8_simhash,
+    op1_decontaminate, op2_lm_scoring, op3_quality_rules, op4_license_scans, op5_quality_classifier, op6_packing, op7_chat_formatting, op8_simhash,
     op9_line_dedup, op10_sharding)}
 
 OP9_SQL = """
