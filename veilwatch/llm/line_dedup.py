@@ -27,12 +27,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     df = pack_row(docs)
     text = field(df, "text", "string")
     return df.withColumn("k1", id_key(field(df, "doc_id", "long"))).withColumn(
-        "k2", digest(text)).withColumn("__t", text)
+        "k2", digest(text))
 
 
 def windows(df: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per window: the document's key, ``pos`` and a 128-bit ``w1``, ``w2``."""
-    lines = df.select("k1", "k2", F.split("__t", "\n").alias("lines")).where(F.size("lines") >= width)
+    lines = df.select("k1", "k2", F.split(field(df, "text", "string"), "\n").alias("lines")).where(F.size("lines") >= width)
     hashed = lines.select("k1", "k2", F.transform("lines", lambda x: F.struct(
         F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("h"))
     n = F.size("h") - (width - 1)
@@ -62,11 +62,12 @@ def repeated_positions(df: DataFrame, width: int = WINDOW) -> DataFrame:
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents with later occurrences removed, and ``n_lines`` and ``n_removed``."""
     df = _keyed(docs)
-    joined = df.join(repeated_positions(df, width), ["k1", "k2"], "left").withColumn(
-        "lines", F.split("__t", "\n"))
+    joined = df.join(repeated_positions(df, width), ["k1", "k2"], "left")
+    whole = field(joined, "text", "string")
+    joined = joined.withColumn("lines", F.split(whole, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     joined = joined.withColumn("kept", F.when(F.col("covered").isNotNull(), kept))
-    text = F.when(F.col("covered").isNull(), F.col("__t")).otherwise(
+    text = F.when(F.col("covered").isNull(), whole).otherwise(
         F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n"))
     return unpack_row(joined, text=text,
                       n_lines=F.coalesce(F.size("lines"), F.lit(0)).cast("long"),
