@@ -5,7 +5,8 @@ for every (lang, source) the half of the documents whose covariance matrix has t
 determinant is found by concentration steps, and a document is rejected when its Mahalanobis distance
 from that half's centre passes a chi-square quantile.  A step is one pass over narrow statistics,
 pre-aggregated per group; the half is cut by a histogram of the logarithm of the distance, so no group
-is ever brought together, and what a step keeps is one row of sums per group.
+is ever brought together, and what a step keeps is one row of sums per group.  The same is done per
+language, and a group's estimate is drawn towards its language's as by ``PRIOR`` documents.
 
 Defined results: a null text has no words and fails; null lang or source is a group of its own;
 repeated rows are judged alike; equal distances fall on the same side of the cut; a group of one
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.llm.common import ROW, digest, field, id_key, pack_row, settled, unpack_row
+from veilwatch.operators.joins import salted_join
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -31,6 +33,11 @@ STEPS = 5
 #: Resolution of the distance histogram, per doubling of the distance.
 GRID = 32
 REJECT_P = 0.9999
+#: Weight of a language's estimate in that of each of its groups, in documents.
+PRIOR = 100
+#: Tasks that the rows of one group are spread over in the joins with its estimate; set it to about the
+#: number of executors' cores divided by the share of the largest group.
+SALTS = 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -90,7 +97,7 @@ def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _cholesky(df: DataFrame) -> DataFrame:
-    """Replace the covariance by its Cholesky factor ``l..`` and the log determinant."""
+    """Add the covariance's Cholesky factor ``l..`` and the log determinant."""
     for j in range(DIM):
         inner = sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
         df = df.withColumn(f"l{j}{j}", F.sqrt(F.col(f"s{j}{j}") - inner))
@@ -98,7 +105,7 @@ def _cholesky(df: DataFrame) -> DataFrame:
             (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")
             for i in range(j + 1, DIM)})
     logdet = sum((2 * F.log(f"l{i}{i}") for i in range(DIM)), F.lit(0.0))
-    return df.withColumn("logdet", logdet).drop(*[f"s{i}{j}" for i in range(DIM) for j in range(i + 1)])
+    return df.withColumn("logdet", logdet)
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -122,22 +129,36 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _cholesky(classical.unionByName(robust))
 
 
-def minimum_covariance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The estimate of least determinant per group ``g`` of ``rows`` (``g`` and the ``STATS``)."""
+def minimum_covariance(rows: DataFrame, steps: int = STEPS, salts: int = SALTS) -> DataFrame:
+    """The estimate of least determinant per group ``g`` of ``rows`` (``g``, ``k2``, the ``STATS``)."""
     est = settled(_starts(rows))
     sizes = settled(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
     for _ in range(steps):
-        near = _distance(rows.join(est, "g")).withColumn(
+        near = _distance(salted_join(rows, est, ["g"], "inner", ["k2"], salts)).withColumn(
             "cell", F.floor(F.log2(F.col("d2") + F.lit(2.0 ** -20)) * GRID).cast("int"))
         cells = near.groupBy("g", "start", "cell").agg(F.count(F.lit(1)).alias("c")).join(sizes, "g")
         half = F.floor((F.col("n") + DIM + 1) / 2)
         below = F.expr("sum(c) over (partition by g, start order by cell) - c")
         cut = (cells.withColumn("below", below).where(F.col("below") < half)
                .groupBy("g", "start").agg(F.max("cell").alias("last")))
-        kept = near.join(cut, ["g", "start"]).where("cell <= last").select("g", "start", *STATS)
+        kept = salted_join(near, cut, ["g", "start"], "inner", ["k2"], salts).where(
+            "cell <= last").select("g", "start", *STATS)
         est = settled(_cholesky(_moments(kept, ["g", "start"])))
     best = est.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b"))
-    return est.join(best, "g").where("start = b.start").drop("b", "start", "m")
+    return est.join(best, "g").where("start = b.start").drop("b", "start")
+
+
+def shrunk(own: DataFrame, pooled: DataFrame) -> DataFrame:
+    """Estimates of groups drawn towards that of their language, as by ``PRIOR`` documents of it.
+
+    ``own`` has ``g`` and ``gl``, ``pooled`` has ``gl``.  A group of a few documents has hardly a half of
+    its own; one of thousands is hardly moved.
+    """
+    names = [f"mu{i}" for i in range(DIM)] + [f"s{i}{j}" for i in range(DIM) for j in range(i + 1)]
+    other = pooled.select("gl", *[F.col(n).alias(f"p_{n}") for n in names])
+    share = F.col("m") / (F.col("m") + PRIOR)
+    return _cholesky(own.join(other, "gl").select("g", *[
+        (share * F.col(n) + (1 - share) * F.col(f"p_{n}")).alias(n) for n in names]))
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -165,19 +186,22 @@ def consistency() -> float:
     return 0.5 / _chi2_cdf(chi2_quantile(0.5, DIM), DIM + 2)
 
 
-def verdicts(docs: DataFrame, reject_p: float = REJECT_P) -> DataFrame:
+def verdicts(docs: DataFrame, reject_p: float = REJECT_P, salts: int = SALTS) -> DataFrame:
     """One row per document: its key, ``doc_id``, the counts, ``base_failed``, distance and ``kept``."""
     df = pack_row(docs)
     doc_id, text = field(df, "doc_id", "long"), field(df, "text", "string")
     lang, source = field(df, "lang", "string"), field(df, "source", "string")
     df = with_counts(df.select(
         doc_id.alias("doc_id"), id_key(doc_id).alias("k1"), digest(lang, source, text).alias("k2"),
-        digest(lang, source).alias("g"), text.alias("__t")), F.col("__t")).drop("__t")
+        digest(lang, source).alias("g"), digest(lang).alias("gl"), text.alias("__t")), F.col("__t")).drop("__t")
     df = settled(df.withColumns(dict(zip(STATS, _vector(F.col("__n_lines"))))).drop("__n_lines"))
-    rows = df.where(~F.col("base_failed")).select("g", *STATS)
-    est = minimum_covariance(rows)
+    rows = df.where(~F.col("base_failed"))
+    both = rows.withColumn("g", F.explode(F.array("g", "gl"))).select("g", "k2", *STATS)
+    every = settled(minimum_covariance(both, salts=salts))
+    own = every.join(rows.groupBy("g").agg(F.first("gl").alias("gl")), "g")
+    est = settled(shrunk(own, every.withColumnRenamed("g", "gl")))
     limit = chi2_quantile(reject_p, DIM) * consistency()
-    judged = _distance(df.join(est, "g", "left"))
+    judged = _distance(salted_join(df, est, ["g"], "left", ["k2"], salts))
     return judged.select(
         "k1", "k2", "doc_id", *COUNTS, "base_failed",
         F.sqrt(F.col("d2") / consistency()).alias("distance"),
