@@ -5,8 +5,8 @@ for every (lang, source) the half of the documents whose covariance matrix has t
 determinant is found by concentration steps, and a document is rejected when its Mahalanobis distance
 from that half's centre passes a chi-square quantile.  A step is one pass over narrow statistics,
 pre-aggregated per group; the half is cut by a histogram of the logarithm of the distance, so no group
-is ever brought together, and what a step keeps is one row of sums per group.  The same is done per
-language, and a group's estimate is drawn towards its language's as by ``PRIOR`` documents.
+is ever brought together, and what a step keeps is one row of sums per group.  Languages are
+estimated first; a group starts from its language's estimate, which counts as ``PRIOR`` documents in it.
 
 Defined results: a null text has no words and fails; null lang or source is a group of its own;
 repeated rows are judged alike; equal distances fall on the same side of the cut; a group of one
@@ -129,36 +129,52 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _cholesky(classical.unionByName(robust))
 
 
+def _step(rows: DataFrame, est: DataFrame, sizes: DataFrame, salts: int) -> DataFrame:
+    """One concentration step: the moments of the half of each group nearest to its estimates."""
+    near = _distance(salted_join(rows, est, ["g"], "inner", ["k2"], salts)).withColumn(
+        "cell", F.floor(F.log2(F.col("d2") + F.lit(2.0 ** -20)) * GRID).cast("int"))
+    cells = near.groupBy("g", "start", "cell").agg(F.count(F.lit(1)).alias("c")).join(sizes, "g")
+    half = F.floor((F.col("n") + DIM + 1) / 2)
+    below = F.expr("sum(c) over (partition by g, start order by cell) - c")
+    cut = (cells.withColumn("below", below).where(F.col("below") < half)
+           .groupBy("g", "start").agg(F.max("cell").alias("last")))
+    kept = salted_join(near, cut, ["g", "start"], "inner", ["k2"], salts).where(
+        "cell <= last").select("g", "start", *STATS)
+    return _moments(kept, ["g", "start"])
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return settled(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+
+
 def minimum_covariance(rows: DataFrame, steps: int = STEPS, salts: int = SALTS) -> DataFrame:
     """The estimate of least determinant per group ``g`` of ``rows`` (``g``, ``k2``, the ``STATS``)."""
-    est = settled(_starts(rows))
-    sizes = settled(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    est, sizes = settled(_starts(rows)), _sizes(rows)
     for _ in range(steps):
-        near = _distance(salted_join(rows, est, ["g"], "inner", ["k2"], salts)).withColumn(
-            "cell", F.floor(F.log2(F.col("d2") + F.lit(2.0 ** -20)) * GRID).cast("int"))
-        cells = near.groupBy("g", "start", "cell").agg(F.count(F.lit(1)).alias("c")).join(sizes, "g")
-        half = F.floor((F.col("n") + DIM + 1) / 2)
-        below = F.expr("sum(c) over (partition by g, start order by cell) - c")
-        cut = (cells.withColumn("below", below).where(F.col("below") < half)
-               .groupBy("g", "start").agg(F.max("cell").alias("last")))
-        kept = salted_join(near, cut, ["g", "start"], "inner", ["k2"], salts).where(
-            "cell <= last").select("g", "start", *STATS)
-        est = settled(_cholesky(_moments(kept, ["g", "start"])))
+        est = settled(_cholesky(_step(rows, est, sizes, salts)))
     best = est.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b"))
     return est.join(best, "g").where("start = b.start").drop("b", "start")
 
 
-def shrunk(own: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Estimates of groups drawn towards that of their language, as by ``PRIOR`` documents of it.
+def group_estimates(rows: DataFrame, pooled: DataFrame, steps: int = STEPS,
+                    salts: int = SALTS) -> DataFrame:
+    """Estimates per ``g``, started from and drawn towards that of the language ``gl`` (``pooled``).
 
-    ``own`` has ``g`` and ``gl``, ``pooled`` has ``gl``.  A group of a few documents has hardly a half of
-    its own; one of thousands is hardly moved.
+    The language counts as ``PRIOR`` documents in every step, so the half is the one that goes best with
+    it.  A group of a few documents has hardly a half of its own; one of thousands is hardly moved.
     """
     names = [f"mu{i}" for i in range(DIM)] + [f"s{i}{j}" for i in range(DIM) for j in range(i + 1)]
-    other = pooled.select("gl", *[F.col(n).alias(f"p_{n}") for n in names])
+    other = settled(rows.groupBy("g").agg(F.first("gl").alias("gl")).join(
+        pooled.select("gl", *[F.col(n).alias(f"p_{n}") for n in names]), "gl").drop("gl"))
+    start = _cholesky(other.select("g", F.lit(0).alias("start"), *[
+        F.col(f"p_{n}").alias(n) for n in names]))
+    est, sizes = settled(start), _sizes(rows)
     share = F.col("m") / (F.col("m") + PRIOR)
-    return _cholesky(own.join(other, "gl").select("g", *[
-        (share * F.col(n) + (1 - share) * F.col(f"p_{n}")).alias(n) for n in names]))
+    for _ in range(steps):
+        own = _step(rows, est, sizes, salts).join(other, "g")
+        est = settled(_cholesky(own.select("g", "start", *[
+            (share * F.col(n) + (1 - share) * F.col(f"p_{n}")).alias(n) for n in names])))
+    return est.drop("start")
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -196,10 +212,8 @@ def verdicts(docs: DataFrame, reject_p: float = REJECT_P, salts: int = SALTS) ->
         digest(lang, source).alias("g"), digest(lang).alias("gl"), text.alias("__t")), F.col("__t")).drop("__t")
     df = settled(df.withColumns(dict(zip(STATS, _vector(F.col("__n_lines"))))).drop("__n_lines"))
     rows = df.where(~F.col("base_failed"))
-    both = rows.withColumn("g", F.explode(F.array("g", "gl"))).select("g", "k2", *STATS)
-    every = settled(minimum_covariance(both, salts=salts))
-    own = every.join(rows.groupBy("g").agg(F.first("gl").alias("gl")), "g")
-    est = settled(shrunk(own, every.withColumnRenamed("g", "gl")))
+    pooled = minimum_covariance(rows.select(F.col("gl").alias("g"), "k2", *STATS), salts=salts)
+    est = group_estimates(rows, settled(pooled).withColumnRenamed("g", "gl"), salts=salts)
     limit = chi2_quantile(reject_p, DIM) * consistency()
     judged = _distance(salted_join(df, est, ["g"], "left", ["k2"], salts))
     return judged.select(
