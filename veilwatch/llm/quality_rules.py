@@ -134,7 +134,7 @@ def _step(rows: DataFrame, est: DataFrame, sizes: DataFrame, salts: int) -> Data
     near = _distance(salted_join(rows, est, ["g"], "inner", ["k2"], salts)).withColumn(
         "cell", F.floor(F.log2(F.col("d2") + F.lit(2.0 ** -20)) * GRID).cast("int"))
     cells = near.groupBy("g", "start", "cell").agg(F.count(F.lit(1)).alias("c")).join(sizes, "g")
-    half = F.floor((F.col("n") + DIM + 1) / 2)
+    half = F.floor(F.col("n") / 2) + 1  # the floors keep any half's covariance regular
     below = F.expr("sum(c) over (partition by g, start order by cell) - c")
     cut = (cells.withColumn("below", below).where(F.col("below") < half)
            .groupBy("g", "start").agg(F.max("cell").alias("last")))
