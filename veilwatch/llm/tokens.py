@@ -131,10 +131,22 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame, weights: list[str], size: int = CLASSES) -> Vocabulary:
-        """The ``size`` most frequent words by the sum of the weights, ties by hash."""
+        """The most frequent words by the sum of the weights, as many levels of frequency as fit ``size``.
+
+        A level is a 64th of a doubling; words of one level come in together or not at all.
+        """
         total = sum((F.col(w) for w in weights), F.lit(0))
-        top = counts.where(F.col("h") != int(END_HASH.view(np.int64))).orderBy(
-            total.desc(), "h").limit(size).toPandas()  # bounded by ``size``
+        level = F.floor(F.log2(total) * 64).cast("int")
+        own = counts.where((F.col("h") != int(END_HASH.view(np.int64))) & (total > 0)).withColumn(
+            "level", level)
+        sizes = sorted(own.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+        least, left = 1 << 20, size  # at most 64 levels per bit of a long
+        for row in sizes:
+            left -= row["n"]
+            if left < 0:
+                break
+            least = row["level"]
+        top = own.where(F.col("level") >= least).drop("level").toPandas()  # at most ``size`` rows
         hashes = top["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(hashes)
         sums = counts.agg(*[F.sum(w).alias(w) for w in weights], *[
@@ -197,7 +209,5 @@ def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def per_document(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of ``sizes`` values."""
-    ends = np.cumsum(np.concatenate([[0.0], values]))
-    stops = np.cumsum(sizes)
-    return ends[stops] - ends[stops - sizes]
+    """Sums of consecutive runs of ``sizes`` values, each of one or more."""
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
