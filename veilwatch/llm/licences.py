@@ -194,11 +194,11 @@ def _examples(sample: list[bytes], seed: int) -> tuple[list[bytes], np.ndarray]:
                 before, after = rng.integers(0, 12, 2) if k % 2 else (0, 0)
                 lines.append(b" ".join([*rng.choice(filler, before), *words, *rng.choice(filler, after)]))
                 labels.append(family)
-    for x in sample:
-        own = pairs_of(x)
-        if not any(np.isin(t, own).mean() >= CONFIRM for t in known):
-            lines.append(x)
-            labels.append(len(templates))
+    plain = [x for x in sample
+             if not any(np.isin(t, pairs_of(x)).mean() >= CONFIRM for t in known)]
+    plain *= -(-SAMPLE_LINES // len(plain)) if plain else 1  # a small corpus weighs as much as a large one
+    lines += plain
+    labels += [len(templates)] * len(plain)
     for _ in range(PER_TEMPLATE * 8):
         lines.append(b" ".join(rng.choice(every, rng.integers(3, 14))))
         labels.append(len(templates))
