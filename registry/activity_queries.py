@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import (DUCK_TS, flat_verdicts, joined, number, query, stamp)
@@ -118,12 +117,12 @@ CTES.update({
     "x_inner": _message_sql("inner_code"),
     "x_message": """SELECT o.event_id, o.message || coalesce(chr(10) || '  ' || i.message, '') AS message
         FROM x_own o LEFT JOIN x_inner i USING (event_id)""",
-    "x_reports": f"""SELECT a.event_id, l.ts, CASE a.verdict WHEN 'Block' THEN 'BLOCKED' ELSE 'WARNING' END AS kind, a.code,
+    "x_reports": f"""SELECT a.event_id, l.host, l.ts, CASE a.verdict WHEN 'Block' THEN 'BLOCKED' ELSE 'WARNING' END AS kind, a.code,
           a.action AS tool, l.pid, array_to_string(l.argv, ' ') AS command, m.message AS detail
         FROM x_all a JOIN x_log l USING (event_id) JOIN x_message m USING (event_id)""",
 })
 
-_REPORT = f"""strftime(ts, '{DUCK_TS}') AS ts, kind, code, tool, pid, command, md5(detail) AS detail,
+_REPORT = f"""event_id, host, strftime(ts, '{DUCK_TS}') AS ts, kind, code, tool, pid, command, md5(detail) AS detail,
   strftime(ts, '%Y-%m-%d') AS report_date"""
 
 
@@ -206,8 +205,8 @@ def strict_roots(spark, sf):
 @query("t1_root_pids", f"""SELECT host, strftime(snapshot_ts, '{DUCK_TS}') AS snapshot_ts, pid,
        row_number() OVER (PARTITION BY host, snapshot_ts ORDER BY pid) AS nth FROM x_roots""")
 def sorted_roots(spark, sf):
-    order = Window.partitionBy("host", "snapshot_ts").orderBy("pid")
-    return _named(root_pids(processes(spark, sf)).withColumn("nth", number(F.row_number().over(order))), "nth")
+    listed = root_pids(processes(spark, sf)).select("host", "snapshot_ts", F.posexplode("pids").alias("nth", "pid"))
+    return _named(listed.withColumn("nth", number(F.col("nth")) + 1), "nth")
 
 
 @query("j2_descendants", f"SELECT {_ROW} FROM x_closure")
@@ -299,7 +298,7 @@ def finding_counts(spark, sf):
        FROM x_reports""")
 def texts(spark, sf):
     reports = build_reports(_verdicts(spark, sf))
-    return reports.select((F.col("pid") - 2).alias("event_id"), F.md5(report_text()).alias("digest"))
+    return reports.select("event_id", F.md5(report_text()).alias("digest"))
 
 
 @query("r3_report_kind", "SELECT kind, code, count(*) AS n FROM x_reports GROUP BY ALL")
@@ -320,12 +319,12 @@ def dates(spark, sf):
          lambda x: left(x, list_max(list_filter(range(0, 53), lambda k: strlen(left(x, k)) <= 52)))), ' | ') AS lines
        FROM x_reports""")
 def first_lines(spark, sf):
-    reports = build_reports(_verdicts(spark, sf)).select("pid", "detail")
-    return reports.select((F.col("pid") - 2).alias("event_id"), joined(detail_lines(F.col("detail"))).alias("lines"))
+    reports = build_reports(_verdicts(spark, sf))
+    return reports.select("event_id", joined(detail_lines(F.col("detail"))).alias("lines"))
 
 
 def _flat_reports(df):
-    return df.select(stamp("ts").alias("ts"), "kind", "code", "tool", "pid", "command",
+    return df.select("event_id", "host", stamp("ts").alias("ts"), "kind", "code", "tool", "pid", "command",
                      F.md5("detail").alias("detail"), F.col("report_date").cast("string").alias("report_date"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.fixtures import oracle
@@ -17,11 +19,25 @@ TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DUCK_TS = "%Y-%m-%d %H:%M:%S.%f"
 
 
+def name_folder(spark: SparkSession) -> None:
+    """Name a checkpoint folder for a local session that has none; a cluster names its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="registry-"))
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            name_folder(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
         return fn

@@ -190,6 +190,8 @@ COMMANDS = [
     _tool("mv", "notes.txt", "/etc/shadow"), _tool("cat", "--help"), _tool("cat"),
     _tool("cat", "/srv/<type>/deep/secrets.yml"), _tool("cat", "~"), _tool("cat", "/var/log/app1.log"),
     _tool("cat", "/var/log/app12.log"), _tool("cat", "/etc/sudoers.d"),
+    # the token that matters stands behind a thousand others
+    ("/usr/local/bin/kubectl", ["kubectl", *["-v=1"] * 1200, "exec", "pod-<id>", "--", "psql", "-c", "DROP TABLE t"]),
     # others
     _tool("npm", "install"), _tool("curl", "https://x/<id>"), _tool("ls", "-l"),
     ("/usr/bin/psql", []), ("/usr/bin/redis-cli", ["redis-cli", "", "PING", ""]),

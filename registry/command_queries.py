@@ -128,7 +128,8 @@ CTES["x_pod"] = """SELECT l.event_id, coalesce((list_filter(argv[2:][list_positi
 @query("f5c_pod_name", "SELECT event_id, pod FROM x_pod")
 def pods(spark, sf):
     df = command_log(spark, sf).filter(
-        (basename(F.col("filename")) == "kubectl") & F.array_contains(F.slice("argv", 2, 1000), "exec"))
+        (basename(F.col("filename")) == "kubectl")
+        & F.expr("array_contains(slice(argv, 2, size(argv)), 'exec')"))
     return df.select("event_id", pod_name("argv").alias("pod"))
 
 

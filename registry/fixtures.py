@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from registry.catalogue import COMMANDS
 from veilwatch.functions.argv import with_argv
 from veilwatch.plans.dispatch import Context
-from veilwatch.session import spread
 from veilwatch.sources.policy import Policy, policy_from_text
 
 HOME = "/home/u"
@@ -96,12 +95,11 @@ SELECT 'h' || CAST(p.page_id % 4 AS STRING) AS host,
 FROM {pages} p
 """
 
-# Every document as a staged change, followed by a second file with all kinds of lines.
+# Every document as a staged change, followed by a second file with all kinds of lines; behind the
+# documents' ids one more commit each with an empty diff, a failed inspection and no files.
 # Token-like text is put together here so that none is stored.
 DIFF_SQL = """
-SELECT d.doc_id AS event_id,
-       CASE WHEN d.doc_id % 47 = 0 THEN '' ELSE d.source || '/d.txt,config/app.env' END AS files_text,
-       CASE WHEN d.doc_id % 43 = 0 THEN '' ELSE
+SELECT d.doc_id AS event_id, d.source || '/d.txt,config/app.env' AS files_text,
          'diff --git a/x b/x' || chr(10) || '--- a/' || d.source || '/d.txt' || chr(10)
          || '+++ b/' || d.source || '/d' || CAST(d.doc_id AS STRING) || '.txt' || chr(10)
          || '@@ -1,3 +' || CAST(d.doc_id % 50 AS STRING) || ',9 @@ ctx' || chr(10)
@@ -116,8 +114,13 @@ SELECT d.doc_id AS event_id,
          || repeat('7', 12) || chr(10) || chr(10)
          || '@@ -1 +99999999999 @@' || chr(10) || '+api_key: "' || repeat('q', 10) || '"' || chr(13) || chr(10)
          || '@@ -9 +4294967295 @@' || chr(10) || '+u' || CAST(d.doc_id AS STRING) || '@mail.example.org'
-         || chr(10) END AS diff,
-       CASE WHEN d.doc_id % 41 = 0 THEN 'exited 128: dubious ownership' END AS error
+         || chr(10) AS diff, CAST(NULL AS STRING) AS error
+FROM {documents} d
+UNION ALL SELECT d.doc_id + (SELECT max(doc_id) + 1 FROM {documents}) AS event_id, d.source AS files_text, '' AS diff, CAST(NULL AS STRING) AS error
+FROM {documents} d
+UNION ALL SELECT d.doc_id + 2 * (SELECT max(doc_id) + 1 FROM {documents}), d.source, '+x', 'exited 128: dubious ownership'
+FROM {documents} d
+UNION ALL SELECT d.doc_id + 3 * (SELECT max(doc_id) + 1 FROM {documents}), '', '', CAST(NULL AS STRING)
 FROM {documents} d
 """
 
@@ -153,8 +156,8 @@ _KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "conve
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows need much work each; small files are spread over the cores."""
-    return spread(table(spark, sf_dir, name), _KEYS[name])
+    """A table whose rows need much work each, spread over the cores whatever its files look like."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, _KEYS[name])
 
 
 def _derive(spark, sf_dir, sql: str, *names: str, **more) -> DataFrame:

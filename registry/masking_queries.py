@@ -111,15 +111,16 @@ def hits_sql(key: str, text: str, source: str) -> str:
             generate_subscripts(m, 1) AS pos
             FROM (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS m FROM {source})""")
     union = " UNION ALL ".join(parts)
-    return f"SELECT {key}, kind, left(hit, 12) || '...' AS snippet, ord, pos FROM ({union})"
+    return (f"SELECT {key}, kind, left(hit, least(12, length(hit) // 3)) || '...' AS snippet, sha256(hit) AS digest, "
+            f"ord, pos FROM ({union})")
 
 
 @query("c15_secret_hits", f"""
-SELECT doc_id, kind, snippet, count(*) AS n FROM ({hits_sql('doc_id', 'text', 'documents')})
+SELECT doc_id, kind, snippet, digest, count(*) AS n FROM ({hits_sql('doc_id', 'text', 'documents')})
 GROUP BY ALL""")
 def secrets_in_documents(spark, sf):
     docs = spread_table(spark, sf, "documents").select("doc_id", F.explode(secret_hits(F.col("text"))).alias("h"))
-    return docs.groupBy("doc_id", "h.kind", "h.snippet").agg(F.count("*").alias("n"))
+    return docs.groupBy("doc_id", "h.kind", "h.snippet", "h.digest").agg(F.count("*").alias("n"))
 
 
 @query("c15_secret_kinds", f"""
@@ -165,10 +166,9 @@ def partial(spark, sf):
 
 @query("c5_mask_table", """SELECT c_custkey, left(c_name, 1) || '***@***.***' AS c_name, c_nationkey,
        '[REDACTED]' AS c_acctbal, left(c_mktsegment, 3) || '***' AS c_mktsegment
-       FROM customer WHERE c_nationkey < 20""")
+       FROM customer""")
 def masked_customer(spark, sf):
-    df = table(spark, sf, "customer").filter("c_nationkey < 20")
-    return mask_table(df, "customer", policy(spark))
+    return mask_table(table(spark, sf, "customer"), "customer", policy(spark))
 
 
 @query("c5_mask_orders", """SELECT o_orderkey, '***-**-' || right(CAST(o_custkey AS VARCHAR), 4) AS o_custkey,
@@ -302,10 +302,16 @@ def masked_files(spark, sf):
 
 # --- F8, F8b: cut text ----------------------------------------------------------------------------
 
-@query("f8_snippet", """SELECT doc_id, CASE WHEN length(trim(text)) > 100 THEN left(trim(text), 100) || '...'
-       ELSE trim(text) END AS snippet FROM documents""")
+_SPACES = " || ".join(f"chr({c})" for c in (
+    9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_PADDED = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN chr(9) || ' ' || text || chr(10) || ' '
+  WHEN 2 THEN chr(13) || chr(10) || left(text, 60) || chr(9) ELSE chr(12) || left(text, 100) || chr(11) END"""
+
+
+@query("f8_snippet", f"""SELECT doc_id, CASE WHEN length(t) > 100 THEN left(t, 100) || '...' ELSE t END AS snippet
+       FROM (SELECT doc_id, trim({_PADDED}, {_SPACES}) AS t FROM documents)""")
 def snippets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", snippet(F.col("text"), 100).alias("snippet"))
+    return table(spark, sf, "documents").select("doc_id", snippet(F.expr(_PADDED), 100).alias("snippet"))
 
 
 @query("f8b_clip_bytes", """SELECT doc_id, left(text, list_max(list_filter(range(0, 53),

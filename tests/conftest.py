@@ -9,9 +9,10 @@ from veilwatch.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("local[8]", "tests", spark__sql__shuffle__partitions="4",
-                            spark__driver__memory="8g")
+                            spark__driver__memory="8g",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -9,8 +9,9 @@ from veilwatch.functions.text import ascii_upper, java_quote
 from veilwatch.rules import mask_rules as M
 from veilwatch.rules.text_rules import TEXT_RULES, java_pattern
 
-HIT_TYPE = "struct<kind:string,snippet:string>"
-SNIPPET_CHARS = 12  # of a secret, enough to recognise its kind
+HIT_TYPE = "struct<kind:string,snippet:string,digest:string>"
+SNIPPET_CHARS = 12  # of a secret at most, enough to recognise its kind
+SNIPPET_PART = 3  # and never more than a third of it
 
 
 def mask_redact(col: Column) -> Column:
@@ -112,12 +113,17 @@ def _holds_word(text: Column) -> Column:
 
 
 def secret_hits(line: Column) -> Column:
-    """Secrets of one line as an array of (kind, snippet), in rule order, then by position."""
+    """Secrets of one line as an array of (kind, snippet, digest), in rule order, then by position.
+
+    The digest tells secrets apart that begin alike; the snippet never shows more than a part.
+    """
     def hits(rule) -> Column:
         found = F.regexp_extract_all(line, F.lit(java_pattern(rule)), 0)
         out = F.transform(found, lambda m: F.struct(
             F.lit(rule.kind).alias("kind"),
-            F.concat(F.left(m, F.lit(SNIPPET_CHARS)), F.lit("...")).alias("snippet")))
+            F.concat(F.left(m, F.least(F.lit(SNIPPET_CHARS), F.floor(F.length(m) / SNIPPET_PART).cast("int"))),
+                     F.lit("...")).alias("snippet"),
+            F.sha2(m, 256).alias("digest")))
         empty = F.array().cast(f"array<{HIT_TYPE}>")
         if rule.literal:
             return F.when(F.contains(line, F.lit(rule.literal)), out).otherwise(empty)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.functions.text import ascii_lower, sql_literal, strings
+from veilwatch.functions.text import ascii_lower, cut_sql, sql_literal, strings
 from veilwatch.operators.joins import computed_once
 from veilwatch.rules import sql_rules as R
 
@@ -35,6 +35,11 @@ def statements(normalised: Column) -> Column:
     return F.filter(F.transform(F.split(normalised, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def _statements_sql(normalised: str) -> str:
+    """``statements`` of a column name as SQL text."""
+    return f"filter(transform(split({normalised}, ';'), s -> trim(s)), s -> s <> '')"
+
+
 def _finding(test: str, block: bool, category: str | None, name: str) -> str:
     rank = _RANK.get(category) or "null"
     label = "null" if category is None else sql_literal(category)
@@ -67,10 +72,8 @@ def _statement_findings() -> str:
 def query_findings(normalised: str) -> Column:
     """Findings of all statements of a normalised query (a column name), in statement and rule
     order, as an array of ``FINDING_TYPE``."""
-    n = R.SNIPPET_CHARS
-    parts = (f"transform(filter(transform(split({normalised}, ';'), s -> trim(s)), s -> s <> ''), s -> "
-             f"named_struct('stmt', s, 'up', upper(lower(s)), 'snip', "
-             f"if(length(s) > {n}, concat(left(s, {n}), '...'), s)))")
+    parts = (f"transform({_statements_sql(normalised)}, s -> named_struct('stmt', s, "
+             f"'up', upper(lower(s)), 'snip', {cut_sql('s', R.SNIPPET_CHARS)}))")
     return F.expr(f"flatten(transform({parts}, p -> {_statement_findings()}))")
 
 

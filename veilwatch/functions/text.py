@@ -58,10 +58,16 @@ def text_lines(col: Column) -> Column:
     return F.when(col == "", strings([])).otherwise(lines)
 
 
+def cut_sql(text: str, n: int) -> str:
+    """SQL for a text cut to ``n`` characters and marked when longer."""
+    return f"if(length({text}) > {n}, concat(left({text}, {n}), '...'), {text})"
+
+
 def snippet(col: Column, n: int) -> Column:
-    """The trimmed text, cut to ``n`` characters and marked when longer."""
-    text = F.trim(col)
-    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
+    """The text without white space around it, cut to ``n`` characters and marked when longer."""
+    kept = F.transform(F.array(trim_ws(col)), lambda t: F.when(
+        F.length(t) > n, F.concat(F.left(t, F.lit(n)), F.lit("..."))).otherwise(t))
+    return F.get(kept, 0)
 
 
 def clip_bytes(col: Column, n: int) -> Column:
@@ -97,11 +103,14 @@ def replace_markers(template: str, values: dict[str, Column]) -> Column:
 
 
 def quoted(col: Column) -> Column:
-    """The text in double quotes with control characters escaped."""
+    """The text in double quotes with control characters escaped, other than the usual ones by number."""
     out = F.replace(col, F.lit("\\"), F.lit("\\\\"))
-    for raw, shown in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for raw, shown in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
         out = F.replace(out, F.lit(raw), F.lit(shown))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    numbered = F.array_join(F.transform(F.split(out, ""), lambda c: F.when(
+        c.rlike(r"[\x01-\x1f\x7f-\x{9f}]"),
+        F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))).otherwise(c)), "")
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x01-\x1f\x7f-\x{9f}]"), numbered).otherwise(out), F.lit('"'))
 
 
 def quoted_list(arr: Column) -> Column:

@@ -38,9 +38,9 @@ def flag_roots(procs: DataFrame, name: str = AGENT_NAME, strict: bool = False) -
 
 
 def root_pids(procs: DataFrame) -> DataFrame:
-    """Roots of every snapshot, pids ascending."""
-    return (flag_roots(procs).filter("is_root").select(*SNAPSHOT, "pid")
-            .orderBy(*SNAPSHOT, "pid"))
+    """Roots of every snapshot as an ascending list; its length is bounded by the host's processes."""
+    return (flag_roots(procs).filter("is_root").groupBy(*SNAPSHOT)
+            .agg(F.array_sort(F.collect_set("pid")).alias("pids")))
 
 
 def descendants(procs: DataFrame, roots: DataFrame, max_nodes: int = MAX_LINEAGE_NODES) -> DataFrame:

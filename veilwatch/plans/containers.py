@@ -155,8 +155,8 @@ def with_container_outcome(df: DataFrame, out: str = "outcome",
     gate = F.lit(True) if gate is None else gate
     issues, row = F.col("_issues"), F.col("_decision")
     runs = F.col("_sub").isin("run", "create")
-    name = (F.when(~runs, operation_name()).when(F.size(issues) > 0, "run_issues")
-            .when(shares_host_network(), "run_network"))
+    name = F.when(gate, F.when(~runs, operation_name()).when(F.size(issues) > 0, "run_issues")
+                  .when(shares_host_network(), "run_network"))
     table = ", ".join(f"{sql_literal(k)}, array({', '.join(sql_literal(x) for x in v)})"
                       for k, v in _DECISIONS.items())
     decision = F.try_element_at(F.expr(f"map({table})"), name)

@@ -54,7 +54,7 @@ def report_kind(verdict: Column) -> Column:
 def build_reports(verdicts: DataFrame) -> DataFrame:
     """Report rows of blocked and warned commands, with the local calendar day to partition by."""
     return (verdicts.filter(F.col("verdict").isin(list(T.REPORT_KIND)))
-            .select("ts", report_kind(F.col("verdict")).alias("kind"),
+            .select("event_id", "host", "ts", report_kind(F.col("verdict")).alias("kind"),
                     F.col("threat.code").alias("code"), F.col("action").alias("tool"), "pid",
                     F.array_join("argv", " ").alias("command"),
                     threat_message(F.col("threat")).alias("detail"),

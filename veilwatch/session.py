@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +11,7 @@ def build_session(master: str = "local[*]", app: str = "veilwatch", **conf) -> S
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
     for key, value in conf.items():
@@ -21,20 +20,12 @@ def build_session(master: str = "local[*]", app: str = "veilwatch", **conf) -> S
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session without that setting
-    gets a folder of its own; elsewhere a machine-local folder would be lost with its machine.
-    """
+    """The shared folder for checkpoints and intermediate tables, named in ``spark.checkpoint.dir``
+    or set on the context; without either this is an error in every mode."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="veilwatch-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -44,15 +35,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread the rows by unique keys when the scan has fewer splits than there are cores.
-
-    A file with one row group is read by one task, which then runs all patterns alone.  Large inputs
-    have splits enough and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
