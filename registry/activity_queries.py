@@ -13,10 +13,10 @@ from registry.fixtures import (COMMAND_SQL, CTES, command_log, commands, commit_
 from registry.masking_queries import hits_sql
 from veilwatch.functions.argv import with_argv
 from veilwatch.operators.diffs import commit_hits, diff_lines, hunk_start, line_hits
-from veilwatch.operators.lineage import (agent_events, asof_snapshot, descendants, flag_roots,
-                                         next_snapshots, root_changes, root_pids, root_set_changes)
+from veilwatch.operators.lineage import (asof_snapshot, descendants, flag_roots, next_snapshots,
+                                         root_changes, root_pids, root_set_changes)
 from veilwatch.plans.commits import hit_text
-from veilwatch.plans.dispatch import audit, audit_commands
+from veilwatch.plans.dispatch import agent_executions, audit, audit_commands
 from veilwatch.plans.reports import (build_reports, detail_lines, report_kind, report_text,
                                      threat_message)
 from veilwatch.rules import threat_texts as T
@@ -28,6 +28,39 @@ from veilwatch.streaming.audit_stream import (stream_audit, stream_reports_of, s
 
 # --- SQL: diffs -----------------------------------------------------------------------------------
 
+_ROOT = "starts_with(lower(trim(comm)), 'claude') OR contains(lower(cmdline), 'claude')"
+
+
+def _lineage(n: str, procs: str) -> dict[str, str]:
+    """Roots, closure of the snapshots, and the agents' executions, of which young processes are part."""
+    def walk(nodes: str, name: str) -> str:
+        return f"""SELECT host, snapshot_ts, pid, pid AS cur, 0 AS n FROM {nodes}
+        UNION ALL SELECT w.host, w.snapshot_ts, w.pid, p.ppid, w.n + 1 FROM {name} w
+        JOIN {nodes} p ON p.host = w.host AND p.snapshot_ts = w.snapshot_ts AND p.pid = w.cur
+        WHERE w.n < 31 AND w.cur > 1 AND p.ppid <> p.pid"""
+
+    def closure(name: str) -> str:
+        return f"""SELECT DISTINCT w.host, w.snapshot_ts, w.pid FROM {name} w JOIN {n}_roots r
+        ON r.host = w.host AND r.snapshot_ts = w.snapshot_ts AND r.pid = w.cur"""
+
+    return {
+        f"{n}_roots": f"SELECT DISTINCT host, snapshot_ts, pid FROM {procs} WHERE {_ROOT}",
+        f"{n}_nodes": f"SELECT host, snapshot_ts, pid, min(ppid) AS ppid FROM {procs} GROUP BY ALL",
+        f"{n}_walk": walk(f"{n}_nodes", f"{n}_walk"),
+        f"{n}_closure": closure(f"{n}_walk"),
+        f"{n}_snaps": f"SELECT DISTINCT host, snapshot_ts FROM {procs}",
+        f"{n}_asof": f"""SELECT e.event_id, e.ts, s.snapshot_ts, e.host, e.pid, e.ppid, e.base FROM x_log e
+        ASOF LEFT JOIN {n}_snaps s ON e.host = s.host AND e.ts >= s.snapshot_ts""",
+        f"{n}_grown": f"""SELECT * FROM {n}_nodes UNION ALL SELECT e.host, e.snapshot_ts, e.pid, min(e.ppid) FROM {n}_asof e
+        LEFT JOIN {n}_nodes p ON p.host = e.host AND p.snapshot_ts = e.snapshot_ts AND p.pid = e.pid
+        WHERE e.snapshot_ts IS NOT NULL AND p.pid IS NULL GROUP BY e.host, e.snapshot_ts, e.pid""",
+        f"{n}_agentwalk": walk(f"{n}_grown", f"{n}_agentwalk"),
+        f"{n}_family": closure(f"{n}_agentwalk"),
+        f"{n}_agent": f"""SELECT e.event_id, CAST(e.ts - e.snapshot_ts > INTERVAL 5 SECOND AS BIGINT) AS stale
+        FROM {n}_asof e JOIN {n}_family c ON c.host = e.host AND c.snapshot_ts = e.snapshot_ts AND c.pid = e.pid""",
+    }
+
+
 CTES.update({
     "x_dl": """SELECT event_id, rtrim(unnest(ls), chr(13)) AS line, generate_subscripts(ls, 1) AS i FROM (
         SELECT event_id, string_split(CASE WHEN ends_with(diff, chr(10)) THEN left(diff, length(diff) - 1) ELSE diff END,
@@ -61,19 +94,10 @@ CTES.update({
           WHERE m.guard = 'commit') c USING (event_id)""",
 
     # --- lineage
-    "x_roots": """SELECT host, snapshot_ts, pid FROM x_procs
-        WHERE starts_with(lower(trim(comm)), 'claude') OR contains(lower(cmdline), 'claude')""",
-    "x_walk": """SELECT host, snapshot_ts, pid, pid AS cur, 0 AS n FROM x_procs
-        UNION ALL SELECT w.host, w.snapshot_ts, w.pid, p.ppid, w.n + 1 FROM x_walk w
-        JOIN x_procs p ON p.host = w.host AND p.snapshot_ts = w.snapshot_ts AND p.pid = w.cur
-        WHERE w.n < 31 AND w.cur > 1 AND p.ppid <> p.pid""",
-    "x_closure": """SELECT DISTINCT w.host, w.snapshot_ts, w.pid FROM x_walk w JOIN x_roots r
-        ON r.host = w.host AND r.snapshot_ts = w.snapshot_ts AND r.pid = w.cur""",
-    "x_snaps": "SELECT DISTINCT host, snapshot_ts FROM x_procs",
-    "x_asof": """SELECT e.event_id, e.ts, s.snapshot_ts, e.host, e.pid, e.base FROM x_log e
-        ASOF LEFT JOIN x_snaps s ON e.host = s.host AND e.ts >= s.snapshot_ts""",
-    "x_agent": """SELECT e.event_id FROM x_asof e JOIN x_closure c
-        ON c.host = e.host AND c.snapshot_ts = e.snapshot_ts AND c.pid = e.pid""",
+    **_lineage("x", "x_procs"),
+    # the same without the processes that started after their snapshot
+    "x_yprocs": "SELECT * FROM x_procs WHERE pid % 7 NOT IN (3, 4)",
+    **_lineage("x_y", "x_yprocs"),
     "x_seq": """SELECT host, snapshot_ts, lag(snapshot_ts) OVER (PARTITION BY host ORDER BY snapshot_ts) AS before
         FROM x_snaps""",
     "x_moves": """SELECT s.host, s.snapshot_ts, r.pid, 'added' AS change FROM x_seq s
@@ -217,9 +241,33 @@ def closure(spark, sf):
 
 @query("j2b_agent_events", "SELECT event_id FROM x_agent")
 def events_of_agents(spark, sf):
+    return agent_executions(command_log(spark, sf), processes(spark, sf)).select("event_id")
+
+
+@query("j2_repeated_snapshots", f"SELECT {_ROW} FROM x_closure")
+def repeated_snapshots(spark, sf):
+    """Every process delivered twice, once with a larger parent as well, changes nothing."""
     procs = processes(spark, sf)
-    placed = asof_snapshot(command_log(spark, sf).select("event_id", "host", "ts", "pid"), procs)
-    return agent_events(placed, descendants(procs, _roots(procs))).select("event_id")
+    other = procs.withColumn("ppid", F.col("ppid") + 1000)
+    twice = procs.unionByName(procs).unionByName(other)
+    return _named(descendants(twice, _roots(twice)))
+
+
+def _without_young(procs):
+    return procs.filter("pid % 7 not in (3, 4)")
+
+
+@query("j2b_young_children", "SELECT event_id, stale FROM x_y_agent")
+def young_children(spark, sf):
+    """Processes that started after their snapshot, and their own children, belong to the agent."""
+    found = agent_executions(command_log(spark, sf), _without_young(processes(spark, sf)))
+    return found.select("event_id", number(F.col("stale")).alias("stale"))
+
+
+@query("j6_stale", """SELECT a.event_id, a.verdict, g.stale FROM x_all a JOIN x_y_agent g USING (event_id)""")
+def stale_verdicts(spark, sf):
+    done = audit_commands(command_log(spark, sf), _without_young(processes(spark, sf)), context(spark, sf))
+    return done.select("event_id", "verdict", number(F.col("stale")).alias("stale"))
 
 
 @query("j5_root_changes", f"SELECT {_ROW}, change FROM x_moves")

@@ -44,7 +44,7 @@ _HOST = "'h' || CAST(CAST(floor({t}.event_id / 50) AS BIGINT) % 4 AS STRING)"
 
 COMMAND_SQL = f"""
 SELECT e.event_id, {_HOST.format(t='e')} AS host, CAST(e.ts AS TIMESTAMP) AS ts,
-       e.event_id + 2 AS pid, 1000 + e.user_id AS uid, 'sh' AS comm, c.filename,
+       e.event_id + 2 AS pid, e.event_id + 1 AS ppid, 1000 + e.user_id AS uid, 'sh' AS comm, c.filename,
        replace(replace(replace(c.argv, '<user>', CAST(e.user_id AS STRING)),
                        '<type>', e.event_type), '<id>', CAST(e.event_id AS STRING)) AS argv_text,
        CASE WHEN e.event_id % 37 <> 0 THEN '/home/u/app' END AS cwd
@@ -287,9 +287,6 @@ CTES = {
 }
 
 
-_RECURSIVE = {"x_walk"}
-
-
 def oracle(sql: str) -> str:
     """The query with the common table expressions it needs, directly or through others."""
     order: list[str] = []
@@ -303,5 +300,5 @@ def oracle(sql: str) -> str:
 
     busy: set[str] = set()
     need(sql)
-    ctes = ",\n".join(f"{name} AS {'' if name in _RECURSIVE else 'MATERIALIZED '}({CTES[name]})" for name in order)
+    ctes = ",\n".join(f"{name} AS {'' if name.endswith('walk') else 'MATERIALIZED '}({CTES[name]})" for name in order)
     return f"WITH RECURSIVE {ctes}\n{sql}" if ctes else sql

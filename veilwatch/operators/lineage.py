@@ -1,8 +1,8 @@
 """Process lineage: roots, bounded closure, root changes, snapshot of an event.
 
 Keys are ``(host, snapshot_ts, pid)``; one host has at most 2**22 processes at one moment, which
-bounds every group of one host and one snapshot.  Groups that only share a host are not bounded and
-are never put into one task: time is cut into days or minutes first and carried over.
+bounds every group of one host and one snapshot.  Rows that only share a host are not bounded and are
+never put into one task: windows run over the hours of a day or the days of a host.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwatch.operators.joins import salted_join
+from veilwatch.operators.joins import SALTS, salted_join
 from veilwatch.rules.registry import (AGENT_NAME, MAX_LINEAGE_NODES, ROOT_REFRESH_SECONDS,
                                       STRICT_WORDS)
 from veilwatch.functions.text import ascii_lower, trim_ws
@@ -43,45 +43,66 @@ def root_pids(procs: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_set("pid")).alias("pids")))
 
 
-def descendants(procs: DataFrame, roots: DataFrame, max_nodes: int = MAX_LINEAGE_NODES) -> DataFrame:
+def process_nodes(procs: DataFrame) -> DataFrame:
+    """One node per ``(host, snapshot_ts, pid)``; of several parents given for a pid the smallest counts,
+    so rows delivered twice change nothing."""
+    return procs.groupBy(*SNAPSHOT, "pid").agg(F.min("ppid").alias("ppid"))
+
+
+def executed_nodes(placed: DataFrame, procs: DataFrame) -> DataFrame:
+    """Nodes for processes younger than their snapshot: executions (``ppid`` and ``snapshot_ts``
+    attached) whose pid the snapshot does not hold."""
+    seen = procs.select(*SNAPSHOT, "pid").distinct()
+    young = placed.filter(F.col("snapshot_ts").isNotNull() & F.col("ppid").isNotNull())
+    return process_nodes(young).join(seen, [*SNAPSHOT, "pid"], "left_anti")
+
+
+def descendants(procs: DataFrame, roots: DataFrame, max_nodes: int = MAX_LINEAGE_NODES,
+                young: DataFrame | None = None) -> DataFrame:
     """Pids that are a root or have one among their nearest ``max_nodes - 1`` ancestors.
 
-    Pointer doubling: after k rounds a row knows whether one of 2**k nodes is a root and who comes
-    after them.  Rows that are decided leave the next round, snapshots without any root never enter.
-    Each round is written to the checkpoint folder, so plans stay small and a lost executor costs
-    one round.
+    ``young`` adds nodes of processes that started after the snapshot (``executed_nodes``).  Pointer
+    doubling: after k rounds a row knows whether one of 2**k nodes is a root and who comes after them.
+    Rows below a root are written once, rows whose chain ended without one are dropped, and only open
+    rows are written again; snapshots without any root never enter.  Each round goes to the checkpoint
+    folder, so plans stay small and a lost executor costs one round.
     """
     rounds = max_nodes.bit_length() - 1
     if 1 << rounds != max_nodes:
         raise ValueError("max_nodes must be a power of two")
     watched = roots.select(*SNAPSHOT).distinct()
     marks = roots.select(*SNAPSHOT, "pid").distinct().withColumn("hit", F.lit(True))
-    nodes = (procs.select(*SNAPSHOT, "pid", "ppid").join(watched, SNAPSHOT, "left_semi")
-             .join(marks, [*SNAPSHOT, "pid"], "left"))
+    nodes = process_nodes(procs) if young is None else process_nodes(procs).unionByName(young)
+    nodes = nodes.join(watched, SNAPSHOT, "left_semi").join(marks, [*SNAPSHOT, "pid"], "left")
     ends = F.col("hit") | (F.col("pid") <= 1) | (F.col("ppid") == F.col("pid"))
     state = nodes.select(*SNAPSHOT, "pid", F.coalesce("hit", F.lit(False)).alias("hit"),
                          F.when(ends, None).otherwise(F.col("ppid")).alias("up"))
-    state = cut_lineage(state)
+    # a chain that ended without a root reads like an ancestor that is not in the snapshot
+    state = cut_lineage(state.filter("hit or up is not null"))
+    hits, open_rows = state.filter("hit"), state.filter("not hit").drop("hit")
     for _ in range(rounds):
-        target = state.select(*SNAPSHOT, F.col("pid").alias("up"),
-                              F.col("hit").alias("up_hit"), F.col("up").alias("up_up"))
-        open_rows = state.filter(F.col("up").isNotNull()).drop("hit")
-        # an ancestor that is not in the snapshot ends the walk
-        moved = (open_rows.join(target, [*SNAPSHOT, "up"], "left")
-                 .select(*SNAPSHOT, "pid", F.coalesce("up_hit", F.lit(False)).alias("hit"),
-                         F.when(F.col("up_hit"), None).otherwise(F.col("up_up")).alias("up")))
-        state = cut_lineage(state.filter(F.col("up").isNull()).unionByName(moved))
-    return state.filter("hit").select(*SNAPSHOT, "pid")
-
-
-def agent_events(events: DataFrame, closure: DataFrame) -> DataFrame:
+        target = hits.select(*SNAPSHOT, F.col("pid").alias("up"), F.lit(True).alias("up_hit"),
+                             F.lit(None).cast("bigint").alias("up_up")).unionByName(
+            open_rows.select(*SNAPSHOT, F.col("pid").alias("up"), F.lit(False).alias("up_hit"),
+                             F.col("up").alias("up_up")))
+        moved = cut_lineage(open_rows.join(target, [*SNAPSHOT, "up"]).filter(
+            "up_hit or up_up is not null").select(*SNAPSHOT, "pid", "up_hit", "up_up"))
+        hits = hits.unionByName(moved.filter("up_hit").select(
+            *SNAPSHOT, "pid", F.lit(True).alias("hit"), F.lit(None).cast("bigint").alias("up")))
+        open_rows = moved.filter("not up_hit").select(*SNAPSHOT, "pid", F.col("up_up").alias("up"))
+        if open_rows.isEmpty():
+            break
+    return hits.select(*SNAPSHOT, "pid")
+
+
+def agent_events(events: DataFrame, closure: DataFrame, salts: int = SALTS) -> DataFrame:
     """Events whose pid is in the closure of their snapshot (``snapshot_ts`` already attached).
 
     One pid may run a large share of all programs, so the semi join is salted; closure rows are
     three narrow columns.
     """
     return salted_join(events, closure.select(*SNAPSHOT, "pid"), [*SNAPSHOT, "pid"], "left_semi",
-                       ["event_id"])
+                       ["event_id"], salts)
 
 
 def next_snapshots(procs: DataFrame) -> DataFrame:
@@ -105,7 +126,10 @@ def root_changes(procs: DataFrame, roots: DataFrame) -> DataFrame:
 
     One aggregation over the current and the shifted sets; snapshots without roots count as well.
     """
-    steps = next_snapshots(procs)
+    return _root_changes(next_snapshots(procs), roots)
+
+
+def _root_changes(steps: DataFrame, roots: DataFrame) -> DataFrame:
     later = steps.select("host", F.col("next_ts").alias("snapshot_ts")).filter(
         F.col("snapshot_ts").isNotNull())
     now = roots.join(later, SNAPSHOT, "left_semi").select(
@@ -122,9 +146,10 @@ def root_changes(procs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def root_set_changes(procs: DataFrame, roots: DataFrame) -> DataFrame:
     """Snapshots whose root set differs from the one before, with its size; a host's first snapshot
-    always counts.  Two sets differ exactly when something was added or removed."""
-    steps = next_snapshots(procs)
-    moved = root_changes(procs, roots).select(*SNAPSHOT).distinct()
+    always counts.  Two sets differ exactly when something was added or removed.  The steps and the
+    roots are small and written once, so the process table is read twice."""
+    steps, roots = cut_lineage(next_snapshots(procs)), cut_lineage(roots.select(*SNAPSHOT, "pid").distinct())
+    moved = _root_changes(steps, roots).select(*SNAPSHOT).distinct()
     not_first = steps.select("host", F.col("next_ts").alias("snapshot_ts"))
     first = steps.select(*SNAPSHOT).join(not_first, SNAPSHOT, "left_anti")
     sizes = roots.groupBy(*SNAPSHOT).agg(F.countDistinct("pid").alias("n_roots"))
@@ -133,29 +158,54 @@ def root_set_changes(procs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def asof_snapshot(events: DataFrame, snapshots: DataFrame,
-                  tolerance: int = ROOT_REFRESH_SECONDS, bucket: str = "minute") -> DataFrame:
+                  tolerance: int = ROOT_REFRESH_SECONDS, salts: int = SALTS) -> DataFrame:
     """Add ``snapshot_ts``, the host's last snapshot at or before the event, and ``stale``, whether
     it is older than ``tolerance`` seconds.
 
-    Each (host, bucket) row holds the snapshots within that bucket and the last one before it; events
-    join their bucket.  A busy host is spread over its buckets, and each bucket over salts.  At one
-    snapshot every five seconds a minute holds twelve, so the joined rows stay small.
+    Snapshots are listed per host and hour, with the last one before the hour; every hour of a day that
+    has snapshots is listed, and every day from a host's first to its last has one row that carries the
+    last snapshot of earlier days.  An event looks up its hour, else its day, else the host's last day.
+    The lists come from the snapshots alone, so the log is read once.  At one snapshot every five
+    seconds an hour holds 720 times.
     """
-    cut = lambda c: F.date_trunc(bucket, c)
-    snaps = (snapshots.select(*SNAPSHOT).distinct()
-             .groupBy("host", cut("snapshot_ts").alias("_bucket"))
-             .agg(F.array_sort(F.collect_list("snapshot_ts")).alias("_in")))
-    wanted = (events.select("host", cut("ts").alias("_bucket")).distinct()
-              .withColumn("_in", F.lit(None).cast("array<timestamp>")))
-    buckets = (snaps.unionByName(wanted).groupBy("host", "_bucket")
-               .agg(F.first("_in", ignorenulls=True).alias("_in"))
-               .withColumn("_before", F.last(F.try_element_at("_in", F.lit(-1)), ignorenulls=True)
-                           .over(Window.partitionBy("host").orderBy("_bucket")
-                                 .rowsBetween(Window.unboundedPreceding, -1))))
-    joined = salted_join(events.withColumn("_bucket", cut("ts")), buckets, ["host", "_bucket"],
-                         "left", ["event_id"])
-    at = F.coalesce(F.try_element_at(F.filter("_in", lambda t: t <= F.col("ts")), F.lit(-1)),
-                    F.col("_before"))
+    hours = _hours(snapshots)
+    days = _days(snapshots)
+    ends = days.groupBy("host").agg(F.max("_day").alias("_last_day"), F.max("_end").alias("_end_all"))
+    df = events.withColumns({"_hour": F.date_trunc("hour", "ts"), "_day": F.date_trunc("day", "ts")})
+    df = salted_join(df, hours, ["host", "_hour"], "left", ["event_id"], salts)
+    df = salted_join(df, days.select("host", "_day", "_carry"), ["host", "_day"], "left", ["event_id"], salts)
+    df = salted_join(df, ends, ["host"], "left", ["event_id"], salts)
+    within = F.try_element_at(F.filter("_in", lambda t: t <= F.col("ts")), F.lit(-1))
+    after = F.when(F.col("_day") > F.col("_last_day"), F.col("_end_all"))
+    at = F.coalesce(within, F.col("_before"), F.col("_carry"), after)
     age = F.unix_micros("ts") - F.unix_micros("snapshot_ts")
-    return (joined.withColumn("snapshot_ts", at).drop("_bucket", "_in", "_before")
+    return (df.withColumn("snapshot_ts", at)
+            .drop("_hour", "_day", "_in", "_before", "_carry", "_last_day", "_end_all")
             .withColumn("stale", age > tolerance * 1_000_000))
+
+
+def _hours(snapshots: DataFrame) -> DataFrame:
+    """All 24 hours of every day with snapshots: those of the hour and the day's last before it."""
+    at = (snapshots.select(*SNAPSHOT).distinct()
+          .groupBy("host", F.date_trunc("hour", "snapshot_ts").alias("_hour"))
+          .agg(F.array_sort(F.collect_set("snapshot_ts")).alias("_in")))
+    day = F.date_trunc("day", "_hour")
+    every = at.select("host", day.alias("_day")).distinct().select(
+        "host", F.explode(F.sequence("_day", F.expr("_day + interval 23 hours"),
+                                     F.expr("interval 1 hour"))).alias("_hour"))
+    listed = every.join(at, ["host", "_hour"], "left")
+    by_day = (Window.partitionBy("host", F.date_trunc("day", "_hour")).orderBy("_hour")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return listed.withColumn("_before", F.last(F.try_element_at("_in", F.lit(-1)), ignorenulls=True)
+                             .over(by_day))
+
+
+def _days(snapshots: DataFrame) -> DataFrame:
+    """Every day of a host from its first to its last snapshot: the last snapshot of earlier days."""
+    at = snapshots.groupBy("host", F.date_trunc("day", "snapshot_ts").alias("_day")).agg(
+        F.max("snapshot_ts").alias("_end"))
+    span = at.groupBy("host").agg(F.min("_day").alias("a"), F.max("_day").alias("b")).select(
+        "host", F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("_day"))
+    upto = Window.partitionBy("host").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    return span.join(at, ["host", "_day"], "left").withColumn(
+        "_carry", F.last("_end", ignorenulls=True).over(upto))

@@ -25,6 +25,8 @@ def match_action(cmds: DataFrame, rules: list[Action] = ACTIONS) -> DataFrame:
     The registry is compiled into one ordered CASE, so matching needs neither join nor shuffle.
     """
     base = F.substring_index(F.col("filename"), "/", -1)
+    if "basename" in cmds.columns:
+        base = F.coalesce(F.col("basename"), base)
     hit = F.coalesce(*[F.when(action_matches(F.col("_base"), F.col("argv"), r), F.lit(i))
                        for i, r in enumerate(rules, start=1)])
     pick = lambda field: F.element_at(strings([getattr(r, field) for r in rules]), F.col("_rule"))

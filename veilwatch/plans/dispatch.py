@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.functions.argv import names_file
-from veilwatch.operators.joins import computed_once
-from veilwatch.operators.lineage import agent_events, asof_snapshot, descendants, flag_roots
+from veilwatch.operators.joins import SALTS, computed_once
+from veilwatch.operators.lineage import (agent_events, asof_snapshot, descendants, executed_nodes,
+                                         flag_roots)
 from veilwatch.plans import commits, containers, kv, path_policy, sql_audit
 from veilwatch.plans.actions import match_action
 from veilwatch.rules.registry import ACTIONS
@@ -22,7 +23,8 @@ from veilwatch.sources.exec_events import watchlist_filter
 from veilwatch.session import cut_lineage
 from veilwatch.sources.policy import Policy
 
-VERDICT_COLUMNS = ["event_id", "host", "ts", "action", "pid", "argv", "verdict", "masked", "threat"]
+VERDICT_COLUMNS = ["event_id", "host", "ts", "action", "pid", "argv", "stale", "verdict", "masked",
+                   "threat"]
 NO_POLICY = Policy([], [])
 
 
@@ -33,6 +35,7 @@ class Context(NamedTuple):
     diffs: DataFrame
     policy: Policy = NO_POLICY
     home: str | None = None
+    salts: int = SALTS  # tasks a hot host, path or pid is spread over: about cores times its share
 
 
 # Guards over matched commands; registering one means one entry here and one registry row.
@@ -92,18 +95,32 @@ def audit(cmds: DataFrame, ctx: Context, *names: str) -> DataFrame:
     guards = {n: GUARDS[n] for n in names} if names else GUARDS
     # a program has one registry row only, so leaving rows out cannot change the first match
     rules = [r for r in ACTIONS if r.guard in guards]
+    if "stale" not in cmds.columns:
+        cmds = cmds.withColumn("stale", F.lit(None).cast("boolean"))
     return judge(match_action(cmds, rules), ctx, guards)
 
 
-def agent_commands(cmds: DataFrame, procs: DataFrame) -> DataFrame:
-    """Watched commands run by an agent process or one of its descendants.
+def agent_executions(cmds: DataFrame, procs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``event_id`` and ``stale`` of the executions by an agent process or one of its descendants.
 
-    The cheap test on the program name comes first and reaches the scan where the name is stored.
+    Agents are the roots of the last snapshot before an execution.  A process that started later is
+    known by its own execution, which names its parent; every execution is such an edge, also of
+    programs nobody watches.  Only narrow columns of the log are read.
     """
-    watched = watchlist_filter(cmds)
-    roots = flag_roots(procs).filter("is_root").select("host", "snapshot_ts", "pid")
-    placed = asof_snapshot(watched, procs)
-    return agent_events(placed, descendants(procs, roots)).drop("snapshot_ts", "stale")
+    roots = flag_roots(procs).filter("is_root").select("host", "snapshot_ts", "pid").distinct()
+    narrow = cmds.select("event_id", "host", "ts", "pid", "ppid")
+    placed = cut_lineage(asof_snapshot(narrow, procs, salts=salts))
+    young = executed_nodes(placed, procs)
+    return agent_events(placed, descendants(procs, roots, young=young), salts).select("event_id", "stale")
+
+
+def agent_commands(cmds: DataFrame, procs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Watched commands run by an agent process or one of its descendants, with ``stale``: whether the
+    agents were last looked up longer ago than the refresh time.
+
+    The test on the program name reaches the scan where the name is stored.
+    """
+    return watchlist_filter(cmds).join(agent_executions(cmds, procs, salts), "event_id")
 
 
 def audit_commands(cmds: DataFrame, procs: DataFrame, ctx: Context) -> DataFrame:
@@ -112,4 +129,4 @@ def audit_commands(cmds: DataFrame, procs: DataFrame, ctx: Context) -> DataFrame
     The agents' commands are a small part of the log behind several joins, and three branches of
     the audit read them, so they are written once.
     """
-    return audit(cut_lineage(agent_commands(cmds, procs)), ctx)
+    return audit(cut_lineage(agent_commands(cmds, procs, ctx.salts)), ctx)

@@ -57,7 +57,7 @@ def build_reports(verdicts: DataFrame) -> DataFrame:
             .select("event_id", "host", "ts", report_kind(F.col("verdict")).alias("kind"),
                     F.col("threat.code").alias("code"), F.col("action").alias("tool"), "pid",
                     F.array_join("argv", " ").alias("command"),
-                    threat_message(F.col("threat")).alias("detail"),
+                    threat_message(F.col("threat")).alias("detail"), "stale",
                     F.to_date("ts").alias("report_date")))
 
 

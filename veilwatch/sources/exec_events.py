@@ -11,8 +11,8 @@ from veilwatch.rules.registry import WATCHED
 EXEC_EVENT_SCHEMA = ("host string, ts timestamp, pid bigint, uid bigint, "
                      "comm binary, filename binary")
 FRAME_SCHEMA = "host string, ts timestamp, raw binary"
-COMMAND_LOG_SCHEMA = ("event_id bigint, host string, ts timestamp, pid bigint, uid bigint, "
-                      "comm string, filename string, cmdline binary, cwd string")
+COMMAND_LOG_SCHEMA = ("event_id bigint, host string, ts timestamp, pid bigint, ppid bigint, uid bigint, "
+                      "comm string, filename string, basename string, cmdline binary, cwd string, day date")
 
 # Layout of a raw record.
 FRAME_BYTES = 280
@@ -37,9 +37,18 @@ def read_exec_events(spark: SparkSession, path: str, streaming: bool = False,
 
 def read_command_log(spark: SparkSession, path: str, streaming: bool = False,
                      glob: str | None = None) -> DataFrame:
+    """The command log as ``write_command_log`` stores it, by day and with the program's name."""
     return _read(spark, path, COMMAND_LOG_SCHEMA, streaming, glob)
 
 
+def write_command_log(log: DataFrame, path: str) -> None:
+    """Append to the stored log: a folder per day, the program's name beside its path."""
+    stored = log.withColumns({"basename": basename(F.col("filename")), "day": F.to_date("ts")})
+    names = [c.split()[0] for c in COMMAND_LOG_SCHEMA.split(", ")]
+    (stored.select(names).hint("rebalance", "day")
+     .write.partitionBy("day").mode("append").parquet(path))
+
+
 def _little_endian(raw: Column, at: int) -> Column:
     pairs = [F.hex(F.substring(raw, at + k, 1)) for k in range(4, 0, -1)]
     return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
@@ -73,8 +82,12 @@ def decode_exec_events(df: DataFrame) -> DataFrame:
 def watchlist_filter(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Keep executions of watched programs.
 
-    On a stored ``basename`` column the test reaches the Parquet scan; otherwise it is computed
-    from ``filename`` after the scan.
+    On a stored ``basename`` column the test reaches the Parquet scan; rows without a stored name, and
+    logs without the column, are tested by ``filename`` after the scan.
     """
-    name = F.col("basename") if "basename" in df.columns else basename(F.col("filename"))
-    return df.filter(name.isin(WATCHED if names is None else names))
+    names = WATCHED if names is None else names
+    computed = basename(F.col("filename")).isin(names)
+    if "basename" not in df.columns:
+        return df.filter(computed)
+    stored = F.col("basename")
+    return df.filter(stored.isin(names) | (stored.isNull() & computed))
