@@ -20,6 +20,7 @@ from veilwatch.plans.dispatch import agent_executions, audit, audit_commands
 from veilwatch.plans.reports import (build_reports, detail_lines, report_kind, report_text,
                                      threat_message)
 from veilwatch.rules import threat_texts as T
+from veilwatch.rules.sql_rules import SQL_TOOLS
 from veilwatch.session import checkpoint_root
 from veilwatch.sources.reports import write_reports
 from veilwatch.sources.snapshots import numeric_entries
@@ -406,8 +407,13 @@ def _log_stream(spark, sf):
     return with_argv(raw.drop("argv_text"))
 
 
-@query("x1_stream_verdicts", f"""SELECT {VERDICT} FROM x_all
-       WHERE event_id IN (SELECT event_id FROM x_matched WHERE guard IN ('kv', 'container', 'path'))""")
+_FILE_FLAGS = sorted({f for tool in SQL_TOOLS.values() for f in tool.file_flags})
+CTES["x_inrow"] = f"""SELECT event_id FROM x_matched WHERE guard IN ('kv', 'container', 'path') OR (guard IN ('sql', 'cluster')
+  AND len(list_filter(argv, lambda x: list_contains({quote(_FILE_FLAGS)}, x)
+    OR {" OR ".join(f"starts_with(x, {quote(f + '=')})" for f in _FILE_FLAGS)})) = 0)"""
+
+
+@query("x1_stream_verdicts", f"SELECT {VERDICT} FROM x_all WHERE event_id IN (SELECT event_id FROM x_inrow)")
 def streamed_verdicts(spark, sf):
     path = _folder(spark, "verdicts")
     stream = (stream_verdicts(_log_stream(spark, sf), context(spark, sf)).writeStream.format("parquet")
@@ -426,7 +432,7 @@ def streamed_reports(spark, sf):
 
 
 @query("x3_stream_daily_sink", """SELECT strftime(ts, '%Y-%m-%d') AS report_date, kind, count(*) AS n FROM x_reports
-       WHERE event_id IN (SELECT event_id FROM x_matched WHERE guard IN ('kv', 'container', 'path')) GROUP BY ALL""")
+       WHERE event_id IN (SELECT event_id FROM x_inrow) GROUP BY ALL""")
 def streamed_days(spark, sf):
     path = _folder(spark, "reports")
     stream_reports_of(_log_stream(spark, sf), context(spark, sf), path, _folder(spark, "state")).awaitTermination()

@@ -67,9 +67,9 @@ def number(col: Column) -> Column:
     return col.cast("bigint")
 
 
-def flat_verdicts(df: DataFrame) -> DataFrame:
+def flat_verdicts(df: DataFrame, *more: str) -> DataFrame:
     t = F.col("threat")
     return df.select(
         "event_id", "action", "verdict", number(F.col("masked")).alias("masked"),
         t["code"].alias("code"), t["tool"].alias("tool"), t["subject"].alias("subject"),
-        joined(t["details"]).alias("details"), t["inner_code"].alias("inner_code"))
+        joined(t["details"]).alias("details"), t["inner_code"].alias("inner_code"), *more)

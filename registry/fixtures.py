@@ -80,7 +80,7 @@ SELECT 'h' || CAST(d.doc_id % 4 AS STRING) AS host,
             WHEN 5 THEN 'DELETE FROM t; GRANT a TO b; '
             WHEN 6 THEN 'SELECT o_custkey' || chr(10) || 'FROM orders; '
             WHEN 7 THEN '/* note */ -- more' || chr(10)
-            ELSE '' END || d.text AS content
+            ELSE '' END || d.text AS content, TIMESTAMP '1970-01-01 00:00:00' AS recorded_at
 FROM {documents} d
 UNION ALL
 SELECT 'h' || CAST(p.page_id % 4 AS STRING) AS host,
@@ -91,7 +91,7 @@ SELECT 'h' || CAST(p.page_id % 4 AS STRING) AS host,
             WHEN 3 THEN '/etc/shadow'
             WHEN 4 THEN '/var/log/app' || CAST(p.page_id % 20 AS STRING) || '.log'
             ELSE '/srv/p' || CAST(p.page_id AS STRING) || '/index.html' END AS path,
-       p.html AS content
+       p.html AS content, TIMESTAMP '1970-01-01 00:00:00' AS recorded_at
 FROM {pages} p
 """
 
@@ -203,7 +203,8 @@ def file_contents(spark, sf_dir) -> DataFrame:
 def commit_diffs(spark, sf_dir) -> DataFrame:
     diffs = _derive(spark, sf_dir, DIFF_SQL, "documents")
     files = F.filter(F.split("files_text", ","), lambda x: x != "")
-    return diffs.select("event_id", files.alias("files"), "diff", "error")
+    return diffs.select("event_id", F.timestamp_seconds(F.lit(0)).alias("recorded_at"), files.alias("files"),
+                        "diff", "error")
 
 
 def policy_files(spark, sf_dir) -> DataFrame:

@@ -14,8 +14,8 @@ from veilwatch.functions.sqltext import (block_findings, dedup_consecutive, norm
 from veilwatch.functions.text import strings
 from veilwatch.plans.actions import match_action
 from veilwatch.plans.dispatch import Context, audit
-from veilwatch.plans.sql_audit import (first_protected, lookup_table_policy, masked_query,
-                                       policy_outcome, tool_label, with_policy_hit, with_sql_facts, with_sql_sources)
+from veilwatch.plans.sql_audit import (first_protected, lookup_table_policy,
+                                       policy_outcome, with_sql_facts, with_sql_sources)
 from veilwatch.rules import sql_rules as R
 from veilwatch.rules.threat_texts import UNSEEN_SQL
 from veilwatch.sources.contents import attach_diffs, attach_sql_files
@@ -310,15 +310,16 @@ def table_policies(spark, sf):
     return everywhere.select(cols).unionByName(own.select(cols))
 
 
-@query("c7_rewrite", f"""
+CTES["x_rewritten"] = f"""
 SELECT event_id, CASE WHEN fpos = 0 THEN sql ELSE {_head_sql('left(sql, fpos - 1)', 'tname', "tool = 'psql'")} || substr(sql, fpos) END AS rewritten
 FROM (SELECT *, {_AT} AS fpos FROM (SELECT p.k AS event_id, p.tool, p.sql, t.tname, upper(p.sql) AS u
-      FROM x_psql p JOIN x_firsttab t USING (k) WHERE t.mode = 'mask' AND NOT regexp_matches(p.sql, '(?i)\\bSELECT\\s+\\*')))""")
+      FROM x_psql p JOIN x_firsttab t USING (k) WHERE t.mode = 'mask' AND NOT regexp_matches(p.sql, '(?i)\\bSELECT\\s+\\*')))"""
+
+
+@query("c7_rewrite", "SELECT event_id, rewritten FROM x_rewritten")
 def rewritten(spark, sf):
-    rules = policy(spark)
-    df = with_policy_hit(_policy_sql(spark, sf), "sql", rules, "hit")
-    text = masked_query(F.col("hit.text"), F.col("hit.table"), F.col("tool"), rules)
-    return df.select("event_id", F.explode(F.array_compact(F.array(text))).alias("rewritten"))
+    done = audit(command_log(spark, sf), context(spark, sf), "sql").filter("masked")
+    return done.select("event_id", F.col("masked_query").alias("rewritten"))
 
 
 @query("c8_select_star", """SELECT k AS event_id, CAST(regexp_matches(sql, '(?i)\\bSELECT\\s+\\*') AS BIGINT) AS star
@@ -335,7 +336,13 @@ def _outcomes(spark, sf, outcome):
     matched = match_action(command_log(spark, sf)).filter("guard = 'sql'")
     df = with_sql_facts(with_sql_sources(matched), ctx.contents, ctx.policy)
     return flat_verdicts(df.withColumn("o", outcome(ctx.policy)).select(
-        "event_id", "action", "o.verdict", "o.masked", "o.threat"))
+        "event_id", "action", "o.verdict", "o.masked", "o.threat", F.col("o.query").alias("masked_query")),
+        "masked_query")
+
+
+def _with_query(verdicts: str) -> str:
+    return (f"SELECT v.*, r.rewritten AS masked_query FROM (SELECT {VERDICT} FROM {verdicts}) v "
+            "LEFT JOIN x_rewritten r USING (event_id)")
 
 
 @query("g1_audit_sql", f"SELECT {VERDICT} FROM x_g1")
@@ -344,9 +351,9 @@ def sql_verdicts(spark, sf):
     return flat_verdicts(audit(command_log(spark, sf), ctx, "sql"))
 
 
-@query("g2_table_policy", f"SELECT {VERDICT} FROM x_g2")
+@query("g2_table_policy", _with_query("x_g2"))
 def policy_verdicts(spark, sf):
-    return _outcomes(spark, sf, lambda p: policy_outcome(F.col("hit"), tool_label(F.col("tool")), p))
+    return _outcomes(spark, sf, lambda p: policy_outcome(F.col("hit"), F.col("tool"), p))
 
 
 @query("g7_cluster_exec", f"SELECT {VERDICT} FROM x_cluster")
@@ -354,6 +361,52 @@ def cluster_verdicts(spark, sf):
     return flat_verdicts(audit(command_log(spark, sf), context(spark, sf), "cluster"))
 
 
-@query("g8_chain", f"SELECT {VERDICT} FROM x_sql")
+@query("g8_chain", _with_query("x_sql"))
 def chained(spark, sf):
-    return flat_verdicts(audit(command_log(spark, sf), context(spark, sf), "sql"))
+    return flat_verdicts(audit(command_log(spark, sf), context(spark, sf), "sql"), "masked_query")
+
+
+# --- S5, S6: several versions ---------------------------------------------------------------------
+
+# Every file again: changed in the middle of the log (delivered twice), and once more later.
+_VERSIONS = """
+SELECT host, path, content, recorded_at FROM {contents}
+UNION ALL SELECT host, path, 'DROP TABLE v2; ' || left(content, 200), TIMESTAMP '2024-01-10 06:30:00' FROM {contents}
+UNION ALL SELECT host, path, 'DROP TABLE v2; ' || left(content, 200), TIMESTAMP '2024-01-10 06:30:00' FROM {contents}
+UNION ALL SELECT host, path, 'SHOW TABLES', TIMESTAMP '2024-01-10 18:00:00' FROM {contents}
+"""
+
+CTES.update({
+    "x_versions": "SELECT DISTINCT * FROM (" + _VERSIONS.format(contents="x_contents") + ")",
+    "x_filecmd": """SELECT m.event_id, m.host, m.ts, s.kind, s.v FROM x_matched m
+        JOIN x_auditsrc s ON s.event_id = m.event_id WHERE m.guard = 'sql'""",
+    "x_vsql": """SELECT e.event_id AS k, CASE e.kind WHEN 'inline' THEN e.v ELSE c.content END AS sql
+        FROM x_filecmd e ASOF LEFT JOIN x_versions c ON c.host = e.host AND c.path = e.v AND e.ts >= c.recorded_at""",
+    **_audit_ctes("x_v", "x_vsql"),
+})
+
+
+@query("s5_file_versions", """SELECT m.event_id, CASE a.level WHEN 'Dangerous' THEN 'Block' WHEN 'Suspicious' THEN 'Warn'
+         ELSE 'Allow' END AS verdict, a.code FROM x_matched m LEFT JOIN x_v_analysis a ON a.k = m.event_id
+       WHERE m.guard = 'sql'""")
+def file_versions(spark, sf):
+    """One verdict per command, by the newest version of its file at that time."""
+    versions = spark.sql(_VERSIONS, contents=file_contents(spark, sf))
+    done = audit(command_log(spark, sf), Context(versions, commit_diffs(spark, sf)), "sql")
+    return done.select("event_id", "verdict", "threat.code")
+
+
+_DIFFS = """
+SELECT event_id, recorded_at, files, diff, error FROM {diffs}
+UNION ALL SELECT event_id, TIMESTAMP '2000-01-01 00:00:00', files, '+newer ' || left(diff, 100), NULL FROM {diffs}
+UNION ALL SELECT event_id, TIMESTAMP '2000-01-01 00:00:00', files, '+newer ' || left(diff, 100), NULL FROM {diffs}
+UNION ALL SELECT event_id, TIMESTAMP '2099-01-01 00:00:00', files, '+too late', NULL FROM {diffs}
+"""
+
+
+@query("s6_diff_versions", """SELECT m.event_id, md5('+newer ' || left(d.diff, 100)) AS digest FROM x_matched m
+       LEFT JOIN x_diffs d USING (event_id) WHERE m.guard = 'commit'""")
+def diff_versions(spark, sf):
+    versions = spark.sql(_DIFFS, diffs=commit_diffs(spark, sf))
+    matched = match_action(command_log(spark, sf)).filter("guard = 'commit'")
+    return attach_diffs(matched, versions).select("event_id", F.md5("diff").alias("digest"))

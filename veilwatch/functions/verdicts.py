@@ -9,7 +9,7 @@ from veilwatch.functions.text import strings
 
 THREAT_TYPE = ("struct<code:string,tool:string,subject:string,"
                "details:array<string>,inner_code:string>")
-OUTCOME_TYPE = f"struct<verdict:string,masked:boolean,threat:{THREAT_TYPE}>"
+OUTCOME_TYPE = f"struct<verdict:string,masked:boolean,threat:{THREAT_TYPE},query:string>"
 
 
 def _part(value) -> Column:
@@ -22,8 +22,8 @@ def threat(code, tool=None, subject=None, details: Column | None = None, inner_c
                     strings([]) if details is None else details, _part(inner_code))
 
 
-def _outcome(verdict: str, masked: bool, what: Column) -> Column:
-    return F.struct(F.lit(verdict), F.lit(masked), what).cast(OUTCOME_TYPE)
+def _outcome(verdict: str, masked: bool, what: Column, query: Column | None = None) -> Column:
+    return F.struct(F.lit(verdict), F.lit(masked), what, _part(query)).cast(OUTCOME_TYPE)
 
 
 def allow() -> Column:
@@ -38,9 +38,9 @@ def block(what: Column) -> Column:
     return _outcome("Block", False, what)
 
 
-def masked(what: Column) -> Column:
-    """A block whose protected output has been masked."""
-    return _outcome("Block", True, what)
+def masked(what: Column, query: Column | None = None) -> Column:
+    """A block whose protected output has been masked, for SQL with the query that masks it."""
+    return _outcome("Block", True, what, query)
 
 
 def chain(first: Column, second: Column) -> Column:

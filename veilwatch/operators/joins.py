@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Default of a job's ``salts``: the number of tasks one key's rows are spread over.  Set it to about the
+#: number of cores times the share of the largest key.
 SALTS = 16
 
 
@@ -33,16 +35,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     return (left.withColumn("_salt", salt)
             .join(right.withColumn("_salt", copies), [*keys, "_salt"], how)
             .drop("_salt"))
-
-
-def left_join_where(df: DataFrame, needed: Column, right: DataFrame, keys: list[str],
-                    spread: list[str], salts: int = SALTS) -> DataFrame:
-    """Left join only the rows that may need it; the others pass by without a shuffle.
-
-    ``needed`` should be a cheap test on stored columns, never null: Spark pushes it below the
-    projections, where an expensive expression would be worked out once more.
-    """
-    touched = salted_join(df.filter(needed), right, keys, "left", spread, salts)
-    types = {f.name: f.dataType for f in right.schema.fields if f.name not in keys}
-    rest = df.filter(~needed).withColumns({name: F.lit(None).cast(t) for name, t in types.items()})
-    return touched.unionByName(rest)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwatch.functions.verdicts import allow, block, threat
 from veilwatch.operators.diffs import diff_hits
+from veilwatch.sources.contents import newest_diffs
 
 NOT_RECORDED = "no staged diff was recorded for this commit"
 
@@ -20,8 +21,8 @@ def diff_facts(diffs: DataFrame) -> DataFrame:
 
 
 def with_diff_facts(cmds: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Join the facts to commands; ``event_id`` is unique on both sides, so no key can be hot."""
-    return cmds.join(diff_facts(diffs), "event_id", "left")
+    """Join the facts of the diffs the commits saw; no pattern runs over any other diff."""
+    return cmds.join(diff_facts(newest_diffs(cmds, diffs)), "event_id", "left")
 
 
 def hit_text(hit: Column) -> Column:

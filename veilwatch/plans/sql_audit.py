@@ -14,10 +14,11 @@ from veilwatch.functions.masking import rewrite_select
 from veilwatch.functions.sqltext import selects_star, table_refs, with_sql_analysis
 from veilwatch.functions.text import ascii_lower, basename, replace_markers, string_map, strings
 from veilwatch.functions.verdicts import allow, block, chain, masked, threat, warn
-from veilwatch.operators.joins import computed_once, salted_join
+from veilwatch.operators.joins import SALTS, computed_once
 from veilwatch.rules.sql_rules import SQL_TOOLS
 from veilwatch.rules.threat_texts import UNSEEN_SQL
 from veilwatch.session import cut_lineage
+from veilwatch.sources.contents import FILE, newest_versions, version_texts
 from veilwatch.sources.policy import Policy
 
 _LABELS = {name: spec.label for name, spec in SQL_TOOLS.items()}
@@ -101,20 +102,15 @@ def _value(source: str, kind: str) -> Column:
 
 
 def _small_facts() -> list[Column]:
-    """What verdicts need of the facts; texts that only other uses need are not carried along."""
-    return [F.col("analysis").dropFields("category", "all_details").alias("analysis"),
-            F.col("hit").dropFields("text").alias("hit")]
-
-
-def file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
-    """Facts of every file some command names, once per file: ``host, path, analysis, hit``."""
-    paths = F.array_compact(F.array(_value("audit_source", "file"), _value("policy_source", "file")))
-    wanted = (cmds.filter(names_file())
-              .select("host", F.explode(paths).alias("path")).distinct())
-    files = contents.join(wanted, ["host", "path"], "left_semi")
-    files = with_sql_analysis(files, "content", "analysis")
+    """What verdicts need of the facts; a query's text only where it is to be rewritten."""
+    return [F.col("analysis").dropFields("category", "all_details").alias("analysis"), F.col("hit")]
+
+
+def file_facts(chosen: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
+    """Facts of every file version some command saw, once each: ``host, path, recorded_at, analysis, hit``."""
+    files = with_sql_analysis(version_texts(chosen, contents), "content", "analysis")
     files = with_policy_hit(files, "content", policy, "hit")
-    return files.select("host", "path", *_small_facts())
+    return files.select(*FILE, "recorded_at", *_small_facts())
 
 
 def with_inline_facts(cmds: DataFrame, policy: Policy) -> DataFrame:
@@ -126,26 +122,35 @@ def with_inline_facts(cmds: DataFrame, policy: Policy) -> DataFrame:
     return df.withColumns(dict(zip(("analysis", "hit"), _small_facts())))
 
 
-def with_file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
-    """Like ``with_inline_facts``, and the facts of SQL files, by salted joins."""
-    # written once: two joins read it, and it holds only the files that were named
-    facts = cut_lineage(file_facts(cmds, contents, policy))
+def with_file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy,
+                    salts: int = SALTS) -> DataFrame:
+    """Like ``with_inline_facts``, and the facts of the SQL files as the commands saw them.
+
+    Facts are worked out once per file version and brought to the commands by ``event_id``, so a file
+    that everybody runs makes no hot key there.
+    """
     df = (with_inline_facts(cmds, policy)
           .withColumn("_apath", _value("audit_source", "file"))
           .withColumn("_ppath", _value("policy_source", "file")))
-    by_audit = facts.select("host", F.col("path").alias("_apath"), F.col("analysis").alias("_fa"))
-    by_policy = facts.select("host", F.col("path").alias("_ppath"), F.col("hit").alias("_fh"))
-    df = salted_join(df, by_audit, ["host", "_apath"], "left", ["event_id"])
-    df = salted_join(df, by_policy, ["host", "_ppath"], "left", ["event_id"])
+    paths = F.array_distinct(F.array_compact(F.array(_value("audit_source", "file"),
+                                                     _value("policy_source", "file"))))
+    # written once: the versions and their facts are each read twice below
+    wanted = cut_lineage(cmds.select("event_id", "host", F.explode(paths).alias("path"), "ts").distinct())
+    chosen = cut_lineage(newest_versions(wanted, contents, salts))
+    facts = cut_lineage(file_facts(chosen, contents, policy))
+    known = chosen.join(facts, [*FILE, "recorded_at"])
+    by_audit = known.select("event_id", F.col("path").alias("_apath"), F.col("analysis").alias("_fa"))
+    by_policy = known.select("event_id", F.col("path").alias("_ppath"), F.col("hit").alias("_fh"))
+    df = df.join(by_audit, ["event_id", "_apath"], "left").join(by_policy, ["event_id", "_ppath"], "left")
     return (df.withColumns({"analysis": F.coalesce("analysis", "_fa"),
                             "hit": F.coalesce("hit", "_fh")})
             .drop("_apath", "_ppath", "_fa", "_fh"))
 
 
-def with_sql_facts(cmds: DataFrame, contents: DataFrame, policy: Policy) -> DataFrame:
+def with_sql_facts(cmds: DataFrame, contents: DataFrame, policy: Policy, salts: int = SALTS) -> DataFrame:
     """Facts of all commands; only those that may name a file are joined."""
     # the split tests the stored tokens: a filter on the extracted paths would work them out again
-    return (with_file_facts(cmds.filter(names_file()), contents, policy)
+    return (with_file_facts(cmds.filter(names_file()), contents, policy, salts)
             .unionByName(with_inline_facts(cmds.filter(~names_file()), policy)))
 
 
@@ -165,12 +170,14 @@ def _columns_of(table: Column, policy: Policy) -> Column:
     return F.coalesce(out, strings([]))
 
 
-def policy_outcome(hit: Column, label: Column, policy: Policy) -> Column:
-    """A masked table can be read column by column; a blocked one, or all columns, cannot."""
-    columns = _columns_of(hit["table"], policy)
+def policy_outcome(hit: Column, tool: Column, policy: Policy) -> Column:
+    """A masked table can be read column by column, by the rewritten query; a blocked one, or all
+    columns, cannot."""
+    columns, label = _columns_of(hit["table"], policy), tool_label(tool)
+    query = masked_query(hit["text"], hit["table"], tool, policy)
     return (F.when(hit.isNull(), allow())
             .when((hit["mode"] == "mask") & ~hit["star"],
-                  masked(threat("DATA_POLICY_MASKED", label, hit["table"], columns)))
+                  masked(threat("DATA_POLICY_MASKED", label, hit["table"], columns), query))
             .otherwise(block(threat("DATA_POLICY_BLOCK", label, hit["table"], columns))))
 
 
@@ -179,7 +186,7 @@ def with_sql_outcome(df: DataFrame, policy: Policy, out: str = "outcome",
     """The table policy first, the rule audit only where it allows."""
     gate = F.lit(True) if gate is None else gate
     label = tool_label(F.col("tool"))
-    first = policy_outcome(F.col("hit"), label, policy)
+    first = policy_outcome(F.col("hit"), F.col("tool"), policy)
     second = sql_outcome(F.col("analysis"), label)
     both = second if policy.empty else chain(F.col("_first"), second)
     if not policy.empty:

@@ -21,13 +21,10 @@ def without_replays(events: DataFrame) -> DataFrame:
             .dropDuplicatesWithinWatermark(["host", "pid", "ts", "filename"]))
 
 
-STATELESS_GUARDS = ("kv", "container", "path")
-
-
 def stream_verdicts(cmds: DataFrame, ctx: Context) -> DataFrame:
-    """Verdicts of the guards that look at the command line alone: a stateless streaming plan with
-    the rules compiled in."""
-    return audit(cmds, ctx, *STATELESS_GUARDS)
+    """Verdicts of all commands that need nothing but their own row: a stateless streaming plan with the
+    rules compiled in.  SQL files and commits need a lookup and are left to ``stream_audit``."""
+    return audit(cmds, ctx, lookups=False)
 
 
 def stream_reports_of(cmds: DataFrame, ctx: Context, path: str, checkpoint: str):
