@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from registry.base import (DUCK_TS, flat_verdicts, joined, number, query, stamp)
+from registry.base import (DUCK_TS, flat_verdicts, folder, joined, number, query, stamp)
 from registry.command_queries import VERDICT
 from registry.fixtures import (COMMAND_SQL, CTES, command_log, commands, commit_diffs, context,
-                               processes, processes_from, quote, table, values)
+                               processes, quote, raw_log, table, values)
 from registry.masking_queries import hits_sql
 from veilwatch.functions.argv import with_argv
+from veilwatch.functions.text import basename
 from veilwatch.operators.diffs import commit_hits, diff_lines, hunk_start, line_hits
 from veilwatch.operators.lineage import (asof_snapshot, descendants, flag_roots, next_snapshots,
                                          root_changes, root_pids, root_set_changes)
@@ -21,11 +20,12 @@ from veilwatch.plans.reports import (build_reports, detail_lines, report_kind, r
                                      threat_message)
 from veilwatch.rules import threat_texts as T
 from veilwatch.rules.sql_rules import SQL_TOOLS
-from veilwatch.session import checkpoint_root
 from veilwatch.sources.reports import write_reports
-from veilwatch.sources.snapshots import numeric_entries
-from veilwatch.streaming.audit_stream import (stream_audit, stream_reports_of, stream_root_changes,
-                                              stream_verdicts, without_replays)
+from veilwatch.sources.snapshots import (numeric_entries, read_process_snapshots,
+                                         write_process_snapshots)
+from veilwatch.sources.exec_events import read_command_log
+from veilwatch.streaming.audit_stream import (read_root_changes, stream_audit, stream_reports_of,
+                                              stream_root_changes, stream_verdicts, without_replays)
 
 # --- SQL: diffs -----------------------------------------------------------------------------------
 
@@ -218,7 +218,9 @@ def entries(spark, sf):
 
 @query("f3_roots", f"SELECT {_ROW} FROM x_roots")
 def roots(spark, sf):
-    return _named(_roots(processes(spark, sf)))
+    path = folder(spark, "snapshots")
+    write_process_snapshots(processes(spark, sf), path)
+    return _named(_roots(read_process_snapshots(spark, path)))
 
 
 @query("f3b_roots_strict", f"""SELECT {_ROW} FROM x_procs WHERE trim(comm) = 'claude'
@@ -383,13 +385,9 @@ def reports_of_agents(spark, sf):
     return _flat_reports(build_reports(verdicts))
 
 
-def _folder(spark, name: str) -> str:
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s7_report_sink", f"SELECT {_REPORT} FROM x_reports")
 def sink(spark, sf):
-    path = _folder(spark, "reports")
+    path = folder(spark, "reports")
     write_reports(build_reports(_verdicts(spark, sf)), path)
     return _flat_reports(spark.read.parquet(path))
 
@@ -415,48 +413,66 @@ CTES["x_inrow"] = f"""SELECT event_id FROM x_matched WHERE guard IN ('kv', 'cont
 
 @query("x1_stream_verdicts", f"SELECT {VERDICT} FROM x_all WHERE event_id IN (SELECT event_id FROM x_inrow)")
 def streamed_verdicts(spark, sf):
-    path = _folder(spark, "verdicts")
+    path = folder(spark, "verdicts")
     stream = (stream_verdicts(_log_stream(spark, sf), context(spark, sf)).writeStream.format("parquet")
-              .option("path", path).option("checkpointLocation", _folder(spark, "state"))
+              .option("path", path).option("checkpointLocation", folder(spark, "state"))
               .outputMode("append").trigger(availableNow=True).start())
     stream.awaitTermination()
     return flat_verdicts(spark.read.parquet(path))
 
 
+_BACKLOG = {"availableNow": True}
+_WHOLE = "60 days"  # the files below come up to a month late
+
+
+def _in_pieces(df, time: str, write) -> None:
+    """Write rows as they may arrive: the first ten days, then the last, then those between (late), and
+    the first ten days a second time."""
+    days = F.dayofmonth(time)
+    early, late = days <= 10, (days > 10) & (days <= 20)
+    for part in (early, ~early & ~late, late, early):
+        write(df.filter(part).coalesce(1))
+
+
 @query("x2_stream_agent_reports", f"SELECT {_REPORT} FROM x_reports WHERE event_id IN (SELECT event_id FROM x_agent)")
 def streamed_reports(spark, sf):
-    path = _folder(spark, "reports")
-    stream_audit(_log_stream(spark, sf), lambda: context(spark, sf), path, _folder(spark, "state"),
-                 lambda: processes(spark, sf)).awaitTermination()
+    path, log = folder(spark, "reports"), folder(spark, "log")
+    write = lambda df: df.withColumns({"basename": basename(F.col("filename"))}).write.mode("append").parquet(log)
+    _in_pieces(raw_log(spark, sf), "ts", write)
+    stream = with_argv(read_command_log(spark, log, streaming=True, per_batch=1))
+    stored = lambda: read_command_log(spark, log).dropDuplicates(["event_id"])
+    stream_audit(stream, lambda: context(spark, sf), path, folder(spark, "state"), lambda: processes(spark, sf),
+                 stored, _BACKLOG, _WHOLE).awaitTermination()
     return _flat_reports(spark.read.parquet(path))
 
 
 @query("x3_stream_daily_sink", """SELECT strftime(ts, '%Y-%m-%d') AS report_date, kind, count(*) AS n FROM x_reports
        WHERE event_id IN (SELECT event_id FROM x_inrow) GROUP BY ALL""")
 def streamed_days(spark, sf):
-    path = _folder(spark, "reports")
-    stream_reports_of(_log_stream(spark, sf), context(spark, sf), path, _folder(spark, "state")).awaitTermination()
+    path = folder(spark, "reports")
+    stream_reports_of(_log_stream(spark, sf), context(spark, sf), path, folder(spark, "state"), _BACKLOG,
+                      _WHOLE).awaitTermination()
     return spark.read.parquet(path).groupBy(F.col("report_date").cast("string").alias("report_date"), "kind").agg(
         F.count("*").alias("n"))
 
 
 @query("x4_stream_root_changes", f"SELECT {_ROW}, change FROM x_moves")
 def streamed_changes(spark, sf):
-    path = _folder(spark, "changes")
-    procs = processes_from(spark, _stream(spark, sf, "events"))
-    none = processes(spark, sf).filter(F.lit(False))
-    stream_root_changes(procs, lambda: none, path, _folder(spark, "state")).awaitTermination()
-    return _named(spark.read.parquet(path), "change")
+    path, snaps = folder(spark, "changes"), folder(spark, "snapshots")
+    _in_pieces(processes(spark, sf), "snapshot_ts", lambda df: write_process_snapshots(df, snaps))
+    stream = read_process_snapshots(spark, snaps, streaming=True, per_batch=1)
+    stream_root_changes(stream, path, folder(spark, "state"), _BACKLOG, _WHOLE).awaitTermination()
+    return _named(read_root_changes(spark, path), "change")
 
 
 @query("x_replays", "SELECT host, count(*) AS n FROM x_log0 GROUP BY host")
 def replays(spark, sf):
     """Every command delivered twice is kept once."""
-    path = _folder(spark, "once")
+    path = folder(spark, "once")
     twice = spark.sql(COMMAND_SQL, events=_stream(spark, sf, "events"), commands=commands(spark))
     twice = twice.select("host", "pid", "ts", "filename", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    stream = (without_replays(twice).writeStream.format("parquet").option("path", path)
-              .option("checkpointLocation", _folder(spark, "state"))
+    stream = (without_replays(twice, _WHOLE).writeStream.format("parquet").option("path", path)
+              .option("checkpointLocation", folder(spark, "state"))
               .outputMode("append").trigger(availableNow=True).start())
     stream.awaitTermination()
     return spark.read.parquet(path).groupBy("host").agg(F.count("*").alias("n"))

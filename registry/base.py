@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.fixtures import oracle
+from veilwatch.session import checkpoint_root
 
 QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -44,6 +46,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables a query writes and reads again."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def oracles() -> dict[str, str]:
     """The SQL of every query that has one, with the common table expressions it needs."""
     return {name: oracle(sql) for name, sql in _SQL.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import joined, number, query
+from registry.base import folder, joined, number, query
 from registry.fixtures import (CTES, HOME, command_log, exec_frames, file_contents, policy,
                                policy_files, raw_log, spread_table, table)
 from veilwatch.functions.globs import expand_home, glob_test
@@ -14,7 +14,8 @@ from veilwatch.functions.text import clip_bytes, snippet
 from veilwatch.plans.path_policy import mask_files
 from veilwatch.rules.mask_rules import SQL_TEXT
 from veilwatch.rules.text_rules import TEXT_RULES
-from veilwatch.sources.exec_events import decode_exec_events, decode_frames, watchlist_filter
+from veilwatch.sources.exec_events import (decode_exec_events, decode_frames, read_command_log,
+                                           read_exec_events, watchlist_filter, write_command_log)
 from veilwatch.sources.policy import load_policies, parse_policy_lines, policy_summary
 
 
@@ -332,7 +333,23 @@ _EXEC = """SELECT event_id, 'h' || CAST(CAST(floor(event_id / 50) AS BIGINT) % 4
 @query("s1_exec_frames", f"SELECT host, count(*) AS n, CAST(sum(pid) AS BIGINT) AS pids, "
                          f"CAST(sum(uid) AS BIGINT) AS uids FROM ({_EXEC}) GROUP BY host")
 def frames(spark, sf):
-    df = decode_frames(exec_frames(spark, sf))
+    path = folder(spark, "frames")
+    exec_frames(spark, sf).select("host", "ts", "raw").write.parquet(path)
+    return _frame_counts(read_exec_events(spark, path, raw=True))
+
+
+@query("s1_stream_frames", f"SELECT host, count(*) AS n, CAST(sum(pid) AS BIGINT) AS pids, "
+                           f"CAST(sum(uid) AS BIGINT) AS uids FROM ({_EXEC}) GROUP BY host")
+def streamed_frames(spark, sf):
+    path, out = folder(spark, "frames"), folder(spark, "decoded")
+    exec_frames(spark, sf).select("host", "ts", "raw").write.parquet(path)
+    events = read_exec_events(spark, path, streaming=True, raw=True, per_batch=2)
+    (events.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return _frame_counts(spark.read.parquet(out))
+
+
+def _frame_counts(df):
     return df.groupBy("host").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"),
                                   F.sum("uid").alias("uids"))
 
@@ -349,7 +366,10 @@ def decoded(spark, sf):
     'docker', 'kubectl', 'cat', 'head', 'tail', 'grep', 'egrep', 'fgrep', 'diff', 'find', 'cp', 'mv')
   GROUP BY base""")
 def watchlist(spark, sf):
-    kept = watchlist_filter(raw_log(spark, sf))
+    """The stored log, read back by its reader."""
+    path = folder(spark, "log")
+    write_command_log(raw_log(spark, sf), path)
+    kept = watchlist_filter(read_command_log(spark, path))
     return kept.groupBy(F.substring_index("filename", "/", -1).alias("program")).agg(F.count("*").alias("n"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import flat_verdicts, joined, joined_some, number, query
+from registry.base import flat_verdicts, folder, joined, joined_some, number, query
 from registry.command_queries import VERDICT
-from registry.fixtures import (CTES, command_log, commit_diffs, context, file_contents, policy,
+from registry.fixtures import (CTES, HOME, command_log, commit_diffs, context, file_contents, policy,
                                policy_files, quote, spread_table, table, values)
 from veilwatch.functions.sqltext import (block_findings, dedup_consecutive, normalise_sql,
                                          query_findings, selects_star, stacked_statement,
@@ -14,11 +14,13 @@ from veilwatch.functions.sqltext import (block_findings, dedup_consecutive, norm
 from veilwatch.functions.text import strings
 from veilwatch.plans.actions import match_action
 from veilwatch.plans.dispatch import Context, audit
+from veilwatch.plans.path_policy import lookup_path_policy
 from veilwatch.plans.sql_audit import (first_protected, lookup_table_policy,
                                        policy_outcome, with_sql_facts, with_sql_sources)
 from veilwatch.rules import sql_rules as R
 from veilwatch.rules.threat_texts import UNSEEN_SQL
-from veilwatch.sources.contents import attach_diffs, attach_sql_files
+from veilwatch.sources.contents import (COMMIT_DIFFS_SCHEMA, FILE_CONTENTS_SCHEMA, attach_diffs,
+                                        attach_sql_files, read_commit_diffs, read_file_contents)
 from veilwatch.sources.policy import load_policies
 
 _RANKS = {c: i for i, (c, _) in enumerate(R.CATEGORY_PRIORITY, start=1)}
@@ -293,21 +295,51 @@ def protected(spark, sf):
 
 
 @query("j3_table_policy", """
-SELECT t.policy_id, r.k AS event_id, t.name AS "table", t.mode FROM x_refs r JOIN x_ptables t ON t.name = r.ref
+SELECT t.policy_id, r.k AS event_id, t.name AS "table", t.mode FROM x_refs r JOIN x_ptables t
+  ON t.policy_id = 'p' || (r.k % 100 + 1) AND t.name = r.ref
 UNION ALL SELECT t.policy_id, CAST(o_custkey AS BIGINT), t.name, t.mode FROM orders JOIN x_ptables t
   ON t.policy_id = 'p' || o_custkey AND t.name = 'cards_' || (o_custkey % 25)""")
 def table_policies(spark, sf):
     tables = load_policies(policy_files(spark, sf)).tables
     queries = _policy_sql(spark, sf).select(
+        F.concat(F.lit("p"), (F.col("event_id") % 100 + 1).cast("string")).alias("policy_id"),
         "event_id", F.explode(table_refs(F.col("sql"))).alias("ref"))
-    everywhere = lookup_table_policy(queries, tables)
     per_customer = table(spark, sf, "orders").select(
         F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("policy_id"),
         F.col("o_custkey").alias("event_id"),
         F.concat(F.lit("Cards_"), (F.col("o_custkey") % 25).cast("string")).alias("ref"))
-    own = lookup_table_policy(per_customer, tables)
     cols = ["policy_id", "event_id", "table", "mode"]
-    return everywhere.select(cols).unionByName(own.select(cols))
+    return lookup_table_policy(queries, tables).select(cols).unionByName(
+        lookup_table_policy(per_customer, tables).select(cols))
+
+
+_TOUCHED = """SELECT o_orderkey AS id, 'p' || CAST(o_custkey AS STRING) AS policy_id, CASE o_orderkey % 6
+  WHEN 0 THEN '/etc/' || split_part(o_orderpriority, '-', 2) || '/x' WHEN 1 THEN '/etc/BUILDING/a/b'
+  WHEN 2 THEN '/home/u/.env.' || CAST(o_custkey AS STRING) WHEN 3 THEN '/srv/n' || CAST(o_custkey % 25 AS STRING) || '1.yaml'
+  WHEN 4 THEN '/home/u' ELSE '/etc/MACHINERY' END AS path FROM {orders}"""
+
+
+CTES.update({
+    "x_touched": _TOUCHED.format(orders="orders"),
+    "x_ownrules": """SELECT policy_id, line AS ord, tok[2] AS raw, tok[1][2:] AS mode,
+          CASE WHEN tok[2] = '~' OR starts_with(tok[2], '~/') THEN '/home/u' || substr(tok[2], 2) ELSE tok[2] END AS e
+        FROM x_plines JOIN x_pwin USING (policy_id, priority) WHERE tok[1] IN ('fblock', 'fmask')""",
+    "x_ownhits": """SELECT t.id, t.policy_id, t.path, r.ord, r.raw, r.mode,
+          row_number() OVER (PARTITION BY t.id ORDER BY r.ord) AS nth
+        FROM x_touched t JOIN x_ownrules r ON r.policy_id = t.policy_id AND CASE
+          WHEN ends_with(r.e, '/') THEN starts_with(t.path, r.e) OR t.path = rtrim(r.e, '/')
+          ELSE regexp_full_match(t.path, replace(replace(replace(replace(replace(r.e, '.', '\\.'), '**', chr(1)),
+               '*', '[^/]*'), '?', '.'), chr(1), '.*')) END""",
+})
+
+
+@query("j4_many_policies",
+       "SELECT id, policy_id, path, CAST(ord AS BIGINT) AS ord, raw, mode FROM x_ownhits WHERE nth = 1")
+def many_policies(spark, sf):
+    """Every order's path against the rules of its customer's own policy."""
+    touched = spark.sql(_TOUCHED, orders=table(spark, sf, "orders"))
+    found = lookup_path_policy(touched, load_policies(policy_files(spark, sf), HOME).paths)
+    return found.select("id", "policy_id", "path", number(F.col("ord")).alias("ord"), "raw", "mode")
 
 
 CTES["x_rewritten"] = f"""
@@ -386,12 +418,18 @@ CTES.update({
 })
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 @query("s5_file_versions", """SELECT m.event_id, CASE a.level WHEN 'Dangerous' THEN 'Block' WHEN 'Suspicious' THEN 'Warn'
          ELSE 'Allow' END AS verdict, a.code FROM x_matched m LEFT JOIN x_v_analysis a ON a.k = m.event_id
        WHERE m.guard = 'sql'""")
 def file_versions(spark, sf):
     """One verdict per command, by the newest version of its file at that time."""
-    versions = spark.sql(_VERSIONS, contents=file_contents(spark, sf))
+    path = folder(spark, "contents")
+    spark.sql(_VERSIONS, contents=file_contents(spark, sf)).select(_names(FILE_CONTENTS_SCHEMA)).write.parquet(path)
+    versions = read_file_contents(spark, path)
     done = audit(command_log(spark, sf), Context(versions, commit_diffs(spark, sf)), "sql")
     return done.select("event_id", "verdict", "threat.code")
 
@@ -407,6 +445,8 @@ UNION ALL SELECT event_id, TIMESTAMP '2099-01-01 00:00:00', files, '+too late',
 @query("s6_diff_versions", """SELECT m.event_id, md5('+newer ' || left(d.diff, 100)) AS digest FROM x_matched m
        LEFT JOIN x_diffs d USING (event_id) WHERE m.guard = 'commit'""")
 def diff_versions(spark, sf):
-    versions = spark.sql(_DIFFS, diffs=commit_diffs(spark, sf))
+    path = folder(spark, "diffs")
+    spark.sql(_DIFFS, diffs=commit_diffs(spark, sf)).select(_names(COMMIT_DIFFS_SCHEMA)).write.parquet(path)
+    versions = read_commit_diffs(spark, path)
     matched = match_action(command_log(spark, sf)).filter("guard = 'commit'")
     return attach_diffs(matched, versions).select("event_id", F.md5("diff").alias("digest"))

@@ -1,11 +1,16 @@
 """Shapes of plans that matter at scale."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from registry.fixtures import commit_diffs, policy
+from registry.fixtures import command_log, commit_diffs, context, file_contents, policy, raw_log
 from veilwatch.functions.masking import mask_table
+from veilwatch.functions.verdicts import allow, block, threat
 from veilwatch.operators.diffs import commit_hits, diff_lines
-from veilwatch.plans.dispatch import Context, audit
+from veilwatch.plans.dispatch import GUARDS, Context, Guard, audit
+from veilwatch.rules.registry import ACTIONS, Action
+from veilwatch.session import build_session, checkpoint_root
+from veilwatch.sources.exec_events import read_command_log, watchlist_filter, write_command_log
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +35,93 @@ def test_command_guards_do_not_shuffle(spark, tmp_path):
     assert done.filter("verdict = 'Block'").count() == 10
 
 
+def test_all_guards_scan_the_log_once(spark, tmp_path):
+    command_log(spark, SF).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        scans.add(1)
+        yield from batches
+
+    parts = log.rdd.getNumPartitions()
+    done = audit(log.mapInArrow(seen, log.schema), context(spark, SF))
+    assert done.count() > 300
+    assert scans.value == parts
+    assert str(tmp_path / "log") not in _plan(done)
+
+
+def test_watch_list_reaches_the_scan(spark, tmp_path):
+    write_command_log(raw_log(spark, SF), str(tmp_path / "log"))
+    df = watchlist_filter(read_command_log(spark, str(tmp_path / "log")))
+    pushed = [x for x in _plan(df).splitlines() if "PushedFilters" in x][0]
+    assert "In(basename" in pushed
+    assert df.count() == watchlist_filter(raw_log(spark, SF)).count() > 0
+
+
+def test_rows_without_a_stored_name_are_kept(spark):
+    df = spark.createDataFrame([("/usr/bin/psql", None), ("/usr/bin/psql", "psql"), ("/bin/ls", None)],
+                               "filename string, basename string")
+    assert watchlist_filter(df).count() == 2
+
+
+def test_no_folder_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default
+                        if key == "spark.checkpoint.dir" else named)
+    with pytest.raises(RuntimeError):
+        checkpoint_root(spark)
+    assert build_session is not None
+
+
+def test_a_seventh_guard_with_its_own_lookup(spark, tmp_path):
+    """Registering a guard takes an entry and a registry row, and no change to the dispatch."""
+    known = spark.createDataFrame([("pkg-bad", "stolen")], "package string, why string")
+
+    def needs():
+        return F.size("argv") > 2
+
+    def lookup(df, ctx):
+        return df.withColumn("package", F.get("argv", 2)).join(ctx.tables["packages"], "package", "left")
+
+    def inline(df, ctx):
+        return df.withColumn("why", F.lit(None).cast("string"))
+
+    def outcome(df, ctx, out, gate):
+        said = F.when(F.col("why").isNotNull(), block(threat("PACKAGE", "npm", None, F.array("why")))).otherwise(allow())
+        return df.withColumn(out, F.when(gate, said))
+
+    log = spark.createDataFrame(
+        [(1, ["npm", "install", "pkg-bad"]), (2, ["npm", "install", "pkg-good"]), (3, ["npm", "install"]),
+         (4, ["docker", "run", "--privileged", "x"])], "event_id long, argv array<string>")
+    log = log.withColumns({"host": F.lit("h"), "ts": F.lit("2024-01-01").cast("timestamp"), "pid": F.lit(1),
+                           "cwd": F.lit("/w"), "filename": F.concat(F.lit("/usr/bin/"), F.get("argv", 0))})
+    rules = [*ACTIONS, Action(99, "npm-install", "npm", ["install"], [], "package")]
+    ctx = Context(file_contents(spark, SF), commit_diffs(spark, SF), policy(spark), "/home/u",
+                  tables={"packages": known})
+    done = audit(log, ctx, guards={**GUARDS, "package": Guard(outcome, None, needs, lookup, inline)}, rules=rules)
+    assert {r["event_id"]: r["verdict"] for r in done.collect()} == {1: "Block", 2: "Allow", 3: "Allow", 4: "Block"}
+
+
+def test_one_verdict_per_event_whatever_is_delivered_twice(spark):
+    log, ctx = command_log(spark, SF), context(spark, SF)
+    twice = ctx._replace(contents=ctx.contents.unionByName(ctx.contents), diffs=ctx.diffs.unionByName(ctx.diffs))
+    once = audit(log, ctx).select("event_id", "verdict", "threat")
+    again = audit(log, twice).select("event_id", "verdict", "threat")
+    assert again.count() == once.count() == again.select("event_id").distinct().count()
+    assert again.exceptAll(once).count() == 0
+
+
+def test_diffs_are_cut_before_any_pattern(spark, tmp_path):
+    commit_diffs(spark, SF).write.parquet(str(tmp_path / "d"))
+    diffs = spark.read.parquet(str(tmp_path / "d"))
+    plan = _plan(audit(command_log(spark, SF), Context(None, diffs), "commit"))
+    scan = plan.index(str(tmp_path / "d"))
+    between = plan[plan.rindex("Join", 0, scan):scan]
+    assert "regexp" not in between and "rlike" not in between
+
+
 def test_diffs_do_not_shuffle(spark, tmp_path):
     commit_diffs(spark, SF).write.parquet(str(tmp_path / "d"))
     diffs = spark.read.parquet(str(tmp_path / "d"))

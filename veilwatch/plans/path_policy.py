@@ -78,3 +78,37 @@ def mask_files(contents: DataFrame, policy: Policy) -> DataFrame:
     return (contents.withColumn("_rule", first_rule(F.col("path"), rules))
             .filter(F.col("_rule").isNotNull() & (mode == "mask"))
             .withColumn("content", mask_text(F.col("content"))).drop("_rule"))
+
+
+def lookup_path_policy(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The first rule of each row's own policy that covers its path: ``ord``, ``raw``, ``mode``.
+
+    ``paths`` has ``id`` (unique), ``policy_id`` and ``path``; ``rules`` are the path rules of many parsed
+    policies.  Literal paths are found by an equi join, directories by one on the path's own parents, and
+    patterns run only within the row's policy, whose patterns are one list, bounded by its file's lines.
+    Rows no rule covers are left out.
+    """
+    target = F.col("expanded")
+    below = target.endswith("/")
+    pattern = ~below & (F.contains(target, F.lit("*")) | F.contains(target, F.lit("?")))
+    rule = F.struct("ord", "raw", "mode")
+    literal = rules.filter(~below & ~pattern).groupBy("policy_id", target.alias("path")).agg(
+        F.min(rule).alias("_literal"))
+    folders = rules.filter(below).groupBy(
+        "policy_id", F.regexp_replace(target, r"/+\z", "").alias("_parent")).agg(F.min(rule).alias("_folder"))
+    patterns = rules.filter(pattern).groupBy("policy_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "raw", "mode", "regex"))).alias("_patterns"))
+    parts = F.split("path", "/")
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                          lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    by_folder = (paths.select("id", "policy_id", F.explode(parents).alias("_parent"))
+                 .join(folders, ["policy_id", "_parent"]).groupBy("id").agg(F.min("_folder").alias("_folder")))
+    df = (paths.join(literal, ["policy_id", "path"], "left").join(by_folder, "id", "left")
+          .join(patterns, "policy_id", "left"))
+    fits = F.filter("_patterns", lambda p: F.rlike(F.col("path"), p["regex"]))
+    found = F.transform(F.slice(fits, 1, 1), lambda p: F.struct(p["ord"].alias("ord"), p["raw"].alias("raw"),
+                                                                p["mode"].alias("mode")))
+    best = F.array_min(F.array_compact(F.concat(
+        F.array("_literal", "_folder"), F.coalesce(found, F.array().cast("array<struct<ord:int,raw:string,mode:string>>")))))
+    return (df.withColumn("_best", best).filter(F.col("_best").isNotNull())
+            .select(*paths.columns, "_best.ord", "_best.raw", "_best.mode"))

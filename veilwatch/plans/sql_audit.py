@@ -41,13 +41,11 @@ def first_protected(refs: Column, policy: Policy) -> Column:
 
 
 def lookup_table_policy(refs: DataFrame, tables: DataFrame) -> DataFrame:
-    """Join referenced names (``ref``) to table rules, also by ``policy_id`` where refs carry one.
+    """The table rules of each row's own policy (``policy_id``) that name its table (``ref``).
 
-    For many policies at once.  Names are compared in lower case; Spark broadcasts the rules where
-    their size allows.
+    Names are compared in lower case; Spark broadcasts the rules where their size allows.
     """
-    keys = [k for k in ("policy_id",) if k in refs.columns]
-    return refs.withColumn("table", ascii_lower(F.col("ref"))).join(tables, [*keys, "table"])
+    return refs.withColumn("table", ascii_lower(F.col("ref"))).join(tables, ["policy_id", "table"])
 
 
 def with_policy_hit(df: DataFrame, sql: str, policy: Policy, out: str) -> DataFrame:

@@ -20,25 +20,25 @@ PID_AT, UID_AT, COMM_AT, FILENAME_AT = 0, 4, 8, 24
 COMM_BYTES, FILENAME_BYTES = 16, 256
 
 
-def _read(spark: SparkSession, path: str, schema: str, streaming: bool, glob: str | None):
+def _read(spark: SparkSession, path: str, schema: str, streaming: bool, per_batch: int | None):
     reader = (spark.readStream if streaming else spark.read).schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
     return reader.parquet(path)
 
 
 def read_exec_events(spark: SparkSession, path: str, streaming: bool = False,
-                     raw: bool = False, glob: str | None = None) -> DataFrame:
+                     raw: bool = False, per_batch: int | None = None) -> DataFrame:
     """Execution events from Parquet; ``raw`` reads undecoded frames and drops short ones."""
     if raw:
-        return decode_frames(_read(spark, path, FRAME_SCHEMA, streaming, glob))
-    return _read(spark, path, EXEC_EVENT_SCHEMA, streaming, glob)
+        return decode_frames(_read(spark, path, FRAME_SCHEMA, streaming, per_batch))
+    return _read(spark, path, EXEC_EVENT_SCHEMA, streaming, per_batch)
 
 
 def read_command_log(spark: SparkSession, path: str, streaming: bool = False,
-                     glob: str | None = None) -> DataFrame:
+                     per_batch: int | None = None) -> DataFrame:
     """The command log as ``write_command_log`` stores it, by day and with the program's name."""
-    return _read(spark, path, COMMAND_LOG_SCHEMA, streaming, glob)
+    return _read(spark, path, COMMAND_LOG_SCHEMA, streaming, per_batch)
 
 
 def write_command_log(log: DataFrame, path: str) -> None:
@@ -90,4 +90,5 @@ def watchlist_filter(df: DataFrame, names: list[str] | None = None) -> DataFrame
     if "basename" not in df.columns:
         return df.filter(computed)
     stored = F.col("basename")
-    return df.filter(stored.isin(names) | (stored.isNull() & computed))
+    # two conditions, of which the first reaches the scan
+    return df.filter(stored.isin(names) | stored.isNull()).filter(stored.isNotNull() | computed)

@@ -9,8 +9,18 @@ SNAPSHOT_SCHEMA = ("host string, snapshot_ts timestamp, pid bigint, ppid bigint,
                    "comm string, cmdline string")
 
 
-def read_process_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
+def read_process_snapshots(spark: SparkSession, path: str, streaming: bool = False,
+                           per_batch: int | None = None) -> DataFrame:
+    """Process snapshots from Parquet; a stream takes ``per_batch`` files at a time."""
+    reader = (spark.readStream if streaming else spark.read).schema(SNAPSHOT_SCHEMA)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(path)
+
+
+def write_process_snapshots(procs: DataFrame, path: str) -> None:
+    names = [c.split()[0] for c in SNAPSHOT_SCHEMA.split(", ")]
+    procs.select(names).write.mode("append").parquet(path)
 
 
 def numeric_entries(entries: DataFrame, name: str = "entry") -> DataFrame:

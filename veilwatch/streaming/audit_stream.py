@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwatch.operators.lineage import flag_roots, root_changes
-from veilwatch.plans.dispatch import Context, audit, audit_commands
+from veilwatch.operators.lineage import flag_roots
+from veilwatch.plans.dispatch import Context, agent_executions, audit
 from veilwatch.plans.reports import build_reports
-from veilwatch.sources.reports import stream_reports
+from veilwatch.sources.exec_events import watchlist_filter
+from veilwatch.sources.reports import CADENCE, stream_reports, write_reports
 
-REPLAY_WINDOW = "10 seconds"
+#: How late an execution may arrive and still be told from a replay; later ones are dropped.
+LATENESS = "1 hour"
+#: How late a snapshot may arrive and still be put between its neighbours.
+KEPT = "1 day"
 
+_SETS = "host string, snapshot_ts timestamp, pids array<bigint>"
+_CHANGES = "host string, snapshot_ts timestamp, pid bigint, change string, batch_id bigint"
 
-def without_replays(events: DataFrame) -> DataFrame:
-    """Drop executions seen before within the replay window."""
-    return (events.withWatermark("ts", REPLAY_WINDOW)
+
+def without_replays(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Drop executions that were delivered before."""
+    return (events.withWatermark("ts", lateness)
             .dropDuplicatesWithinWatermark(["host", "pid", "ts", "filename"]))
 
 
@@ -27,45 +34,84 @@ def stream_verdicts(cmds: DataFrame, ctx: Context) -> DataFrame:
     return audit(cmds, ctx, lookups=False)
 
 
-def stream_reports_of(cmds: DataFrame, ctx: Context, path: str, checkpoint: str):
-    """Reports of ``stream_verdicts`` in the day-partitioned sink."""
-    return stream_reports(build_reports(stream_verdicts(cmds, ctx)), path, checkpoint)
+def stream_reports_of(cmds: DataFrame, ctx: Context, path: str, checkpoint: str,
+                      trigger: dict = CADENCE, lateness: str = LATENESS):
+    """Reports of ``stream_verdicts`` in the sink, each execution once."""
+    verdicts = stream_verdicts(without_replays(cmds, lateness), ctx)
+    return stream_reports(build_reports(verdicts), path, checkpoint, trigger)
 
 
 def stream_audit(cmds: DataFrame, context: Callable[[], Context], path: str, checkpoint: str,
-                 snapshots: Callable[[], DataFrame] | None = None):
+                 snapshots: Callable[[], DataFrame] | None = None,
+                 log: Callable[[], DataFrame] | None = None,
+                 trigger: dict = CADENCE, lateness: str = LATENESS):
     """All guards on a stream; with ``snapshots`` only commands of agent processes.
 
-    Lookups of files and diffs and the chain of joins over process snapshots run in the batch
-    function, which reads their state anew for every micro-batch.  A batch writes to its own folder
-    and overwrites it when it is replayed, so a replay leaves no double reports.
+    Lookups of files and diffs and the joins over process snapshots run in the batch function, which
+    reads their state anew for every micro-batch.  ``log`` gives the stored executions, from which
+    processes younger than their snapshot are known; without it those of the batch are.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        verdicts = (audit_commands(batch, snapshots(), context()) if snapshots
-                    else audit(batch, context()))
-        (build_reports(verdicts).hint("rebalance", "report_date")
-         .write.partitionBy("report_date").mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+        if snapshots:
+            known = log() if log else batch
+            ours = agent_executions(known, snapshots(), context().salts)
+            batch = watchlist_filter(batch).join(ours, "event_id")
+        write_reports(build_reports(audit(batch, context())), path, str(batch_id))
 
-    return (cmds.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return (without_replays(cmds, lateness).writeStream.foreachBatch(each)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def stream_root_changes(snapshots: DataFrame, history: Callable[[], DataFrame], path: str,
-                        checkpoint: str):
-    """Root changes per micro-batch of snapshots, against the last snapshot before the batch.
+def stream_root_changes(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict = CADENCE,
+                        kept: str = KEPT):
+    """Root changes per micro-batch of snapshots; read them by ``read_root_changes``.
 
-    ``history`` gives the stored snapshots; only each host's newest one before the batch is used.
-    Each batch has its own folder, overwritten when replayed.
+    The state is a small table: per host the root sets of the last ``kept`` of time, written anew by
+    every batch.  A snapshot that arrives late is put between its neighbours, and the changes of the
+    snapshot after it are said again; a snapshot that comes twice changes nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        starts = batch.groupBy("host").agg(F.min("snapshot_ts").alias("_from"))
-        past = history().join(starts, "host").filter(F.col("snapshot_ts") < F.col("_from"))
-        newest = past.groupBy("host").agg(F.max("snapshot_ts").alias("snapshot_ts"))
-        before = past.drop("_from").join(newest, ["host", "snapshot_ts"], "left_semi")
-        procs = before.unionByName(batch)
-        roots = flag_roots(procs).filter("is_root").select("host", "snapshot_ts", "pid")
-        (root_changes(procs, roots)
-         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+        spark = batch.sparkSession
+        root = F.when(F.col("is_root"), F.col("pid"))
+        fresh = (flag_roots(batch).groupBy("host", "snapshot_ts")
+                 .agg(F.array_sort(F.collect_set(root)).alias("pids")).withColumn("fresh", F.lit(True)))
+        known = fresh
+        if batch_id:
+            before = spark.read.schema(_SETS).parquet(f"{path}/state/batch_id={batch_id - 1}")
+            known = fresh.unionByName(before.withColumn("fresh", F.lit(False)))
+        known = known.groupBy("host", "snapshot_ts").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("pids")))).alias("pids"),
+            F.max("fresh").alias("fresh"))
+        known.write.mode("overwrite").parquet(f"{path}/known/batch_id={batch_id}")
+        known = spark.read.parquet(f"{path}/known/batch_id={batch_id}")
+        newest = known.groupBy("host").agg(F.max("snapshot_ts").alias("newest"))
+        (known.join(newest, "host").filter(F.col("snapshot_ts") >= F.expr(f"newest - interval {kept}"))
+         .select("host", "snapshot_ts", "pids")
+         .write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}"))
+        order = Window.partitionBy("host").orderBy("snapshot_ts")  # a host's snapshots within ``kept``
+        steps = known.withColumns({"before": F.lag("pids").over(order), "moved": F.lag("fresh").over(order)})
+        steps = steps.filter(F.col("fresh") | F.col("moved"))
+        said = F.concat(
+            F.array(F.struct(F.lit(None).cast("bigint").alias("pid"), F.lit("seen").alias("change"))),
+            _changed("pids", "before", "added"), _changed("before", "pids", "removed"))
+        (steps.select("host", "snapshot_ts", F.explode(said).alias("c"))
+         .select("host", "snapshot_ts", "c.pid", "c.change")
+         .write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}"))
 
     return (snapshots.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**trigger).start())
+
+
+def _changed(ours: str, theirs: str, word: str):
+    """Pids in one set and not in the other; none for a host's first snapshot."""
+    pids = F.when(F.col("before").isNotNull(), F.array_except(ours, theirs)).otherwise(
+        F.array().cast("array<bigint>"))
+    return F.transform(pids, lambda p: F.struct(p.alias("pid"), F.lit(word).alias("change")))
+
+
+def read_root_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The changes of every snapshot as its last batch said them."""
+    said = spark.read.schema(_CHANGES).parquet(f"{path}/changes")
+    last = said.groupBy("host", "snapshot_ts").agg(F.max("batch_id").alias("batch_id"))
+    return (said.join(last, ["host", "snapshot_ts", "batch_id"], "left_semi")
+            .filter("change <> 'seen'").drop("batch_id"))
