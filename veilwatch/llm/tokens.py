@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -83,15 +84,16 @@ class Words:
         return cls(hashes, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lens)
 
 
-def blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[slice, Words]]:
-    """The documents of an Arrow batch as blocks."""
-    texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).to_pylist()
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or b"") // 6  # about the number of words
-        if size >= BLOCK_TOKENS or k == len(texts) - 1:
-            yield slice(at, k + 1), Words.of(texts[at:k + 1])
-            at, size = k + 1, 0
+def blocks(batch: pa.RecordBatch, text: str, size: int | None = None) -> Iterator[tuple[slice, Words]]:
+    """The documents of an Arrow batch as blocks; only one block's texts are Python objects at a time."""
+    texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+    words = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum() // 6  # about
+    at = 0
+    while at < len(texts):
+        limit = (words[at - 1] if at else 0) + (size or BLOCK_TOKENS)
+        end = max(at + 1, int(np.searchsorted(words, limit, side="right")))
+        yield slice(at, end), Words.of(texts.slice(at, end - at).to_pylist())
+        at = end
 
 
 def next_block(counter: Iterator[int]) -> int:
