@@ -59,12 +59,6 @@ def test_watch_list_reaches_the_scan(spark, tmp_path):
     assert df.count() == watchlist_filter(raw_log(spark, SF)).count() > 0
 
 
-def test_rows_without_a_stored_name_are_kept(spark):
-    df = spark.createDataFrame([("/usr/bin/psql", None), ("/usr/bin/psql", "psql"), ("/bin/ls", None)],
-                               "filename string, basename string")
-    assert watchlist_filter(df).count() == 2
-
-
 def test_no_folder_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -82,13 +82,9 @@ def decode_exec_events(df: DataFrame) -> DataFrame:
 def watchlist_filter(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Keep executions of watched programs.
 
-    On a stored ``basename`` column the test reaches the Parquet scan; rows without a stored name, and
-    logs without the column, are tested by ``filename`` after the scan.
+    On a stored ``basename`` column the test reaches the Parquet scan; otherwise it is computed
+    from ``filename`` after the scan.  Both writers, ``write_command_log`` and ``decode_exec_events``,
+    fill the column on every row.
     """
-    names = WATCHED if names is None else names
-    computed = basename(F.col("filename")).isin(names)
-    if "basename" not in df.columns:
-        return df.filter(computed)
-    stored = F.col("basename")
-    # two conditions, of which the first reaches the scan
-    return df.filter(stored.isin(names) | stored.isNull()).filter(stored.isNotNull() | computed)
+    name = F.col("basename") if "basename" in df.columns else basename(F.col("filename"))
+    return df.filter(name.isin(WATCHED if names is None else names))

@@ -1,11 +1,13 @@
 """Report sink: a folder per calendar day, below it one per batch.
 
-A job or micro-batch that runs again replaces what it wrote, so nothing is reported twice; a day is read
-without listing the others.
+A named batch that runs again replaces what it wrote, so a replay reports nothing twice; without a name
+every call appends.  A day is read without listing the others.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 CADENCE = {"processingTime": "5 seconds"}
 
 
-def write_reports(reports: DataFrame, path: str, batch: str = "once") -> None:
+def write_reports(reports: DataFrame, path: str, batch: str | None = None) -> None:
     """Write the reports of one batch.  The rebalance gives few files per day and splits a day that holds
     much of the data over several."""
-    (reports.withColumn("batch_id", F.lit(f"b{batch}")).hint("rebalance", "report_date")
+    (reports.withColumn("batch_id", F.lit(f"b{batch or uuid.uuid4().hex}")).hint("rebalance", "report_date")
      .write.partitionBy("report_date", "batch_id").mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
