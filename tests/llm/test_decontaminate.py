@@ -60,6 +60,16 @@ def test_places():
     assert [x[4] for x in found] == [0, 3]
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    items, _ = case(rng, 1)
+    index = D.Index.build(items)
+    text = " ".join(sentence(rng, 30) + " " + edited(rng, rng.choice(items)[1], 3) for _ in range(40))
+    whole = D.matches([text], index)
+    monkeypatch.setattr(D, "PIECE", 300)
+    assert len(whole) >= 35 and D.matches([text], index) == whole
+
+
 def test_case_and_white_space_do_not_hide():
     item = "The Quick brown fox jumps over the lazy dog and on"
     assert D.matches([item.upper().replace(" ", " \n\t")], D.Index.build([(1, item)]))

@@ -34,6 +34,9 @@ MIN_WIDTH = 16
 BLOCK_CHARS = 1_000_000
 #: Candidate regions aligned at once.
 LANES = 128
+#: Characters of a document looked at at once; a longer one is cut into pieces that overlap by more than
+#: any occurrence can span.
+PIECE = 1 << 20
 _SLOT_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
@@ -162,18 +165,15 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], diagonals: list[int]
 
 def matches(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, start, end, edits) of every verified occurrence."""
-    points = [_points(folded(t)) for t in texts]
-    found = [(t, i, d) for t, p in enumerate(points) for i, d in _bands(p, index)]
+    if not len(index.keys):
+        return []
+    overlap = int((np.array([len(p) for p in index.points]) + 2 * index.width + 2 * index.edits).max())
     out: dict[tuple[int, int], list] = {}
-    found.sort(key=lambda x: len(index.points[x[1]]))  # lanes of like length
-    for k in range(0, len(found), LANES):
-        some = found[k:k + LANES]
-        width = max(int(index.width[i] + index.edits[i]) for _, i, _ in some) + 1
-        for (t, i, _), (edits, start, end) in zip(some, align(
-                [index.points[i] for _, i, _ in some], [points[t] for t, _, _ in some],
-                [d for _, _, d in some], width)):
-            if edits <= index.edits[i]:
-                out.setdefault((t, i), []).append((edits, start, end))
+    for t, text in enumerate(texts):
+        whole = folded(text)
+        for at in range(0, max(1, len(whole) - overlap), PIECE):
+            for i, *place in _verified(_points(whole[at:at + PIECE + overlap]), index):
+                out.setdefault((t, i), []).append((place[0], place[1] + at, place[2] + at))
     kept = []
     for (t, i), places in out.items():
         taken: list[tuple[int, int]] = []
@@ -184,6 +184,18 @@ def matches(texts: list[str | None], index: Index) -> list[tuple[int, int, int,
     return sorted(kept)
 
 
+def _verified(points: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, edits, start, end) of the bands of one text that hold an occurrence."""
+    found = sorted(_bands(points, index), key=lambda x: len(index.points[x[0]]))  # lanes of like length
+    for k in range(0, len(found), LANES):
+        some = found[k:k + LANES]
+        width = max(int(index.width[i] + index.edits[i]) for i, _ in some) + 1
+        places = align([index.points[i] for i, _ in some], [points] * len(some), [d for _, d in some], width)
+        for (i, _), (edits, start, end) in zip(some, places):
+            if edits <= index.edits[i]:
+                yield i, edits, start, end
+
+
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
     """The benchmark as indexes of about ``BLOCK_CHARS`` characters."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
