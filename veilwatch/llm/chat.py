@@ -6,7 +6,9 @@ before it.  A conversation whose whole hash is among the proper prefixes of othe
 of equal conversations the one with the smallest id stays.  Only what stays is rendered.
 
 The hash rows are narrow; texts move once, for the conversations that stay.  The prefixes are
-pre-aggregated to one row each before the join, and the join is split by Spark where a hash is hot.
+pre-aggregated to one row each before the join, and the join is split by Spark where a hash is hot.  The
+hash rows of one conversation are numbered together; a conversation is rendered into one row, so its
+length is bounded by what a row can hold.
 
 Defined results: turns are ordered by turn, then role, then text; rows equal in all four columns count
 once; a row without conv_id is a conversation of its own, of one turn; a null turn number comes first;

@@ -91,6 +91,8 @@ PER_TEMPLATE = 50
 LEAST_PROBABILITY = 0.5
 CONFIRM = 0.8
 ROUNDS = 200
+#: Training lines that must hold a feature for it to have a weight.
+LEAST_COUNT = 5
 _TRIM = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, paragraph long, family string, probability double, similarity double"
@@ -183,7 +185,7 @@ def _examples(sample: list[bytes], seed: int) -> tuple[list[bytes], np.ndarray]:
     templates = [[t.encode() for t in some] for some in TEMPLATES.values()]
     every = [w for some in templates for t in some for w in t.split()]
     filler = [w for x in sample[:200] for w in x.split()] or [b"text"]
-    known = [pairs_of(t) for some in templates for t in some]
+    known = [set(pairs_of(t).tolist()) for some in templates for t in some]
     lines, labels = [], []
     for family, some in enumerate(templates):
         for t in some:
@@ -194,8 +196,10 @@ def _examples(sample: list[bytes], seed: int) -> tuple[list[bytes], np.ndarray]:
                 before, after = rng.integers(0, 12, 2) if k % 2 else (0, 0)
                 lines.append(b" ".join([*rng.choice(filler, before), *words, *rng.choice(filler, after)]))
                 labels.append(family)
-    plain = [x for x in sample
-             if not any(np.isin(t, pairs_of(x)).mean() >= CONFIRM for t in known)]
+    def names_one(own: set[int]) -> bool:
+        return any(len(own & t) >= CONFIRM * len(t) for t in known)
+
+    plain = [x for x in sample if not names_one(set(pairs_of(x).tolist()))]
     plain *= -(-SAMPLE_LINES // len(plain)) if plain else 1  # a small corpus weighs as much as a large one
     lines += plain
     labels += [len(templates)] * len(plain)
@@ -214,7 +218,7 @@ def train(sample: list[bytes], seed: int = 7) -> Model:
     half = len(lines) // 2
     first = line < half
     names, counts = np.unique(feature[first], return_counts=True)
-    names = names[counts >= 2]
+    names = names[counts >= LEAST_COUNT]
     at = np.minimum(np.searchsorted(names, feature[first]), len(names) - 1)
     told = names[at] == feature[first]
     x = np.zeros((half, len(names)), np.float32)
