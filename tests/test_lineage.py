@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from veilwatch.plans.dispatch import agent_executions
 from veilwatch.operators.lineage import (agent_events, asof_snapshot, descendants, flag_roots,
                                          root_changes, root_set_changes)
 
@@ -99,3 +100,19 @@ def test_one_busy_pid_is_kept_whole(spark):
                                           "IF(id % 3 = 0, 7, id + 100) AS pid")
     closure = spark.createDataFrame([("h", T0, 7), ("h", T0, 101)], "host string, snapshot_ts timestamp, pid long")
     assert agent_events(events, closure).count() == 1001
+
+
+def test_young_processes_belong_to_their_agent(spark):
+    """A chain of executions below a root of the snapshot, the 32-node bound over both sources."""
+    procs = spark.createDataFrame([("h", T0, 10, 1, "claude", "x"), ("h", T0, 11, 10, "sh", "x"), ("h", T0, 50, 1, "sh", "x"),
+                                   ("g", T0, 10, 1, "sh", "x")],
+                                  "host string, snapshot_ts timestamp, pid long, ppid long, comm string, cmdline string")
+    rows = [(k, "h", T0 + timedelta(seconds=k), 100 + k, 11 if k == 0 else 99 + k) for k in range(40)]
+    rows += [(1000, "h", T0 + timedelta(seconds=3), 300, 50), (1001, "g", T0 + timedelta(seconds=3), 300, 10),
+             (1002, "h", T0 - timedelta(seconds=3), 301, 10), (1003, "h", T0 + timedelta(days=300), 11, 10),
+             (1004, "h", T0 + timedelta(seconds=9), 302, None)]
+    log = spark.createDataFrame(rows, "event_id long, host string, ts timestamp, pid long, ppid long")
+    got = {r["event_id"]: r["stale"] for r in agent_executions(log, procs).collect()}
+    # 10, 11 and thirty executions are thirty-two nodes
+    assert set(got) == set(range(30)) | {1003}
+    assert got[0] is False and got[5] is False and got[6] is True and got[1003] is True

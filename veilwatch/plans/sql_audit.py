@@ -127,7 +127,12 @@ def with_file_facts(cmds: DataFrame, contents: DataFrame, policy: Policy,
     Facts are worked out once per file version and brought to the commands by ``event_id``, so a file
     that everybody runs makes no hot key there.
     """
-    df = (with_inline_facts(cmds, policy)
+    # a command may name a file for one of the two and hold SQL for the other
+    inline = cmds.filter((F.col("audit_source")["kind"] == "inline") | (F.col("policy_source")["kind"] == "inline"))
+    inline = cut_lineage(with_inline_facts(inline.select("event_id", "audit_source", "policy_source")
+                                           .dropDuplicates(["event_id"]), policy)
+                         .select("event_id", "analysis", "hit"))
+    df = (cmds.join(inline, "event_id", "left")
           .withColumn("_apath", _value("audit_source", "file"))
           .withColumn("_ppath", _value("policy_source", "file")))
     paths = F.array_distinct(F.array_compact(F.array(_value("audit_source", "file"),
