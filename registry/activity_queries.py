@@ -426,11 +426,10 @@ _WHOLE = "60 days"  # the files below come up to a month late
 
 
 def _in_pieces(df, time: str, write) -> None:
-    """Write rows as they may arrive: the first ten days, then the last, then those between (late), and
-    the first ten days a second time."""
-    days = F.dayofmonth(time)
-    early, late = days <= 10, (days > 10) & (days <= 20)
-    for part in (early, ~early & ~late, late, early):
+    """Write rows as they may arrive: those after the first ten days, the first ten days (late), and these a
+    second time."""
+    early = F.dayofmonth(time) <= 10
+    for part in (~early, early, early):
         write(df.filter(part).coalesce(1))
 
 
