@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import veilwatch
+
+_SHIPPED: set[str] = set()
 #: The input row as one column, so that no extra input column clashes with an operator's own names.
 ROW = "__row"
 
@@ -32,6 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from any working directory.
+
+    They find it by themselves when its folder is in PYTHONPATH or is the working directory.  On a cluster
+    the package is submitted with the job (``--py-files``).
+    """
+    root = Path(veilwatch.__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    app, local = sc.applicationId, sc.master.split("[")[0] == "local"
+    if not local or not root.is_dir() or root in [*known, Path.cwd()] or app in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / "veilwatch.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "veilwatch").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the files.
 

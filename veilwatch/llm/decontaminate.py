@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwatch.llm.common import ship_code
+
 Q = 8
 EDIT_RATE = 0.1
 MIN_WIDTH = 16
@@ -214,6 +216,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every occurrence of a benchmark item in a document."""
     spark = docs.sparkSession
+    ship_code(spark)
     out = spark.createDataFrame([], _SCHEMA)
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -238,6 +241,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any occurrence, with all their columns."""
+    ship_code(docs.sparkSession)
     for index in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.llm.common import digest, field, pack_row
+from veilwatch.llm.common import digest, field, pack_row, ship_code
 
 # Families and how their notices read.
 TEMPLATES: dict[str, list[str]] = {
@@ -261,6 +261,7 @@ def sample_lines(docs: DataFrame) -> list[bytes]:
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per licence paragraph: ``doc_id``, ``paragraph`` (line number), family and evidence."""
+    ship_code(docs.sparkSession)
     model = model or train(sample_lines(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     df = pack_row(docs)

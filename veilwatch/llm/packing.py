@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.llm.common import field, pack_row, settled
+from veilwatch.llm.common import field, pack_row, settled, ship_code
 
 LENGTH = 1024
 SEGMENTS = 64
@@ -77,6 +77,7 @@ def pieces(docs: DataFrame, tokenizer: dict[str, str], length: int = LENGTH,
     ``loss_from`` names a column with the number of tokens at the start of a document that bear no
     loss (an instruction's prompt); without it every token bears loss.
     """
+    ship_code(docs.sparkSession)
     df = pack_row(docs)
     loss = field(df, loss_from, "long") if loss_from else F.lit(0).cast("long")
     source = df.select(field(df, "doc_id", "long").alias("doc_id"),

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.llm.common import ROW, digest, field, id_key, pack_row, settled, unpack_row
+from veilwatch.llm.common import ROW, digest, field, id_key, pack_row, settled, ship_code, unpack_row
 from veilwatch.llm.components import components
 
 BITS = 64
@@ -62,6 +62,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def with_fingerprint(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
     """``fp`` as a signed long beside every other column; ``text`` goes."""
+    ship_code(df.sparkSession)
     rest = [c for c in df.columns if c != text]
     schema = df.select(*rest, F.lit(0).cast("long").alias("fp")).schema
 
