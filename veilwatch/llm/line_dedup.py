@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.llm.common import ROW, digest, field, id_key, pack_row, unpack_row
+from veilwatch.llm.common import digest, field, id_key, pack_row, unpack_row
 
 WINDOW = 3
 
