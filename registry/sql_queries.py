@@ -243,7 +243,10 @@ def deduplicated_words(spark, sf):
     return spread_table(spark, sf, "documents").select("doc_id", number(F.size(words)).alias("kept"))
 
 
-@query("c11_stacked", """SELECT path, CAST(regexp_matches(norm, '(?i);\\s*(DROP|TRUNCATE|DELETE\\s+FROM|INSERT\\s+INTO|UPDATE\\s+\\w[\\w.]*\\s+SET|CREATE\\s+(TABLE|DATABASE|USER)|ALTER\\s+(TABLE|USER)|GRANT|EXEC(UTE)?)\\b') AS BIGINT) AS stacked
+_STACKED = next(r.pattern for r in R.SQL_RULES if r.name.startswith("Stacked query"))
+
+
+@query("c11_stacked", f"""SELECT path, CAST(regexp_matches(norm, {quote(_STACKED)}) AS BIGINT) AS stacked
        FROM (SELECT k AS path, norm FROM x_d_norm)""")
 def stacked(spark, sf):
     return _doc_sql(spark, sf).select("path", number(stacked_statement(F.col("sql"))).alias("stacked"))

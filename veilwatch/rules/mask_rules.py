@@ -9,7 +9,6 @@ PHONE_DIGITS = 4
 PARTIAL_TAIL = "***"
 PARTIAL_MAX = 255
 
-MASK_KINDS = ["redact", "email", "phone", "partial"]
 DIRECTIVES = ["fblock", "fmask", "block", "mask"]
 
 # The masking expression written into a query; {c} is the column, {n} the length.
