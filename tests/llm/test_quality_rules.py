@@ -91,3 +91,28 @@ def test_labels_agree(spark):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
+def test_each_statistic_alone_rejects(spark):
+    rng = np.random.default_rng(11)
+
+    def words(n, low=5, high=7):
+        return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(low, high)))
+                for _ in range(n)]
+
+    def lines(some, per=10):
+        return [" ".join(some[k:k + per]) for k in range(0, len(some), per)]
+
+    usual = ["\n".join(lines(words(rng.integers(150, 250)))) for _ in range(200)]
+    own = words(200)
+    odd = {"log_words": lines(words(6000)), "log_word_length": lines(words(200, 14, 16)),
+           "symbols": lines([w + "#" if k % 2 else w for k, w in enumerate(own)]),
+           "dup_lines": words(20)[:1] * 20 + lines(words(80), 16),  # 20 of 25 lines are one word
+           "repeat_words": lines(own[:110] + own[:45] + own[110:155], 9)}
+    rows = [(k, t) for k, t in enumerate([*usual, *("\n".join(x) for x in odd.values())])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"lang": F.lit("en"), "source": F.lit("a")})
+    got = {r["doc_id"]: r for r in Q.verdicts(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {name for k, name in enumerate(odd, len(usual)) if got[k]["kept"]} == set()
+    assert np.mean([got[k]["kept"] for k in range(len(usual))]) > 0.98

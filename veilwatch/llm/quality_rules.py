@@ -26,8 +26,10 @@ from veilwatch.operators.joins import salted_join
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 STATS = ("log_words", "log_word_length", "symbols", "dup_lines", "repeat_words")
-#: Least standard deviation of each statistic: a group of nearly equal documents has no tighter scale.
-FLOORS = (0.7, 0.12, 0.04, 0.18, 0.18)
+#: Least standard deviation of each statistic given those before it: a group of nearly equal documents has
+#: no tighter scale.  A floor times the square root of the chi-square quantile (5.07) lies inside the range
+#: of its statistic, so that each one alone can reject a document.
+FLOORS = (0.1, 0.03, 0.02, 0.12, 0.12)
 DIM = len(STATS)
 STEPS = 5
 #: Resolution of the distance histogram, per doubling of the distance.
@@ -86,21 +88,24 @@ def _vector(n_lines: Column) -> list[Column]:
 
 
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and covariance with the floors on its diagonal, one row per key."""
+    """Mean and covariance, one row per key."""
     x = [F.col(s) for s in STATS]
     pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
-    sums = df.groupBy(*keys).agg(
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("m"), *[F.avg(x[i]).alias(f"mu{i}") for i in range(DIM)],
         *[F.covar_pop(x[i], x[j]).alias(f"s{i}{j}") for i, j in pairs])
-    cov = {f"s{i}{j}": F.col(f"s{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs}
-    return sums.withColumns(cov)
 
 
 def _cholesky(df: DataFrame) -> DataFrame:
-    """Add the covariance's Cholesky factor ``l..`` and the log determinant."""
+    """Add the covariance's Cholesky factor ``l..`` and the log determinant.
+
+    What is left of a variance after the statistics before it is at least its floor squared.  The floors are
+    those of the whole group, so they are taken back by what the nearest half's covariance is scaled with.
+    """
     for j in range(DIM):
         inner = sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
-        df = df.withColumn(f"l{j}{j}", F.sqrt(F.col(f"s{j}{j}") - inner))
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(
+            F.col(f"s{j}{j}") - inner, F.lit(FLOORS[j] ** 2 / consistency()))))
         df = df.withColumns({f"l{i}{j}": (F.col(f"s{i}{j}") - sum(
             (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")
             for i in range(j + 1, DIM)})
@@ -121,8 +126,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     classical = _moments(rows, ["g"]).withColumn("start", F.lit(0))
     mid = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), *[
         F.percentile_approx(s, [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i, s in enumerate(STATS)])
-    spread = {f"s{i}{j}": (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / F.lit(1.349)) ** 2
-                           + F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)
+    spread = {f"s{i}{j}": ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / F.lit(1.349)) ** 2 if i == j else F.lit(0.0)
               for i in range(DIM) for j in range(i + 1)}
     robust = mid.withColumns({f"mu{i}": F.col(f"q{i}")[1] for i in range(DIM)} | spread)
     robust = robust.drop(*[f"q{i}" for i in range(DIM)]).withColumn("start", F.lit(1))
