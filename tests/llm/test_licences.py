@@ -57,3 +57,21 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert L.scan(empty_docs(spark)).count() == 0
+
+
+def test_notices_over_line_breaks(spark):
+    gpl = ["This program is free software; you can redistribute it and/or modify",
+           "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation; either version 2 of the License, or", "(at your option) any later version."]
+    bsd = ["Copyright (c) 2020 X", "Redistribution and use in source and binary forms, with or without",
+           "modification, are permitted provided that the following conditions are met:"]
+    cc = ["the text is", "licensed under a Creative Commons", "Attribution 4.0", "International License"]
+    texts = ["\n".join(gpl), "\n".join(f" * {x}" for x in gpl), "\n".join(f"dnl {x}" for x in gpl),
+             "\n".join(f"# {x}" for x in bsd), "\n".join(f"// {x}" for x in cc), "\n".join([*bsd[:2], "", bsd[2]]),
+             "Released under the MIT\n\nLicense", "Released under\nthe MIT License", "Released under the MIT"]
+    docs = edge_docs(spark, clashing=False).select("doc_id", "text").unionByName(
+        spark.createDataFrame([(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    rows = [r for r in L.scan(docs).collect() if r["family"] != L.UNKNOWN]
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in rows)
+    assert got == [(1000, 1, "gpl"), (1001, 1, "gpl"), (1002, 1, "gpl"), (1003, 1, "bsd"), (1004, 1, "cc-by"),
+                   (1007, 0, "mit")]

@@ -1,7 +1,11 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Every line of a text is a paragraph.  Its features are which words and word pairs it holds; a
-multinomial logistic regression over them names a licence family or ``unknown``.  The unknown class is
+Every line of a text is a paragraph, and so is every stretch of consecutive lines with words in which a
+template runs over line breaks: around each break the ``LONGEST`` words before and after it are searched,
+without comment leaders, and the part from the first to the last word pair of the template is judged.  Its
+place is its first line; its lines are not reported as ``unknown`` beside it.
+
+A paragraph's features are which words and word pairs it holds; a multinomial logistic regression over them names a licence family or ``unknown``.  The unknown class is
 trained on lines of the corpus and on licence words in random order, and calibrated: a temperature that
 fits a held-out half, and a least probability for naming a family.  A named family is confirmed when at
 least ``CONFIRM`` of the word pairs of one of its templates stand in the paragraph; unconfirmed ones are
@@ -93,6 +97,10 @@ CONFIRM = 0.8
 ROUNDS = 200
 #: Training lines that must hold a feature for it to have a weight.
 LEAST_COUNT = 5
+#: Words of the longest template.
+LONGEST = max(len(t.split()) for some in TEMPLATES.values() for t in some)
+#: Comment leaders that are words; those of symbols are no words.
+LEADERS = np.array([xxhash.xxh64_intdigest(w) for w in (b"dnl", b"rem")], np.uint64)
 _TRIM = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, paragraph long, family string, probability double, similarity double"
@@ -148,8 +156,11 @@ class Model:
 
     def logits(self, lines: list[bytes]) -> np.ndarray:
         """Per line and family; features outside the model weigh nothing."""
-        feature, line = Lines.of(lines).features()
-        out = np.tile(self.bias, (len(lines), 1))
+        return self._logits(Lines.of(lines), len(lines))
+
+    def _logits(self, words: Lines, size: int) -> np.ndarray:
+        feature, line = words.features()
+        out = np.tile(self.bias, (size, 1))
         if not len(feature):
             return out
         at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
@@ -157,12 +168,12 @@ class Model:
         seen = np.unique(line[known] * len(self.features) + at[known])  # each feature once per line
         at, line = seen % len(self.features), seen // len(self.features)
         for k in range(len(self.families)):
-            out[:, k] += np.bincount(line, self.weights[at, k], len(lines))
+            out[:, k] += np.bincount(line, self.weights[at, k], size)
         return out
 
-    def scan(self, lines: list[bytes]) -> list[tuple[int, str, float, float]]:
+    def scan(self, lines: list[bytes], words: Lines | None = None) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, similarity) of the lines that are named a licence."""
-        p = _softmax(self.logits(lines) / self.temperature)
+        p = _softmax(self._logits(words or Lines.of(lines), len(lines)) / self.temperature)
         best = p[:, :-1].argmax(axis=1)
         top = p[np.arange(len(lines)), best]
         out = []
@@ -173,6 +184,65 @@ class Model:
             out.append((int(k), name, float(top[k]), float(near)))
         return out
 
+    def wrapped(self, words: Lines, doc: np.ndarray) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, similarity) of notices that run over line breaks.
+
+        ``doc`` is the document of each line.  Of overlapping finds of one family the most similar stays.
+        """
+        first = np.append(True, words.line[1:] != words.line[:-1])[:len(words.line)]
+        some = ~(first & np.isin(words.words, LEADERS))
+        word, line = words.words[some], words.line[some]
+        if len(word) < 2:
+            return []
+        near = (line[1:] - line[:-1] <= 1) & (doc[line[1:]] == doc[line[:-1]])
+        run = np.append(0, np.cumsum(~near))
+        pairs = _pair(word[:-1], word[1:])
+        every = np.unique(np.concatenate([t for own in self.templates for t in own]))
+        hits = np.flatnonzero(near & np.isin(pairs, every))
+        breaks = np.flatnonzero(near & (line[1:] != line[:-1]))
+        found = []
+        for family, own in enumerate(self.templates):
+            for t in own:
+                at = hits[np.isin(pairs[hits], t)]
+                inside = [np.searchsorted(at, breaks + k) for k in (1 - LONGEST, LONGEST)]
+                for k in np.flatnonzero(inside[1] - inside[0] >= CONFIRM * len(t)):
+                    span = at[inside[0][k]:inside[1][k]]
+                    span = span[run[span] == run[breaks[k]]]
+                    similarity = float(np.isin(t, pairs[span]).mean())
+                    if similarity < CONFIRM:
+                        continue
+                    while pairs[span[0]] in pairs[span[1:]]:
+                        span = span[1:]
+                    while pairs[span[-1]] in pairs[span[:-1]]:
+                        span = span[:-1]
+                    a, b = span[0], span[-1] + 2
+                    if line[a] == line[b - 1]:
+                        continue  # the line is judged by itself
+                    p = _softmax(self._logits(Lines(word[a:b], np.zeros(b - a, np.int64)), 1)
+                                 / self.temperature)[0]
+                    if p.argmax() == family and p[family] >= LEAST_PROBABILITY:
+                        found.append((int(line[a]), int(line[b - 1]), self.families[family],
+                                      float(p[family]), similarity))
+        best: list[tuple[int, int, str, float, float]] = []
+        taken: set[tuple[int, str]] = set()
+        for x in sorted(found, key=lambda x: (-x[4], x[0], x[1])):
+            own_lines = [(k, x[2]) for k in range(x[0], x[1] + 1)]
+            if not any(k in taken for k in own_lines):
+                taken.update(own_lines)
+                best.append(x)
+        return best
+
+    def paragraphs(self, lines: list[bytes], doc: np.ndarray) -> list[tuple[int, str, float, float]]:
+        """``scan`` and ``wrapped`` together, by first line."""
+        words = Lines.of(lines)
+        single = self.scan(lines, words)
+        named = {(k, family) for k, family, _, _ in single}
+        over = [x for x in self.wrapped(words, doc)
+                if not any((k, x[2]) in named for k in range(x[0], x[1] + 1))]
+        inside = {k for x in over for k in range(x[0], x[1] + 1)}
+        single = [x for x in single if x[1] != UNKNOWN or x[0] not in inside]
+        return sorted(single + [(a, family, p, near) for a, _, family, p, near in over])
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -260,7 +330,7 @@ def sample_lines(docs: DataFrame) -> list[bytes]:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per licence paragraph: ``doc_id``, ``paragraph`` (line number), family and evidence."""
+    """One row per licence paragraph: ``doc_id``, ``paragraph`` (first line), family and evidence."""
     ship_code(docs.sparkSession)
     model = model or train(sample_lines(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -277,7 +347,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = [(t or "").encode().split(b"\n") for t in part.column(1).to_pylist()]
                 lens = np.fromiter(map(len, texts), np.int64, len(texts))
                 starts = np.cumsum(lens) - lens
-                found = own.scan(list(chain.from_iterable(texts)))
+                found = own.paragraphs(list(chain.from_iterable(texts)), np.repeat(np.arange(len(lens)), lens))
                 k = np.array([f[0] for f in found], np.int64)
                 doc = np.searchsorted(starts, k, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
