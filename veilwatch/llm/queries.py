@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from veilwatch.llm import (
     quality_rules,
     sharding,
     simhash,
+    token_counts,
 )
-from veilwatch.llm.common import documents
+from veilwatch.llm.common import documents, shared_folder
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +68,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache folder is ``spark.veilwatch.tokenCache``; a run without it starts a cache of its own."""
+    import public_tokenizers
+
+    cache = spark.conf.get("spark.veilwatch.tokenCache", None)
+    return token_counts.counts(
+        documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"),
+        cache or f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_lm_scoring, op3_quality_rules, op4_license_scans, op5_quality_classifier, op6_packing, op7_chat_formatting, op8_simhash,
-    op9_line_dedup, op10_sharding)}
+    op9_line_dedup, op10_sharding, op13_token_counts)}
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
