@@ -19,6 +19,7 @@ from veilwatch.llm import (
     sharding,
     simhash,
     token_counts,
+    whitening,
 )
 from veilwatch.llm.common import documents, shared_folder
 
@@ -68,6 +69,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache folder is ``spark.veilwatch.tokenCache``; a run without it starts a cache of its own."""
     import public_tokenizers
@@ -80,7 +85,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_lm_scoring, op3_quality_rules, op4_license_scans, op5_quality_classifier, op6_packing, op7_chat_formatting, op8_simhash,
-    op9_line_dedup, op10_sharding, op13_token_counts)}
+    op9_line_dedup, op10_sharding, op12_embedding_whitening, op13_token_counts)}
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),

@@ -38,7 +38,7 @@ LIMIT = 4096
 #: Characters of a piece of a long text.
 PIECE = 1 << 18
 #: Missing digests up to this number are broadcast (32 bytes each); more are met by a join.
-FEW = 500_000
+FEW = 100_000
 #: Digests that hold more than one row in this many are hot: there are fewer than ``HOT`` of them.
 HOT = 10_000
 _CACHE = "digest binary, n_tokens long, tokenizer string"
