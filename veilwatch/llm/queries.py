@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,13 @@ from veilwatch.llm import (
     lm_score,
     packing,
     quality_rules,
+    repair,
     sharding,
     simhash,
     token_counts,
     whitening,
 )
-from veilwatch.llm.common import documents, shared_folder
+from veilwatch.llm.common import documents, settled, shared_folder
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +73,63 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut off, repeated or given to the user by the hash of their place."""
+    ids = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(ids[0], F.lit(":"), ids[1])) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1))).alias("_")
+    ).drop("_")
+
+
+def _hashes(turns: DataFrame) -> DataFrame:
+    """SHA-256 of a conversation's ``role:text`` lines, fed row by row in their order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one, done = None, None, []
+        for batch in batches:
+            for conv, alone, role, text in zip(*(batch.column(k) for k in range(4))):
+                key = (conv.as_py(), alone.as_py())
+                if one is None or key != now:
+                    if one is not None:
+                        done.append((now[0], one.hexdigest()))
+                    now, one = key, hashlib.sha256()
+                else:
+                    one.update(b"\n")
+                one.update(role.as_py().encode() + b":")
+                one.update(text.as_py().encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                    zip(*done), (pa.int64(), pa.string()))], names=["conv_id", "repaired_sha256"])
+                done = []
+        if one is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([one.hexdigest()])],
+                                             names=["conv_id", "repaired_sha256"])
+
+    kept = turns.where(F.col("edit") != "D").select(
+        "conv_id", F.col("conv_id").isNull().alias("alone"), "role", "text", "place", "step")
+    return kept.repartition("conv_id").sortWithinPartitions("conv_id", "place", "step").drop(
+        "place", "step").mapInArrow(run, "conv_id long, repaired_sha256 string")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").cast("long"), "turn", "role", "text")
+    turns, report = repair.repair(_damaged(rows))
+    hashes = settled(_hashes(turns))
+    out = rows.select("conv_id").distinct()
+    for part in (settled(report), hashes):
+        there = part.withColumnRenamed("conv_id", "own")
+        out = out.join(there, F.col("conv_id").eqNullSafe(F.col("own")), "left").drop("own")
+    zero = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    gaps = F.when(F.col("audit").isNotNull(), F.col("gaps")).otherwise(0)  # null where a long is too short
+    return out.select("conv_id", gaps.alias("gaps"), *[F.coalesce(c, F.lit(0)).alias(c) for c in zero[1:]],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -85,7 +146,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_lm_scoring, op3_quality_rules, op4_license_scans, op5_quality_classifier, op6_packing, op7_chat_formatting, op8_simhash,
-    op9_line_dedup, op10_sharding, op12_embedding_whitening, op13_token_counts)}
+    op9_line_dedup, op10_sharding, op11_conversation_repair, op12_embedding_whitening, op13_token_counts)}
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
