@@ -12,6 +12,7 @@ from registry.masking_queries import hits_sql
 from veilwatch.functions.argv import with_argv
 from veilwatch.functions.text import basename
 from veilwatch.operators.diffs import commit_hits, diff_lines, hunk_start, line_hits
+from veilwatch.operators.incarnations import incarnations, recorded_facts
 from veilwatch.operators.lineage import (asof_snapshot, descendants, flag_roots, next_snapshots,
                                          root_changes, root_pids, root_set_changes)
 from veilwatch.plans.commits import hit_text
@@ -62,6 +63,26 @@ def _lineage(n: str, procs: str) -> dict[str, str]:
     }
 
 
+def _lives(n: str, only: str) -> dict[str, str]:
+    """A pid's processes one after the other, and the walk of every event at its own time."""
+    return {
+        f"{n}_facts": f"""SELECT host, snapshot_ts, pid, snapshot_ts AS since, 0 AS ran, ppid, is_root FROM x_rlisted
+        UNION ALL SELECT host, snapshot_ts, pid, since, 1, ppid, FALSE FROM x_rran r WHERE TRUE {only}""",
+        f"{n}_steps": f"""SELECT *, lag(ppid) OVER w IS DISTINCT FROM ppid AS moved FROM {n}_facts
+        WINDOW w AS (PARTITION BY host, snapshot_ts, pid ORDER BY since, ran)""",
+        f"{n}_lives": f"""SELECT * FROM (SELECT host, snapshot_ts, pid, since, ppid, is_root,
+        coalesce(lead(since) OVER (PARTITION BY host, snapshot_ts, pid ORDER BY since, ran), TIMESTAMP '9999-12-31 23:59:59') AS til
+        FROM {n}_steps WHERE moved) WHERE since < til""",
+        f"{n}_walk": f"""SELECT e.event_id, e.host, e.snapshot_ts, e.ts, e.pid AS cur, 0 AS n, l.is_root, l.ppid
+        FROM x_rplaced e JOIN {n}_lives l ON l.host = e.host AND l.snapshot_ts = e.snapshot_ts AND l.pid = e.pid
+          AND e.ts >= l.since AND e.ts < l.til
+        UNION ALL SELECT w.event_id, w.host, w.snapshot_ts, w.ts, l.pid, w.n + 1, l.is_root, l.ppid FROM {n}_walk w
+        JOIN {n}_lives l ON l.host = w.host AND l.snapshot_ts = w.snapshot_ts AND l.pid = w.ppid
+          AND w.ts >= l.since AND w.ts < l.til
+        WHERE w.n < 31 AND w.cur > 1 AND w.ppid <> w.cur AND NOT w.is_root""",
+    }
+
+
 CTES.update({
     "x_dl": """SELECT event_id, rtrim(unnest(ls), chr(13)) AS line, generate_subscripts(ls, 1) AS i FROM (
         SELECT event_id, string_split(CASE WHEN ends_with(diff, chr(10)) THEN left(diff, length(diff) - 1) ELSE diff END,
@@ -96,6 +117,16 @@ CTES.update({
 
     # --- lineage
     **_lineage("x", "x_procs"),
+    # few pids, so that each is many processes; a parent is looked up at the time of the event
+    "x_rlog": """SELECT event_id, host, ts, 2 + event_id % 41 AS pid, 2 + (event_id * 7 + event_id // 100) % 41 AS ppid FROM x_log""",
+    "x_rprocs": """SELECT host, snapshot_ts, 2 + pid % 23 AS pid, 1 + ppid % 40 AS ppid, comm, cmdline FROM x_procs
+        WHERE pid % 3 = 0""",
+    "x_rlisted": f"""SELECT host, snapshot_ts, pid, min(ppid) AS ppid, bool_or({_ROOT}) AS is_root FROM x_rprocs GROUP BY ALL""",
+    "x_rplaced": """SELECT e.*, s.snapshot_ts FROM x_rlog e ASOF JOIN (SELECT DISTINCT host, snapshot_ts FROM x_rprocs) s
+        ON e.host = s.host AND e.ts >= s.snapshot_ts""",
+    "x_rran": """SELECT host, snapshot_ts, pid, ts AS since, min(ppid) AS ppid FROM x_rplaced GROUP BY ALL""",
+    **_lives("x_rstay", "AND NOT EXISTS (FROM x_rlisted l WHERE l.host = r.host AND l.snapshot_ts = r.snapshot_ts AND l.pid = r.pid)"),
+    **_lives("x_rmove", ""),
     # the same without the processes that started after their snapshot
     "x_yprocs": "SELECT * FROM x_procs WHERE pid % 7 NOT IN (3, 4)",
     **_lineage("x_y", "x_yprocs"),
@@ -256,6 +287,38 @@ def repeated_snapshots(spark, sf):
     return _named(descendants(twice, _roots(twice)))
 
 
+def _reused(spark, sf):
+    """A log and snapshots in which a few pids are given to many processes."""
+    log = command_log(spark, sf).select(
+        "event_id", "host", "ts", F.expr("2 + event_id % 41").alias("pid"),
+        F.expr("2 + (event_id * 7 + event_id div 100) % 41").alias("ppid"))
+    procs = processes(spark, sf).filter("pid % 3 = 0").withColumns(
+        {"pid": F.expr("2 + pid % 23"), "ppid": F.expr("1 + ppid % 40")})
+    return log, procs
+
+
+@query("j2b_reused_pids", "SELECT DISTINCT event_id FROM x_rstay_walk WHERE is_root")
+def reused_pids(spark, sf):
+    """Pids that are many processes: every node of a chain is looked up at the time of the event."""
+    return agent_executions(*_reused(spark, sf)).select("event_id")
+
+
+@query("j2b_reused_listed_pids", "SELECT DISTINCT event_id FROM x_rmove_walk WHERE is_root")
+def reused_listed_pids(spark, sf):
+    """The same where an execution below another parent also ends a process that the snapshot lists."""
+    return agent_executions(*_reused(spark, sf), listed_stay=False).select("event_id")
+
+
+@query("j2b_incarnations", f"""SELECT {_ROW}, strftime(since, '{DUCK_TS}') AS since, strftime(til, '{DUCK_TS}') AS until, ppid,
+       CAST(is_root AS BIGINT) AS is_root FROM x_rmove_lives
+       WHERE (host, snapshot_ts) IN (SELECT (host, snapshot_ts) FROM x_rplaced)""")
+def process_lives(spark, sf):
+    log, procs = _reused(spark, sf)
+    lives = incarnations(recorded_facts(asof_snapshot(log, procs), procs, listed_stay=False))
+    return _named(lives, stamp("since").alias("since"), stamp("until").alias("until"), "ppid",
+                  number(F.col("is_root")).alias("is_root"))
+
+
 def _without_young(procs):
     return procs.filter("pid % 7 not in (3, 4)")
 

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwatch.functions.argv import names_file
+from veilwatch.operators.incarnations import (agent_intervals, events_of_agents, incarnations,
+                                               recorded_facts)
 from veilwatch.operators.joins import SALTS, computed_once
-from veilwatch.operators.lineage import (agent_events, asof_snapshot, descendants, executed_nodes,
-                                         flag_roots)
+from veilwatch.operators.lineage import asof_snapshot
 from veilwatch.plans import commits, containers, kv, path_policy, sql_audit
 from veilwatch.plans.actions import match_action
 from veilwatch.rules.registry import ACTIONS, Action
@@ -141,18 +142,25 @@ def audit(cmds: DataFrame, ctx: Context, *names: str, guards: dict[str, Guard] |
     return judge(match_action(cmds, rules), ctx, guards, lookups)
 
 
-def agent_executions(cmds: DataFrame, procs: DataFrame, salts: int = SALTS) -> DataFrame:
+def agent_executions(cmds: DataFrame, procs: DataFrame, salts: int = SALTS,
+                     listed_stay: bool = True) -> DataFrame:
     """``event_id`` and ``stale`` of the executions by an agent process or one of its descendants.
 
     Agents are the roots of the last snapshot before an execution.  A process that started later is
     known by its own execution, which names its parent; every execution is such an edge, also of
-    programs nobody watches.  Only narrow columns of the log are read.
+    programs nobody watches.  All of a chain is taken as it was at the time of the execution, so a pid
+    that was given to another process, or a parent that came later, does not count.  Only narrow columns
+    of the log are read, and only the snapshots that an execution refers to.
     """
-    roots = flag_roots(procs).filter("is_root").select("host", "snapshot_ts", "pid").distinct()
     narrow = cmds.select("event_id", "host", "ts", "pid", "ppid")
     placed = cut_lineage(asof_snapshot(narrow, procs, salts=salts))
-    young = executed_nodes(placed, procs)
-    return agent_events(placed, descendants(procs, roots, young=young), salts).select("event_id", "stale")
+    return of_agents(placed, procs, salts, listed_stay)
+
+
+def of_agents(placed: DataFrame, procs: DataFrame, salts: int = SALTS, listed_stay: bool = True) -> DataFrame:
+    """``agent_executions`` of executions that already have their ``snapshot_ts``."""
+    lives = incarnations(recorded_facts(placed, procs, listed_stay))
+    return events_of_agents(placed, agent_intervals(lives), salts).select("event_id", "stale")
 
 
 def agent_commands(cmds: DataFrame, procs: DataFrame, salts: int = SALTS) -> DataFrame:
