@@ -25,6 +25,8 @@ from veilwatch.sources.reports import write_reports
 from veilwatch.sources.snapshots import (numeric_entries, read_process_snapshots,
                                          write_process_snapshots)
 from veilwatch.sources.exec_events import read_command_log
+from veilwatch.session import cut_lineage
+from veilwatch.streaming.agent_stream import finish_agent_audit, stream_agent_audit
 from veilwatch.streaming.audit_stream import (read_root_changes, stream_audit, stream_reports_of,
                                               stream_root_changes, stream_verdicts, without_replays)
 
@@ -508,6 +510,27 @@ def streamed_reports(spark, sf):
     return _flat_reports(spark.read.parquet(path))
 
 
+@query("x2_kept_lineage", f"SELECT {_REPORT} FROM x_reports WHERE event_id IN (SELECT event_id FROM x_agent)")
+def reports_with_kept_lineage(spark, sf):
+    """Lineage kept between batches.  Commands come by time, their snapshots a batch later, the first commands
+    twice; the stream begins again with a new checkpoint in between and reads every file once more."""
+    path, log, snaps, state = (folder(spark, n) for n in ("reports", "log", "snapshots", "kept"))
+    procs = cut_lineage(processes(spark, sf))
+    whole = cut_lineage(raw_log(spark, sf).withColumns({"basename": basename(F.col("filename"))}))
+    half = lambda time: (F.col(time) >= "2024-01-17").cast("int")
+    part = lambda df, time, k: df.filter(half(time) == k).coalesce(1)
+    for arriving, files in (([(0, None), (1, 0)], 1), ([(0, 1)], None)):
+        for ran, listed in arriving:
+            part(whole, "ts", ran).write.mode("append").parquet(log)
+            write_process_snapshots(part(procs, "snapshot_ts", -1 if listed is None else listed), snaps)
+        cmds = with_argv(read_command_log(spark, log, streaming=True, per_batch=files))
+        seen = read_process_snapshots(spark, snaps, streaming=True, per_batch=files)
+        stream_agent_audit(cmds, seen, lambda: context(spark, sf), path, state, folder(spark, "state"), _BACKLOG,
+                           "0 seconds").awaitTermination()
+    finish_agent_audit(spark, cmds, lambda: context(spark, sf), path, state)
+    return _flat_reports(spark.read.parquet(path))
+
+
 @query("x3_stream_daily_sink", """SELECT strftime(ts, '%Y-%m-%d') AS report_date, kind, count(*) AS n FROM x_reports
        WHERE event_id IN (SELECT event_id FROM x_inrow) GROUP BY ALL""")
 def streamed_days(spark, sf):

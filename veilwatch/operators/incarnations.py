@@ -43,7 +43,8 @@ def recorded_facts(placed: DataFrame, procs: DataFrame, listed_stay: bool = True
     after program is a few rows.  Of several parents recorded at one moment the smallest counts.
     """
     used = placed.select(*SNAPSHOT).filter("snapshot_ts is not null").distinct()
-    listed = (flag_roots(procs).join(used, SNAPSHOT, "left_semi").groupBy(*KEY)
+    marked = procs if "is_root" in procs.columns else flag_roots(procs)
+    listed = (marked.join(used, SNAPSHOT, "left_semi").groupBy(*KEY)
               .agg(F.min("ppid").alias("ppid"), F.max("is_root").alias("is_root"))
               .select(*KEY, F.col("snapshot_ts").alias("since"), F.lit(0).alias("executed"), "ppid", "is_root"))
     ran = placed.filter("snapshot_ts is not null and ppid is not null and pid is not null")

@@ -11,7 +11,7 @@ from veilwatch.operators.lineage import flag_roots
 from veilwatch.plans.dispatch import Context, agent_executions, audit
 from veilwatch.plans.reports import build_reports
 from veilwatch.sources.exec_events import watchlist_filter
-from veilwatch.sources.reports import CADENCE, stream_reports, write_reports
+from veilwatch.sources.reports import CADENCE, stream_id, stream_reports, write_reports
 
 #: How late an execution may arrive and still be told from a replay; later ones are dropped.
 LATENESS = "1 hour"
@@ -56,7 +56,7 @@ def stream_audit(cmds: DataFrame, context: Callable[[], Context], path: str, che
             known = log() if log else batch
             ours = agent_executions(known, snapshots(), context().salts)
             batch = watchlist_filter(batch).join(ours, "event_id")
-        write_reports(build_reports(audit(batch, context())), path, str(batch_id))
+        write_reports(build_reports(audit(batch, context())), path, f"{stream_id(batch)}-{batch_id}")
 
     return (without_replays(cmds, lateness).writeStream.foreachBatch(each)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
