@@ -11,6 +11,7 @@ from registry.fixtures import (COMMAND_SQL, CTES, command_log, commands, commit_
 from registry.masking_queries import hits_sql
 from veilwatch.functions.argv import with_argv
 from veilwatch.functions.text import basename
+from veilwatch.operators.diff_pieces import cut_diffs, pieced_diff_lines
 from veilwatch.operators.diffs import commit_hits, diff_lines, hunk_start, line_hits
 from veilwatch.operators.incarnations import incarnations, recorded_facts
 from veilwatch.operators.lineage import (asof_snapshot, descendants, flag_roots, next_snapshots,
@@ -200,6 +201,19 @@ def numbered_lines(spark, sf):
         "event_id", "file", "line", number(F.col("added")).alias("added"), F.md5("text").alias("digest"))
 
 
+@query("w2_pieced_lines", """SELECT event_id, file, CAST(number AS BIGINT) AS line, CAST(added AS BIGINT) AS added,
+       md5(CASE WHEN added THEN substr(line, 2) ELSE line END) AS digest FROM x_dn WHERE counted = 1""")
+def lines_of_pieces(spark, sf):
+    """Diffs stored in pieces that cut lines anywhere, numbered over the borders."""
+    return pieced_diff_lines(cut_diffs(commit_diffs(spark, sf), 61), 4).select(
+        "event_id", "file", "line", number(F.col("added")).alias("added"), F.md5("text").alias("digest"))
+
+
+@query("c15_pieced_hits", "SELECT event_id, file, CAST(number AS BIGINT) AS line, kind, snippet FROM x_hits")
+def hits_of_pieces(spark, sf):
+    return line_hits(pieced_diff_lines(cut_diffs(commit_diffs(spark, sf), 1000), 4))
+
+
 @query("w2_hunk_start", """SELECT event_id, i AS pos, CAST(CASE WHEN n < 4294967296 THEN n END AS BIGINT) AS start FROM (
        SELECT event_id, i, TRY_CAST(regexp_extract(line, '^[^+]*\\+([0-9]+)', 1) AS HUGEINT) AS n
        FROM x_dl WHERE starts_with(line, '@@'))""")

@@ -406,8 +406,8 @@ def chained(spark, sf):
 # Every file again: changed in the middle of the log (delivered twice), and once more later.
 _VERSIONS = """
 SELECT host, path, content, recorded_at FROM {contents}
-UNION ALL SELECT host, path, 'DROP TABLE v2; ' || left(content, 200), TIMESTAMP '2024-01-10 06:30:00' FROM {contents}
-UNION ALL SELECT host, path, 'DROP TABLE v2; ' || left(content, 200), TIMESTAMP '2024-01-10 06:30:00' FROM {contents}
+UNION ALL SELECT host, path, 'DROP TABLE v2; ' || content, TIMESTAMP '2024-01-10 06:30:00' FROM {contents}
+UNION ALL SELECT host, path, 'DROP TABLE v2; ' || content, TIMESTAMP '2024-01-10 06:30:00' FROM {contents}
 UNION ALL SELECT host, path, 'SHOW TABLES', TIMESTAMP '2024-01-10 18:00:00' FROM {contents}
 """
 
@@ -439,13 +439,13 @@ def file_versions(spark, sf):
 
 _DIFFS = """
 SELECT event_id, recorded_at, files, diff, error FROM {diffs}
-UNION ALL SELECT event_id, TIMESTAMP '2000-01-01 00:00:00', files, '+newer ' || left(diff, 100), NULL FROM {diffs}
-UNION ALL SELECT event_id, TIMESTAMP '2000-01-01 00:00:00', files, '+newer ' || left(diff, 100), NULL FROM {diffs}
+UNION ALL SELECT event_id, TIMESTAMP '2000-01-01 00:00:00', files, '+newer ' || diff, NULL FROM {diffs}
+UNION ALL SELECT event_id, TIMESTAMP '2000-01-01 00:00:00', files, '+newer ' || diff, NULL FROM {diffs}
 UNION ALL SELECT event_id, TIMESTAMP '2099-01-01 00:00:00', files, '+too late', NULL FROM {diffs}
 """
 
 
-@query("s6_diff_versions", """SELECT m.event_id, md5('+newer ' || left(d.diff, 100)) AS digest FROM x_matched m
+@query("s6_diff_versions", """SELECT m.event_id, md5('+newer ' || d.diff) AS digest FROM x_matched m
        LEFT JOIN x_diffs d USING (event_id) WHERE m.guard = 'commit'""")
 def diff_versions(spark, sf):
     path = folder(spark, "diffs")
