@@ -1,5 +1,7 @@
 """Shapes of plans that matter at scale."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,9 +10,11 @@ from veilwatch.functions.masking import mask_table
 from veilwatch.functions.verdicts import allow, block, threat
 from veilwatch.operators.diffs import commit_hits, diff_lines
 from veilwatch.plans.dispatch import GUARDS, Context, Guard, audit
+from veilwatch.plans.path_policy import first_rule, lookup_path_policy
 from veilwatch.rules.registry import ACTIONS, Action
 from veilwatch.session import build_session, checkpoint_root
 from veilwatch.sources.exec_events import read_command_log, watchlist_filter, write_command_log
+from veilwatch.sources.policy import PathRule, load_policies
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,3 +139,28 @@ def test_filter_on_verdicts_stays_above_the_work(spark, tmp_path):
     done = audit(log, Context(None, None, policy(spark), "/home/u"), "container")
     plain, filtered = _plan(done), _plan(done.filter(F.col("verdict") == "Block"))
     assert len(filtered) < 1.3 * len(plain)
+
+
+def test_indexed_rules_equal_rules_in_order(spark):
+    """Ten thousand rules in one policy: what the index finds is what trying all in order finds."""
+    rng = random.Random(8)
+    shapes = ["/srv/{a}/{b}.txt", "/srv/{a}/", "**/{b}.env", "/srv/{a}/*.{c}", "**/*.{c}", "/srv/{a}/x*", "/srv/?{b}",
+              "src/{a}/*", "*{b}*", "/srv/{a}/**/{b}", "**/.{c}", "/srv/{a}*/{b}", "{a}?", "/srv/**.{c}", "/srv/{a}/.*"]
+    name = lambda k, n: f"{k}{rng.randrange(n)}"
+    texts = [rng.choice(shapes).format(a=name("a", 60), b=name("b", 900), c=name("c", 40)) for _ in range(400)]
+    lines = "".join(f"fblock {t}\n" for t in texts)
+    many = lines + "".join(f"fmask /far/{k}/f{k}\nfblock **/g{k}\n" for k in range(4800))
+    files = spark.createDataFrame([("few", 1, lines), ("many", 1, many)], "policy_id string, priority int, content string")
+    paths = [rng.choice(["/srv/{a}/{b}.txt", "/x/{b}.env", "/srv/{a}/q.{c}", "/srv/{a}", "/srv/{a}/x1", "/srv/z{b}", "src/{a}/k",
+                         "/srv/{a}/u/v/{b}", "/w/.{c}", "{a}z", "/srv/{a}/.c1", "/srv/{a}/", "{b}.env", "/", "", "/srv//{b}"]).format(
+        a=name("a", 60), b=name("b", 900), c=name("c", 40)) for _ in range(400)]
+    rows = [(k, policy, p) for k, (policy, p) in enumerate((o, p) for o in ("few", "many", "none") for p in paths)]
+    given = spark.createDataFrame([*rows, (9999, "few", None)], "id long, policy_id string, path string")
+    found = lookup_path_policy(given, load_policies(files).paths, salts=3)
+    rules = [PathRule(k, t, t, "block") for k, t in enumerate(texts, 1)]
+    want = {r["p"]: r["n"] for r in spark.createDataFrame([(p,) for p in set(paths)], "p string").select(
+        "p", first_rule(F.col("p"), rules).alias("n")).collect()}
+    got = {r["id"]: r["ord"] for r in found.collect()}
+    assert got == {k: want[p] for k, policy, p in rows if policy != "none" and want[p]}
+    assert 100 < len(got) < 750
+    assert len(_plan(found)) < 100_000 and "f4799" not in _plan(found)

@@ -10,6 +10,7 @@ from veilwatch.functions.globs import glob_test, resolve_path
 from veilwatch.functions.masking import mask_text
 from veilwatch.functions.text import string_map, strings
 from veilwatch.functions.verdicts import allow, block, masked, threat
+from veilwatch.operators.joins import SALTS, salted_join
 from veilwatch.rules.registry import PATH_STRATEGY
 from veilwatch.sources.policy import PathRule, Policy
 
@@ -80,35 +81,65 @@ def mask_files(contents: DataFrame, policy: Policy) -> DataFrame:
             .withColumn("content", mask_text(F.col("content"))).drop("_rule"))
 
 
-def lookup_path_policy(paths: DataFrame, rules: DataFrame) -> DataFrame:
+def _last(segments: Column) -> Column:
+    return F.try_element_at(segments, F.lit(-1))
+
+
+def _wild(text: Column) -> Column:
+    return F.contains(text, F.lit("*")) | F.contains(text, F.lit("?"))
+
+
+def _ancestors(segments: Column) -> Column:
+    """The path itself and all that lie above it."""
+    return F.transform(F.sequence(F.lit(1), F.size(segments)),
+                       lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))
+
+
+def index_rules(rules: DataFrame) -> DataFrame:
+    """Rules by ``policy_id`` and ``key``, the most telling literal part of each, in order.
+
+    A rule without wildcards is found by its path, a directory by its own name among a path's ancestors.
+    A pattern is found by its last segment where that is literal, else by its ending where the last
+    segment is a star and an extension, else by the directories before its first wildcard.  Only
+    patterns with neither are tried on every path of their policy.
+    """
+    target = F.col("expanded")
+    segments = F.split(target, "/")
+    ending = F.regexp_extract(_last(segments), r"^\*+(\.[^*?.]+)\z", 1)
+    lead = F.regexp_replace(F.regexp_extract(target, r"^[^*?]*/", 0), r"/\z", "")
+    key = (F.when(target.endswith("/"), F.concat(F.lit("/"), F.regexp_replace(target, r"/+\z", "")))
+           .when(~_wild(target), F.concat(F.lit("="), target))
+           .when(~_wild(_last(segments)) & F.contains(target, F.lit("/")), F.concat(F.lit("n"), _last(segments)))
+           .when(ending != "", F.concat(F.lit("e"), ending))
+           .when(lead != "", F.concat(F.lit("d"), lead)).otherwise(F.lit("r")))
+    sure = F.left(key, F.lit(1)).isin("/", "=") & ~target.endswith("//")
+    regex = F.when(~sure, F.col("regex")).alias("regex")
+    return rules.select("policy_id", key.alias("key"), F.struct("ord", "raw", "mode", regex).alias("rule")).groupBy(
+        "policy_id", "key").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+
+
+def path_keys(path: Column) -> Column:
+    """All keys under which a rule that covers the path can be found."""
+    segments = F.split(path, "/")
+    name, above = _last(segments), _ancestors(segments)
+    tag = lambda t, keys: F.transform(keys, lambda k: F.concat(F.lit(t), k))
+    return F.concat(F.array(F.lit("r"), F.concat(F.lit("="), path), F.concat(F.lit("n"), name),
+                            F.concat(F.lit("e."), F.substring_index(name, ".", -1))),
+                    tag("/", above), tag("d", above))
+
+
+def lookup_path_policy(paths: DataFrame, rules: DataFrame, salts: int = SALTS) -> DataFrame:
     """The first rule of each row's own policy that covers its path: ``ord``, ``raw``, ``mode``.
 
     ``paths`` has ``id`` (unique), ``policy_id`` and ``path``; ``rules`` are the path rules of many parsed
-    policies.  Literal paths are found by an equi join, directories by one on the path's own parents, and
-    patterns run only within the row's policy, whose patterns are one list, bounded by its file's lines.
-    Rows no rule covers are left out.
+    policies.  A path meets the rules that share a key with it (``index_rules``) by one equi join; a
+    pattern's expression runs for these candidates alone, in rule order up to the first that fits.  The
+    join is salted: one policy, or one file name, may be everybody's.  Rows no rule covers are left out.
     """
-    target = F.col("expanded")
-    below = target.endswith("/")
-    pattern = ~below & (F.contains(target, F.lit("*")) | F.contains(target, F.lit("?")))
-    rule = F.struct("ord", "raw", "mode")
-    literal = rules.filter(~below & ~pattern).groupBy("policy_id", target.alias("path")).agg(
-        F.min(rule).alias("_literal"))
-    folders = rules.filter(below).groupBy(
-        "policy_id", F.regexp_replace(target, r"/+\z", "").alias("_parent")).agg(F.min(rule).alias("_folder"))
-    patterns = rules.filter(pattern).groupBy("policy_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "raw", "mode", "regex"))).alias("_patterns"))
-    parts = F.split("path", "/")
-    parents = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                          lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    by_folder = (paths.select("id", "policy_id", F.explode(parents).alias("_parent"))
-                 .join(folders, ["policy_id", "_parent"]).groupBy("id").agg(F.min("_folder").alias("_folder")))
-    df = (paths.join(literal, ["policy_id", "path"], "left").join(by_folder, "id", "left")
-          .join(patterns, "policy_id", "left"))
-    fits = F.filter("_patterns", lambda p: F.rlike(F.col("path"), p["regex"]))
-    found = F.transform(F.slice(fits, 1, 1), lambda p: F.struct(p["ord"].alias("ord"), p["raw"].alias("raw"),
-                                                                p["mode"].alias("mode")))
-    best = F.array_min(F.array_compact(F.concat(
-        F.array("_literal", "_folder"), F.coalesce(found, F.array().cast("array<struct<ord:int,raw:string,mode:string>>")))))
-    return (df.withColumn("_best", best).filter(F.col("_best").isNotNull())
-            .select(*paths.columns, "_best.ord", "_best.raw", "_best.mode"))
+    keyed = paths.filter(F.col("path").isNotNull()).select(
+        "id", "policy_id", "path", F.explode(F.array_distinct(path_keys(F.col("path")))).alias("key"))
+    met = salted_join(keyed, index_rules(rules), ["policy_id", "key"], "inner", ["id"], salts)
+    fits = F.filter("rules", lambda r: r["regex"].isNull() | F.rlike(F.col("path"), r["regex"]))
+    best = (met.select("id", F.try_element_at(fits, F.lit(1)).alias("rule")).filter("rule is not null")
+            .groupBy("id").agg(F.min(F.struct("rule.ord", "rule.raw", "rule.mode")).alias("_best")))
+    return paths.join(best, "id").select(*paths.columns, "_best.ord", "_best.raw", "_best.mode")
