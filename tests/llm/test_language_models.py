@@ -48,10 +48,7 @@ def key(row):
     return (row[0] is not None, row[0] or 0, row[2])
 
 
-@pytest.mark.parametrize("classes", [T.CLASSES, 40])
-def test_base_equals_brute_force(spark, monkeypatch, classes):
-    monkeypatch.setattr(L.Vocabulary, "of", classmethod(
-        lambda cls, c, w, of=T.Vocabulary.of.__func__: of(cls, c, w, classes)))
+def test_base_equals_brute_force(spark):
     docs = edge_docs(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want = sorted(brute_base(rows), key=key)
@@ -61,6 +58,92 @@ def test_base_equals_brute_force(spark, monkeypatch, classes):
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
 
 
+def brute_scores(rows, order, rounds=L.ROUNDS):
+    """Deleted interpolation by plain dictionaries of word tuples, without a grid."""
+    def crc(k):
+        return None if k is None else zlib.crc32(str(k).encode())
+
+    held = [crc(k) is not None and crc(k) % 5 == 1 for k, _ in rows]
+    fold = [not h and crc(k) is not None and crc(k) // 5 % 5 == 0 for (k, _), h in zip(rows, held)]
+
+    def grams(text):
+        words = [None] * (order - 1) + tokens_of(text)
+        return [tuple(words[at - order + 1:at + 1]) for at in range(order - 1, len(words))]
+
+    def model(some):
+        counts, contexts = Counter(), Counter()
+        for (_, t), use in zip(rows, some):
+            for g in grams(t) if use else ():
+                for k in range(1, order + 1):
+                    counts[g[-k:]] += 1
+                    contexts[g[-k:-1]] += 1
+        return counts, contexts
+
+    def parts(g, counts, contexts):
+        return [counts[g[-k:]] / max(contexts[g[-k:-1]], 1) for k in range(order, 0, -1)], contexts[g[:-1]]
+
+    whole = model([not h for h in held])
+    v = sum(len(g) == 1 for g in whole[0])
+    spread = 1 / (v + 1)
+    kept = model([not h and not f for h, f in zip(held, fold)])
+    by = {}
+    for (_, t), f in zip(rows, fold):
+        for g in grams(t) if f else ():
+            p, context = parts(g, *kept)
+            by.setdefault(int(math.log2(context + 1)), []).append([*p, spread])
+    lam = {}
+    for bucket in range(64):
+        if bucket not in by:
+            first = [0.0, *[1 / order] * order] if bucket == 0 else [1 / (order + 1)] * (order + 1)
+            lam[bucket] = lam[bucket - 1] if bucket > 1 else np.array(first)
+            continue
+        p = np.array(by[bucket]).T
+        x = np.full(order + 1, 1 / (order + 1)) if bucket else np.array([0.0, *[1 / order] * order])
+        for _ in range(rounds):
+            m = x[:, None] * p
+            x = (m / m.sum(axis=0)).mean(axis=1)
+        x = np.maximum(x, [1e-9 if bucket else 0.0, *[1e-9] * (order - 1), 1e-6])
+        lam[bucket] = x / x.sum()
+    out = []
+    for k, t in rows:
+        logs = 0.0
+        for g in grams(t):
+            p, context = parts(g, *whole)
+            logs += math.log10(lam[int(math.log2(context + 1))] @ np.array([*p, spread]))
+        out.append((k, logs))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_equal_brute_force(spark, monkeypatch, order):
+    """Ties, repeated rows and several blocks and shards; only the histogram's grid lies between."""
+    monkeypatch.setattr(L, "GRID", 512)
+    monkeypatch.setattr(L, "BLOCK", 3000)
+    monkeypatch.setattr(L, "shard_bits", lambda n: 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(
+        edge_docs(spark).where("length(text) < 2000 or text is null").select("doc_id", "text"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted(brute_scores(rows, order), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(((r["doc_id"], r["score"]) for r in L.score(docs.repartition(3), order).collect()),
+                 key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=2e-3)
+
+
+def test_no_cliff_in_the_number_of_words(spark):
+    """Every document occurs ten times; more distinct words than any table of words would hold change little."""
+    def loss(words):
+        per = words // 100
+        one = spark.range(1000).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, {per} - 1), "
+                                           f"k -> concat('w', (id % 100) * {per} + k)), ' ') AS text")
+        row = L.score(one).where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()
+        return row[0]
+
+    few, many = loss(20_000), loss(80_000)
+    assert few > -0.05 and many > few - 0.02
+
+
 def test_many_shards_and_blocks_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = {r["doc_id"]: r["score"] for r in L.score(docs).collect()}

@@ -1,18 +1,21 @@
 """LM scoring by deleted interpolation.
 
-A text's log10 probability under a bigram model of word classes: maximum-likelihood estimates of a
-class given the class before, of the class alone and an even spread are mixed with weights that depend
-on how often the context was seen (buckets by powers of two).  The weights are learned by
-expectation-maximisation on held-out counts: a fifth of the training documents is deleted from the
-estimates and its tokens' counts say which mixture predicts them best.  Scores then use all training
-counts.  The most frequent words have a class each; the others share one, inside which a word has its
-own estimate with half a count added, and all words never seen are one of them.
+A text's log10 probability under a word n-gram model: maximum-likelihood estimates of a token given the
+tokens before it, of every order up to ``order``, and an even spread over all known words and one unknown
+one are mixed with weights that depend on how often the longest context was seen (buckets by powers of
+two).  The weights are learned by expectation-maximisation on held-out counts: a fifth of the training
+documents is deleted from the estimates and its tokens' counts say which mixture predicts them best.
+Scores then use all training counts.
 
-Counts cover every training document and scores every token.  See ``tokens`` for the count join.
+N-grams are keyed by 64-bit hashes of their words, of all words alike: no vocabulary is chosen, collected
+or broadcast.  A block of documents asks for the counts of its distinct n-grams by the sharded join of
+``tokens``; counts cover every training document and scores every token.
 
 Defined results: a null or empty text is its end token alone; repeated rows count and are scored each;
-a null doc_id is trained on (its remainder is not 1); without training tokens every word is unseen; an
-empty table gives an empty result; extra columns are not carried.
+a null doc_id is trained on (its remainder is not 1); without training tokens every word is unseen; words
+of equal counts are treated alike whatever their order; a block ends with a whole document, so a very long
+text is a block of its own, whose arrays of a few numbers per token must fit a worker; an empty table
+gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from veilwatch.llm.common import field, pack_row, settled, ship_code
 from veilwatch.llm.tokens import (
-    Vocabulary,
+    END_HASH,
+    Words,
     blocks,
     by_shard,
     next_block,
@@ -38,17 +42,21 @@ from veilwatch.llm.tokens import (
     shard_bits,
     unpack_planes,
     unpack_sorted,
-    word_counts,
 )
 
 FOLDS = 5
 ROUNDS = 60
-#: Steps of the held-out histogram per doubling of a probability.
+#: Words of the longest n-gram.
+ORDER = 2
+#: Steps of the held-out histogram per doubling of a probability, for two orders; more orders take a quarter.
 GRID = 8
 #: Tokens of a block: its arrays of 64-bit numbers must fit a worker several times over.
 BLOCK = 1_000_000
+#: Bytes a token takes about, for the number of shards.
+TOKEN_BYTES = 6
+START = np.uint64(0x5851F42D4C957F2D)
 _ZERO = -(1 << 20)
-_DOCS, _PAIRS, _RARE = 0, 1, 2
+_DOCS, _FOLD = 0, 100
 _EVENTS = ("kind int, part long, block long, doc_ids array<long>, held array<boolean>, "
            "a binary, b binary, c binary")
 
@@ -64,14 +72,66 @@ def _prepared(docs: DataFrame) -> DataFrame:
                            "fold": (~held & fold).cast("long")})
 
 
-def _events(source: DataFrame, vocabulary, bits: int) -> DataFrame:
-    """Per block: its documents as classes, and its distinct bigrams and rare words by shard."""
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an n-gram from that of its beginning and its last word."""
+    x = (context ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + word
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def _tokens(hashes: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens, an end after every document, and which tokens are a document's first."""
+    ends = np.cumsum(lens + 1) - 1
+    out = np.full(int((lens + 1).sum()), END_HASH)
+    word = np.ones(len(out), bool)
+    word[ends] = False
+    out[word] = hashes[ids]
+    first = np.zeros(len(out), bool)
+    first[ends - lens] = True
+    return out, first
+
+
+def _before(values: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """The value of the token before, ``start`` at a document's first token."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[first] = start
+    return out
+
+
+def ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """Per order the key of the n-gram that ends at each token."""
+    keys = [tokens]
+    for _ in range(1, order):
+        keys.append(_mixed(_before(keys[-1], first, START), tokens))
+    return keys
+
+
+def _picked(words: Words, some: np.ndarray) -> Words:
+    """The documents of a block for which ``some`` holds, with the words they use."""
+    hashes, ids = np.unique(words.ids[np.repeat(some, words.lens)], return_inverse=True)
+    return Words(words.hashes[hashes], ids, words.lens[some])
+
+
+def _packed(words: Words) -> tuple[bytes, bytes, bytes]:
+    return pack_planes(words.ids), pack_planes(words.lens), words.hashes.tobytes()
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes, first marks and document lengths of a packed block."""
+    lens = unpack_planes(row["b"]).astype(np.int64)
+    tokens, first = _tokens(np.frombuffer(row["c"], np.uint64), unpack_planes(row["a"]).astype(np.int64), lens)
+    return tokens, first, lens
+
+
+def _events(source: DataFrame, bits: int, order: int) -> DataFrame:
+    """Per block: its documents, its held-out documents, and its distinct n-grams by order and shard."""
     names = [f.split()[0] for f in _EVENTS.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()),
              *[pa.binary()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Vocabulary = vocabulary.value
         number = count()
         for batch in batches:
             at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
@@ -79,175 +139,174 @@ def _events(source: DataFrame, vocabulary, bits: int) -> DataFrame:
             ids, held = at["doc_id"].to_pylist(), at["held"].to_pylist()
             for part, words in blocks(batch, "text", BLOCK):
                 block, sizes = next_block(number), words.lens + 1
-                classes = own.classes(words.hashes)[words.ids]
-                tokens = own.sequence(classes, words.lens)
-                rare = words.hashes[words.ids[classes == own.rare]]
-                weights = [np.repeat(w[part], sizes) for w in (main, fold)]
-                word_weights = [np.repeat(w[part], words.lens)[classes == own.rare]
-                                for w in (main, fold)]
-                rows = []
-                for kind, keys, some in ((_PAIRS, own.bigrams(tokens, words.lens), weights),
-                                         (_RARE, rare, word_weights)):
+                tokens, first = _tokens(words.hashes, words.ids, words.lens)
+                rows = [(_DOCS, block, block, ids[part], held[part], *_packed(words))]
+                if fold[part].any():
+                    rows.append((_FOLD, block, block, None, None, *_packed(_picked(words, fold[part] > 0))))
+                for kind, keys in enumerate(ngrams(tokens, first, order), 1):
                     distinct, inverse = np.unique(keys, return_inverse=True)
-                    sums = [np.bincount(inverse, w, len(distinct)) for w in some]
+                    sums = [np.bincount(inverse, np.repeat(w[part], sizes), len(distinct)) for w in (main, fold)]
                     for shard, k in by_shard(distinct, bits):
                         rows.append((kind, shard, block, None, None, pack_sorted(distinct[k]),
                                      pack_planes(sums[0][k]), pack_planes(sums[1][k])))
-                    if kind == _RARE:
-                        rows.append((_DOCS, block, block, ids[part], held[part], pack_planes(classes),
-                                     pack_planes(words.lens), pack_planes(inverse) + distinct.tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return source.mapInArrow(run, _EVENTS)
 
 
-def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(context, 0) + 1.0)).astype(np.int64)
-
-
-def _cell(p: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * GRID), _ZERO).astype(np.int64)
-
-
-def _answers(requests: DataFrame, vocabulary) -> DataFrame:
-    """Per block and shard the corpus counts of its keys; at block -1 cells of the held-out histogram."""
+def _answers(requests: DataFrame) -> DataFrame:
+    """Per block and shard the corpus counts of its keys; kind negated: the undeleted counts of the keys its
+    held-out documents have; at block -1 the shard's sums and number of keys."""
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        own: Vocabulary = vocabulary.value
         pdf = pdf.sort_values("block", ignore_index=True)
         asked = [unpack_sorted(a) for a in pdf["a"]]
         keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        held = np.concatenate([unpack_planes(c) for c in pdf["c"]])
         main = np.bincount(inverse, np.concatenate([unpack_planes(b) for b in pdf["b"]]), len(keys))
-        fold = np.bincount(inverse, np.concatenate([unpack_planes(c) for c in pdf["c"]]), len(keys))
-        totals = (main + fold).astype(np.uint64)[inverse]
+        total = main + np.bincount(inverse, held, len(keys))
         cuts = np.cumsum([len(a) for a in asked])[:-1]
-        out = pd.DataFrame({"kind": pdf["kind"], "part": pdf["part"], "block": pdf["block"],
-                            "a": [pack_planes(x) for x in np.split(totals, cuts)]})
-        if pdf["kind"].iloc[0] == _PAIRS and (fold > 0).any():
-            told = fold > 0
-            before, cur = keys[told] // np.uint64(own.size), keys[told] % np.uint64(own.size)
-            context = own.counts["main"][before.astype(np.int64)]
-            p2 = main[told] / np.maximum(context, 1)
-            p1 = own.counts["main"][cur.astype(np.int64)] / max(own.counts["main"][:-1].sum(), 1)
-            cells, back = np.unique(np.stack([_bucket(context), _cell(p2), _cell(p1)]), axis=1,
-                                    return_inverse=True)
-            weight = np.bincount(back.ravel(), fold[told], cells.shape[1])
-            blob = np.vstack([cells, weight.astype(np.int64)]).astype("<i8").tobytes()
-            out = pd.concat([out, pd.DataFrame({"kind": [_PAIRS], "part": [pdf["part"].iloc[0]],
-                                                "block": [-1], "a": [blob]})])
-        return out
+        kind, part = pdf["kind"].iloc[0], pdf["part"].iloc[0]
+        rows = [(kind, part, b, pack_planes(t)) for b, t in zip(pdf["block"], np.split(total[inverse], cuts))]
+        rows += [(-kind, part, b, pack_planes(m[h > 0])) for b, m, h in zip(
+            pdf["block"], np.split(main[inverse], cuts), np.split(held, cuts)) if (h > 0).any()]
+        if kind == 1:
+            rows.append((kind, part, -1, pack_planes(np.array([main.sum(), total.sum(), (total > 0).sum()]))))
+        return pd.DataFrame(rows, columns=["kind", "part", "block", "a"])
 
     return requests.select("kind", "part", "block", "a", "b", "c").groupBy("kind", "part").applyInPandas(
         add, "kind int, part long, block long, a binary")
 
 
-def _histogram(answers: DataFrame) -> pd.DataFrame:
-    """The held-out tokens by context bucket and grid cells; bounded by the grid."""
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(answers: DataFrame) -> tuple[int, int, int]:
+    """Training tokens without and with the deleted ones, and distinct training tokens."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                table = np.frombuffer(blob, "<i8").reshape(4, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in table],
-                                                 names=["bucket", "c2", "c1", "n"])
+            sums = [unpack_planes(a).astype(np.int64) for a in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(sums).reshape(-1, 3).T],
+                                             names=["main", "total", "known"])
+
+    row = answers.where("block = -1").select("a").mapInArrow(each, "main long, total long, known long").agg(
+        F.sum("main"), F.sum("total"), F.sum("known")).first()
+    return tuple(int(x or 0) for x in row)
+
+
+def _counted(keys: list[np.ndarray], told: dict, bits: int, sign: int) -> list[np.ndarray]:
+    """Per order the count of each token's n-gram, from the answers of the shards."""
+    out = []
+    for kind, own in enumerate(keys, 1):
+        distinct, inverse = np.unique(own, return_inverse=True)
+        found = np.zeros(len(distinct))
+        for shard, k in by_shard(distinct, bits):
+            found[k] = unpack_planes(told[sign * kind, shard])
+        out.append(found[inverse])
+    return out
+
+
+def _estimates(counts: list[np.ndarray], first: np.ndarray, tokens: int, starts: int) -> tuple[np.ndarray, list]:
+    """How often the longest context was seen, and the estimates from the longest order down."""
+    contexts = [np.full(len(first), float(tokens))] + [_before(c, first, float(starts)) for c in counts[:-1]]
+    return contexts[-1], [c / np.maximum(n, 1) for c, n in zip(counts, contexts)][::-1]
+
+
+def _bucket(context: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(context, 0) + 1.0)).astype(np.int64)
+
+
+def _cell(p: np.ndarray, grid: int) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * grid), _ZERO).astype(np.int64)
+
+
+def grid_of(order: int) -> int:
+    return GRID if order <= 2 else GRID // 4
+
+
+def _histogram(events: DataFrame, answers: DataFrame, bits: int, order: int, tokens: int, starts: int) -> pd.DataFrame:
+    """The held-out tokens by context bucket and grid cells of the estimates; bounded by the grid."""
+    names, grid = [f"c{k}" for k in range(order, 0, -1)], grid_of(order)
+    schema = "bucket long, " + ", ".join(f"{n} long" for n in names) + ", n long"
+
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, first, _ = _unpacked(pdf[pdf["kind"] == _FOLD].iloc[0])
+        told = {(k, p): a for k, p, a in zip(pdf["kind"], pdf["part"], pdf["a"]) if k < 0}
+        counts = _counted(ngrams(own, first, order), told, bits, -1)
+        context, p = _estimates(counts, first, tokens, starts)
+        at, n = np.unique(np.stack([_bucket(context), *[_cell(x, grid) for x in p]]), axis=1,
+                          return_counts=True)
+        return pd.DataFrame(dict(zip(["bucket", *names], at)) | {"n": n})
 
-    return answers.where("block = -1").select("a").mapInArrow(
-        cells, "bucket long, c2 long, c1 long, n long").groupBy("bucket", "c2", "c1").agg(
+    blank = {c: F.lit(None).cast("binary") for c in ("b", "c")}
+    both = events.where(F.col("kind") == _FOLD).select("kind", "part", "block", "a", "b", "c").unionByName(
+        answers.where("kind < 0").withColumns(blank))
+    return both.groupBy("block").applyInPandas(cells, schema).groupBy("bucket", *names).agg(
         F.sum("n").alias("n")).toPandas()
 
 
-def learned_weights(cells: pd.DataFrame, spread: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Per bucket the weights of (context, class alone, even spread), by EM on held-out counts.
+def learned_weights(cells: pd.DataFrame, spread: float, rounds: int = ROUNDS, order: int = ORDER) -> np.ndarray:
+    """Per bucket the weights of the estimates from the longest order down and of the even spread, by EM on
+    held-out counts.
 
     A bucket without held-out tokens takes the weights of the nearest lower one with some, and a context
-    never seen gives nothing to the first estimate.
+    never seen gives nothing to the longest estimate.
     """
-    size = 64
-    out = np.tile(np.array([0.0, 0.5, 0.5]), (size, 1))
-    for bucket in range(size):
+    names = [f"c{k}" for k in range(order, 0, -1)]
+    unseen = np.array([0.0, *[1 / order] * order])
+    even = np.full(order + 1, 1 / (order + 1))
+    out = np.tile(unseen, (64, 1))
+    for bucket in range(64):
         own = cells[cells["bucket"] == bucket]
         if not len(own):
-            if bucket > 1:
-                out[bucket] = out[bucket - 1]
-            elif bucket == 1:
-                out[bucket] = (0.4, 0.4, 0.2)
+            if bucket:
+                out[bucket] = out[bucket - 1] if bucket > 1 else even
             continue
-        p = np.stack([np.where(own[c] == _ZERO, 0.0, np.exp2(own[c].astype(float) / GRID))
-                      for c in ("c2", "c1")] + [np.full(len(own), spread)])
+        p = np.stack([np.where(own[c] == _ZERO, 0.0, np.exp2(own[c].astype(float) / grid_of(order)))
+                      for c in names] + [np.full(len(own), spread)])
         n = own["n"].to_numpy(float)
-        lam = np.array([1 / 3, 1 / 3, 1 / 3]) if bucket else np.array([0.0, 0.5, 0.5])
+        lam = even if bucket else unseen
         for _ in range(rounds):
             mixed = lam[:, None] * p
             lam = (mixed / mixed.sum(axis=0) * n).sum(axis=1) / n.sum()
-        lam = np.maximum(lam, [1e-9 if bucket else 0.0, 1e-9, 1e-6])
+        lam = np.maximum(lam, [1e-9 if bucket else 0.0, *[1e-9] * (order - 1), 1e-6])
         out[bucket] = lam / lam.sum()
     return out
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, token counts, ``base_score`` and ``score``."""
-    spark = docs.sparkSession
-    ship_code(spark)
+    if order < 2:
+        raise ValueError("an n-gram model needs an order of two or more")
+    ship_code(docs.sparkSession)
     source = _prepared(docs)
-    weights = ["main", "fold"]
-    counts = settled(word_counts(source.where(~F.col("held")), "text", weights))
-    known, tokens = counts.agg(F.count(F.lit(1)), F.sum(F.col("main") + F.col("fold"))).first()
-    n, v = int(tokens or 0), int(known or 0)
-    vocabulary = Vocabulary.of(counts, weights)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    bits = shard_bits(n * FOLDS // (FOLDS - 1))
-    events = settled(_events(source, shared, bits))
-    answers = settled(_answers(events.where(F.col("kind") != _DOCS), shared))
-    spread = 1 / (vocabulary.size - 1)
-    mixture = learned_weights(_histogram(answers), spread)
-    v_rare = v - int((vocabulary.counts["main"] + vocabulary.counts["fold"] > 0)[:-3].sum()) - int(
-        vocabulary.counts["main"][vocabulary.end] + vocabulary.counts["fold"][vocabulary.end] > 0)
+    size, main, fold = (int(x or 0) for x in source.agg(
+        F.sum(F.octet_length("text")), F.sum("main"), F.sum("fold")).first())
+    bits = shard_bits(size // TOKEN_BYTES)
+    events = settled(_events(source, bits, order))
+    answers = settled(_answers(events.where((F.col("kind") != _DOCS) & (F.col("kind") != _FOLD))))
+    undeleted, n, v = _sums(answers)
+    spread = 1 / (v + 1)
+    mixture = learned_weights(_histogram(events, answers, bits, order, undeleted, main), spread, order=order)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        own: Vocabulary = shared.value
         row = pdf[pdf["kind"] == _DOCS].iloc[0]
         told = {(k, p): a for k, p, a in zip(pdf["kind"], pdf["part"], pdf["a"]) if k != _DOCS}
-        classes = unpack_planes(row["a"]).astype(np.int64)
-        lens = unpack_planes(row["b"]).astype(np.int64)
-        n_rare = int((classes == own.rare).sum())
-        packed = row["c"]
-        used = 9 + packed[8] * n_rare
-        rare_at = unpack_planes(packed[:used]).astype(np.int64)
-        rare_keys = np.frombuffer(packed, np.uint64, offset=used)
-        per_class = own.counts["main"] + own.counts["fold"]
-        seq = own.sequence(classes, lens)
-        pairs, inverse = np.unique(own.bigrams(seq, lens), return_inverse=True)
-
-        def answered(kind: int, keys: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(keys))
-            for shard, k in by_shard(keys, bits):
-                out[k] = unpack_planes(told[kind, shard])
-            return out
-
-        seen = answered(_PAIRS, pairs)
-        rare = answered(_RARE, rare_keys)[rare_at]
-        before = (pairs // np.uint64(own.size)).astype(np.int64)
-        cur = (pairs % np.uint64(own.size)).astype(np.int64)
-        lam = mixture[_bucket(per_class[before])]
-        p = (lam[:, 0] * seen / np.maximum(per_class[before], 1)
-             + lam[:, 1] * per_class[cur] / max(n, 1) + lam[:, 2] * spread)
-        logs = np.log10(p)[inverse]
-        c = per_class[seq].astype(float)  # of the token itself
-        is_rare = seq == own.rare
-        c[is_rare] = rare
-        logs[is_rare] += np.log10((rare + 0.5) / (per_class[own.rare] + 0.5 * (v_rare + 1)))
+        tokens, first, lens = _unpacked(row)
+        counts = _counted(ngrams(tokens, first, order), told, bits, 1)
+        context, estimates = _estimates(counts, first, n, main + fold)
+        lam = mixture[_bucket(context)]
+        logs = np.log10(sum(lam[:, k] * p for k, p in enumerate(estimates)) + lam[:, -1] * spread)
+        base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))
         sizes = lens + 1
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         return pd.DataFrame({
             "doc_id": pd.array(row["doc_ids"], dtype="Int64"), "held_out": row["held"], "n_tokens": sizes,
-            "n_known": per_document((c > 0).astype(float), sizes).round().astype(np.int64),
+            "n_known": per_document((counts[0] > 0).astype(float), sizes).round().astype(np.int64),
             "train_tokens": n, "base_score": per_document(base, sizes),
             "score": per_document(logs, sizes)})
 
     whole = events.where(F.col("kind") == _DOCS).drop("part").withColumn("part", F.lit(-1).cast("long"))
     empty = {"doc_ids": F.lit(None).cast("array<long>"), "held": F.lit(None).cast("array<boolean>"),
              "b": F.lit(None).cast("binary"), "c": F.lit(None).cast("binary")}
-    both = whole.unionByName(answers.where("block >= 0").withColumns(empty))
+    both = whole.unionByName(answers.where("block >= 0 and kind > 0").withColumns(empty))
     return both.groupBy("block").applyInPandas(
         total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                "base_score double, score double")
