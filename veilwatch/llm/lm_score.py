@@ -20,6 +20,7 @@ gives an empty result; extra columns are not carried.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import count
 
@@ -34,7 +35,6 @@ from veilwatch.llm.tokens import (
     END_HASH,
     Words,
     blocks,
-    by_shard,
     next_block,
     pack_planes,
     pack_sorted,
@@ -80,6 +80,23 @@ def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The slices of sorted keys per shard, which is their leading bits: what is left of a key is short."""
+    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else [0]
+    for shard, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)])):
+        if a < b:
+            yield shard, slice(a, b)
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers of few different values."""
+    return zlib.compress(pack_planes(values), 1)
+
+
+def _unsmall(blob: bytes) -> np.ndarray:
+    return unpack_planes(zlib.decompress(blob))
+
+
 def _tokens(hashes: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens, an end after every document, and which tokens are a document's first."""
     ends = np.cumsum(lens + 1) - 1
@@ -115,13 +132,13 @@ def _picked(words: Words, some: np.ndarray) -> Words:
 
 
 def _packed(words: Words) -> tuple[bytes, bytes, bytes]:
-    return pack_planes(words.ids), pack_planes(words.lens), words.hashes.tobytes()
+    return _small(words.ids), _small(words.lens), words.hashes.tobytes()
 
 
 def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, first marks and document lengths of a packed block."""
-    lens = unpack_planes(row["b"]).astype(np.int64)
-    tokens, first = _tokens(np.frombuffer(row["c"], np.uint64), unpack_planes(row["a"]).astype(np.int64), lens)
+    lens = _unsmall(row["b"]).astype(np.int64)
+    tokens, first = _tokens(np.frombuffer(row["c"], np.uint64), _unsmall(row["a"]).astype(np.int64), lens)
     return tokens, first, lens
 
 
@@ -146,9 +163,9 @@ def _events(source: DataFrame, bits: int, order: int) -> DataFrame:
                 for kind, keys in enumerate(ngrams(tokens, first, order), 1):
                     distinct, inverse = np.unique(keys, return_inverse=True)
                     sums = [np.bincount(inverse, np.repeat(w[part], sizes), len(distinct)) for w in (main, fold)]
-                    for shard, k in by_shard(distinct, bits):
+                    for shard, k in _by_shard(distinct, bits):
                         rows.append((kind, shard, block, None, None, pack_sorted(distinct[k]),
-                                     pack_planes(sums[0][k]), pack_planes(sums[1][k])))
+                                     _small(sums[0][k]), _small(sums[1][k])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -162,16 +179,16 @@ def _answers(requests: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("block", ignore_index=True)
         asked = [unpack_sorted(a) for a in pdf["a"]]
         keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        held = np.concatenate([unpack_planes(c) for c in pdf["c"]])
-        main = np.bincount(inverse, np.concatenate([unpack_planes(b) for b in pdf["b"]]), len(keys))
+        held = np.concatenate([_unsmall(c) for c in pdf["c"]])
+        main = np.bincount(inverse, np.concatenate([_unsmall(b) for b in pdf["b"]]), len(keys))
         total = main + np.bincount(inverse, held, len(keys))
         cuts = np.cumsum([len(a) for a in asked])[:-1]
         kind, part = pdf["kind"].iloc[0], pdf["part"].iloc[0]
-        rows = [(kind, part, b, pack_planes(t)) for b, t in zip(pdf["block"], np.split(total[inverse], cuts))]
-        rows += [(-kind, part, b, pack_planes(m[h > 0])) for b, m, h in zip(
+        rows = [(kind, part, b, _small(t)) for b, t in zip(pdf["block"], np.split(total[inverse], cuts))]
+        rows += [(-kind, part, b, _small(m[h > 0])) for b, m, h in zip(
             pdf["block"], np.split(main[inverse], cuts), np.split(held, cuts)) if (h > 0).any()]
         if kind == 1:
-            rows.append((kind, part, -1, pack_planes(np.array([main.sum(), total.sum(), (total > 0).sum()]))))
+            rows.append((kind, part, -1, _small(np.array([main.sum(), total.sum(), (total > 0).sum()]))))
         return pd.DataFrame(rows, columns=["kind", "part", "block", "a"])
 
     return requests.select("kind", "part", "block", "a", "b", "c").groupBy("kind", "part").applyInPandas(
@@ -182,7 +199,7 @@ def _sums(answers: DataFrame) -> tuple[int, int, int]:
     """Training tokens without and with the deleted ones, and distinct training tokens."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [unpack_planes(a).astype(np.int64) for a in batch.column(0).to_pylist()]
+            sums = [_unsmall(a).astype(np.int64) for a in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(sums).reshape(-1, 3).T],
                                              names=["main", "total", "known"])
 
@@ -197,8 +214,8 @@ def _counted(keys: list[np.ndarray], told: dict, bits: int, sign: int) -> list[n
     for kind, own in enumerate(keys, 1):
         distinct, inverse = np.unique(own, return_inverse=True)
         found = np.zeros(len(distinct))
-        for shard, k in by_shard(distinct, bits):
-            found[k] = unpack_planes(told[sign * kind, shard])
+        for shard, k in _by_shard(distinct, bits):
+            found[k] = _unsmall(told[sign * kind, shard])
         out.append(found[inverse])
     return out
 
