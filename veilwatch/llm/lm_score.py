@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from veilwatch.llm.common import field, pack_row, settled, ship_code
 from veilwatch.llm.tokens import (
     END_HASH,
-    Words,
     blocks,
     next_block,
     pack_planes,
@@ -56,9 +55,10 @@ BLOCK = 1_000_000
 TOKEN_BYTES = 6
 START = np.uint64(0x5851F42D4C957F2D)
 _ZERO = -(1 << 20)
-_DOCS, _FOLD = 0, 100
-_EVENTS = ("kind int, part long, block long, doc_ids array<long>, held array<boolean>, "
+_DOCS = 0
+_BLOCKS = ("block long, doc_ids array<long>, held array<boolean>, main array<boolean>, fold array<boolean>, "
            "a binary, b binary, c binary")
+_REQUESTS = "kind int, part long, block long, a binary, b binary, c binary"
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -68,8 +68,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string"))
     held = F.coalesce(crc % FOLDS == 1, F.lit(False))
     fold = F.coalesce(F.floor(crc / FOLDS) % FOLDS == 0, F.lit(False))
-    return df.withColumns({"held": held, "main": (~held & ~fold).cast("long"),
-                           "fold": (~held & fold).cast("long")})
+    return df.withColumns({"held": held, "main": ~held & ~fold, "fold": ~held & fold})
 
 
 def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -125,51 +124,84 @@ def ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray
     return keys
 
 
-def _picked(words: Words, some: np.ndarray) -> Words:
-    """The documents of a block for which ``some`` holds, with the words they use."""
-    hashes, ids = np.unique(words.ids[np.repeat(some, words.lens)], return_inverse=True)
-    return Words(words.hashes[hashes], ids, words.lens[some])
+def _packed(hashes: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return _small(ids), _small(lens), hashes.tobytes()
 
 
-def _packed(words: Words) -> tuple[bytes, bytes, bytes]:
-    return _small(words.ids), _small(words.lens), words.hashes.tobytes()
+def _unpacked(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a block, their numbers in its documents, the documents' lengths."""
+    return np.frombuffer(c, np.uint64), _unsmall(a).astype(np.int64), _unsmall(b).astype(np.int64)
 
 
-def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, first marks and document lengths of a packed block."""
-    lens = _unsmall(row["b"]).astype(np.int64)
-    tokens, first = _tokens(np.frombuffer(row["c"], np.uint64), _unsmall(row["a"]).astype(np.int64), lens)
-    return tokens, first, lens
+def _filled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes of text, or of one longer batch."""
+    waiting, held = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, held = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
-def _events(source: DataFrame, bits: int, order: int) -> DataFrame:
-    """Per block: its documents, its held-out documents, and its distinct n-grams by order and shard."""
-    names = [f.split()[0] for f in _EVENTS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()),
-             *[pa.binary()] * 3]
+def _blocks(source: DataFrame) -> DataFrame:
+    """Blocks of documents as numbers of their distinct words."""
+    schema = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.bool_())] * 3, *[pa.binary()] * 3]
+    names = [f.split()[0] for f in _BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = count()
-        for batch in batches:
-            at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            main, fold = (at[w].to_numpy(zero_copy_only=False) for w in ("main", "fold"))
-            ids, held = at["doc_id"].to_pylist(), at["held"].to_pylist()
+        for batch in _filled(batches, BLOCK * TOKEN_BYTES):
+            docs = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in batch.schema.names
+                    if n != "text"}
             for part, words in blocks(batch, "text", BLOCK):
-                block, sizes = next_block(number), words.lens + 1
-                tokens, first = _tokens(words.hashes, words.ids, words.lens)
-                rows = [(_DOCS, block, block, ids[part], held[part], *_packed(words))]
-                if fold[part].any():
-                    rows.append((_FOLD, block, block, None, None, *_packed(_picked(words, fold[part] > 0))))
+                row = (next_block(number), docs["doc_id"][part], docs["held"][part], docs["main"][part],
+                       docs["fold"][part], *_packed(words.hashes, words.ids, words.lens))
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, schema)], names=names)
+
+    return source.mapInArrow(run, _BLOCKS)
+
+
+def _requests(docs: DataFrame, bits: int, order: int) -> DataFrame:
+    """A block's distinct n-grams by order and shard, with how often they occur in its training documents."""
+    schema = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    names = [f.split()[0] for f in _REQUESTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                hashes, ids, lens = _unpacked(row["a"], row["b"], row["c"])
+                tokens, first = _tokens(hashes, ids, lens)
+                weights = [np.repeat(np.array(row[w], np.int64), lens + 1) for w in ("main", "fold")]
                 for kind, keys in enumerate(ngrams(tokens, first, order), 1):
                     distinct, inverse = np.unique(keys, return_inverse=True)
-                    sums = [np.bincount(inverse, np.repeat(w[part], sizes), len(distinct)) for w in (main, fold)]
-                    for shard, k in _by_shard(distinct, bits):
-                        rows.append((kind, shard, block, None, None, pack_sorted(distinct[k]),
-                                     _small(sums[0][k]), _small(sums[1][k])))
+                    sums = [np.bincount(inverse, w, len(distinct)) for w in weights]
+                    rows = [(kind, shard, row["block"], pack_sorted(distinct[k]), _small(sums[0][k]),
+                             _small(sums[1][k])) for shard, k in _by_shard(distinct, bits)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows), schema)], names=names)
+
+    return docs.select("block", "main", "fold", "a", "b", "c").mapInArrow(run, _REQUESTS)
+
+
+def _held_out(docs: DataFrame) -> DataFrame:
+    """The deleted training documents of every block that has some, in the form of its answers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                some = np.array(row["fold"], bool)
+                if not some.any():
+                    continue
+                hashes, ids, lens = _unpacked(row["a"], row["b"], row["c"])
+                used, numbers = np.unique(ids[np.repeat(some, lens)], return_inverse=True)
+                own = (_DOCS, -1, row["block"], *_packed(hashes[used], numbers, lens[some]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    [pa.array([c], k) for c, k in zip(own, [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3])],
+                    names=[f.split()[0] for f in _REQUESTS.split(", ")])
 
-    return source.mapInArrow(run, _EVENTS)
+    return docs.select("block", "fold", "a", "b", "c").mapInArrow(run, _REQUESTS)
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -191,7 +223,7 @@ def _answers(requests: DataFrame) -> DataFrame:
             rows.append((kind, part, -1, _small(np.array([main.sum(), total.sum(), (total > 0).sum()]))))
         return pd.DataFrame(rows, columns=["kind", "part", "block", "a"])
 
-    return requests.select("kind", "part", "block", "a", "b", "c").groupBy("kind", "part").applyInPandas(
+    return requests.groupBy("kind", "part").applyInPandas(
         add, "kind int, part long, block long, a binary")
 
 
@@ -239,13 +271,14 @@ def grid_of(order: int) -> int:
     return GRID if order <= 2 else GRID // 4
 
 
-def _histogram(events: DataFrame, answers: DataFrame, bits: int, order: int, tokens: int, starts: int) -> pd.DataFrame:
+def _histogram(docs: DataFrame, answers: DataFrame, bits: int, order: int, tokens: int, starts: int) -> pd.DataFrame:
     """The held-out tokens by context bucket and grid cells of the estimates; bounded by the grid."""
     names, grid = [f"c{k}" for k in range(order, 0, -1)], grid_of(order)
     schema = "bucket long, " + ", ".join(f"{n} long" for n in names) + ", n long"
 
     def cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, first, _ = _unpacked(pdf[pdf["kind"] == _FOLD].iloc[0])
+        row = pdf[pdf["kind"] == _DOCS].iloc[0]
+        own, first = _tokens(*_unpacked(row["a"], row["b"], row["c"]))
         told = {(k, p): a for k, p, a in zip(pdf["kind"], pdf["part"], pdf["a"]) if k < 0}
         counts = _counted(ngrams(own, first, order), told, bits, -1)
         context, p = _estimates(counts, first, tokens, starts)
@@ -254,8 +287,7 @@ def _histogram(events: DataFrame, answers: DataFrame, bits: int, order: int, tok
         return pd.DataFrame(dict(zip(["bucket", *names], at)) | {"n": n})
 
     blank = {c: F.lit(None).cast("binary") for c in ("b", "c")}
-    both = events.where(F.col("kind") == _FOLD).select("kind", "part", "block", "a", "b", "c").unionByName(
-        answers.where("kind < 0").withColumns(blank))
+    both = _held_out(docs).unionByName(answers.where("kind < 0").withColumns(blank))
     return both.groupBy("block").applyInPandas(cells, schema).groupBy("bucket", *names).agg(
         F.sum("n").alias("n")).toPandas()
 
@@ -296,18 +328,19 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ship_code(docs.sparkSession)
     source = _prepared(docs)
     size, main, fold = (int(x or 0) for x in source.agg(
-        F.sum(F.octet_length("text")), F.sum("main"), F.sum("fold")).first())
+        F.sum(F.octet_length("text")), F.count_if("main"), F.count_if("fold")).first())
     bits = shard_bits(size // TOKEN_BYTES)
-    events = settled(_events(source, bits, order))
-    answers = settled(_answers(events.where((F.col("kind") != _DOCS) & (F.col("kind") != _FOLD))))
+    texts = settled(_blocks(source))
+    answers = settled(_answers(_requests(texts, bits, order)))
     undeleted, n, v = _sums(answers)
     spread = 1 / (v + 1)
-    mixture = learned_weights(_histogram(events, answers, bits, order, undeleted, main), spread, order=order)
+    mixture = learned_weights(_histogram(texts, answers, bits, order, undeleted, main), spread, order=order)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf[pdf["kind"] == _DOCS].iloc[0]
         told = {(k, p): a for k, p, a in zip(pdf["kind"], pdf["part"], pdf["a"]) if k != _DOCS}
-        tokens, first, lens = _unpacked(row)
+        hashes, ids, lens = _unpacked(row["a"], row["b"], row["c"])
+        tokens, first = _tokens(hashes, ids, lens)
         counts = _counted(ngrams(tokens, first, order), told, bits, 1)
         context, estimates = _estimates(counts, first, n, main + fold)
         lam = mixture[_bucket(context)]
@@ -320,7 +353,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             "train_tokens": n, "base_score": per_document(base, sizes),
             "score": per_document(logs, sizes)})
 
-    whole = events.where(F.col("kind") == _DOCS).drop("part").withColumn("part", F.lit(-1).cast("long"))
+    whole = texts.drop("main", "fold").withColumns(
+        {"kind": F.lit(_DOCS), "part": F.lit(-1).cast("long")})
     empty = {"doc_ids": F.lit(None).cast("array<long>"), "held": F.lit(None).cast("array<boolean>"),
              "b": F.lit(None).cast("binary"), "c": F.lit(None).cast("binary")}
     both = whole.unionByName(answers.where("block >= 0 and kind > 0").withColumns(empty))
