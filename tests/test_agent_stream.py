@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from veilwatch.plans.dispatch import Context, audit_commands
 from veilwatch.plans.reports import build_reports
 from veilwatch.sources.reports import write_reports
+from veilwatch.sources.snapshots import read_process_snapshots, write_process_snapshots
+from veilwatch.streaming.audit_stream import read_root_changes, stream_root_changes
 from veilwatch.streaming.agent_stream import PROCESS, RAN, AgentAudit, arrivals, finish_agent_audit
 
 T0 = datetime(2024, 3, 1)
@@ -75,3 +77,20 @@ def test_streams_share_a_report_path(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
     write_reports(day.filter("event_id = 1"), path, "a-0")  # the rerun yields nothing for the second day
     assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [1, 1, 2]
+
+
+def test_root_changes_go_on_with_a_new_checkpoint(spark, tmp_path):
+    snaps, path = str(tmp_path / "snaps"), str(tmp_path / "changes")
+
+    def run(checkpoint):
+        found = read_process_snapshots(spark, snaps, streaming=True, per_batch=1)
+        stream_root_changes(found, path, str(tmp_path / checkpoint), {"availableNow": True}, "30 days").awaitTermination()
+        return sorted((r["snapshot_ts"].hour, r["pid"], r["change"]) for r in read_root_changes(spark, path).collect())
+
+    for hours in ([0], [2], [1]):  # the second snapshot comes last
+        write_process_snapshots(spark.createDataFrame(rows(hours)[0], PROCS).coalesce(1), snaps)
+    want = [(h, pid, change) for h in (1, 2) for pid, change in ((10 + h, "added"), (9 + h, "removed"))]
+    assert run("one") == sorted(want)
+    write_process_snapshots(spark.createDataFrame(rows([3])[0], PROCS).coalesce(1), snaps)
+    assert run("two") == sorted([*want, (3, 13, "added"), (3, 12, "removed")])
+    assert len(list((tmp_path / "changes" / "state" / "rows").iterdir())) <= 2

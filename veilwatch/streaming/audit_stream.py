@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwatch.operators.lineage import flag_roots
 from veilwatch.plans.dispatch import Context, agent_executions, audit
 from veilwatch.plans.reports import build_reports
+from veilwatch.session import cut_lineage
 from veilwatch.sources.exec_events import watchlist_filter
 from veilwatch.sources.reports import CADENCE, stream_id, stream_reports, write_reports
+from veilwatch.streaming.kept_state import KeptState
 
 #: How late an execution may arrive and still be told from a replay; later ones are dropped.
 LATENESS = "1 hour"
@@ -66,28 +69,26 @@ def stream_root_changes(snapshots: DataFrame, path: str, checkpoint: str, trigge
                         kept: str = KEPT):
     """Root changes per micro-batch of snapshots; read them by ``read_root_changes``.
 
-    The state is a small table: per host the root sets of the last ``kept`` of time, written anew by
-    every batch.  A snapshot that arrives late is put between its neighbours, and the changes of the
-    snapshot after it are said again; a snapshot that comes twice changes nothing.
+    The state is a small table, the root sets of the last ``kept`` of time per host, of which a batch
+    reads and writes its hosts' buckets.  A snapshot that arrives late is put between its neighbours, and
+    the changes of the snapshot after it are said again; a snapshot that comes twice changes nothing.
+    Batches are numbered by the state's versions, so a stream with a new checkpoint goes on after the
+    last one and overwrites nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        state = KeptState(batch.sparkSession, f"{path}/state", T.StructType.fromDDL(_SETS))
+        stream = stream_id(batch)
+        before = state.before(stream, batch_id)
         root = F.when(F.col("is_root"), F.col("pid"))
-        fresh = (flag_roots(batch).groupBy("host", "snapshot_ts")
-                 .agg(F.array_sort(F.collect_set(root)).alias("pids")).withColumn("fresh", F.lit(True)))
-        known = fresh
-        if batch_id:
-            before = spark.read.schema(_SETS).parquet(f"{path}/state/batch_id={batch_id - 1}")
-            known = fresh.unionByName(before.withColumn("fresh", F.lit(False)))
-        known = known.groupBy("host", "snapshot_ts").agg(
+        fresh = cut_lineage(flag_roots(batch).groupBy("host", "snapshot_ts")
+                            .agg(F.array_sort(F.collect_set(root)).alias("pids"))).withColumn("fresh", F.lit(True))
+        touched = [r[0] for r in fresh.select(state.bucket("host")).distinct().collect()]
+        known = fresh.unionByName(state.read(before, touched).withColumn("fresh", F.lit(False)))
+        known = cut_lineage(known.groupBy("host", "snapshot_ts").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("pids")))).alias("pids"),
-            F.max("fresh").alias("fresh"))
-        known.write.mode("overwrite").parquet(f"{path}/known/batch_id={batch_id}")
-        known = spark.read.parquet(f"{path}/known/batch_id={batch_id}")
+            F.max("fresh").alias("fresh")))
         newest = known.groupBy("host").agg(F.max("snapshot_ts").alias("newest"))
-        (known.join(newest, "host").filter(F.col("snapshot_ts") >= F.expr(f"newest - interval {kept}"))
-         .select("host", "snapshot_ts", "pids")
-         .write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}"))
+        recent = known.join(newest, "host").filter(F.col("snapshot_ts") >= F.expr(f"newest - interval {kept}"))
         order = Window.partitionBy("host").orderBy("snapshot_ts")  # a host's snapshots within ``kept``
         steps = known.withColumns({"before": F.lag("pids").over(order), "moved": F.lag("fresh").over(order)})
         steps = steps.filter(F.col("fresh") | F.col("moved"))
@@ -96,7 +97,8 @@ def stream_root_changes(snapshots: DataFrame, path: str, checkpoint: str, trigge
             _changed("pids", "before", "added"), _changed("before", "pids", "removed"))
         (steps.select("host", "snapshot_ts", F.explode(said).alias("c"))
          .select("host", "snapshot_ts", "c.pid", "c.change")
-         .write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}"))
+         .write.mode("overwrite").parquet(f"{path}/changes/batch_id={before['version'] + 1}"))
+        state.publish(recent, "host", touched, before, stream, batch_id)
 
     return (snapshots.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())
