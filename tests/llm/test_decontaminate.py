@@ -116,3 +116,17 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "some passage of a benchmark")], "item_id long, text string")
     assert D.find(empty_docs(spark), some).count() == 0
     assert docs.select(F.count(F.lit(1))).first()[0] > 0
+
+
+def test_long_runs_of_equal_characters():
+    """A drawn rule in a text against one in an item: time and memory grow with the text, not with their product."""
+    import resource
+    import time
+
+    index = D.Index.build([(1, "answer " + "-" * 200), (2, "=" * 64 + " total " + "=" * 64)])
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    texts = ["answer " + "-" * 300_000, "x" + "=" * 100_000 + " total " + "=" * 100_000, "- " * 20_000]
+    found = D.matches(texts, index)
+    assert time.time() - start < 120 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert {(t, i) for t, i, *_ in found} == {(0, 0), (1, 1)}
+    assert (0, 0, 0, 207, 0) in found

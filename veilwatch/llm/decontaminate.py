@@ -20,6 +20,7 @@ either side gives no match.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ Q = 8
 EDIT_RATE = 0.1
 MIN_WIDTH = 16
 BLOCK_CHARS = 1_000_000
+#: Meetings of q-gram runs looked at at once.
+PAIRS = 1 << 20
 #: Candidate regions aligned at once.
 LANES = 128
 #: Characters of a document looked at at once; a longer one is cut into pieces that overlap by more than
@@ -72,9 +75,10 @@ class Index:
     bound: np.ndarray
     width: np.ndarray
     keys: np.ndarray     # distinct q-grams, sorted
-    first: np.ndarray    # where a q-gram's places begin; one more at the end
-    items: np.ndarray    # per place
+    first: np.ndarray    # where a q-gram's runs begin; one more at the end
+    items: np.ndarray    # per run of a q-gram at consecutive places of an item
     at: np.ndarray
+    length: np.ndarray
     slots: np.ndarray    # a bit table that settles most document q-grams at once
 
     @classmethod
@@ -88,13 +92,17 @@ class Index:
         item = np.repeat(np.arange(len(texts)), [len(g) for g in grams]) if grams else np.empty(0, int)
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, int)
         order = np.argsort(code, kind="stable")
-        keys, first = np.unique(code[order], return_index=True)
+        code, item, at = code[order], item[order], at[order]
+        begins = np.ones(len(code), bool)
+        begins[1:] = (code[1:] != code[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1)
+        runs = np.flatnonzero(begins)
+        keys, first = np.unique(code[runs], return_index=True)
         slots = np.zeros(1 << _SLOT_BITS, bool)
         slots[(keys * _MIX) >> np.uint64(64 - _SLOT_BITS)] = True
         return cls(np.array([i if i is not None else -1 for i, _ in texts], np.int64),
                    [p for _, p in texts], edits, m - Q + 1 - Q * edits,
-                   np.maximum(MIN_WIDTH, edits + 1), keys, np.append(first, len(code)),
-                   item[order], at[order], slots)
+                   np.maximum(MIN_WIDTH, edits + 1), keys, np.append(first, len(runs)),
+                   item[runs], at[runs], np.diff(np.append(runs, len(code))), slots)
 
 
 def _bands(points: np.ndarray, index: Index) -> list[tuple[int, int]]:
@@ -108,28 +116,56 @@ def _bands(points: np.ndarray, index: Index) -> list[tuple[int, int]]:
     pos, k = pos[hit], k[hit]
     if len(pos) < index.bound.min():
         return []
-    n = index.first[k + 1] - index.first[k]
-    place = np.repeat(index.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    item, at = index.items[place], index.at[place]
-    diagonal = np.repeat(pos, n) - at
-    width = index.width[item]
-    band = diagonal // width
-    low = diagonal - band * width < index.edits[item]  # also within the band before
-    item, at = np.concatenate([item, item[low]]), np.concatenate([at, at[low]])
-    band = np.concatenate([band, band[low] - 1])
+    begins = np.ones(len(pos), bool)
+    begins[1:] = (k[1:] != k[:-1]) | (pos[1:] != pos[:-1] + 1)
+    runs = np.flatnonzero(begins)
+    length, pos, k = np.diff(np.append(runs, len(pos))), pos[runs], k[runs]
     span = len(points) + 2 ** 22
-    key = item * span + (band + 2 ** 21)
-    keys, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    enough = counts >= index.bound[keys // span]
-    if not enough.any():
+    met = np.cumsum(index.first[k + 1] - index.first[k])
+    parts = np.split(np.arange(len(pos)), np.searchsorted(met, np.arange(PAIRS, met[-1], PAIRS)))
+    sums = [_summed(*_met(pos[p], length[p], k[p], index, span)[::2]) for p in parts if len(p)]
+    keys, counts = _summed(*map(np.concatenate, zip(*sums)))
+    near = keys[counts >= index.bound[keys // span]]
+    if not len(near):
         return []
-    near = enough[inverse]
-    pairs = np.unique(np.stack([key[near], at[near]]), axis=1)[0]  # each item place counts once
-    keys, counts = np.unique(pairs, return_counts=True)
+    seen = []
+    for p in parts:
+        key, at, places = _met(pos[p], length[p], k[p], index, span)
+        some = near[np.minimum(np.searchsorted(near, key), len(near) - 1)] == key
+        seen.append(np.unique(np.stack([key[some], at[some], places[some]]), axis=1))
+    key, _, places = np.unique(np.concatenate(seen, axis=1), axis=1)  # each item place counts once
+    keys, counts = _summed(key, places)
     keys = keys[counts >= index.bound[keys // span]]
     return [(int(x // span), int(x % span - 2 ** 21) * int(index.width[x // span])) for x in keys]
 
 
+def _met(pos: np.ndarray, length: np.ndarray, k: np.ndarray, index: Index,
+         span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of a text's q-grams meet runs of items': band (as item and band in one number), first
+    item place, number of item places.
+
+    A run of equal characters in both lies on all diagonals between its ends; every band of these counts
+    the places of the whole run, which is never too few.
+    """
+    n = index.first[k + 1] - index.first[k]
+    run = np.repeat(index.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    item, at, places = index.items[run], index.at[run], index.length[run]
+    lowest = np.repeat(pos, n) - at - places + 1
+    highest = np.repeat(pos + length, n) - 1 - at
+    width = index.width[item]
+    band = lowest // width
+    band = band - (lowest - band * width < index.edits[item])  # also within the band before
+    many = highest // width - band + 1
+    each = np.repeat(np.arange(len(many)), many)
+    band = band[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    return item[each] * span + (band + 2 ** 21), at[each], places[each]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+
+
 def align(items: list[np.ndarray], texts: list[np.ndarray], diagonals: list[int],
           width: int) -> list[tuple[int, int, int]]:
     """(edits, start, end) of the best alignment of each whole item within its band of diagonals.
@@ -178,10 +214,11 @@ def matches(texts: list[str | None], index: Index) -> list[tuple[int, int, int,
                 out.setdefault((t, i), []).append((place[0], place[1] + at, place[2] + at))
     kept = []
     for (t, i), places in out.items():
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, none over another
         for edits, start, end in sorted(places):
-            if all(end <= s or start >= e for s, e in taken):
-                taken.append((start, end))
+            at = bisect_left(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end))
                 kept.append((t, i, start, end, edits))
     return sorted(kept)
 
