@@ -180,34 +180,94 @@ def test_mixture_sums_to_one():
     assert lam[0, 0] == 0  # a context never seen says nothing
 
 
-def network():
-    text = [b"a b c a b d", b"a b c", b"x y a b", b"c c c d rare"]
-    words = T.Words.of(text)
-    hashes, n = np.unique(words.hashes[words.ids], return_counts=True)
-    top = np.sort(hashes[np.argsort(-n, kind="stable")[:5]])
-    counts = np.array([int((words.hashes[words.ids] == h).sum()) for h in top])
-    vocabulary = T.Vocabulary(top, {"train": np.concatenate([counts, [n.sum() - counts.sum(), 4, 4]])})
-    seq = vocabulary.sequence(vocabulary.classes(words.hashes)[words.ids], words.lens)
-    keys, c = np.unique(vocabulary.bigrams(seq, words.lens), return_counts=True)
-    size = vocabulary.size
-    before, cur = (keys // size).astype(int), (keys % size).astype(int)
-    stats = {"follow": np.bincount(cur, minlength=size), "total": np.bincount(before, c, size).astype(int)}
-    for k, some in ((1, c == 1), (2, c == 2), (3, c >= 3)):
-        stats[f"types{k}"] = np.bincount(before[some], minlength=size)
-    seen = np.array([(c == k).sum() for k in (1, 2, 3, 4)])
-    return K.KneserNey(vocabulary, stats, seen, 3), dict(zip(keys.tolist(), c.tolist()))
+class Plain:
+    """Modified Kneser-Ney with dictionaries."""
+
+    def __init__(self, texts):
+        self.pairs = Counter(g for t in texts for g in self.grams(t))
+        self.follow = Counter(b for _, b in self.pairs)
+        self.by = {}
+        for (a, _), n in self.pairs.items():
+            self.by.setdefault(a, []).append(n)
+        self.d, self.low = (K.discounts(*(sum(n == k for n in c.values()) for k in (1, 2, 3, 4)))
+                            for c in (self.pairs, self.follow))
+        self.spared = sum(self.low[min(f, 3)] for f in self.follow.values())
+        self.left = {a: (sum(self.d[min(k, 3)] for k in after), sum(after)) for a, after in self.by.items()}
+
+    @staticmethod
+    def grams(text):
+        tokens = ["<s>", *tokens_of(text)]
+        return list(zip(tokens, tokens[1:]))
+
+    def p(self, a, b):
+        size = len(self.follow) + 1
+        lower = 1 / size
+        if self.follow:
+            f = self.follow.get(b, 0)
+            lower = (max(f - self.low[min(f, 3)], 0) + self.spared / size) / len(self.pairs)
+        if a not in self.by:
+            return lower
+        n, (left, total) = self.pairs.get((a, b), 0), self.left[a]
+        return (max(n - self.d[min(n, 3)], 0) + left * lower) / total
+
+    def perplexity(self, text):
+        grams = self.grams(text)
+        return -sum(math.log10(self.p(*g)) for g in grams) / len(grams)
+
+
+def trained_on(rows, labels):
+    good = {}
+    for k, quality, toxic in labels:
+        good[k] = good.get(k, True) and quality == 1 and toxic == 0
+    return [t for k, t in rows if k is not None and good.get(k) and zlib.crc32(str(k).encode()) // 5 % 5 != 0]
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_perplexities_equal_brute_force(spark, monkeypatch, bits):
+    """Ties, repeated rows, unknown words, many more words than a block holds, several blocks and shards."""
+    monkeypatch.setattr(K, "BLOCK", 3000)
+    monkeypatch.setattr(K, "shard_bits", lambda n: bits)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(
+        edge_docs(spark).where("length(text) < 2000 or text is null").select("doc_id", "text", "lang"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 150)] + [(7, 0, 0), (None, 1, 0), (8, 1, None)], LABELS)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    plain = Plain(trained_on(rows, [tuple(r) for r in labels.collect()]))
+    assert len(plain.follow) > 5000 and 1 in plain.follow.values()
+    want = sorted((k is not None, k or 0, plain.perplexity(t)) for k, t in rows)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["log_perplexity"])
+                 for r in K.perplexities(docs.repartition(3), labels).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
+
+
+def test_no_class_of_rare_words(spark):
+    """70,000 words that occur once each are known; as many words that never occur are not."""
+    text = "array_join(transform(sequence(0, 699), k -> concat('{}', id * 700 + k)), ' ') AS text"
+    seen = spark.range(100).selectExpr("id AS doc_id", text.format("w"), "'en' AS lang")
+    other = spark.range(100).selectExpr("id + 1000 AS doc_id", text.format("z"), "'en' AS lang")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)], LABELS)
+    rows = K.perplexities(seen.unionByName(other), labels).groupBy(F.col("doc_id") >= 1000, "check").agg(
+        F.avg("log_perplexity")).collect()
+    mean = {(new, check): p for new, check, p in rows}
+    assert mean[False, False] < 1 and mean[True, False] > 4 and mean[False, True] > 4
 
 
 def test_probabilities_sum_to_one():
-    net, counts = network()
-    size = net.vocabulary.size
-    for before in range(size):
-        if before == net.vocabulary.end:
-            continue
-        keys = np.array([before * size + cur for cur in range(size - 1)], np.uint64)
-        p = 10 ** net.logs(keys, np.array([counts.get(int(k), 0) for k in keys]))
-        p[net.vocabulary.rare] *= 3  # one for each of the words it stands for
+    texts = ["a b c a b d", "a b c", "x y a b", "c c c d rare"]
+    plain = Plain(texts)
+    net = K.KneserNey(*([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)] for c in (plain.pairs, plain.follow)),
+                      len(plain.follow), len(plain.pairs))
+    for before in ["<s>", *plain.follow, "never"]:
+        after = plain.by.get(before, [])
+        context = np.array([plain.follow.get(before, 0), sum(after), *(sum(n == k for n in after) for k in (1, 2)),
+                            sum(n >= 3 for n in after)])[:, None]
+        words = [*plain.follow, "unknown"]
+        counts = np.array([plain.pairs.get((before, w), 0) for w in words])
+        p = 10 ** net.logs(counts, np.repeat(context, len(words), axis=1),
+                           np.array([plain.follow.get(w, 0) for w in words]))
         assert p.sum() == pytest.approx(1)
+        assert p.tolist() == pytest.approx([plain.p(before, w) for w in words])
 
 
 def test_discounts():

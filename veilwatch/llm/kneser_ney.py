@@ -4,18 +4,21 @@ The model is trained on trusted text (documents labelled as good and not toxic),
 other fifth sets the thresholds: per language, a quantile of the perplexities of trusted documents the
 model has not seen.  A document is kept when its perplexity is at most its language's threshold.
 
-Words: the most frequent trusted words are the vocabulary, the others are one unknown word, whose
-probability is shared evenly among the distinct words it stands for.  Bigram counts live in shards by
-the hash of the bigram; continuation counts, context counts and count-of-counts are sums over shards and
-bounded by the vocabulary.  Documents ask the shards for the counts of their distinct bigrams, block by
-block (see ``tokens``), so a bigram that is everywhere is one key per block.
-
-The documents are read twice in the same order, so they must come from files; ``settled`` makes them so.
+All trusted words are known, and one unknown word stands for all others; no vocabulary is chosen, collected
+or broadcast.  Words and bigrams are keyed by 64-bit hashes and live in shards by their leading bits.  A
+shard of bigrams adds up what the blocks of trusted text counted and tells each block the sums, and one of
+them that the bigram is its to report: that block adds it to the statistics of its context and its word
+(``STATS``), which are summed by word in the same shards.  Blocks of documents then ask for the counts of
+their distinct bigrams and the statistics of their distinct words, so what is everywhere is one key per
+block.  Only the counts of counts, ten numbers, reach the driver.
 
 Defined results: a null or empty text is its end token alone; repeated rows are judged alike; several
-labels of one id count as trusted only if all are; a null doc_id is never trusted; a language without
+labels of one id count as trusted only if all are; a null doc_id is never trusted; words and bigrams of
+equal counts are treated alike whatever their order; a block ends with a whole document, so a very long
+text is a block of its own, whose arrays of a few numbers per token must fit a worker; a language without
 unseen trusted documents, or a null one, takes the threshold of all languages; without any, everything is
-kept; without trusted text every word is unknown; an empty table gives an empty result.
+kept; without trusted text every word is unknown; an empty table gives an empty result; extra columns are
+not carried.
 """
 
 from __future__ import annotations
@@ -29,20 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.llm.common import digest, field, id_key, pack_row, settled, ship_code
-from veilwatch.llm.tokens import (
-    Vocabulary,
-    blocks,
-    by_shard,
-    next_block,
-    pack_planes,
-    pack_sorted,
-    per_document,
-    shard_bits,
-    unpack_planes,
-    unpack_sorted,
-    word_counts,
+from veilwatch.llm.common import field, id_key, pack_row, settled, ship_code
+from veilwatch.llm.lm_score import (
+    BLOCK,
+    START,
+    TOKEN_BYTES,
+    _before,
+    _by_shard,
+    _filled,
+    _packed,
+    _small,
+    _tokens,
+    _unpacked,
+    _unsmall,
+    ngrams,
 )
+from veilwatch.llm.tokens import blocks, next_block, pack_sorted, per_document, shard_bits, unpack_sorted
 
 QUANTILE = 0.99
 #: Added to the logarithm of the quantile, in units of log10 per token.
@@ -53,9 +58,12 @@ GRID = 200
 #: Bits of the filter of trusted ids (a megabyte, whatever the number of ids).  It only spares texts the
 #: way to the join with the trusted ids, which decides.
 FILTER_BITS = 23
-#: Classes of a vocabulary per row of word statistics.
-CHUNK = 4096
-_STATS = ("follow", "types1", "types2", "types3", "total")
+#: Per word: distinct contexts before it; as a context: tokens after it, and distinct ones that occur once,
+#: twice and more often.
+STATS = ("follow", "total", "types1", "types2", "types3")
+_DOCS, _WORDS, _PAIRS = 0, 1, 2
+_COUNTS = "kind int, part long, block long, a binary, b binary"
+_CODED = {"a": "binary", "b": "binary", "c": "binary"}
 
 
 def _prepared(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,71 +104,119 @@ def _likely(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         run, "doc_id long, text string, bit long").drop("bit")
 
 
-def _pairs(batch_docs: DataFrame, vocabulary, bits: int) -> DataFrame:
-    """Distinct bigrams of every block of training text by shard, with their counts."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    types = [pa.list_(kinds[t[6:-1]]) if t.startswith("array") else kinds[t] for t in types]
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+
+
+def _blocks(source: DataFrame, carried: dict[str, str]) -> DataFrame:
+    """Blocks of documents as numbers of their distinct words, with lists of the ``carried`` columns."""
+    schema = ", ".join(["block long", *(f"{c} array<{t}>" for c, t in carried.items()),
+                        *(f"{c} {t}" for c, t in _CODED.items())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Vocabulary = vocabulary.value
-        for batch in batches:
-            for _, words in blocks(batch, "text"):
-                tokens = own.sequence(own.classes(words.hashes)[words.ids], words.lens)
-                keys, n = np.unique(own.bigrams(tokens, words.lens), return_counts=True)
-                rows = [(s, pack_sorted(keys[k]), pack_planes(n[k])) for s, k in by_shard(keys, bits)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(),
-                                                                     pa.binary()))],
-                        names=["part", "a", "b"])
+        number = count()
+        for batch in _filled(batches, BLOCK * TOKEN_BYTES):
+            own = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carried]
+            for part, words in blocks(batch, "text", BLOCK):
+                yield _batch([(next_block(number), *(x[part] for x in own),
+                               *_packed(words.hashes, words.ids, words.lens))], schema)
 
-    return batch_docs.select("text").mapInArrow(run, "part long, a binary, b binary")
+    return source.select("text", *carried).mapInArrow(run, schema)
 
 
-def _model(pairs: DataFrame) -> DataFrame:
-    """One row per shard: its distinct bigrams and their corpus counts."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, inverse = np.unique(np.concatenate([unpack_sorted(a) for a in pdf["a"]]),
-                                  return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([unpack_planes(b) for b in pdf["b"]]), len(keys))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "keys": [pack_sorted(keys)],
-                             "counts": [pack_planes(n.astype(np.uint64))]})
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, tokens and first tokens of each block."""
+    for batch in batches:
+        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+            yield (row["block"], *_tokens(*_unpacked(row["a"], row["b"], row["c"])))
 
-    return pairs.groupBy("part").applyInPandas(add, "part long, keys binary, counts binary")
 
+def _counted(training: DataFrame, bits: int) -> DataFrame:
+    """Distinct bigrams of every block of training text by shard, with their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, tokens, first in _coded(batches):
+            keys, n = np.unique(ngrams(tokens, first, 2)[1], return_counts=True)
+            yield _batch([(_PAIRS, shard, block, pack_sorted(keys[k]), _small(n[k]))
+                          for shard, k in _by_shard(keys, bits)], _COUNTS)
 
-def _statistics(model: DataFrame, vocabulary, size: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Per class the sums modified Kneser-Ney needs, and the numbers of bigrams seen 1 to 4 times.
+    return training.select("block", *_CODED).mapInArrow(run, _COUNTS)
 
-    Summed in the tasks, then per chunk of classes; the result is bounded by the vocabulary.
-    """
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(_STATS), size), np.int64)
-        seen = np.zeros(4, np.int64)
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, n = unpack_sorted(keys), unpack_planes(counts)
-                before, cur = (k // np.uint64(size)).astype(int), (k % np.uint64(size)).astype(int)
-                total[0] += np.bincount(cur, minlength=size)
-                for at, these in ((1, n == 1), (2, n == 2), (3, n >= 3)):
-                    total[at] += np.bincount(before[these], minlength=size)
-                total[4] += np.bincount(before, n, size).astype(np.int64)
-                seen += np.bincount(np.minimum(n, 5).astype(int), minlength=6)[1:5]
-        rows = [(at, total[:, at:at + CHUNK].astype("<i8").tobytes()) for at in range(0, size, CHUNK)]
-        rows.append((-1, seen.astype("<i8").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]),
-                                          pa.array([r[1] for r in rows], pa.binary())],
-                                         names=["chunk", "a"])
+
+def _pairs(counted: DataFrame) -> DataFrame:
+    """Per shard its bigrams and their corpus counts (block -1), and per block that sent some twice the
+    count, plus one where the block is the first to have the bigram."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ignore_index=True)
+        sent = [unpack_sorted(a) for a in pdf["a"]]
+        keys, at, inverse = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([_unsmall(b) for b in pdf["b"]]), len(keys)).astype(np.uint64)
+        told = 2 * n[inverse]
+        told[at] += np.uint64(1)
+        part = pdf["part"].iloc[0]
+        cuts = np.cumsum([len(x) for x in sent])[:-1]
+        rows = [(_PAIRS, part, -1, pack_sorted(keys), _small(n))]
+        rows += [(_PAIRS, part, b, None, _small(t)) for b, t in zip(pdf["block"], np.split(told, cuts))]
+        return pd.DataFrame(rows, columns=["kind", "part", "block", "a", "b"])
+
+    return counted.groupBy("part").applyInPandas(add, _COUNTS)
+
+
+def _words(training: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
+    """Per shard its words and their ``STATS`` (block -1)."""
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[pdf["kind"] == _DOCS].iloc[0]
+        told = dict(zip(pdf["part"], pdf["b"]))
+        tokens, first = _tokens(*_unpacked(row["a"], row["b"], row["c"]))
+        keys, at = np.unique(ngrams(tokens, first, 2)[1], return_index=True)
+        n = np.concatenate([_unsmall(told[shard]) for shard, _ in _by_shard(keys, bits)]).astype(np.int64)
+        at, n = at[n % 2 == 1], n[n % 2 == 1] // 2
+        context, word = _before(tokens, first, START)[at], tokens[at]
+        hashes, place = np.unique(np.concatenate([word, context]), return_inverse=True)
+        word, context, size = place[:len(at)], place[len(at):], len(hashes)
+        stats = [np.bincount(word, minlength=size), np.bincount(context, n, size)]
+        stats += [np.bincount(context[some], minlength=size) for some in (n == 1, n == 2, n >= 3)]
+        stats = np.stack(stats).astype(np.uint64)
+        return pd.DataFrame([(_WORDS, shard, -1, pack_sorted(hashes[k]), _small(stats[:, k].ravel()))
+                             for shard, k in _by_shard(hashes, bits)], columns=["kind", "part", "block", "a", "b"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = np.sum([np.frombuffer(a, "<i8") for a in pdf["a"]], axis=0)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "a": [whole.astype("<i8").tobytes()]})
+        keys, inverse = np.unique(np.concatenate([unpack_sorted(a) for a in pdf["a"]]), return_inverse=True)
+        sums = np.concatenate([_unsmall(b).reshape(len(STATS), -1) for b in pdf["b"]], axis=1)
+        whole = np.stack([np.bincount(inverse, x, len(keys)) for x in sums]).astype(np.uint64)
+        return pd.DataFrame([(_WORDS, pdf["part"].iloc[0], -1, pack_sorted(keys), _small(whole.ravel()))],
+                            columns=["kind", "part", "block", "a", "b"])
 
-    rows = dict(model.select("keys", "counts").mapInArrow(sums, "chunk long, a binary").groupBy(
-        "chunk").applyInPandas(add, "chunk long, a binary").collect())  # bounded by the vocabulary
-    out = {s: np.zeros(size, np.int64) for s in _STATS}
-    for at, blob in rows.items():
-        if at >= 0:
-            for s, part in zip(_STATS, np.frombuffer(blob, "<i8").reshape(len(_STATS), -1)):
-                out[s][at:at + CHUNK] = part
-    return out, np.frombuffer(rows.get(-1, bytes(32)), "<i8")
+    texts = training.withColumns({"kind": F.lit(_DOCS), "part": F.lit(-1).cast("long")})
+    told = pairs.where("block >= 0").withColumn("c", F.lit(None).cast("binary"))
+    return texts.unionByName(told).groupBy("block").applyInPandas(own, _COUNTS).groupBy("part").applyInPandas(
+        add, _COUNTS)
+
+
+def _network(pairs: DataFrame, words: DataFrame) -> KneserNey:
+    """The discounts, from how many bigrams and words have each small count."""
+    names = [f"s{k}" for k in range(1, 5)] + [f"f{k}" for k in range(1, 5)] + ["known", "whole"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(names), np.int64)
+        for batch in batches:
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = _unsmall(blob)
+                n = n if kind == _PAIRS else n.reshape(len(STATS), -1)[0]
+                few = np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5]
+                out[:4] += few if kind == _PAIRS else 0
+                if kind == _WORDS:
+                    out[4:8] += few
+                    out[8:] += [int((n > 0).sum()), int(n.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
+
+    rows = pairs.where("block < 0").unionByName(words).select("kind", "b")
+    sums = rows.mapInArrow(each, ", ".join(f"{n} long" for n in names)).agg(*[F.sum(n) for n in names]).first()
+    sums = [int(x or 0) for x in sums]
+    return KneserNey(sums[:4], sums[4:8], *sums[8:])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -173,122 +229,112 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class KneserNey:
-    """What every task needs besides bigram counts; bounded by the vocabulary."""
-
-    def __init__(self, vocabulary: Vocabulary, stats: dict[str, np.ndarray], seen: np.ndarray,
-                 unknown: int):
-        self.vocabulary = vocabulary
-        self.d = discounts(*map(int, seen))
-        self.context = np.maximum(stats["total"], 1)
-        types = np.stack([stats["types1"], stats["types2"], stats["types3"]])
-        self.gamma = np.where(stats["total"] > 0, (self.d[1:, None] * types).sum(axis=0) / self.context, 1)
-        # the lower order: continuation counts, discounted in the same way down to an even spread
-        follow = stats["follow"][:-1]  # nothing is followed by a start
-        low = discounts(*(int((follow == k).sum()) for k in (1, 2, 3, 4)))
-        whole = max(int(follow.sum()), 1)
-        cut = low[np.minimum(follow, 3)]
-        spared = cut.sum() / whole if follow.sum() else 1.0
-        lower = np.maximum(follow - cut, 0) / whole + spared / len(follow)
-        lower[vocabulary.rare] /= max(unknown, 1)
-        self.rare_share = 1 / max(unknown, 1)
-        self.lower = np.append(lower, 0.0)
-
-    def logs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P(class | class before) of bigrams with their training counts."""
-        size = np.uint64(self.vocabulary.size)
-        before, cur = (keys // size).astype(int), (keys % size).astype(int)
-        high = np.maximum(counts - self.d[np.minimum(counts, 3).astype(int)], 0) / self.context[before]
-        high = np.where(cur == self.vocabulary.rare, high * self.rare_share, high)
-        return np.log10(high + self.gamma[before] * self.lower[cur])
-
-
-def _sequences(source: DataFrame, vocabulary, bits: int, ask: bool) -> DataFrame:
-    """With ``ask`` the blocks' distinct bigrams by shard, else the blocks' documents as classes."""
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()),
-             pa.list_(pa.string()), pa.list_(pa.int64())]
-    names = ["part", "block", "a", "b", "doc_ids", "langs", "keys"]
-
+    """What every task needs besides counts: the discounts of both orders and two sums."""
+
+    def __init__(self, seen: list[int], follow_seen: list[int], known: int, whole: int):
+        self.d, self.low = discounts(*seen), discounts(*follow_seen)
+        self.known, self.whole, self.few = known, whole, follow_seen[:2]
+
+    def logs(self, counts: np.ndarray, context: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        """log10 P(word | word before) from the bigrams' counts, the ``STATS`` of the contexts and the
+        numbers of distinct contexts before the words."""
+        total = np.maximum(context[1], 1)
+        gamma = np.where(context[1] > 0, (self.d[1:, None] * context[2:]).sum(axis=0) / total, 1.0)
+        high = np.maximum(counts - self.d[np.minimum(counts, 3).astype(int)], 0) / total
+        return np.log10(high + gamma * self.lower(follow))
+
+    def lower(self, follow: np.ndarray) -> np.ndarray:
+        """The lower order: continuation counts, discounted down to an even spread over the known words and
+        one unknown word."""
+        if not self.whole:
+            return np.full(len(follow), 1 / (self.known + 1))
+        own = np.maximum(follow - self.low[np.minimum(follow, 3).astype(int)], 0) / self.whole
+        return own + self.spared / (self.known + 1)
+
+    @property
+    def spared(self) -> float:
+        """The share of the lower order that its discounts leave."""
+        ones, twos = self.few
+        return float(self.low[1] * ones + self.low[2] * twos + self.low[3] * (self.known - ones - twos)) / self.whole
+
+
+def _asked(texts: DataFrame, bits: int) -> DataFrame:
+    """The distinct words and bigrams of every block by shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Vocabulary = vocabulary.value
-        number = count()
-        for batch in batches:
-            at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            for part, words in blocks(batch, "text"):
-                block = next_block(number)
-                classes = own.classes(words.hashes)[words.ids]
-                if ask:
-                    tokens = own.sequence(classes, words.lens)
-                    keys = np.unique(own.bigrams(tokens, words.lens))
-                    rows = [(s, block, pack_sorted(keys[k]), None, None, None, None)
-                            for s, k in by_shard(keys, bits)]
-                else:
-                    rows = [(-1, block, pack_planes(classes), pack_planes(words.lens),
-                             *(at[c].to_pylist()[part] for c in ("doc_id", "lang", "k2")))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return source.select("text", "doc_id", "lang", "k2").mapInArrow(
-        run, "part long, block long, a binary, b binary, doc_ids array<long>, langs array<string>, "
-             "keys array<long>")
+        for block, tokens, first in _coded(batches):
+            words = np.unique(np.append(tokens, START))
+            for kind, keys in ((_WORDS, words), (_PAIRS, np.unique(ngrams(tokens, first, 2)[1]))):
+                yield _batch([(kind, shard, block, pack_sorted(keys[k]), None)
+                              for shard, k in _by_shard(keys, bits)], _COUNTS)
 
+    return texts.select("block", *_CODED).mapInArrow(run, _COUNTS).drop("b")
 
-def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``lang``, ``n_tokens``, ``log_perplexity``, ``check``."""
-    spark = docs.sparkSession
-    ship_code(spark)
-    source, trusted = _prepared(docs, labels)
-    source = source.withColumn("k2", digest(F.col("text")))
-    fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / FOLDS) % FOLDS == 0
-    trusted = settled(trusted)
-    likely = _likely(source.where(~fold), trusted)
-    training = settled(likely.join(  # the same join at every size
-        trusted.hint("merge"), likely["doc_id"] == trusted["k1"], "left_semi").select(
-        "text", F.lit(1).cast("long").alias("train")))
-    counts = settled(word_counts(training, "text", ["train"]))
-    vocabulary = Vocabulary.of(counts, ["train"])
-    n = int(vocabulary.counts["train"][:-1].sum())
-    unknown = counts.count() - len(vocabulary.hashes) - int(vocabulary.counts["train"][-1] > 0) + 1
-    shared = spark.sparkContext.broadcast(vocabulary)
-    bits = shard_bits(4 * n)
-    model = settled(_model(_pairs(training, shared, bits)))
-    stats, seen = _statistics(model, shared, vocabulary.size)
-    network = spark.sparkContext.broadcast(KneserNey(vocabulary, stats, seen, unknown))
 
+def _told(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """Per block and shard what was asked for: the counts of its bigrams, the ``STATS`` of its words."""
     def answer(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        known = unpack_sorted(own["keys"].iloc[0]) if len(own) else np.empty(0, np.uint64)
-        counts = unpack_planes(own["counts"].iloc[0]) if len(own) else np.empty(0, np.uint64)
+        known = unpack_sorted(own["a"].iloc[0]) if len(own) else np.empty(0, np.uint64)
+        values = _unsmall(own["b"].iloc[0]) if len(own) else np.empty(0, np.uint64)
+        values = values.reshape(len(STATS) if key[0] == _WORDS else 1, -1)
         rows = []
         for block, a in zip(asked["block"], asked["a"]):
             keys = unpack_sorted(a)
-            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-            n = np.where(known[at] == keys, counts[at], 0) if len(known) else np.zeros(len(keys), int)
-            rows.append((key[0], block, pack_planes(n)))
-        return pd.DataFrame(rows, columns=["part", "block", "a"])
+            found = np.zeros((len(values), len(keys)), np.uint64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                there = known[at] == keys
+                found[:, there] = values[:, at[there]]
+            rows.append((*key, block, _small(found.ravel())))
+        return pd.DataFrame(rows, columns=["kind", "part", "block", "b"])
 
-    asked = _sequences(source, shared, bits, True).select("part", "block", "a")
-    told = asked.groupBy("part").cogroup(model.groupBy("part")).applyInPandas(
-        answer, "part long, block long, a binary")
+    return asked.groupBy("kind", "part").cogroup(model.groupBy("kind", "part")).applyInPandas(
+        answer, "kind int, part long, block long, b binary")
+
+
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, ``lang``, ``n_tokens``, ``log_perplexity``, ``check``."""
+    ship_code(docs.sparkSession)
+    source, trusted = _prepared(docs, labels)
+    fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / FOLDS) % FOLDS == 0
+    trusted = settled(trusted)
+    likely = _likely(source.where(~fold), trusted)
+    training = settled(_blocks(likely.join(  # the same join at every size
+        trusted.hint("merge"), likely["doc_id"] == trusted["k1"], "left_semi"), {}))
+    size = int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = shard_bits(size // TOKEN_BYTES)
+    pairs = settled(_pairs(_counted(training, bits)))
+    words = settled(_words(training, pairs, bits))
+    network = _network(pairs, words)
+    texts = settled(_blocks(source, {"doc_id": "long", "lang": "string"}))
+    told = _told(_asked(texts, bits), pairs.where("block < 0").unionByName(words).drop("block"))
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        net: KneserNey = network.value
-        own = net.vocabulary
-        row = pdf[pdf["part"] == -1].iloc[0]
-        by_part = dict(zip(pdf["part"], pdf["a"]))
-        lens = unpack_planes(row["b"]).astype(np.int64)
-        tokens = own.sequence(unpack_planes(row["a"]).astype(np.int64), lens)
-        keys, inverse = np.unique(own.bigrams(tokens, lens), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        for shard, k in by_shard(keys, bits):
-            counts[k] = unpack_planes(by_part[shard])
-        sums = per_document(net.logs(keys, counts)[inverse], lens + 1)
-        return pd.DataFrame({"doc_id": pd.array(row["doc_ids"], dtype="Int64"), "lang": row["langs"],
-                             "k2": row["keys"], "n_tokens": lens + 1,
-                             "log_perplexity": -sums / (lens + 1)})
-
-    texts = _sequences(source, shared, bits, False)
-    empty = {c: F.lit(None).cast(texts.schema[c].dataType) for c in ("b", "doc_ids", "langs", "keys")}
-    scored = texts.unionByName(told.withColumns(empty)).groupBy("block").applyInPandas(
-        total, "doc_id long, lang string, k2 long, n_tokens long, log_perplexity double")
+        row = pdf[pdf["kind"] == _DOCS].iloc[0]
+        blobs = {(k, p): b for k, p, b in zip(pdf["kind"], pdf["part"], pdf["b"])}
+        lens = _unpacked(row["a"], row["b"], row["c"])[2]
+        tokens, first = _tokens(*_unpacked(row["a"], row["b"], row["c"]))
+
+        def values(kind: int, keys: np.ndarray, height: int) -> np.ndarray:
+            found = [_unsmall(blobs[kind, shard]).reshape(height, -1) for shard, _ in _by_shard(keys, bits)]
+            return np.concatenate(found, axis=1).astype(np.int64)
+
+        keys, pair = np.unique(ngrams(tokens, first, 2)[1], return_inverse=True)
+        counts = values(_PAIRS, keys, 1)[0]
+        keys, word = np.unique(np.append(tokens, START), return_inverse=True)
+        stats = values(_WORDS, keys, len(STATS))
+        before = _before(word[:-1], first, word[-1])
+        # a bigram's probability is worked out once, at the first token that has it
+        _, at = np.unique(pair, return_index=True)
+        logs = network.logs(counts, stats[:, before[at]], stats[0, word[:-1][at]])
+        sums = per_document(logs[pair], lens + 1)
+        return pd.DataFrame({"doc_id": pd.array(row["doc_id"], dtype="Int64"), "lang": row["lang"],
+                             "n_tokens": lens + 1, "log_perplexity": -sums / (lens + 1)})
+
+    empty = {c: F.lit(None).cast(texts.schema[c].dataType) for c in ("doc_id", "lang", "a", "c")}
+    both = texts.withColumns({"kind": F.lit(_DOCS), "part": F.lit(-1).cast("long")}).unionByName(
+        told.withColumns(empty))
+    scored = both.groupBy("block").applyInPandas(
+        total, "doc_id long, lang string, n_tokens long, log_perplexity double")
     check = trusted.select(F.col("k1"), F.lit(True).alias("check"))
     return scored.withColumn("k1", id_key(F.col("doc_id"))).join(check, "k1", "left").withColumn(
         "check", F.coalesce("check", F.lit(False)) & F.coalesce(fold, F.lit(False)))

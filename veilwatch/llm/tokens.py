@@ -18,17 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Tokens of a block; a block ends with a whole document.
 BLOCK_TOKENS = 2_000_000
 #: Tokens of the corpus per shard.
 SHARD_TOKENS = 1_000_000
-#: Words that have a class of their own, the most frequent ones; the rest share one class.  This bounds
-#: what is broadcast (about two megabytes) at any corpus size.
-CLASSES = 65_533
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 END_HASH = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line break
 
 
@@ -36,12 +30,6 @@ def shard_bits(tokens: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1, tokens) / SHARD_TOKENS))))
 
 
-def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(len(keys), np.int64)
-    return ((keys * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def pack_planes(values: np.ndarray) -> bytes:
     """Unsigned numbers byte plane by byte plane, without the planes that are all zero."""
     values = np.ascontiguousarray(values, "<u8")
@@ -100,116 +88,6 @@ def next_block(counter: Iterator[int]) -> int:
     return (TaskContext.get().partitionId() << 32) + next(counter)
 
 
-def word_counts(docs: DataFrame, text: str, weights: list[str]) -> DataFrame:
-    """``h`` and, per column of 0/1 ``weights``, how often the word and the end token occur.
-
-    Counts are summed per block before the shuffle.
-    """
-    schema = "h long, " + ", ".join(f"{w} long" for w in weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = [batch.column(batch.schema.get_field_index(w)).to_numpy(zero_copy_only=False)
-                     for w in weights]
-            for part, words in blocks(batch, text):
-                sums = [np.append(np.bincount(words.ids, np.repeat(f[part], words.lens),
-                                              len(words.hashes)), f[part].sum()) for f in flags]
-                keys = np.append(words.hashes, END_HASH).view(np.int64)
-                some = np.sum(sums, axis=0) > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some]), *[pa.array(s[some].astype(np.int64)) for s in sums]],
-                    names=["h", *weights])
-
-    return docs.select(text, *weights).mapInArrow(run, schema).groupBy("h").agg(
-        *[F.sum(w).alias(w) for w in weights])
-
-
-@dataclass
-class Vocabulary:
-    """The words that have a class, sorted by hash, and their counts; then rare, end and start."""
-
-    hashes: np.ndarray
-    counts: dict[str, np.ndarray]  # per weight, by class
-
-    @classmethod
-    def of(cls, counts: DataFrame, weights: list[str], size: int = CLASSES) -> Vocabulary:
-        """The most frequent words by the sum of the weights, as many levels of frequency as fit ``size``.
-
-        A level is a 64th of a doubling; words of one level come in together or not at all.
-        """
-        total = sum((F.col(w) for w in weights), F.lit(0))
-        level = F.floor(F.log2(total) * 64).cast("int")
-        own = counts.where((F.col("h") != int(END_HASH.view(np.int64))) & (total > 0)).withColumn(
-            "level", level)
-        sizes = sorted(own.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
-        least, left = 1 << 20, size  # at most 64 levels per bit of a long
-        for row in sizes:
-            left -= row["n"]
-            if left < 0:
-                break
-            least = row["level"]
-        top = own.where(F.col("level") >= least).drop("level").toPandas()  # at most ``size`` rows
-        hashes = top["h"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        sums = counts.agg(*[F.sum(w).alias(w) for w in weights], *[
-            F.sum(F.when(F.col("h") == int(END_HASH.view(np.int64)), F.col(w))).alias(f"{w}_end")
-            for w in weights]).first()
-        per = {}
-        for w in weights:
-            own = top[w].to_numpy(np.int64)[order]
-            whole, end = sums[w] or 0, sums[f"{w}_end"] or 0
-            per[w] = np.concatenate([own, [whole - end - own.sum(), end, end]])
-        return cls(hashes[order], per)
-
-    @property
-    def rare(self) -> int:
-        return len(self.hashes)
-
-    @property
-    def end(self) -> int:
-        return self.rare + 1
-
-    @property
-    def start(self) -> int:
-        return self.rare + 2
-
-    @property
-    def size(self) -> int:
-        return self.rare + 3
-
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), self.rare)
-        k = np.minimum(np.searchsorted(self.hashes, hashes), self.rare - 1)
-        return np.where(self.hashes[k] == hashes, k, self.rare)
-
-    def sequence(self, classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """The classes of all tokens, an end after every document."""
-        ends = np.cumsum(lens + 1) - 1
-        out = np.empty(int((lens + 1).sum()), np.int64)
-        word = np.ones(len(out), bool)
-        word[ends] = False
-        out[ends] = self.end
-        out[word] = classes
-        return out
-
-    def bigrams(self, tokens: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """For every token the number of (class before, class)."""
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.cumsum(lens + 1) - (lens + 1)] = self.start
-        return (before * self.size + tokens).astype(np.uint64)
-
-
-def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The positions of sorted ``keys`` per shard."""
-    shard = shard_of(keys, bits)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        yield int(shard[part[0]]), part
-
-
 def per_document(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of ``sizes`` values, each of one or more."""
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
