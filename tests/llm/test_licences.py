@@ -75,3 +75,36 @@ def test_notices_over_line_breaks(spark):
     got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in rows)
     assert got == [(1000, 1, "gpl"), (1001, 1, "gpl"), (1002, 1, "gpl"), (1003, 1, "bsd"), (1004, 1, "cc-by"),
                    (1007, 0, "mit")]
+
+
+def small_model(spark):
+    return L.train(L.sample_lines(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def test_notices_inside_long_lines(spark):
+    """Each template amid other words: up to 5,000 of them change nothing."""
+    model = small_model(spark)
+    other = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+             for w in (r[0] or "").replace("\n", " ").split()][:5000]
+    plain = np.zeros(1, int)
+    assert [x for x in model.paragraphs([" ".join(other).encode()], plain) if x[1] != L.UNKNOWN] == []
+    for size in (0, 10, 100, 1000, 5000):
+        right = {}
+        for family, some in L.TEMPLATES.items():
+            for t in some:
+                half = size // 2
+                text = " ".join([*other[:half], t + ".", *other[half:size]]).encode()
+                got = [(k, f) for k, f, _, _ in model.paragraphs([text], plain)]
+                right.setdefault(family, []).append(got == [(0, family)])
+        assert all(np.mean(x) >= 0.9 for x in right.values()), (size, right)
+
+
+def test_several_notices_in_a_line(spark):
+    model = small_model(spark)
+    two = b"Released under the MIT License. Parts: Licensed under the Apache License, Version 2.0, see there"
+    assert [x[:2] for x in model.paragraphs([two], np.zeros(1, int))] == [(0, "apache"), (0, "mit")]
+    affero = [b"it under the terms of the GNU Affero General Public License as published by",
+              b"the Free Software Foundation, either version 3 of the License, or"]
+    assert [x[:2] for x in model.paragraphs(affero, np.zeros(2, int)) if x[1] != L.UNKNOWN] == [(0, "agpl")]
+    many = b"under the terms of the GNU General Public License as published by the Free Software Foundation " * 20_000
+    assert [x[:2] for x in model.paragraphs([many], np.zeros(1, int))] == [(0, "gpl")]

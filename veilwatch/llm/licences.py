@@ -1,13 +1,15 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Every line of a text is a paragraph, and so is every stretch of consecutive lines with words in which a
-template runs over line breaks: around each break the ``LONGEST`` words before and after it are searched,
-without comment leaders, and the part from the first to the last word pair of the template is judged.  Its
-place is its first line; its lines are not reported as ``unknown`` beside it.
-
-A paragraph's features are which words and word pairs it holds; a multinomial logistic regression over them names a licence family or ``unknown``.  The unknown class is
-trained on lines of the corpus and on licence words in random order, and calibrated: a temperature that
-fits a held-out half, and a least probability for naming a family.  A named family is confirmed when at
+Every place of a text where the word pairs of a template stand close together is a paragraph: around each
+such pair the ``LONGEST`` pairs from it on are searched, in a line and over line breaks alike (comment
+leaders left out; a line without a word ends a stretch), and the part from the first to the last word pair
+of the template is judged by itself, so that other words of its line, however many, do not matter.  Of finds
+that overlap the most similar stays, then the one of more pairs.  A line without such a place is a paragraph
+as a whole.  The place reported is the first line; a family is reported once for its first line.
+
+A paragraph's features are which words and word pairs it holds; a multinomial logistic regression over
+them names a licence family or ``unknown``.  The unknown class is on lines of the corpus and on licence words in random order, and calibrated: a temperature that fits a
+held-out half, and a least probability for naming a family.  A named family is confirmed when at
 least ``CONFIRM`` of the word pairs of one of its templates stand in the paragraph; unconfirmed ones are
 reported as ``unknown`` with their probability.
 
@@ -15,8 +17,8 @@ Training uses the templates with words dropped and surroundings added, and at mo
 lines of at most ``SAMPLE_CHARS`` characters drawn by hash from the whole corpus: a bounded sample, so
 the model is small at any corpus size and is broadcast.  Every paragraph of every whole text is scanned.
 
-Defined results: null and empty texts have no paragraph; repeated rows each report; ties go to the
-family first in the list; an empty table gives an empty result; extra columns are not carried.
+Defined results: null and empty texts have no paragraph; a very long text or line is scanned whole, its words
+as one array; repeated rows each report; ties go to the family first in the list; an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ from veilwatch.llm.common import digest, field, pack_row, ship_code
 
 # Families and how their notices read.
 TEMPLATES: dict[str, list[str]] = {
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Licensed under AGPL v3",
+    ],
     "apache": [
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License",
@@ -184,10 +191,10 @@ class Model:
             out.append((int(k), name, float(top[k]), float(near)))
         return out
 
-    def wrapped(self, words: Lines, doc: np.ndarray) -> list[tuple[int, int, str, float, float]]:
-        """(first line, last line, family, probability, similarity) of notices that run over line breaks.
+    def notices(self, words: Lines, doc: np.ndarray) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, similarity) of confirmed notices, wherever they begin.
 
-        ``doc`` is the document of each line.  Of overlapping finds of one family the most similar stays.
+        ``doc`` is the document of each line.
         """
         first = np.append(True, words.line[1:] != words.line[:-1])[:len(words.line)]
         some = ~(first & np.isin(words.words, LEADERS))
@@ -199,49 +206,51 @@ class Model:
         pairs = _pair(word[:-1], word[1:])
         every = np.unique(np.concatenate([t for own in self.templates for t in own]))
         hits = np.flatnonzero(near & np.isin(pairs, every))
-        breaks = np.flatnonzero(near & (line[1:] != line[:-1]))
+        judged: dict[bytes, np.ndarray] = {}
         found = []
         for family, own in enumerate(self.templates):
             for t in own:
                 at = hits[np.isin(pairs[hits], t)]
-                inside = [np.searchsorted(at, breaks + k) for k in (1 - LONGEST, LONGEST)]
-                for k in np.flatnonzero(inside[1] - inside[0] >= CONFIRM * len(t)):
-                    span = at[inside[0][k]:inside[1][k]]
-                    span = span[run[span] == run[breaks[k]]]
-                    similarity = float(np.isin(t, pairs[span]).mean())
-                    if similarity < CONFIRM:
+                end = np.searchsorted(at, at + LONGEST)
+                done = 0  # a notice found whole is not searched again
+                for k in np.flatnonzero(end - np.arange(len(at)) >= CONFIRM * len(t)):
+                    if at[k] < done:
+                        continue
+                    span = at[k:end[k]]
+                    span = span[run[span] == run[at[k]]]
+                    similarity = len(np.unique(pairs[span])) / len(t)
+                    if similarity < CONFIRM or pairs[span[0]] in pairs[span[1:]]:
                         continue
-                    while pairs[span[0]] in pairs[span[1:]]:
-                        span = span[1:]
                     while pairs[span[-1]] in pairs[span[:-1]]:
                         span = span[:-1]
-                    a, b = span[0], span[-1] + 2
-                    if line[a] == line[b - 1]:
-                        continue  # the line is judged by itself
-                    p = _softmax(self._logits(Lines(word[a:b], np.zeros(b - a, np.int64)), 1)
-                                 / self.temperature)[0]
+                    a, b = int(span[0]), int(span[-1]) + 2
+                    key = word[a:b].tobytes()
+                    if key not in judged:
+                        judged[key] = _softmax(self._logits(
+                            Lines(word[a:b], np.zeros(b - a, np.int64)), 1) / self.temperature)[0]
+                    p = judged[key]
+                    if similarity == 1:
+                        done = b - 1
                     if p.argmax() == family and p[family] >= LEAST_PROBABILITY:
-                        found.append((int(line[a]), int(line[b - 1]), self.families[family],
-                                      float(p[family]), similarity))
-        best: list[tuple[int, int, str, float, float]] = []
-        taken: set[tuple[int, str]] = set()
-        for x in sorted(found, key=lambda x: (-x[4], x[0], x[1])):
-            own_lines = [(k, x[2]) for k in range(x[0], x[1] + 1)]
-            if not any(k in taken for k in own_lines):
-                taken.update(own_lines)
-                best.append(x)
+                        found.append((-similarity, -len(t), a, b, family, float(p[family])))
+        taken = np.zeros(len(word), bool)
+        best = []
+        for similarity, _, a, b, family, p in sorted(found):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                best.append((int(line[a]), int(line[b - 1]), self.families[family], p, -similarity))
         return best
 
     def paragraphs(self, lines: list[bytes], doc: np.ndarray) -> list[tuple[int, str, float, float]]:
-        """``scan`` and ``wrapped`` together, by first line."""
+        """``notices``, and ``scan`` of the lines that hold none, by first line."""
         words = Lines.of(lines)
-        single = self.scan(lines, words)
-        named = {(k, family) for k, family, _, _ in single}
-        over = [x for x in self.wrapped(words, doc)
-                if not any((k, x[2]) in named for k in range(x[0], x[1] + 1))]
-        inside = {k for x in over for k in range(x[0], x[1] + 1)}
-        single = [x for x in single if x[1] != UNKNOWN or x[0] not in inside]
-        return sorted(single + [(a, family, p, near) for a, _, family, p, near in over])
+        best: dict[tuple[int, str], tuple[float, float]] = {}
+        inside = set()
+        for first, last, family, p, similarity in self.notices(words, doc):
+            best.setdefault((first, family), (p, similarity))
+            inside.update(range(first, last + 1))
+        rows = [(k, family, p, similarity) for (k, family), (p, similarity) in best.items()]
+        return sorted(rows + [x for x in self.scan(lines, words) if x[0] not in inside])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
