@@ -4,6 +4,7 @@ Every window of three lines is hashed; a window that occurred before, anywhere i
 later occurrence, and the lines that such windows cover are removed.  Covered positions of overlapping
 windows merge, so a repeated passage of any length from three lines goes as one piece.  The first
 occurrence stays: the smallest (doc_id, text hash, position), null ids last.
+Where a later occurrence overlaps it, the lines that both cover go too: five equal lines become one.
 
 Only hashes and positions are shuffled; a window's copies are pre-aggregated to its first place and
 the join against that one row per window is split by Spark where a window is hot.
