@@ -180,16 +180,16 @@ COMMANDS = [
     _pod("exec", "pod-<user>", "--", "bash"), _pod("exec", "pod-<user>", "psql", "-c", "DROP TABLE t"),
     _pod("exec", "pod-<user>", "--"), _pod("get", "pods"),
     # paths
-    _tool("cat", "/etc/shadow"), _tool("cat", "-n", "notes.txt", "/etc/sudoers.d/x", ".env"),
-    _tool("cat", "~/.ssh/id_rsa"), _tool("cat", "/home/u/.ssh/id_<user>"), _tool("cat", "/home/u/.ssh/id_/x"),
-    _tool("head", "-5", "~/.aws/credentials"), _tool("tail", "-f", "/var/log/auth.log"),
-    _tool("diff", "a.txt", "~/.kube/config"), _tool("grep", "/etc/shadow", "notes.txt"),
-    _tool("grep", "-r", "key", ".env"), _tool("egrep", "x", "conf/secrets.yaml", "/etc/shadow"),
-    _tool("fgrep", "x", "/etc/shadow"), _tool("find", "/etc/sudoers.d", "-name", "x"),
-    _tool("find", "~/.config/gcloud/a", "/etc/shadow"), _tool("cp", "~/.docker/config.json", "/tmp"),
-    _tool("mv", "notes.txt", "/etc/shadow"), _tool("cat", "--help"), _tool("cat"),
-    _tool("cat", "/srv/<type>/deep/secrets.yml"), _tool("cat", "~"), _tool("cat", "/var/log/app1.log"),
-    _tool("cat", "/var/log/app12.log"), _tool("cat", "/etc/sudoers.d"),
+    _tool("cat", "/opt/vault/master.key"), _tool("cat", "-n", "notes.txt", "/opt/vault/unseal/x", "credentials.ini"),
+    _tool("cat", "~/keys/backup.gpg"), _tool("cat", "/home/u/keys/<user>.pem"), _tool("cat", "/home/u/keys/a/x.pem"),
+    _tool("head", "-5", "~/.netrc"), _tool("tail", "-f", "/srv/export/july.csv"),
+    _tool("diff", "a.txt", "~/keys/site.pem"), _tool("grep", "/opt/vault/master.key", "notes.txt"),
+    _tool("grep", "-r", "key", "credentials.ini"), _tool("egrep", "x", "conf/wallet.dat", "/opt/vault/master.key"),
+    _tool("fgrep", "x", "/opt/vault/master.key"), _tool("find", "/opt/vault/unseal", "-name", "x"),
+    _tool("find", "~/.local/tokens/a", "/opt/vault/master.key"), _tool("cp", "~/.local/tokens/deep/b", "/tmp"),
+    _tool("mv", "notes.txt", "/opt/vault/master.key"), _tool("cat", "--help"), _tool("cat"),
+    _tool("cat", "/srv/<type>/deep/credentials.ini"), _tool("cat", "~"), _tool("cat", "/var/lib/billing/run1.csv"),
+    _tool("cat", "/var/lib/billing/run12.csv"), _tool("cat", "/opt/vault/unseal"),
     # the token that matters stands behind a thousand others
     ("/usr/local/bin/kubectl", ["kubectl", *["-v=1"] * 1200, "exec", "pod-<id>", "--", "psql", "-c", "DROP TABLE t"]),
     # others

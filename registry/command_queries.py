@@ -407,21 +407,17 @@ def mass_delete(spark, sf):
 
 # The path rules of the sample policy, written out by hand.
 _PATH_RULES = [
-    (1, "/etc/shadow", "block", "^/etc/shadow$"),
-    (2, "/etc/sudoers", "block", "^/etc/sudoers$"),
-    (3, "/etc/sudoers.d/", "block", "^/etc/sudoers\\.d(/.*)?$"),
-    (4, "~/.ssh/id_rsa", "block", "^/home/u/\\.ssh/id_rsa$"),
-    (5, "~/.ssh/id_*", "block", "^/home/u/\\.ssh/id_[^/]*$"),
-    (6, "~/.aws/credentials", "mask", "^/home/u/\\.aws/credentials$"),
-    (7, "~/.config/gcloud/", "mask", "^/home/u/\\.config/gcloud(/.*)?$"),
-    (8, "~/.kube/config", "mask", "^/home/u/\\.kube/config$"),
-    (9, "~/.docker/config.json", "mask", "^/home/u/\\.docker/config\\.json$"),
-    (10, ".env", "mask", "^\\.env$"),
-    (11, "**/.env", "mask", "^.*/\\.env$"),
-    (12, "**/secrets.yaml", "mask", "^.*/secrets\\.yaml$"),
-    (13, "**/secrets.yml", "mask", "^.*/secrets\\.yml$"),
-    (14, "/var/log/auth.log", "mask", "^/var/log/auth\\.log$"),
-    (15, "/var/log/app?.log", "mask", "^/var/log/app.\\.log$"),
+    (1, "/opt/vault/master.key", "block", "^/opt/vault/master\\.key$"),
+    (2, "/opt/vault/unseal/", "block", "^/opt/vault/unseal(/.*)?$"),
+    (3, "/var/lib/billing/run?.csv", "mask", "^/var/lib/billing/run[^/]\\.csv$"),
+    (4, "~/keys/backup.gpg", "block", "^/home/u/keys/backup\\.gpg$"),
+    (5, "~/keys/*.pem", "block", "^/home/u/keys/[^/]*\\.pem$"),
+    (6, "~/.netrc", "mask", "^/home/u/\\.netrc$"),
+    (7, "~/.local/tokens/", "mask", "^/home/u/\\.local/tokens(/.*)?$"),
+    (8, "credentials.ini", "mask", "^credentials\\.ini$"),
+    (9, "**/credentials.ini", "mask", "^.*/credentials\\.ini$"),
+    (10, "**/wallet.dat", "mask", "^.*/wallet\\.dat$"),
+    (11, "/srv/export/*", "mask", "^/srv/export/[^/]*$"),
 ]
 CTES.update({
     "x_strategy": values("tool, how", list(PATH_STRATEGY.items())),

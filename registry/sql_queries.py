@@ -70,7 +70,7 @@ def _audit_ctes(name: str, source: str) -> dict[str, str]:
 _LABEL = "CASE tool WHEN 'mariadb' THEN 'mysql' ELSE tool END"
 _POLICY_TABLES = [("customer", "mask", "c_name | c_acctbal | c_mktsegment"),
                   ("orders", "mask", "o_totalprice | o_orderpriority | o_custkey"),
-                  ("payment_cards", "block", ""), ("supplier", "block", "")]
+                  ("vendor_contracts", "block", ""), ("supplier", "block", "")]
 
 _AT = ("CASE WHEN instr(u, ' FROM ') > 0 THEN instr(u, ' FROM ') WHEN instr(u, chr(10) || 'FROM ') > 0 "
        "THEN instr(u, chr(10) || 'FROM ') ELSE instr(u, chr(9) || 'FROM ') END")
