@@ -11,6 +11,7 @@ from veilwatch.functions.globs import expand_home, glob_test
 from veilwatch.functions.masking import (mask_column, mask_sql_text, mask_table, mask_text,
                                          secret_hits)
 from veilwatch.functions.text import clip_bytes, snippet
+from veilwatch.operators.text_pieces import cut_texts, mask_pieces
 from veilwatch.plans.path_policy import mask_files
 from veilwatch.rules.mask_rules import SQL_TEXT
 from veilwatch.rules.text_rules import TEXT_RULES
@@ -104,6 +105,23 @@ def mask_tokens(spark, sf):
     return made.select("event_id", mask_text(F.col("t")).alias("masked"))
 
 
+# Every document with itself as a key block behind it, and half of them with a block that never ends.
+_KEYED = """doc_id AS text_id, text || ' -----BEGIN EC PRIV' || 'ATE KEY-----' || chr(10) || text || chr(10)
+ || '-----END EC PRIV' || 'ATE KEY-----' || text || CASE WHEN doc_id % 2 = 0 THEN '-----BEGIN RSA PRIV'
+ || 'ATE KEY-----' || chr(10) || text ELSE '' END AS text"""
+
+
+@query("c14_pieced_documents", f"""SELECT text_id, length(m) AS n_chars, md5(m) AS digest
+FROM (SELECT text_id, {_masked('text')} AS m FROM (SELECT {_KEYED} FROM documents))""")
+def mask_pieced_documents(spark, sf):
+    """Documents stored in pieces that cut secrets and key blocks anywhere, masked over the borders."""
+    made = spread_table(spark, sf, "documents").selectExpr(*_KEYED.split(", ", 1))
+    done = mask_pieces(cut_texts(made, 3000), 16).groupBy("text_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "")
+        .alias("m"))
+    return done.select("text_id", F.length("m").alias("n_chars"), F.md5("m").alias("digest"))
+
+
 def hits_sql(key: str, text: str, source: str) -> str:
     parts = []
     for i, rule in enumerate(TEXT_RULES, start=1):
@@ -258,8 +276,8 @@ def summary(spark, sf):
 
 # --- C16, C17, G3b: paths and files ---------------------------------------------------------------
 
-_GLOBS = ["/srv/sql/*.sql", "/srv/*", "/srv/**", "**/q1?.sql", "/srv/sql/", "/etc/shadow", "/home/u/.aws/*",
-          "/var/log/app?.log", "**/secrets.y*ml"]
+_GLOBS = ["/srv/sql/*.sql", "/srv/*", "/srv/**", "**/q1?.sql", "/srv/sql/", "/opt/vault/master.key", "/home/u/*",
+          "/var/lib/billing/run?.csv", "**/wal*t.dat"]
 
 
 @query("c16_glob", """
@@ -269,10 +287,10 @@ SELECT host, path,
   || '' || CASE WHEN starts_with(path, '/srv/') THEN 1 ELSE 0 END
   || '' || CASE WHEN regexp_matches(path, '/q1.\\.sql$') THEN 1 ELSE 0 END
   || '' || CASE WHEN path = '/srv/sql' OR starts_with(path, '/srv/sql/') THEN 1 ELSE 0 END
-  || '' || CASE WHEN path = '/etc/shadow' THEN 1 ELSE 0 END
-  || '' || CASE WHEN path LIKE '/home/u/.aws/%' AND instr(substr(path, 14), '/') = 0 THEN 1 ELSE 0 END
-  || '' || CASE WHEN regexp_matches(path, '^/var/log/app.\\.log$') THEN 1 ELSE 0 END
-  || '' || CASE WHEN regexp_matches(path, '/secrets\\.y[^/]*ml$') THEN 1 ELSE 0 END AS flags,
+  || '' || CASE WHEN path = '/opt/vault/master.key' THEN 1 ELSE 0 END
+  || '' || CASE WHEN path LIKE '/home/u/%' AND instr(substr(path, 9), '/') = 0 THEN 1 ELSE 0 END
+  || '' || CASE WHEN regexp_matches(path, '^/var/lib/billing/run.\\.csv$') THEN 1 ELSE 0 END
+  || '' || CASE WHEN regexp_matches(path, '/wal[^/]*t\\.dat$') THEN 1 ELSE 0 END AS flags,
   count(*) AS n
 FROM x_contents GROUP BY ALL""")
 def globs(spark, sf):
@@ -294,8 +312,8 @@ def home_paths(spark, sf):
 
 @query("g3b_mask_files", f"""
 SELECT host, path, md5({_masked('content')}) AS digest FROM x_contents
-WHERE path = '/home/u/.aws/credentials' OR path LIKE '%/.env' OR path LIKE '%/secrets.yaml'
-   OR regexp_matches(path, '^/var/log/app.\\.log$')""")
+WHERE path = '/home/u/.netrc' OR path LIKE '%/credentials.ini' OR path LIKE '%/wallet.dat'
+   OR regexp_matches(path, '^/var/lib/billing/run.\\.csv$')""")
 def masked_files(spark, sf):
     done = mask_files(file_contents(spark, sf), policy(spark))
     return done.select("host", "path", F.md5("content").alias("digest"))

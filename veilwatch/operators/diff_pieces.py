@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from veilwatch.functions.text import chomp
 from veilwatch.operators.diffs import FILE_HEADER, HUNK_START, hunk_start
+from veilwatch.operators.prefix import GROUP, before
 from veilwatch.session import cut_lineage
 
 #: Characters of a piece where the library cuts diffs itself.
 PIECE = 1 << 20
-#: Pieces of a group of the prefix sums.
-GROUP = 1024
-_PIECE = ["event_id", "piece"]
+_KEY, _PIECE = "event_id", ["event_id", "piece"]
 
 
 def cut_diffs(diffs: DataFrame, size: int = PIECE) -> DataFrame:
@@ -30,30 +29,12 @@ def cut_diffs(diffs: DataFrame, size: int = PIECE) -> DataFrame:
     return diffs.filter(F.col("diff").isNotNull()).select("event_id", F.posexplode(parts).alias("piece", "text"))
 
 
-def _before(pieces: DataFrame, sums: list[str], lasts: list[str], group: int) -> DataFrame:
-    """``_PIECE`` and, of the pieces before it, the sum (``sums``) or last non-null value (``lasts``)."""
-    narrow = pieces.select(*_PIECE, *sums, *lasts, F.floor(F.col("piece") / group).alias("_g"))
-    inner = Window.partitionBy("event_id", "_g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("event_id").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    within = narrow.select(*_PIECE, "_g", *[F.sum(c).over(inner).alias(f"{c}_in") for c in sums],
-                           *[F.last(c, ignorenulls=True).over(inner).alias(f"{c}_in") for c in lasts])
-    totals = narrow.groupBy("event_id", "_g").agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("piece"))).alias(c) for c in lasts])
-    over = totals.select("event_id", "_g", *[F.sum(c).over(outer).alias(f"{c}_out") for c in sums],
-                         *[F.last(c, ignorenulls=True).over(outer).alias(f"{c}_out") for c in lasts])
-    zero = F.lit(0).cast("bigint")
-    return within.join(over, ["event_id", "_g"]).select(
-        *_PIECE, *[(F.coalesce(f"{c}_in", zero) + F.coalesce(f"{c}_out", zero)).alias(c) for c in sums],
-        *[F.coalesce(f"{c}_in", f"{c}_out").alias(c) for c in lasts])
-
-
 def whole_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     """``_PIECE``, ``at``, ``line_text``: every line with the piece it begins in and its place there."""
     cut = pieces.select(*_PIECE, F.split("text", "\n").alias("parts")).withColumn(
         "breaks", (F.size("parts") - 1).cast("bigint"))
     narrow = cut.select(*_PIECE, (F.col("breaks") > 0).cast("bigint").alias("breaking"))
-    borders = _before(narrow, ["breaking"], [], group).withColumnRenamed("breaking", "border")
+    borders = before(_KEY, narrow, ["breaking"], [], group).withColumnRenamed("breaking", "border")
     ends = narrow.groupBy("event_id").agg(F.max("piece").alias("_end"))
     cut = cut.join(borders, _PIECE)
     inside = cut.select(*_PIECE, F.posexplode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0))))
@@ -94,8 +75,8 @@ def pieced_diff_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     ends = lines.groupBy(*_PIECE).agg(F.max("seen").alias("seen"), F.max_by("moved", "at").alias("moved"),
                                       F.max_by("file", "at").alias("file"))
     seen = cut_lineage(ends.withColumnRenamed("seen", "own").join(
-        _before(ends, ["seen"], [], group), _PIECE))
-    carried = _before(seen.withColumn("moved", F.col("moved") - F.col("seen")), [], ["moved", "file"], group)
+        before(_KEY, ends, ["seen"], [], group), _PIECE))
+    carried = before(_KEY, seen.withColumn("moved", F.col("moved") - F.col("seen")), [], ["moved", "file"], group)
     given = seen.select(*_PIECE, F.col("seen").alias("_seen")).join(carried.select(
         *_PIECE, F.col("moved").alias("_moved"), F.col("file").alias("_file")), _PIECE)
     number = F.col("seen") + F.coalesce("moved", F.col("_seen") + F.coalesce("_moved", zero))
