@@ -49,6 +49,18 @@ def test_copies_of_one_row_split(spark):
     assert len(check(rows, LIMIT)) >= 20
 
 
+def test_copies_are_dealt_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "COPIES", 100)
+    text = F.when(F.col("id") < 1950, "x" * 100).otherwise(F.concat(F.lit("y"), (F.col("id") % 7).cast("string")))
+    df = spark.range(2050).select(F.lit(1).cast("long").alias("doc_id"), text.alias("text"))
+    rows = S._rows(df).groupBy("doc_id", "h1", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
+    placed = S._placed(rows)
+    assert placed.count() == 2050 and placed.select("h1", "h2").distinct().count() == 2050
+    per = placed.where("n = 1950").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per) > 1
+    assert len(check(S.shards(df, LIMIT).collect(), LIMIT)) >= 10
+
+
 def test_rows_keep_all_columns(spark):
     docs = edge_docs(spark)
     out = S.sharded_rows(docs, LIMIT)

@@ -9,7 +9,8 @@ sums of all shorter prefixes follow from those few rows.  Only prefixes that are
 depth go on with more bits.  What the driver reads is one count per such round.
 
 Equal rows (same doc_id and text) differ in the second 64 bits, which hash their number among the
-copies: a group of copies of any size is counted first and dealt out from the count.
+copies: a group of copies of any size is counted first and dealt out from the count, a large one in chunks
+of ``COPIES`` that are spread over the tasks.
 
 Defined results: a null text has no bytes; a row over the limit is a shard of its own (it cannot fit
 any); repeated rows each get a place; null ids hash like any value; an empty table gives no shard.
@@ -28,6 +29,8 @@ LIMIT_BYTES = 1 << 26
 BITS = 128
 #: Bits beyond an even spread in the first round, and in every later one.
 SLACK = 4
+#: Equal rows that one task makes of one count.
+COPIES = 1 << 16
 
 
 def _prefix(depth: Column) -> Column:
@@ -54,8 +57,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _placed(counted: DataFrame) -> DataFrame:
     """Every copy of a counted row with its own second hash."""
-    one = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return one.withColumn("h2", F.xxhash64("h1", "copy"))
+    def dealt(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        copy = rows.withColumn("copy", F.explode(F.sequence(first, last)))
+        return copy.select(*counted.columns, F.xxhash64("h1", "copy").alias("h2"))
+
+    end = F.col("n") - 1
+    few = dealt(counted.where(F.col("n") <= COPIES), F.lit(0).cast("long"), end)
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = F.explode(F.sequence(F.lit(0).cast("long"), end, F.lit(COPIES).cast("long")))
+    chunks = counted.where(F.col("n") > COPIES).withColumn("start", start).repartition(tasks, "h1", "start")
+    many = dealt(chunks, F.col("start"), F.least(F.col("start") + COPIES - 1, end))
+    return few.unionByName(many)
 
 
 def assign(placed: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -84,7 +96,7 @@ def assign(placed: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         over = chosen.where("b is null").count()
         if not over:
             break
-        left = rows.where("b is null").select(*placed.columns)
+        left = settled(rows.where("b is null").select(*placed.columns))
         base, depth = depth + 1, min(BITS, depth + SLACK)
     done = out[0]
     for part in out[1:]:
