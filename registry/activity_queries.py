@@ -22,6 +22,7 @@ from veilwatch.plans.reports import (build_reports, detail_lines, report_kind, r
                                      threat_message)
 from veilwatch.rules import threat_texts as T
 from veilwatch.rules.sql_rules import SQL_TOOLS
+from veilwatch.sources.report_days import ReportDays
 from veilwatch.sources.reports import write_reports
 from veilwatch.sources.snapshots import (numeric_entries, read_process_snapshots,
                                          write_process_snapshots)
@@ -471,6 +472,18 @@ def sink(spark, sf):
     return _flat_reports(spark.read.parquet(path))
 
 
+@query("s7_closed_days", f"SELECT {_REPORT} FROM x_reports")
+def closed_days(spark, sf):
+    """Every day in batches of two streams, all days but the last merged to one table."""
+    path = folder(spark, "reports")
+    reports = cut_lineage(build_reports(_verdicts(spark, sf)))
+    for i, name in enumerate(["s-0", "s-1", "s-2", "t-0"]):
+        write_reports(reports.filter(F.pmod("event_id", F.lit(4)) == i), path, name)
+    days = ReportDays(spark, path)
+    days.compact(str(reports.agg(F.max("report_date")).first()[0]))
+    return _flat_reports(days.read())
+
+
 # --- X1 to X4: streams ----------------------------------------------------------------------------
 
 def _stream(spark, sf, name: str):
