@@ -117,7 +117,7 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
 
 def _named(rows: DataFrame, limit: int) -> DataFrame:
-    counted = rows.groupBy("doc_id", "h1", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
+    counted = settled(rows.groupBy("doc_id", "h1", "n_bytes").agg(F.count(F.lit(1)).alias("n")))
     return assign(_placed(counted).select("doc_id", "h1", "h2", "n_bytes"), limit).select(
         "doc_id", "h1", "n_bytes", shard_name().alias("shard_id"), "depth")
 
