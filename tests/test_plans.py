@@ -141,6 +141,16 @@ def test_filter_on_verdicts_stays_above_the_work(spark, tmp_path):
     assert len(filtered) < 1.3 * len(plain)
 
 
+def test_rules_of_many_policies_stay_off_the_driver(spark):
+    """A few packed texts become many rules, which no estimate sees."""
+    files = spark.range(3).selectExpr("concat('p', id) AS policy_id", "1 AS priority",
+                                      "concat('fblock /a/', id, '\nfmask /a/') AS content")
+    given = spark.range(6).selectExpr("id", "concat('p', id % 3) AS policy_id", "concat('/a/', id) AS path")
+    found = lookup_path_policy(given, load_policies(files).paths, salts=2)
+    assert "Broadcast" not in _plan(found)
+    assert {r["id"]: r["ord"] for r in found.collect()} == {k: 1 if k < 3 else 2 for k in range(6)}
+
+
 def test_indexed_rules_equal_rules_in_order(spark):
     """Ten thousand rules in one policy: what the index finds is what trying all in order finds."""
     rng = random.Random(8)

@@ -21,17 +21,19 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
-                spread: list[str], salts: int = SALTS) -> DataFrame:
+                spread: list[str], salts: int = SALTS, large: bool = False) -> DataFrame:
     """Join a large left side to a right side of small rows, hot keys spread over ``salts`` tasks.
 
     ``spread`` names left columns that tell rows of one key apart.  Every right row is repeated once
     per salt, so keep right rows narrow.  Rows with a null key are spread as well.  Spark still
-    broadcasts the right side where its size allows.
+    broadcasts the right side where its size allows; its estimate knows neither the repeats nor how many
+    rows a packed text becomes, so a right side that grows with the data is called ``large`` and is sorted.
     """
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"a repeated right side cannot serve a {how!r} join")
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    repeated = right.withColumn("_salt", copies)
     return (left.withColumn("_salt", salt)
-            .join(right.withColumn("_salt", copies), [*keys, "_salt"], how)
+            .join(repeated.hint("merge") if large else repeated, [*keys, "_salt"], how)
             .drop("_salt"))

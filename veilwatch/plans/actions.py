@@ -79,11 +79,12 @@ def match_action_table(cmds: DataFrame, rules: DataFrame, tenant: str = "host",
         base = F.coalesce(F.col("basename"), base)
     named = cmds.filter("event_id is not null").withColumns({"tool": base, "_tenant": F.col(tenant).cast("string")})
     programs = rules.select(F.col("tenant").alias("_tenant"), F.col("command").alias("tool")).distinct()
-    named = salted_join(named, programs, ["_tenant", "tool"], "left_semi", ["event_id"], salts)
+    named = salted_join(named, programs, ["_tenant", "tool"], "left_semi", ["event_id"], salts, large=True)
     own = F.filter(F.array_distinct("argv"), lambda t: t != "")
     keys = named.select("event_id", "_tenant", "tool", F.explode(F.concat(F.array(F.lit("")), own)).alias("token"))
     index = _indexed(rules).withColumnsRenamed({"tenant": "_tenant", "command": "tool"})
-    met = salted_join(keys, index, ["_tenant", "tool", "token"], "inner", ["event_id"], salts)
+    met = salted_join(keys, index, ["_tenant", "tool", "token"], "inner", ["event_id"], salts,
+                      large=True)
     fits = lambda r: (F.size(F.array_except(r["required"], "argv")) == 0) & ~F.arrays_overlap(r["excluded"], "argv")
     tried = met.select("event_id", "rules").join(named.select("event_id", "argv"), "event_id").select(
         "event_id", F.array_min(F.transform(F.filter("rules", fits), lambda r: F.struct(

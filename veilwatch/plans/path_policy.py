@@ -134,12 +134,13 @@ def lookup_path_policy(paths: DataFrame, rules: DataFrame, salts: int = SALTS) -
     ``paths`` has ``id`` (unique), ``policy_id`` and ``path``; ``rules`` are the path rules of many parsed
     policies.  A path meets the rules that share a key with it (``index_rules``) by one equi join; a
     pattern's expression runs for these candidates alone, in rule order up to the first that fits.  The
-    join is salted: one policy, or one file name, may be everybody's.  Rows no rule covers are left out.
+    join is salted: one policy, or one file name, may be everybody's; the rules grow with the policies and
+    are never broadcast.  Rows no rule covers are left out.
     """
     keyed = paths.filter(F.col("path").isNotNull()).select(
         "id", "policy_id", "path", F.explode(F.array_distinct(path_keys(F.col("path")))).alias("key"))
-    met = salted_join(keyed, index_rules(rules), ["policy_id", "key"], "inner", ["id"], salts)
+    met = salted_join(keyed, index_rules(rules), ["policy_id", "key"], "inner", ["id"], salts, large=True)
     fits = F.filter("rules", lambda r: r["regex"].isNull() | F.rlike(F.col("path"), r["regex"]))
     best = (met.select("id", F.try_element_at(fits, F.lit(1)).alias("rule")).filter("rule is not null")
             .groupBy("id").agg(F.min(F.struct("rule.ord", "rule.raw", "rule.mode")).alias("_best")))
-    return paths.join(best, "id").select(*paths.columns, "_best.ord", "_best.raw", "_best.mode")
+    return paths.join(best.hint("merge"), "id").select(*paths.columns, "_best.ord", "_best.raw", "_best.mode")
