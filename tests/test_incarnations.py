@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from veilwatch.operators.incarnations import incarnations, recorded_facts
+from veilwatch.operators.incarnations import _meeting, incarnations, recorded_facts
 from veilwatch.operators.lineage import asof_snapshot
 from veilwatch.plans.dispatch import agent_executions
 
@@ -89,3 +89,17 @@ def test_a_busy_pid_is_one_process(spark):
     lives = incarnations(recorded_facts(asof_snapshot(log, procs), procs)).filter("pid = 7").collect()
     assert len(lives) == 3
     assert agent_executions(log, procs).count() == 20_000 - 1
+
+
+def test_meeting_intervals_are_not_all_pairs(spark):
+    """Two pids with thousands of intervals each: what is joined grows with them, not with their square."""
+    n = 3000
+    made = lambda pid, up, step: (
+        f"'h' AS host, timestamp'2024-03-01' AS snapshot_ts, {pid} AS pid, {up} AS up, "
+        f"timestamp_seconds(id * 2 + {step}) AS since, timestamp_seconds(id * 2 + 2 + {step}) AS until")
+    below = spark.range(n).selectExpr(*made("7L", "8L", 0).split(", "))
+    above = spark.range(n).selectExpr(*made("7L", "8L", 1).split(", ")).drop("pid").withColumnsRenamed(
+        {"since": "_since", "until": "_until"})
+    met = _meeting(below, above)
+    joined = met.select("since", "_since").collect()
+    assert len(joined) == 2 * n - 1 and len(set(joined)) == len(joined)

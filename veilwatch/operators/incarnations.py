@@ -69,6 +69,29 @@ def incarnations(facts: DataFrame) -> DataFrame:
         *KEY, "since", "until", "ppid", "is_root")
 
 
+def _meeting(below: DataFrame, above: DataFrame) -> DataFrame:
+    """Every interval of ``below`` beside those of its process above (``up``) that share a time with it.
+
+    The intervals of one process do not overlap, so in order of time those that meet an interval stand
+    one after the other, and two running counts say from which to which.  They are joined by their number:
+    a pid with many intervals is no square of them, only what meets is made.
+    """
+    group = [*SNAPSHOT, "up"]
+    numbered = above.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy("_since")))
+    mine = F.struct("pid", "since", "until")
+    marks = below.select(*group, F.col("since").alias("_a"), F.col("until").alias("_b"), F.lit(0).alias("_above"),
+                         mine.alias("_mine")).unionByName(
+        above.select(*group, F.col("_since").alias("_a"), F.col("_since").alias("_b"), F.lit(1).alias("_above")),
+        allowMissingColumns=True)
+    upto = lambda *by: F.sum("_above").over(
+        Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    ranges = marks.withColumns({"_first": upto("_a", F.desc("_above")), "_last": upto("_b", "_above")})
+    first = F.greatest("_first", F.lit(1).cast("bigint"))
+    ranges = ranges.filter((F.col("_above") == 0) & (first <= F.col("_last"))).select(
+        *group, "_mine.*", F.explode(F.sequence(first.cast("int"), F.col("_last").cast("int"))).alias("_nth"))
+    return ranges.join(numbered, [*group, "_nth"]).filter("_since < until and since < _until").drop("_nth")
+
+
 def agent_intervals(lives: DataFrame, max_nodes: int = MAX_LINEAGE_NODES) -> DataFrame:
     """``KEY``, ``since``, ``until``: when a pid was a root or had one among its nearest
     ``max_nodes - 1`` ancestors, all of them as they were at that time.
@@ -85,19 +108,20 @@ def agent_intervals(lives: DataFrame, max_nodes: int = MAX_LINEAGE_NODES) -> Dat
         *KEY, "since", "until", F.col("is_root").alias("hit"), F.when(ends, None).otherwise(F.col("ppid")).alias("up"))
     state = cut_lineage(state.filter("hit or up is not null"))
     hits, still_open = state.filter("hit").drop("up"), state.filter("not hit").drop("hit")
-    for _ in range(rounds):
+    for left in reversed(range(rounds)):
         above = hits.withColumn("up", F.lit(None).cast("bigint")).unionByName(
             still_open.withColumn("hit", F.lit(False))).select(
             *SNAPSHOT, F.col("pid").alias("up"), F.col("hit").alias("_hit"), F.col("up").alias("_up"),
             F.col("since").alias("_since"), F.col("until").alias("_until"))
-        met = still_open.join(above, [*SNAPSHOT, "up"]).filter(
-            "_since < until and since < _until and (_hit or _up is not null)")
+        if not left:  # what is still open after the last round counts for nothing
+            above = above.filter("_hit")
+        met = _meeting(still_open, above).filter("_hit or _up is not null")
         met = cut_lineage(met.select(*KEY, F.greatest("since", "_since").alias("since"),
                                      F.least("until", "_until").alias("until"),
                                      F.col("_hit").alias("hit"), F.col("_up").alias("up")))
         hits = hits.unionByName(met.filter("hit").drop("up"))
         still_open = met.filter("not hit").drop("hit")
-        if still_open.isEmpty():
+        if left and still_open.isEmpty():
             break
     return hits.select(*KEY, "since", "until")
 
