@@ -517,12 +517,17 @@ _BACKLOG = {"availableNow": True}
 _WHOLE = "60 days"  # the files below come up to a month late
 
 
+def _files(spark) -> int:
+    """Files of a part written by ``_in_pieces``, at most: the partitions of ``spread_table``."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _in_pieces(df, time: str, write) -> None:
     """Write rows as they may arrive: those after the first ten days, the first ten days (late), and these a
-    second time."""
+    second time.  A part is as many files as the rows have partitions."""
     early = F.dayofmonth(time) <= 10
     for part in (~early, early, early):
-        write(df.filter(part).coalesce(1))
+        write(df.filter(part))
 
 
 @query("x2_stream_agent_reports", f"SELECT {_REPORT} FROM x_reports WHERE event_id IN (SELECT event_id FROM x_agent)")
@@ -530,7 +535,7 @@ def streamed_reports(spark, sf):
     path, log = folder(spark, "reports"), folder(spark, "log")
     write = lambda df: df.withColumns({"basename": basename(F.col("filename"))}).write.mode("append").parquet(log)
     _in_pieces(raw_log(spark, sf), "ts", write)
-    stream = with_argv(read_command_log(spark, log, streaming=True, per_batch=1))
+    stream = with_argv(read_command_log(spark, log, streaming=True, per_batch=_files(spark)))
     stored = lambda: read_command_log(spark, log).dropDuplicates(["event_id"])
     stream_audit(stream, lambda: context(spark, sf), path, folder(spark, "state"), lambda: processes(spark, sf),
                  stored, _BACKLOG, _WHOLE).awaitTermination()
@@ -545,15 +550,16 @@ def reports_with_kept_lineage(spark, sf):
     procs = cut_lineage(processes(spark, sf))
     whole = cut_lineage(raw_log(spark, sf).withColumns({"basename": basename(F.col("filename"))}))
     half = lambda time: (F.col(time) >= "2024-01-17").cast("int")
-    part = lambda df, time, k: df.filter(half(time) == k).coalesce(1)
-    for arriving, files in (([(0, None), (1, 0)], 1), ([(0, 1)], None)):
+    part = lambda df, time, k: df.filter(half(time) == k)
+    for arriving in ([(0, None), (1, 0)], [(0, 1)]):
+        checkpoint = folder(spark, "state")
         for ran, listed in arriving:
             part(whole, "ts", ran).write.mode("append").parquet(log)
             write_process_snapshots(part(procs, "snapshot_ts", -1 if listed is None else listed), snaps)
-        cmds = with_argv(read_command_log(spark, log, streaming=True, per_batch=files))
-        seen = read_process_snapshots(spark, snaps, streaming=True, per_batch=files)
-        stream_agent_audit(cmds, seen, lambda: context(spark, sf), path, state, folder(spark, "state"), _BACKLOG,
-                           "0 seconds").awaitTermination()
+            cmds = with_argv(read_command_log(spark, log, streaming=True))
+            seen = read_process_snapshots(spark, snaps, streaming=True)
+            stream_agent_audit(cmds, seen, lambda: context(spark, sf), path, state, checkpoint, _BACKLOG,
+                               "0 seconds").awaitTermination()
     finish_agent_audit(spark, cmds, lambda: context(spark, sf), path, state)
     return _flat_reports(spark.read.parquet(path))
 
@@ -572,7 +578,7 @@ def streamed_days(spark, sf):
 def streamed_changes(spark, sf):
     path, snaps = folder(spark, "changes"), folder(spark, "snapshots")
     _in_pieces(processes(spark, sf), "snapshot_ts", lambda df: write_process_snapshots(df, snaps))
-    stream = read_process_snapshots(spark, snaps, streaming=True, per_batch=1)
+    stream = read_process_snapshots(spark, snaps, streaming=True, per_batch=_files(spark))
     stream_root_changes(stream, path, folder(spark, "state"), _BACKLOG, _WHOLE).awaitTermination()
     return _named(read_root_changes(spark, path), "change")
 
