@@ -33,26 +33,21 @@ def whole_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     """``_PIECE``, ``at``, ``line_text``: every line with the piece it begins in and its place there."""
     cut = pieces.select(*_PIECE, F.split("text", "\n").alias("parts")).withColumn(
         "breaks", (F.size("parts") - 1).cast("bigint"))
-    narrow = cut.select(*_PIECE, (F.col("breaks") > 0).cast("bigint").alias("breaking"))
-    borders = before(_KEY, narrow, ["breaking"], [], group).withColumnRenamed("breaking", "border")
-    ends = narrow.groupBy("event_id").agg(F.max("piece").alias("_end"))
-    cut = cut.join(borders, _PIECE)
+    cut = before(_KEY, cut.withColumn("border", (F.col("breaks") > 0).cast("bigint")), ["border"], [], group,
+                 ("parts", "breaks"))
     inside = cut.select(*_PIECE, F.posexplode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0))))
                         .alias("at", "line_text")).withColumn("at", F.col("at").cast("bigint") + 1)
     head = F.struct(F.col("border"), F.lit(0).cast("bigint").alias("at"), F.get("parts", F.lit(0)).alias("part"))
     tail = F.struct((F.col("border") + 1).alias("border"), F.col("breaks").alias("at"),
                     F.try_element_at("parts", F.lit(-1)).alias("part"))
-    fragments = cut.select(*_PIECE, F.explode(F.when(F.col("breaks") > 0, F.array(head, tail)).otherwise(
-        F.array(head))).alias("f")).select(*_PIECE, "f.*")
+    fragments = cut.select(*_PIECE, "border_all", F.explode(F.when(F.col("breaks") > 0, F.array(head, tail)).otherwise(
+        F.array(head))).alias("f")).select(*_PIECE, "border_all", "f.*")
     crossing = fragments.groupBy("event_id", "border").agg(
-        F.min(F.struct("piece", "at")).alias("place"), F.max("piece").alias("until"),
+        F.min(F.struct("piece", "at")).alias("place"), F.max("border_all").alias("ending"),
         F.sort_array(F.collect_list(F.struct("piece", "at", "part"))).alias("parts"))
-    crossing = crossing.select("event_id", "place.*", "until", F.array_join("parts.part", "").alias("line_text"))
+    crossing = crossing.select("border", "ending", "event_id", "place.*", F.array_join("parts.part", "").alias("line_text"))
     # what follows the last line break is no line when it is empty
-    last = (F.col("until") == F.col("_end")) & (F.col("line_text") == "") & F.col("_last")
-    newest = crossing.groupBy("event_id").agg(F.max(F.struct("piece", "at")).alias("_top"))
-    crossing = crossing.join(ends, "event_id").join(newest, "event_id").withColumn(
-        "_last", F.struct("piece", "at") == F.col("_top"))
+    last = (F.col("border") == F.col("ending")) & (F.col("line_text") == "")
     return crossing.filter(~last).select(*_PIECE, "at", "line_text").unionByName(inside)
 
 
@@ -66,9 +61,9 @@ def pieced_diff_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     upto = Window.partitionBy(*_PIECE).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("bigint")
     lines = whole_lines(pieces, group).select(
-        *_PIECE, "at", "line_text", counted.alias("counted"), F.when(header, name).alias("named"),
-        F.when(header | start.isNotNull(), F.greatest(F.coalesce(start, zero) - 1, zero)).alias("base"),
-        F.sum(counted.cast("bigint")).over(upto).alias("seen"))
+        *_PIECE, "at", F.when(counted, text).alias("line_text"), counted.alias("counted"), F.when(header, name).alias("named"),
+        F.when(header | start.isNotNull(), F.greatest(F.coalesce(start, zero) - 1, zero)).alias("base"))
+    lines = lines.withColumn("seen", F.sum(F.col("counted").cast("bigint")).over(upto))
     lines = cut_lineage(lines.select(
         *_PIECE, "at", "line_text", "counted", "seen", F.last("named", ignorenulls=True).over(upto).alias("file"),
         F.last(F.col("base") - F.col("seen"), ignorenulls=True).over(upto).alias("moved")))
