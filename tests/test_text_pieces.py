@@ -59,3 +59,12 @@ def test_a_block_over_many_pieces_leaves_one_label_and_small_rows(spark):
     masked = len("plain words and [EMAIL]\n") * 20
     assert done[0] <= masked + 100
     assert done[1] == masked * (10 + 99) + len("[PRIVATE_KEY_BLOCK]tail\n")
+
+
+def test_texts_go_with_their_prefix_sums(spark):
+    from veilwatch.operators.prefix import before
+
+    rows = spark.createDataFrame([(1, k, k % 2, f"t{k}") for k in range(5)], "text_id long, piece long, n long, text string")
+    got = before("text_id", rows, ["n"], [], 2, ("text",)).orderBy("piece").collect()
+    assert [(r["piece"], r["text"], r["n"], r["n_all"]) for r in got] == [
+        (0, "t0", 0, 2), (1, "t1", 0, 2), (2, "t2", 1, 2), (3, "t3", 1, 2), (4, "t4", 2, 2)]

@@ -56,10 +56,9 @@ def _reglued(rows: DataFrame, group: int) -> DataFrame:
         F.when(F.col("first") > 0, F.left("text", F.col("first"))).otherwise(F.col("text")).alias("head"),
         F.substring(F.col("text"), F.col("first") + 1, F.col("last") - F.col("first")).alias("body"),
         F.when(F.col("first") > 0, F.substring(F.col("text"), F.col("last") + 1, F.length("text"))).alias("tail"))
-    narrow = cut.select(*_PLACE, "breaking", (~F.col("glued")).cast("bigint").alias("fresh"))
-    units = before(_KEY, narrow, ["breaking", "fresh"], [], group).select(
-        *_PLACE, (F.col("breaking") + F.col("fresh")).alias("_unit"))
-    cut = cut.join(units, _PLACE).withColumn("_unit", F.col("_unit") + (~F.col("glued")).cast("bigint"))
+    cut = cut.withColumn("unit", F.col("breaking") + (~F.col("glued")).cast("bigint"))
+    cut = before(_KEY, cut, ["unit"], [], group, ("glued", "breaking", "head", "body", "tail")).withColumn(
+        "_unit", F.col("unit") + (~F.col("glued")).cast("bigint"))
     part = lambda step, at, text: F.struct(
         (F.col("_unit") + step).alias("unit"), F.lit(at).alias("at"), F.col(text).alias("part"))
     fragments = cut.select(*_PLACE, F.explode(F.when(F.col("breaking") > 0, F.array(part(0, 0, "head"), part(1, 2, "tail")))
@@ -77,48 +76,58 @@ def _blocks_masked(text):
     return F.regexp_replace(text, java_pattern(_BLOCK), _BLOCK.label)
 
 
-def _with_states(chunks: DataFrame, group: int) -> DataFrame:
-    """Chunks that hold a part of a key block's markers or lie behind one, with what they do to blocks.
+def _marked(chunks: DataFrame) -> DataFrame:
+    """Chunks with what they do to blocks.
 
     ``outer``: the text as it is outside a block, blocks in it masked; ``inner``: the same of what follows the first
-    end; ``inside``: whether the chunk begins in a block.
+    end.  Both are null without a part of a marker, where the text is the one and nothing the other.
     """
     marked = F.contains("text", F.lit(_BLOCK.literal))
     rest = F.regexp_replace("text", f"(?Us)^.*?{_CLOSE}", "")
     rows = chunks.withColumns({
         "ends": marked & F.col("text").rlike(f"(?U){_CLOSE}"),
-        "outer": F.when(marked, _blocks_masked(F.col("text"))).otherwise(F.col("text")),
-        "inner": F.when(marked, _blocks_masked(rest))})
-    opens = lambda col: marked & F.col(col).rlike(f"(?U){_OPEN}")
-    rows = cut_lineage(rows.withColumns({
-        "from_outside": opens("outer"), "from_inside": ~F.col("ends") | opens("inner")}))
+        "outer": F.when(marked, _blocks_masked(F.col("text"))), "inner": F.when(marked, _blocks_masked(rest))})
+    opens = lambda col: F.coalesce(F.col(col).rlike(f"(?U){_OPEN}"), F.lit(False))
+    return cut_lineage(rows.select(
+        *_PLACE, "ends", "outer", "inner", F.when(F.col("outer").isNull(), F.col("text")).alias("text"),
+        opens("outer").alias("from_outside"), (~F.col("ends") | opens("inner")).alias("from_inside")))
+
+
+def _with_states(rows: DataFrame, group: int) -> DataFrame:
+    """``inside``, whether a chunk begins in a block, and ``opens``, whether it ends in one, from its marks alone."""
     kind = rows.select(
-        *_PLACE, (F.col("from_outside") & ~F.col("from_inside")).cast("bigint").alias("swaps"),
+        *_PLACE, "ends", "from_outside", "from_inside",
+        (F.col("from_outside") & ~F.col("from_inside")).cast("bigint").alias("swaps"),
         F.when(F.col("from_outside") == F.col("from_inside"), F.col("from_outside").cast("bigint")).alias("fixed"))
-    swapped = before(_KEY, kind, ["swaps"], [], group)
-    kind = kind.drop("swaps").join(swapped, _PLACE).withColumn("moved", F.col("fixed") - F.col("swaps"))
-    state = before(_KEY, kind, [], ["moved"], group).withColumnRenamed("moved", "_moved").join(swapped, _PLACE)
-    inside = F.pmod(F.coalesce("_moved", F.lit(0)) + F.col("swaps"), F.lit(2)) == 1
-    return rows.join(state.select(*_PLACE, inside.alias("inside")), _PLACE)
+    flags = ("ends", "from_outside", "from_inside")
+    kind = before(_KEY, kind, ["swaps"], [], group, (*flags, "fixed")).withColumn(
+        "moved", F.col("fixed") - F.col("swaps"))
+    state = before(_KEY, kind, [], ["moved"], group, (*flags, "swaps"))
+    inside = F.pmod(F.coalesce("moved", F.lit(0)) + F.col("swaps"), F.lit(2)) == 1
+    return state.select(*_PLACE, "ends", inside.alias("inside"), F.when(
+        inside, F.col("ends") & F.col("from_inside")).otherwise(F.col("from_outside")).alias("opens"))
 
 
 def mask_pieces(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     """Masked pieces ``(text_id, piece, text)``; joined in order of ``piece`` they are ``mask_text`` of the whole text."""
     rows = pieces.select(_KEY, F.col("piece").cast("bigint").alias("piece"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = _reglued(rows.withColumn("glued", F.lit(True)), group)
-    chunks = _with_states(chunks.withColumn("text", mask_text(F.col("text"), TEXT_RULES[:_AT])), group)
-    chunks = chunks.withColumn("opens", F.when(F.col("inside"), F.col("ends") & F.col("from_inside"))
-                               .otherwise(F.col("from_outside")))
+    chunks = _marked(chunks.withColumn("text", mask_text(F.col("text"), TEXT_RULES[:_AT])))
+    states = cut_lineage(_with_states(chunks, group))
     # the last block opened, where nothing closes it
-    marks = chunks.filter("opens or (inside and ends)").groupBy(_KEY).agg(
+    marks = states.filter("opens or (inside and ends)").groupBy(_KEY).agg(
         F.max(F.when(F.col("opens"), F.col("piece"))).alias("opened"),
         F.max(F.when(F.col("inside") & F.col("ends"), F.col("piece"))).alias("closed"))
     loose = marks.filter("opened is not null and (closed is null or closed <= opened)").select(_KEY, "opened")
-    chunks = chunks.join(loose, _KEY, "left")
+    states = states.join(loose, _KEY, "left")
     never = F.lit((1 << 63) - 1)
-    inside = F.col("inside") & (F.col("piece") <= F.coalesce("opened", never))
-    opens = F.col("opens") & ~F.col("piece").eqNullSafe(F.col("opened"))
-    own = F.when(inside, F.col("inner")).otherwise(F.col("outer"))
+    states = states.select(
+        *_PLACE, (F.col("inside") & (F.col("piece") <= F.coalesce("opened", never))).alias("inside"),
+        (F.col("opens") & ~F.col("piece").eqNullSafe(F.col("opened"))).alias("opens"))
+    chunks = chunks.join(states, _PLACE)
+    inside, opens = F.col("inside"), F.col("opens")
+    plain = F.coalesce("outer", "text")
+    own = F.when(inside, F.coalesce("inner", "text")).otherwise(plain)
     done = cut_lineage(chunks.filter(~inside | F.col("ends")).select(
         *_PLACE, inside.alias("glued"), (inside | opens).alias("touched"),
         F.when(opens, F.regexp_replace(own, f"(?Us){_OPEN}.*", _BLOCK.label)).otherwise(own).alias("text")))
