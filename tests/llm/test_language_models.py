@@ -1,6 +1,8 @@
 import math
+import threading
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import edge_docs, empty_docs
+from veilwatch.llm import common
 from veilwatch.llm import kneser_ney as K
 from veilwatch.llm import lm_score as L
 from veilwatch.llm import tokens as T
@@ -296,6 +299,79 @@ def test_quality_edge_rows(spark):
     assert len(none) == docs.count() and all(r["kept"] for r in none)
 
 
+def test_slices_give_the_same(spark, monkeypatch):
+    """Every row is in one slice, repeated and null ids as well."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(edge_docs(spark).select("doc_id", "text", "lang"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 150)], LABELS)
+
+    def rows():
+        return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["lang"] or "", r["check"], r["n_tokens"],
+                       r["log_perplexity"]) for r in K.perplexities(docs, labels).collect())
+
+    one = rows()
+    monkeypatch.setattr(K, "SLICE_BYTES", 1000)
+    many = rows()
+    assert [r[:5] for r in many] == [r[:5] for r in one] and len(one) == docs.count()
+    assert [r[5] for r in many] == pytest.approx([r[5] for r in one], rel=1e-9)
+
+
+class Disk:
+    """The most bytes that new files of the shared folder and of shuffles had while it was open."""
+
+    def __init__(self, spark):
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        self.folders = [Path(common.shared_folder(spark).removeprefix("file://")), *(Path(f.getPath()) for f in local)]
+        self.old, self.most, self.over = set(self.files()), 0, threading.Event()
+
+    def files(self):
+        out = {}
+        for folder in self.folders:
+            for file in folder.rglob("*"):
+                try:
+                    if file.is_file() and not file.name.startswith("broadcast"):
+                        out[file] = file.stat().st_size
+                except OSError:  # it went meanwhile
+                    pass
+        return out
+
+    def watch(self):
+        while not self.over.wait(0.1):
+            self.most = max(self.most, sum(n for f, n in self.files().items() if f not in self.old))
+
+    def __enter__(self):
+        self.watching = threading.Thread(target=self.watch)
+        self.watching.start()
+        return self
+
+    def __exit__(self, *_):
+        self.over.set()
+        self.watching.join()
+
+
+def test_disk_of_the_classifier(spark, monkeypatch):
+    """Requests and blocks of one slice at a time, and nothing of earlier steps."""
+    monkeypatch.setattr(K, "SLICE_BYTES", 1_000_000)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    size = sum(Path(f.removeprefix("file://")).stat().st_size for f in docs.inputFiles())
+    with Disk(spark) as disk:
+        assert K.classify(docs, labels).count() == docs.count()
+    print(f"{disk.most / size:.2f} x input")
+    assert disk.most < 2 * size
+
+
+def test_shuffle_files_and_tables_go_early(spark):
+    df = spark.range(200_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("id").alias("n"))
+    before = spark.conf.get(common.SHUFFLE_CLEANUP, "false")
+    table = common.settled(df, lean=True)
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, "false") == before
+    assert sum(r["n"] for r in table.collect()) == 200_000
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.is_dir()
+    common.dropped(table)
+    assert not folder.exists()
+
+
 def test_thresholds_per_language(spark):
     rows = [(lang, True, float(k + at)) for lang, at in (("a", 0), ("b", 5)) for k in range(100)]
     df = spark.createDataFrame(rows, "lang string, check boolean, log_perplexity double")

@@ -17,6 +17,8 @@ import veilwatch
 _SHIPPED: set[str] = set()
 #: The input row as one column, so that no extra input column clashes with an operator's own names.
 ROW = "__row"
+#: Spark's setting that deletes a query's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,21 +60,42 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, lean: bool = False) -> DataFrame:
     """Write the rows to the shared folder and go on from the files.
 
     Cuts the lineage, so that a lost executor costs a read and no recomputation.  The files go when
-    the driver's JVM ends.
+    the driver's JVM ends, or by ``dropped``.  ``lean``: the write's shuffle files go when it ends, not
+    when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    try:
+        if lean:
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if lean:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    there, store = _stored(spark, path)
+    store.deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of ``settled`` tables that nothing reads any more."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            there, store = _stored(table.sparkSession, folder)
+            store.delete(there, True)
+
+
+def _stored(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def pack_row(df: DataFrame) -> DataFrame:
     """The rows as one struct column ``ROW``."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))

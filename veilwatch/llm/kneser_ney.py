@@ -12,6 +12,10 @@ them that the bigram is its to report: that block adds it to the statistics of i
 their distinct bigrams and the statistics of their distinct words, so what is everywhere is one key per
 block.  Only the counts of counts, ten numbers, reach the driver.
 
+Requests take more disk than the texts.  So documents are dealt by a hash of id, language and text into a
+few slices that ask one after the other, and what a step wrote or shuffled is deleted when the next has its
+result.  The table is read once per slice; every row is in exactly one.
+
 Defined results: a null or empty text is its end token alone; repeated rows are judged alike; several
 labels of one id count as trusted only if all are; a null doc_id is never trusted; words and bigrams of
 equal counts are treated alike whatever their order; a block ends with a whole document, so a very long
@@ -24,6 +28,7 @@ not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwatch.llm.common import field, id_key, pack_row, settled, ship_code
+from veilwatch.llm.common import dropped, field, id_key, pack_row, settled, ship_code
 from veilwatch.llm.lm_score import (
     BLOCK,
     START,
@@ -47,7 +52,15 @@ from veilwatch.llm.lm_score import (
     _unsmall,
     ngrams,
 )
-from veilwatch.llm.tokens import blocks, next_block, pack_sorted, per_document, shard_bits, unpack_sorted
+from veilwatch.llm.tokens import (
+    END_HASH,
+    blocks,
+    next_block,
+    pack_sorted,
+    per_document,
+    shard_bits,
+    unpack_sorted,
+)
 
 QUANTILE = 0.99
 #: Added to the logarithm of the quantile, in units of log10 per token.
@@ -58,6 +71,10 @@ GRID = 200
 #: Bits of the filter of trusted ids (a megabyte, whatever the number of ids).  It only spares texts the
 #: way to the join with the trusted ids, which decides.
 FILTER_BITS = 23
+#: Documents ask and are scored in so many slices at most, one after the other, and a slice's requests and
+#: blocks are deleted before the next: their disk is that of one slice.  Fewer slices for less text.
+SLICES = 6
+SLICE_BYTES = 32_000_000
 #: Per word: distinct contexts before it; as a context: tokens after it, and distinct ones that occur once,
 #: twice and more often.
 STATS = ("follow", "total", "types1", "types2", "types3")
@@ -128,17 +145,23 @@ def _blocks(source: DataFrame, carried: dict[str, str]) -> DataFrame:
     return source.select("text", *carried).mapInArrow(run, schema)
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number, tokens and first tokens of each block."""
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, tokens, first tokens and word hashes of each block."""
     for batch in batches:
         for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-            yield (row["block"], *_tokens(*_unpacked(row["a"], row["b"], row["c"])))
+            hashes, ids, lens = _unpacked(row["a"], row["b"], row["c"])
+            yield (row["block"], *_tokens(hashes, ids, lens), hashes)
+
+
+def _vocabulary(hashes: np.ndarray) -> np.ndarray:
+    """All tokens a block may hold, and the start, from its distinct words."""
+    return np.append(hashes, [END_HASH, START])
 
 
 def _counted(training: DataFrame, bits: int) -> DataFrame:
     """Distinct bigrams of every block of training text by shard, with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, tokens, first in _coded(batches):
+        for block, tokens, first, _ in _coded(batches):
             keys, n = np.unique(ngrams(tokens, first, 2)[1], return_counts=True)
             yield _batch([(_PAIRS, shard, block, pack_sorted(keys[k]), _small(n[k]))
                           for shard, k in _by_shard(keys, bits)], _COUNTS)
@@ -261,8 +284,8 @@ class KneserNey:
 def _asked(texts: DataFrame, bits: int) -> DataFrame:
     """The distinct words and bigrams of every block by shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, tokens, first in _coded(batches):
-            words = np.unique(np.append(tokens, START))
+        for block, tokens, first, hashes in _coded(batches):
+            words = np.unique(_vocabulary(hashes))
             for kind, keys in ((_WORDS, words), (_PAIRS, np.unique(ngrams(tokens, first, 2)[1]))):
                 yield _batch([(kind, shard, block, pack_sorted(keys[k]), None)
                               for shard, k in _by_shard(keys, bits)], _COUNTS)
@@ -291,41 +314,29 @@ def _told(asked: DataFrame, model: DataFrame) -> DataFrame:
         answer, "kind int, part long, block long, b binary")
 
 
-def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``lang``, ``n_tokens``, ``log_perplexity``, ``check``."""
-    ship_code(docs.sparkSession)
-    source, trusted = _prepared(docs, labels)
-    fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / FOLDS) % FOLDS == 0
-    trusted = settled(trusted)
-    likely = _likely(source.where(~fold), trusted)
-    training = settled(_blocks(likely.join(  # the same join at every size
-        trusted.hint("merge"), likely["doc_id"] == trusted["k1"], "left_semi"), {}))
-    size = int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = shard_bits(size // TOKEN_BYTES)
-    pairs = settled(_pairs(_counted(training, bits)))
-    words = settled(_words(training, pairs, bits))
-    network = _network(pairs, words)
+def _scored(source: DataFrame, model: DataFrame, network: KneserNey, bits: int) -> DataFrame:
+    """One row per document of ``source``, written: ``doc_id``, ``lang``, ``n_tokens``, ``log_perplexity``."""
     texts = settled(_blocks(source, {"doc_id": "long", "lang": "string"}))
-    told = _told(_asked(texts, bits), pairs.where("block < 0").unionByName(words).drop("block"))
+    told = _told(_asked(texts, bits), model)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf[pdf["kind"] == _DOCS].iloc[0]
         blobs = {(k, p): b for k, p, b in zip(pdf["kind"], pdf["part"], pdf["b"])}
-        lens = _unpacked(row["a"], row["b"], row["c"])[2]
-        tokens, first = _tokens(*_unpacked(row["a"], row["b"], row["c"]))
+        hashes, ids, lens = _unpacked(row["a"], row["b"], row["c"])
+        tokens, first = _tokens(hashes, ids, lens)
 
         def values(kind: int, keys: np.ndarray, height: int) -> np.ndarray:
             found = [_unsmall(blobs[kind, shard]).reshape(height, -1) for shard, _ in _by_shard(keys, bits)]
             return np.concatenate(found, axis=1).astype(np.int64)
 
-        keys, pair = np.unique(ngrams(tokens, first, 2)[1], return_inverse=True)
+        # a bigram's probability is worked out once, at the first token that has it
+        keys, at, pair = np.unique(ngrams(tokens, first, 2)[1], return_index=True, return_inverse=True)
         counts = values(_PAIRS, keys, 1)[0]
-        keys, word = np.unique(np.append(tokens, START), return_inverse=True)
+        keys, place = np.unique(_vocabulary(hashes), return_inverse=True)
         stats = values(_WORDS, keys, len(STATS))
-        before = _before(word[:-1], first, word[-1])
-        # a bigram's probability is worked out once, at the first token that has it
-        _, at = np.unique(pair, return_index=True)
-        logs = network.logs(counts, stats[:, before[at]], stats[0, word[:-1][at]])
+        word, _ = _tokens(place[:-2], ids, lens, place[-2])
+        before = _before(word, first, place[-1])
+        logs = network.logs(counts, stats[:, before[at]], stats[0, word[at]])
         sums = per_document(logs[pair], lens + 1)
         return pd.DataFrame({"doc_id": pd.array(row["doc_id"], dtype="Int64"), "lang": row["lang"],
                              "n_tokens": lens + 1, "log_perplexity": -sums / (lens + 1)})
@@ -333,8 +344,33 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty = {c: F.lit(None).cast(texts.schema[c].dataType) for c in ("doc_id", "lang", "a", "c")}
     both = texts.withColumns({"kind": F.lit(_DOCS), "part": F.lit(-1).cast("long")}).unionByName(
         told.withColumns(empty))
-    scored = both.groupBy("block").applyInPandas(
-        total, "doc_id long, lang string, n_tokens long, log_perplexity double")
+    scored = settled(both.groupBy("block").applyInPandas(
+        total, "doc_id long, lang string, n_tokens long, log_perplexity double"), lean=True)
+    dropped(texts)
+    return scored
+
+
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, ``lang``, ``n_tokens``, ``log_perplexity``, ``check``."""
+    ship_code(docs.sparkSession)
+    source, trusted = _prepared(docs, labels)
+    fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / FOLDS) % FOLDS == 0
+    trusted = settled(trusted)
+    likely = _likely(source.where(~fold), trusted)
+    training = settled(_blocks(likely.join(  # the same join at every size
+        trusted.hint("merge"), likely["doc_id"] == trusted["k1"], "left_semi"), {}), lean=True)
+    size = int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = shard_bits(size // TOKEN_BYTES)
+    pairs = settled(_pairs(_counted(training, bits)), lean=True)
+    words = settled(_words(training, pairs, bits), lean=True)
+    dropped(training)
+    network = _network(pairs, words)
+    model = pairs.where("block < 0").unionByName(words).drop("block")
+    slices = min(SLICES, size // SLICE_BYTES + 1)
+    own = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(slices))
+    scored = reduce(DataFrame.unionByName, [
+        _scored(source.where(own == k), model, network, bits) for k in range(slices)])
+    dropped(pairs, words)
     check = trusted.select(F.col("k1"), F.lit(True).alias("check"))
     return scored.withColumn("k1", id_key(F.col("doc_id"))).join(check, "k1", "left").withColumn(
         "check", F.coalesce("check", F.lit(False)) & F.coalesce(fold, F.lit(False)))

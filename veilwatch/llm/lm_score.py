@@ -96,10 +96,10 @@ def _unsmall(blob: bytes) -> np.ndarray:
     return unpack_planes(zlib.decompress(blob))
 
 
-def _tokens(hashes: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(hashes: np.ndarray, ids: np.ndarray, lens: np.ndarray, end=END_HASH) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens, an end after every document, and which tokens are a document's first."""
     ends = np.cumsum(lens + 1) - 1
-    out = np.full(int((lens + 1).sum()), END_HASH)
+    out = np.full(int((lens + 1).sum()), end)
     word = np.ones(len(out), bool)
     word[ends] = False
     out[word] = hashes[ids]
