@@ -536,7 +536,7 @@ def streamed_reports(spark, sf):
     write = lambda df: df.withColumns({"basename": basename(F.col("filename"))}).write.mode("append").parquet(log)
     _in_pieces(raw_log(spark, sf), "ts", write)
     stream = with_argv(read_command_log(spark, log, streaming=True, per_batch=_files(spark)))
-    stored = lambda: read_command_log(spark, log).dropDuplicates(["event_id"])
+    stored = lambda: read_command_log(spark, log)
     stream_audit(stream, lambda: context(spark, sf), path, folder(spark, "state"), lambda: processes(spark, sf),
                  stored, _BACKLOG, _WHOLE).awaitTermination()
     return _flat_reports(spark.read.parquet(path))

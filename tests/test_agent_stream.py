@@ -9,7 +9,8 @@ from veilwatch.plans.dispatch import Context, audit_commands
 from veilwatch.plans.reports import build_reports
 from veilwatch.sources.reports import write_reports
 from veilwatch.sources.snapshots import read_process_snapshots, write_process_snapshots
-from veilwatch.streaming.audit_stream import read_root_changes, stream_root_changes
+from veilwatch.streaming import audit_stream
+from veilwatch.streaming.audit_stream import read_root_changes, stream_audit, stream_root_changes
 from veilwatch.streaming.agent_stream import PROCESS, RAN, AgentAudit, arrivals, finish_agent_audit
 
 T0 = datetime(2024, 3, 1)
@@ -94,3 +95,28 @@ def test_root_changes_go_on_with_a_new_checkpoint(spark, tmp_path):
     write_process_snapshots(spark.createDataFrame(rows([3])[0], PROCS).coalesce(1), snaps)
     assert run("two") == sorted([*want, (3, 13, "added"), (3, 12, "removed")])
     assert len(list((tmp_path / "changes" / "state" / "rows").iterdir())) <= 2
+
+
+def test_a_batch_takes_only_its_own_time_of_the_log(spark, tmp_path, monkeypatch):
+    """Hours in batches of their own, the last one a replay: none works through the whole log again."""
+    path, log = str(tmp_path / "reports"), str(tmp_path / "log")
+    contents = spark.createDataFrame([], "host string, path string, recorded_at timestamp, content string")
+    diffs = spark.createDataFrame([], "event_id long, recorded_at timestamp, files array<string>, diff string, error string")
+    ctx = lambda: Context(contents, diffs)
+    procs = spark.createDataFrame(rows(range(3))[0], PROCS)
+    for hour in (1, 2, 1):
+        spark.createDataFrame(rows([hour])[1], LOG).coalesce(1).write.mode("append").parquet(log)
+    seen = []
+
+    def spied(known, snapshots, salts):
+        hours = lambda df, time: {r[0].hour for r in df.select(time).distinct().collect()}
+        seen.append((hours(known, "ts"), hours(snapshots, "snapshot_ts")))
+        return real(known, snapshots, salts)
+
+    real = audit_stream.agent_executions
+    monkeypatch.setattr(audit_stream, "agent_executions", spied)
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(log)
+    stream_audit(stream, ctx, path, str(tmp_path / "state"), lambda: procs, lambda: spark.read.schema(LOG).parquet(log),
+                 {"availableNow": True}, "30 days").awaitTermination()
+    assert seen == [({1}, {1}), ({2}, {2})]
+    assert reported(spark, path) == [11, 13, 21, 23]

@@ -92,6 +92,18 @@ def _meeting(below: DataFrame, above: DataFrame) -> DataFrame:
     return ranges.join(numbered, [*group, "_nth"]).filter("_since < until and since < _until").drop("_nth")
 
 
+def _met(below: DataFrame, above: DataFrame, several: bool) -> DataFrame:
+    """``_meeting`` with ``alone`` of the result.  A process above with a single interval meets every row below
+    once, so it needs no running counts; ``several`` says that there are others."""
+    group = [*SNAPSHOT, "up"]
+    met = below.join(above.filter("_alone"), group).filter("_since < until and since < _until")
+    if several:
+        rest = above.filter("not _alone")
+        met = met.unionByName(_meeting(below.join(rest.select(*group).distinct(), group, "left_semi").drop("alone"), rest)
+                              .withColumn("alone", F.lit(False)))
+    return met
+
+
 def agent_intervals(lives: DataFrame, max_nodes: int = MAX_LINEAGE_NODES) -> DataFrame:
     """``KEY``, ``since``, ``until``: when a pid was a root or had one among its nearest
     ``max_nodes - 1`` ancestors, all of them as they were at that time.
@@ -104,20 +116,23 @@ def agent_intervals(lives: DataFrame, max_nodes: int = MAX_LINEAGE_NODES) -> Dat
         raise ValueError("max_nodes must be a power of two")
     watched = lives.filter("is_root").select(*SNAPSHOT).distinct()
     ends = F.col("is_root") | (F.col("pid") <= 1) | (F.col("ppid") == F.col("pid"))
-    state = lives.join(watched, SNAPSHOT, "left_semi").select(
-        *KEY, "since", "until", F.col("is_root").alias("hit"), F.when(ends, None).otherwise(F.col("ppid")).alias("up"))
+    # whether a row is the only one of its pid; what a row becomes in a round is one row again if both sides are
+    alone = F.count("*").over(Window.partitionBy(*KEY)) == 1
+    state = lives.withColumn("alone", alone).join(watched, SNAPSHOT, "left_semi").select(
+        *KEY, "since", "until", "alone", F.col("is_root").alias("hit"), F.when(ends, None).otherwise(F.col("ppid")).alias("up"))
     state = cut_lineage(state.filter("hit or up is not null"))
+    several = not state.filter("not alone").isEmpty()
     hits, still_open = state.filter("hit").drop("up"), state.filter("not hit").drop("hit")
     for left in reversed(range(rounds)):
         above = hits.withColumn("up", F.lit(None).cast("bigint")).unionByName(
             still_open.withColumn("hit", F.lit(False))).select(
             *SNAPSHOT, F.col("pid").alias("up"), F.col("hit").alias("_hit"), F.col("up").alias("_up"),
-            F.col("since").alias("_since"), F.col("until").alias("_until"))
+            F.col("since").alias("_since"), F.col("until").alias("_until"), F.col("alone").alias("_alone"))
         if not left:  # what is still open after the last round counts for nothing
             above = above.filter("_hit")
-        met = _meeting(still_open, above).filter("_hit or _up is not null")
+        met = _met(still_open, above, several).filter("_hit or _up is not null")
         met = cut_lineage(met.select(*KEY, F.greatest("since", "_since").alias("since"),
-                                     F.least("until", "_until").alias("until"),
+                                     F.least("until", "_until").alias("until"), "alone",
                                      F.col("_hit").alias("hit"), F.col("_up").alias("up")))
         hits = hits.unionByName(met.filter("hit").drop("up"))
         still_open = met.filter("not hit").drop("hit")

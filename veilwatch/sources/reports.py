@@ -21,13 +21,13 @@ def write_reports(reports: DataFrame, path: str, batch: str | None = None) -> No
     """Write the reports of one batch.  The rebalance gives few files per day and splits a day that holds
     much of the data over several."""
     if batch:
-        _forget(reports.sparkSession, path, batch)
+        forget_reports(reports.sparkSession, path, batch)
     (reports.withColumn("batch_id", F.lit(f"b{batch or uuid.uuid4().hex}")).hint("rebalance", "report_date")
      .write.partitionBy("report_date", "batch_id").mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
-def _forget(spark, path: str, batch: str) -> None:
+def forget_reports(spark, path: str, batch: str) -> None:
     """Remove what an earlier run of the batch wrote; its new run may yield nothing for a day."""
     pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/report_date=*/batch_id=b{batch}")
     fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

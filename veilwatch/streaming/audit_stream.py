@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwatch.operators.lineage import flag_roots
 from veilwatch.plans.dispatch import Context, agent_executions, audit
 from veilwatch.plans.reports import build_reports
-from veilwatch.session import cut_lineage
+from veilwatch.session import cut_lineage, written
 from veilwatch.sources.exec_events import watchlist_filter
-from veilwatch.sources.reports import CADENCE, stream_id, stream_reports, write_reports
+from veilwatch.sources.reports import CADENCE, forget_reports, stream_id, stream_reports, write_reports
 from veilwatch.streaming.kept_state import KeptState
 
 #: How late an execution may arrive and still be told from a replay; later ones are dropped.
@@ -52,19 +52,44 @@ def stream_audit(cmds: DataFrame, context: Callable[[], Context], path: str, che
 
     Lookups of files and diffs and the joins over process snapshots run in the batch function, which
     reads their state anew for every micro-batch.  ``log`` gives the stored executions, from which
-    processes younger than their snapshot are known; without it those of the batch are.
+    processes younger than their snapshot are known; without it those of the batch are.  Of these and of
+    the snapshots a batch takes the time its own commands depend on (``_span``), and nothing where all its
+    commands are replays or nobody watches them.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
+        name = f"{stream_id(batch)}-{batch_id}"
         if snapshots:
-            known = log() if log else batch
-            ours = agent_executions(known, snapshots(), context().salts)
-            batch = watchlist_filter(batch).join(ours, "event_id")
-        write_reports(build_reports(audit(batch, context())), path, f"{stream_id(batch)}-{batch_id}")
+            ours = written(batch if log is None else watchlist_filter(batch))
+            span = _span(watchlist_filter(ours), snapshots())
+            if span is None:
+                return forget_reports(batch.sparkSession, path, name)
+            known = (log() if log else ours).filter(F.col("ts").between(*span))
+            procs = snapshots().filter(F.col("snapshot_ts").between(*span))
+            agents = agent_executions(known.dropDuplicates(["event_id"]) if log else known, procs, context().salts)
+            batch = watchlist_filter(ours).join(agents, "event_id")
+        write_reports(build_reports(audit(batch, context())), path, name)
 
     return (without_replays(cmds, lateness).writeStream.foreachBatch(each)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def _span(cmds: DataFrame, snapshots: DataFrame) -> tuple[Column, Column] | None:
+    """From the earliest snapshot that a command refers to, up to the last command; none where no command
+    has a snapshot.
+
+    An execution that is later than a command says nothing about it, nor does one before the last snapshot
+    of its host, as identities never reach over a snapshot.
+    """
+    hosts = cmds.groupBy("host").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    # the last snapshot at or before the host's first command, else the first one behind it
+    before = F.max(F.when(F.col("snapshot_ts") <= F.col("first"), F.col("snapshot_ts")))
+    times = snapshots.select("host", "snapshot_ts").distinct().join(hosts, "host").filter(
+        F.col("snapshot_ts") <= F.col("last"))
+    each = times.groupBy("host").agg(F.coalesce(before, F.min("snapshot_ts")).alias("since"), F.max("last").alias("until"))
+    found = each.agg(F.unix_micros(F.min("since")), F.unix_micros(F.max("until"))).first()
+    return None if found[0] is None else tuple(F.timestamp_micros(F.lit(t)) for t in found)
+
+
 def stream_root_changes(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict = CADENCE,
                         kept: str = KEPT):
     """Root changes per micro-batch of snapshots; read them by ``read_root_changes``.
