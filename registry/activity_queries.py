@@ -206,13 +206,13 @@ def numbered_lines(spark, sf):
        md5(CASE WHEN added THEN substr(line, 2) ELSE line END) AS digest FROM x_dn WHERE counted = 1""")
 def lines_of_pieces(spark, sf):
     """Diffs stored in pieces that cut lines anywhere, numbered over the borders."""
-    return pieced_diff_lines(cut_diffs(commit_diffs(spark, sf), 61), 4).select(
+    return pieced_diff_lines(cut_diffs(commit_diffs(spark, sf, spread=False), 61), 4).select(
         "event_id", "file", "line", number(F.col("added")).alias("added"), F.md5("text").alias("digest"))
 
 
 @query("c15_pieced_hits", "SELECT event_id, file, CAST(number AS BIGINT) AS line, kind, snippet FROM x_hits")
 def hits_of_pieces(spark, sf):
-    return line_hits(pieced_diff_lines(cut_diffs(commit_diffs(spark, sf), 1000), 4))
+    return line_hits(pieced_diff_lines(cut_diffs(commit_diffs(spark, sf, spread=False), 1000), 4))
 
 
 @query("w2_hunk_start", """SELECT event_id, i AS pos, CAST(CASE WHEN n < 4294967296 THEN n END AS BIGINT) AS start FROM (

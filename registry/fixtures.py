@@ -156,8 +156,8 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, _KEYS[name])
 
 
-def _derive(spark, sf_dir, sql: str, *names: str, **more) -> DataFrame:
-    read = lambda n: (spread_table if n in _KEYS else table)(spark, sf_dir, n)
+def _derive(spark, sf_dir, sql: str, *names: str, spread: bool = True, **more) -> DataFrame:
+    read = lambda n: (spread_table if spread and n in _KEYS else table)(spark, sf_dir, n)
     return spark.sql(sql, **{n: read(n) for n in names}, **more)
 
 
@@ -196,8 +196,9 @@ def file_contents(spark, sf_dir) -> DataFrame:
     return _derive(spark, sf_dir, CONTENT_SQL, "documents", "pages")
 
 
-def commit_diffs(spark, sf_dir) -> DataFrame:
-    diffs = _derive(spark, sf_dir, DIFF_SQL, "documents")
+def commit_diffs(spark, sf_dir, spread: bool = True) -> DataFrame:
+    """Not spread for an operator that deals the rows anew before it works on them."""
+    diffs = _derive(spark, sf_dir, DIFF_SQL, "documents", spread=spread)
     files = F.filter(F.split("files_text", ","), lambda x: x != "")
     return diffs.select("event_id", F.timestamp_seconds(F.lit(0)).alias("recorded_at"), files.alias("files"),
                         "diff", "error")

@@ -1,26 +1,26 @@
 """Diffs larger than a row: stored in pieces, numbered as if they were whole.
 
 A diff is rows ``(event_id, piece, text)``; the texts in order of ``piece`` make the diff, cut anywhere,
-also inside a line.  Lines inside a piece are whole; a line that crosses borders is put together from the
-fragments at them.  What a line needs from before its piece is three values, carried over pieces by
-prefix sums in two levels (within groups of pieces, then over the groups): how many lines were counted,
-how far the numbering was moved by the last header, and the last file.  So a diff of any size is spread
-over as many tasks as it has pieces; only a single line has to fit a row.
+also inside a line.  Prefix sums over the pieces in two levels (within groups of pieces, then over the groups)
+say which lines a piece has parts of; the parts of a line are put together where its group of lines is.  What
+a line needs from before its group is three values, carried over the groups in the same way: how many lines
+were counted, how far the numbering was moved by the last header, and the last file.  So a diff of any size is
+spread over as many tasks as it has groups; only a single line has to fit a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwatch.functions.text import chomp
 from veilwatch.operators.diffs import FILE_HEADER, HUNK_START, hunk_start
 from veilwatch.operators.prefix import GROUP, before
-from veilwatch.session import cut_lineage
+from veilwatch.session import written
 
 #: Characters of a piece where the library cuts diffs itself.
 PIECE = 1 << 20
-_KEY, _PIECE = "event_id", ["event_id", "piece"]
+_KEY, _PIECE, _LINES = "event_id", ["event_id", "piece"], ["event_id", "_l"]
 
 
 def cut_diffs(diffs: DataFrame, size: int = PIECE) -> DataFrame:
@@ -29,26 +29,32 @@ def cut_diffs(diffs: DataFrame, size: int = PIECE) -> DataFrame:
     return diffs.filter(F.col("diff").isNotNull()).select("event_id", F.posexplode(parts).alias("piece", "text"))
 
 
+def _joined(*order: str) -> Column:
+    """The parts of one line put together in order."""
+    parts = F.sort_array(F.collect_list(F.struct(*order, "part")))
+    return F.array_join(F.transform(parts, lambda p: p["part"]), "")
+
+
 def whole_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
-    """``_PIECE``, ``at``, ``line_text``: every line with the piece it begins in and its place there."""
-    cut = pieces.select(*_PIECE, F.split("text", "\n").alias("parts")).withColumn(
-        "breaks", (F.size("parts") - 1).cast("bigint"))
-    cut = before(_KEY, cut.withColumn("border", (F.col("breaks") > 0).cast("bigint")), ["border"], [], group,
-                 ("parts", "breaks"))
-    inside = cut.select(*_PIECE, F.posexplode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0))))
-                        .alias("at", "line_text")).withColumn("at", F.col("at").cast("bigint") + 1)
-    head = F.struct(F.col("border"), F.lit(0).cast("bigint").alias("at"), F.get("parts", F.lit(0)).alias("part"))
-    tail = F.struct((F.col("border") + 1).alias("border"), F.col("breaks").alias("at"),
-                    F.try_element_at("parts", F.lit(-1)).alias("part"))
-    fragments = cut.select(*_PIECE, "border_all", F.explode(F.when(F.col("breaks") > 0, F.array(head, tail)).otherwise(
-        F.array(head))).alias("f")).select(*_PIECE, "border_all", "f.*")
-    crossing = fragments.groupBy("event_id", "border").agg(
-        F.min(F.struct("piece", "at")).alias("place"), F.max("border_all").alias("ending"),
-        F.sort_array(F.collect_list(F.struct("piece", "at", "part"))).alias("parts"))
-    crossing = crossing.select("border", "ending", "event_id", "place.*", F.array_join("parts.part", "").alias("line_text"))
+    """``event_id``, ``_l``, ``nth``, ``line_text``: every line with its place in the diff, dealt by ``event_id``
+    and ``_l``, a group of lines that follow each other.
+
+    Texts are dealt twice: by groups of pieces, to learn how many lines were before, and by groups of lines.  What
+    a line has in one group of pieces is one part; between the two the parts are written, so that what the
+    first dealing left on disk is gone before the second.
+    """
+    text = F.coalesce("text", F.lit(""))
+    cut = pieces.select(*_PIECE, text.alias("text"), F.regexp_count(text, F.lit("\n")).cast("bigint").alias("breaks"))
+    cut = before(_KEY, cut, ["breaks"], [], group, ("text",), grouped=True)
+    parts = cut.select(_KEY, "_g", "piece", "breaks", "breaks_all", F.posexplode(F.split("text", "\n")).alias("at", "part"))
+    parts = parts.groupBy(_KEY, "_g", (F.col("breaks") + F.col("at")).alias("nth")).agg(
+        _joined("piece", "at").alias("part"), F.max("breaks_all").alias("ending"))
+    parts = written(parts, lean=True).withColumn("_l", F.floor(F.col("nth") / group))
+    # with the filter both readers of the lines need the same rows, so that they share one shuffle
+    parts = parts.filter("event_id is not null and _l is not null").repartition(*_LINES)
+    lines = parts.groupBy(_KEY, "_l", "nth").agg(_joined("_g").alias("line_text"), F.max("ending").alias("ending"))
     # what follows the last line break is no line when it is empty
-    last = (F.col("border") == F.col("ending")) & (F.col("line_text") == "")
-    return crossing.filter(~last).select(*_PIECE, "at", "line_text").unionByName(inside)
+    return lines.filter("nth < ending or line_text <> ''").drop("ending")
 
 
 def pieced_diff_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
@@ -58,25 +64,24 @@ def pieced_diff_lines(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     start = F.when(text.startswith(HUNK_START), hunk_start(text))
     name = chomp(F.substring("line_text", len(FILE_HEADER) + 1, F.length("line_text")))
     counted = ~(text.startswith("-") | text.startswith(HUNK_START) | header)
-    upto = Window.partitionBy(*_PIECE).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*_LINES).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(_KEY).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     lines = whole_lines(pieces, group).select(
-        *_PIECE, "at", F.when(counted, text).alias("line_text"), counted.alias("counted"), F.when(header, name).alias("named"),
+        *_LINES, "nth", "line_text", counted.alias("counted"), F.when(header, name).alias("named"),
         F.when(header | start.isNotNull(), F.greatest(F.coalesce(start, zero) - 1, zero)).alias("base"))
     lines = lines.withColumn("seen", F.sum(F.col("counted").cast("bigint")).over(upto))
-    lines = cut_lineage(lines.select(
-        *_PIECE, "at", "line_text", "counted", "seen", F.last("named", ignorenulls=True).over(upto).alias("file"),
-        F.last(F.col("base") - F.col("seen"), ignorenulls=True).over(upto).alias("moved")))
-    ends = lines.groupBy(*_PIECE).agg(F.max("seen").alias("seen"), F.max_by("moved", "at").alias("moved"),
-                                      F.max_by("file", "at").alias("file"))
-    seen = cut_lineage(ends.withColumnRenamed("seen", "own").join(
-        before(_KEY, ends, ["seen"], [], group), _PIECE))
-    carried = before(_KEY, seen.withColumn("moved", F.col("moved") - F.col("seen")), [], ["moved", "file"], group)
-    given = seen.select(*_PIECE, F.col("seen").alias("_seen")).join(carried.select(
-        *_PIECE, F.col("moved").alias("_moved"), F.col("file").alias("_file")), _PIECE)
+    lines = lines.select(
+        *_LINES, "nth", "line_text", "counted", "seen", F.last("named", ignorenulls=True).over(upto).alias("file"),
+        F.last(F.col("base") - F.col("seen"), ignorenulls=True).over(upto).alias("moved"))
+    ends = lines.groupBy(*_LINES).agg(F.max("seen").alias("seen"), F.max_by("moved", "nth").alias("moved"),
+                                      F.max_by("file", "nth").alias("file"))
+    ends = ends.withColumn("_seen", F.coalesce(F.sum("seen").over(earlier), zero))
+    given = ends.select(*_LINES, "_seen", F.last(F.col("moved") - F.col("_seen"), ignorenulls=True).over(earlier).alias("_moved"),
+                        F.last("file", ignorenulls=True).over(earlier).alias("_file"))
     number = F.col("seen") + F.coalesce("moved", F.col("_seen") + F.coalesce("_moved", zero))
     body = chomp(text)
     added = body.startswith("+") & ~body.startswith("+++")
-    return lines.filter("counted").join(given, _PIECE).select(
+    return lines.join(given, _LINES).filter("counted").select(
         "event_id", F.coalesce("file", "_file", F.lit("")).alias("file"), number.alias("line"),
         added.alias("added"), F.when(added, F.substring(body, 2, F.length(body))).otherwise(body).alias("text"))

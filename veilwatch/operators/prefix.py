@@ -10,12 +10,12 @@ GROUP = 64
 
 
 def before(key: str, pieces: DataFrame, sums: list[str], lasts: list[str], group: int = GROUP,
-           carried: tuple = ()) -> DataFrame:
+           carried: tuple = (), grouped: bool = False) -> DataFrame:
     """``key``, ``piece`` and, of the pieces before it, the sum (``sums``) or last non-null value (``lasts``).
 
     Summed within groups of pieces first, then over the groups.  Columns ``carried`` go with their piece, so
     that wide ones are dealt once and need no join to come back to their sums; ``<sum>_all`` is a sum over
-    the whole key then.
+    the whole key then.  ``grouped`` keeps the group as ``_g``: the rows are dealt by ``key`` and ``_g``.
     """
     narrow = pieces.select(key, "piece", *sums, *lasts, *carried, F.floor(F.col("piece") / group).alias("_g"))
     inner = Window.partitionBy(key, "_g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,5 +30,5 @@ def before(key: str, pieces: DataFrame, sums: list[str], lasts: list[str], group
                          *[F.sum(c).over(Window.partitionBy(key)).alias(f"{c}_all") for c in sums if carried])
     zero = F.lit(0).cast("bigint")
     return within.join(over, [key, "_g"]).select(
-        key, "piece", *carried, *[f"{c}_all" for c in sums if carried], *[(F.coalesce(f"{c}_in", zero) + F.coalesce(f"{c}_out", zero)).alias(c) for c in sums],
+        key, "piece", *["_g"] * grouped, *carried, *[f"{c}_all" for c in sums if carried], *[(F.coalesce(f"{c}_in", zero) + F.coalesce(f"{c}_out", zero)).alias(c) for c in sums],
         *[F.coalesce(f"{c}_in", f"{c}_out").alias(c) for c in lasts])

@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes a query's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", app: str = "veilwatch", **conf) -> SparkSession:
     """A session with the settings the jobs expect; ``conf`` keys use ``__`` for dots."""
@@ -39,11 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut_lineage`` for wide rows: compressed, as Parquet.  The files go when the driver's JVM ends."""
+def written(df: DataFrame, lean: bool = False) -> DataFrame:
+    """Like ``cut_lineage`` for wide rows: compressed, as Parquet.  The files go when the driver's JVM ends.
+    ``lean``: the write's shuffle files go when it ends, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    try:
+        if lean:
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if lean:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
