@@ -115,7 +115,7 @@ _KEYED = """doc_id AS text_id, text || ' -----BEGIN EC PRIV' || 'ATE KEY-----' |
 FROM (SELECT text_id, {_masked('text')} AS m FROM (SELECT {_KEYED} FROM documents))""")
 def mask_pieced_documents(spark, sf):
     """Documents stored in pieces that cut secrets and key blocks anywhere, masked over the borders."""
-    made = spread_table(spark, sf, "documents").selectExpr(*_KEYED.split(", ", 1))
+    made = table(spark, sf, "documents").selectExpr(*_KEYED.split(", ", 1))
     done = mask_pieces(cut_texts(made, 3000), 16).groupBy("text_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "")
         .alias("m"))

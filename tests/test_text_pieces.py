@@ -68,3 +68,12 @@ def test_texts_go_with_their_prefix_sums(spark):
     got = before("text_id", rows, ["n"], [], 2, ("text",)).orderBy("piece").collect()
     assert [(r["piece"], r["text"], r["n"], r["n_all"]) for r in got] == [
         (0, "t0", 0, 2), (1, "t1", 0, 2), (2, "t2", 1, 2), (3, "t3", 1, 2), (4, "t4", 2, 2)]
+
+
+def test_texts_never_go_to_an_uncompressed_checkpoint(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *a, **b: 1 / 0)
+    texts = [f"{BEGIN.format('RSA')}\nabc\n{END.format('RSA')}rest me@mail.example\n" * 5, "plain\n" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    assert _joined(mask_pieces(cut_texts(df, 11), 3)) == _whole(spark, texts)
